@@ -1,2 +1,419 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""One query per operator, over whole tables.  ``K`` and ``M`` are the k-mer and minimizer lengths used."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom import fixtures as X
+from strandloom import functions as fn
+from strandloom import sources
+from strandloom.config import BuildConfig
+from strandloom.operators import buckets as B
+from strandloom.operators import lookups, reports, scan, strings, windows
+from strandloom.oracle import ORACLE_SQL
+from strandloom.plans import KmerDictionary, build_dictionary, load_dictionary
+from strandloom.streaming import read_stream, run_once, stream_scan
+
+K, M = 31, 13
+M_HEAVY = 5  # so short that many buckets are heavy
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def dictionary(spark: SparkSession, sf_dir: str, m: int = M, canonical: bool = False, k: int = K) -> KmerDictionary:
+    return build_dictionary(X.seq_part(spark, sf_dir), BuildConfig(k=k, m=m, canonical=canonical))
+
+
+def docs_dictionary(spark: SparkSession, sf_dir: str, canonical: bool = False) -> KmerDictionary:
+    return build_dictionary(X.seq_docs(spark, sf_dir), BuildConfig(k=K, m=M, canonical=canonical))
+
+
+def read_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.kmer_windows(X.reads(spark, sf_dir), K)
+
+
+def positions(d: KmerDictionary) -> DataFrame:
+    """Every string's first, middle and last base, and the position after its last."""
+    s = d.strings
+    pos = F.explode(F.array("string_begin", F.floor((F.col("string_begin") + F.col("string_end")) / 2).cast("bigint"), F.col("string_end") - 1, F.col("string_end")))
+    return s.select(pos.alias("pos")).distinct()
+
+
+# Sources and sinks
+
+
+@query
+def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = X.scratch(spark, "fasta")
+    sources.write_fasta(X.seq_part(spark, sf_dir), path)
+    return sources.read_fasta(spark, path)
+
+
+@query
+def fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = X.scratch(spark, "fastq")
+    rows = X.seq_part(spark, sf_dir)
+    rows.select(F.concat(F.lit("@"), F.col("id").cast("string"), F.lit("\n"), F.lower("seq"), F.lit("\n+\n"), F.repeat(F.lit("@"), 128))).write.text(path)
+    return sources.read_fastq(spark, path)
+
+
+@query
+def plain_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = X.scratch(spark, "plain")
+    X.seq_part(spark, sf_dir).select(F.concat(F.lit("  "), F.lower("seq"), F.lit(" \n"))).write.text(path)
+    return sources.read_any(spark, path)
+
+
+@query
+def kmer_list_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = X.scratch(spark, "kmers")
+    sources.write_plain(X.reads(spark, sf_dir).filter("seq <> ''"), path)
+    return sources.read_kmer_list(spark, path)
+
+
+@query
+def cfseg_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = X.scratch(spark, "segments")
+    X.seq_part(spark, sf_dir).select(F.concat((F.col("id") * 10).cast("string"), F.when(F.col("id") % 2 == 0, "\t").otherwise("  "), "seq")).write.text(path)
+    return sources.read_segments(spark, path)
+
+
+@query
+def seq_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.sequence_counts(X.seq_docs(spark, sf_dir))
+
+
+@query
+def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = X.scratch(spark, "dictionary")
+    dictionary(spark, sf_dir).save(path)
+    d = load_dictionary(spark, path)
+    return d.query(windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", "kmer")).select("id", "pos", "kmer_id", "kmer_offset", "string_id")
+
+
+# Bases and k-mers
+
+
+@query
+def base_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = fn.encode_bases(F.lower("seq"))
+    return X.seq_docs(spark, sf_dir).select("id", codes.alias("codes"), fn.decode_bases(codes).alias("bases"))
+
+
+@query
+def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.seq_docs(spark, sf_dir).select("id", fn.complement(F.col("seq")).alias("comp"), fn.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query
+def pack_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = fn.pack_bytes(F.col("seq"))
+    rows = X.seq_part(spark, sf_dir).select("id", F.substring(F.col("seq"), F.lit(1), (F.col("id") % 128 + 1).cast("int")).alias("seq"))
+    return rows.select("id", F.lower(F.hex(packed)).alias("packed_hex"), fn.unpack_bytes(packed, F.length("seq")).alias("unpacked"))
+
+
+@query
+def kmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.kmer_windows(X.seq_docs(spark, sf_dir), K)
+
+
+@query
+def kmer_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.pack(F.col("kmer")).alias("bits"))
+
+
+@query
+def kmer_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.unpack(fn.pack(F.col("kmer")), K).alias("kmer"))
+
+
+@query
+def canonical_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.kmer_windows(X.seq_docs(spark, sf_dir), K).select("id", "pos", fn.canonical(F.col("kmer")).alias("canonical"))
+
+
+@query
+def kmer_get_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.get_base(F.col("kmer"), 0).alias("first"), fn.get_base(F.col("kmer"), 15).alias("middle"), fn.get_base(F.col("kmer"), 30).alias("last"))
+
+
+@query
+def kmer_set_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.set_base(F.col("kmer"), 2, F.lit("T")).alias("kmer"))
+
+
+@query
+def kmer_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.append_base(F.col("kmer"), F.lit("G"), K).alias("kmer"))
+
+
+@query
+def dna_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.reads(spark, sf_dir).select("query_id", fn.is_dna(F.col("seq")).alias("valid"))
+
+
+@query
+def query_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.query_validity(X.reads(spark, sf_dir).select("query_id", F.substring("seq", 1, K).alias("kmer")), K)
+
+
+@query
+def mmer_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windows.kmer_windows(X.seq_part(spark, sf_dir), M)
+    return rows.select("id", "pos", fn.mix31(fn.pack(F.col("kmer"))).alias("hash"))
+
+
+@query
+def bucket_log2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.seq_docs(spark, sf_dir).select("id", fn.ceil_log2(F.length("seq")).alias("log2"))
+
+
+@query
+def kmer_pack_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """63-mers in three longs."""
+    key = fn.join_key(F.col("kmer"), 63)
+    return windows.kmer_windows(X.seq_part(spark, sf_dir), 63).select("id", "pos", key["l0"].alias("l0"), key["l1"].alias("l1"), key["l2"].alias("l2"))
+
+
+# The string set and positions
+
+
+@query
+def spss_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strings.string_set(X.seq_docs(spark, sf_dir), K)
+
+
+@query
+def access_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs_dictionary(spark, sf_dir)
+    wanted = d.strings.select("string_id", F.explode(F.array(*[F.lit(p).cast("bigint") for p in (-1, 0, 7, 200)])).alias("pos"))
+    return d.access(wanted)
+
+
+@query
+def kmer_at_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs_dictionary(spark, sf_dir)
+    return d.kmer_at(positions(d))
+
+
+@query
+def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs_dictionary(spark, sf_dir)
+    return d.locate(positions(d))
+
+
+@query
+def no_cross_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a k-mer of the concatenated strings would start inside one string and end in another."""
+    d = docs_dictionary(spark, sf_dir)
+    tails = d.strings.select(F.explode(F.sequence(F.col("string_end") - K, F.col("string_end") - 1)).alias("pos"))
+    return d.kmer_at(tails).select("pos", "string_id", F.col("kmer").isNotNull().alias("inside"))
+
+
+# Minimizers and super-k-mers
+
+
+@query
+def minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.minimizers(X.seq_part(spark, sf_dir), K, M)
+
+
+@query
+def canonical_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.minimizers(X.seq_part(spark, sf_dir), K, M, canonical=True)
+
+
+@query
+def super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir).super_kmers
+
+
+@query
+def canonical_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir, canonical=True).super_kmers
+
+
+@query
+def sorted_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.sorted_tuples(dictionary(spark, sf_dir).super_kmers)
+
+
+@query
+def merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.merge_stats(dictionary(spark, sf_dir, M_HEAVY).super_kmers)
+
+
+@query
+def minimizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir).super_kmers.groupBy("minimizer").agg(F.count(F.lit(1)).alias("num_super_kmers"), F.sum("num_kmers").cast("bigint").alias("num_kmers"))
+
+
+# Buckets
+
+
+@query
+def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir, M_HEAVY).buckets
+
+
+@query
+def bucket_class_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.class_histogram(dictionary(spark, sf_dir, M_HEAVY).buckets)
+
+
+@query
+def bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.bucket_stats(dictionary(spark, sf_dir, M_HEAVY).buckets)
+
+
+@query
+def bucket_stats_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.bucket_shares(B.bucket_stats(dictionary(spark, sf_dir, M_HEAVY).buckets))
+
+
+@query
+def bucket_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.bucket_ranges(dictionary(spark, sf_dir, M_HEAVY).buckets)
+
+
+@query
+def heavy_buckets_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dictionary(spark, sf_dir, M_HEAVY).buckets
+    return found.filter("bucket_class = 'heavy'").select("minimizer", "bucket_size").orderBy(F.desc("bucket_size"), "minimizer").limit(10)
+
+
+@query
+def skew_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.skew_partitions(dictionary(spark, sf_dir, M_HEAVY).buckets)
+
+
+# Lookups
+
+
+@query
+def lookup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir).query(read_windows(spark, sf_dir))
+
+
+@query
+def lookup_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_dictionary(spark, sf_dir).query(windows.kmer_windows(X.seq_docs(spark, sf_dir), K)).select("id", "pos", "kmer_offset")
+
+
+@query
+def lookup_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir).query(read_windows(spark, sf_dir)).select("query_id", "pos", "kmer_offset", "orientation")
+
+
+@query
+def lookup_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_dictionary(spark, sf_dir, canonical=True).query(windows.kmer_windows(X.seq_docs(spark, sf_dir), K))
+
+
+@query
+def lookup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """63-mers, with their keys in three longs."""
+    d = dictionary(spark, sf_dir, k=63)
+    rows = X.seq_part(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, fn.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    return d.query(windows.kmer_windows(rows, 63)).select("id", "pos", "kmer_id", "kmer_offset", "orientation", "string_id")
+
+
+@query
+def membership_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir).contains(read_windows(spark, sf_dir))
+
+
+@query
+def membership_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir).contains(read_windows(spark, sf_dir), absent=True)
+
+
+@query
+def minimizer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.minimizer_join(X.reads(spark, sf_dir), dictionary(spark, sf_dir).strings, K, M)
+
+
+@query
+def minimizer_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = windows.minimizers(X.reads(spark, sf_dir).filter("seq rlike '^[ACGT]*$'"), K, M)
+    return lookups.minimizer_found(own, dictionary(spark, sf_dir).super_kmers)
+
+
+@query
+def segment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of numbered segments, of which some are too short to be strings: the number stays with its string."""
+    rows = X.seq_docs(spark, sf_dir).withColumn("segment_id", F.col("id") * 10 + 3)
+    return strings.string_set(rows, K).select("segment_id", "string_id")
+
+
+# Scans and reports
+
+
+@query
+def stream_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.with_extension(dictionary(spark, sf_dir).stream_query(X.reads(spark, sf_dir))).select("query_id", "pos", "valid", "found", "kmer_offset", "orientation", "is_extension")
+
+
+@query
+def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir).stats(X.reads(spark, sf_dir))
+
+
+@query
+def stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir)
+    return scan.scan_check(d.stream_query(X.reads(spark, sf_dir)), d.index, K)
+
+
+@query
+def stream_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event by event, the read it carries, looked up as a file stream."""
+    source = X.scratch(spark, "reads")
+    held = X.reads(spark, sf_dir)
+    count = held.count()
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", (F.col("event_id") % count + 1).alias("_read"))
+    events.join(held, F.col("_read") == F.col("query_id")).select(F.col("event_id").alias("query_id"), "seq").write.parquet(source)
+    out = X.scratch(spark, "stream")
+    stream = stream_scan(read_stream(spark, source, "query_id long, seq string"), dictionary(spark, sf_dir).index, K)
+    run_once(stream.select("query_id", "pos", "found", "kmer_offset", "orientation"), out, X.scratch(spark, "progress"))
+    return spark.read.parquet(out).groupBy("query_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if("found").alias("found"), F.min("kmer_offset").alias("first_offset"))
+
+
+@query
+def query_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A k-mer list with wrong lengths and letters."""
+    kmers = X.reads(spark, sf_dir).select(F.substring("seq", 1, K).alias("kmer"))
+    return reports.point_report(dictionary(spark, sf_dir).query(kmers))
+
+
+@query
+def self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_dictionary(spark, sf_dir).check()
+
+
+@query
+def dict_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir).totals()
+
+
+@query
+def string_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.string_lengths(docs_dictionary(spark, sf_dir).strings)
+
+
+@query
+def space_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir, M_HEAVY)
+    return reports.space_model(d.totals(), B.bucket_stats(d.buckets))
+
+
+@query
+def build_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.build_estimate(dictionary(spark, sf_dir).totals())
