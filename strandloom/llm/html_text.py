@@ -135,7 +135,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, set[s
                 _close_to(stack, same, SAME_ENDS[tag], close)
         attrs = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3] and not m[3].isspace() else {}
         above = stack[-1]
-        name = tag + "".join(sorted("." + re.sub(r"\d+", "0", c) for c in attrs.get("class", "").split())) + ("#" + re.sub(r"\d+", "0", attrs["id"]) if attrs.get("id") else "")
+        name = tag + "".join(sorted("." + re.sub(r"\d{2,}", "0", c) for c in attrs.get("class", "").split())) + ("#" + re.sub(r"\d{2,}", "0", attrs["id"]) if attrs.get("id") else "")
         if tag not in INLINE:
             above.children.append(name)
         inside = above.main or tag in MAIN_TAGS or attrs.get("role", "").lower() == "main" or attrs.get("itemprop") == "articleBody"
