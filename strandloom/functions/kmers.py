@@ -31,12 +31,25 @@ def canonical(col: Column) -> Column:
     return F.when(order_key(col) < order_key(other), col).otherwise(other)
 
 
-def join_key(col: Column, k: int) -> Column:
-    """What equal k-mers are joined on: one long up to 31 bases, three beyond (63 bases do not fit two)."""
+def key_of_order(order: Column, k: int) -> Column:
+    """What equal k-mers are joined on, from their order key: one long up to 31 bases, three
+    beyond (63 bases do not fit two)."""
     if k <= LONG_BASES:
-        return pack(col)
-    limbs = [F.substring(col, a + 1, min(LONG_BASES, k - a)) for a in range(0, k, LONG_BASES)]
-    return F.struct(*[pack(x).alias(f"l{i}") for i, x in enumerate(limbs)])
+        return F.conv(order, 4, 10).cast("bigint")
+    limbs = []
+    for i, a in enumerate(range(0, k, LONG_BASES)):
+        n = min(LONG_BASES, k - a)
+        limbs.append(F.conv(F.substring(order, k - a - n + 1, n), 4, 10).cast("bigint").alias(f"l{i}"))
+    return F.struct(*limbs)
+
+
+def join_key(col: Column, k: int) -> Column:
+    return key_of_order(order_key(col), k)
+
+
+def reverse_order_key(col: Column) -> Column:
+    """The order key of the reverse complement: both reversals cancel."""
+    return F.translate(col, "ACGT", "2310")
 
 
 def get_base(col: Column, pos: int) -> Column:

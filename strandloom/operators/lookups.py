@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions import canonical, is_query_kmer, join_key
-from strandloom.operators.windows import kmer_windows
+from strandloom.functions import is_query_kmer, key_of_order, order_key, reverse_order_key
+from strandloom.operators.windows import keyed_windows
 
 
 def index_kmers(strings: DataFrame, k: int) -> DataFrame:
@@ -16,10 +16,9 @@ def index_kmers(strings: DataFrame, k: int) -> DataFrame:
     of its reverse complement, null if there is none.  Equal k-mers are met by their least
     offset, by minima that combine before the shuffle; no bucket is ever gathered.
     """
-    rows = kmer_windows(strings, k, ["string_id", "string_begin", "string_end"])
-    canon = canonical(F.col("kmer"))
+    rows = keyed_windows(strings, k, ["string_id", "string_begin", "string_end"])
     place = F.struct((F.col("string_begin") + F.col("pos")).cast("bigint").alias("kmer_offset"), "string_id", "string_begin", "string_end")
-    rows = rows.select(join_key(canon, k).alias("key"), (canon == F.col("kmer")).alias("_own"), place.alias("_at"))
+    rows = rows.select("key", F.col("own").alias("_own"), place.alias("_at"))
     return rows.groupBy("key").agg(F.min(F.when(F.col("_own"), F.col("_at"))).alias("fwd"), F.min(F.when(~F.col("_own"), F.col("_at"))).alias("rev"))
 
 
@@ -33,8 +32,8 @@ def lookup(queries: DataFrame, index: DataFrame, k: int, canonical_mode: bool =
     text = F.upper(F.col("kmer"))
     valid = is_query_kmer(F.col("kmer"), k)
     q = queries.withColumn("_q", F.when(valid, text))
-    canon = canonical(F.col("_q"))
-    q = q.withColumn("_own", canon == F.col("_q")).withColumn("_key", F.when(F.col("_q").isNotNull(), join_key(canon, k)))
+    fwd, rev = order_key(F.col("_q")), reverse_order_key(F.col("_q"))
+    q = q.withColumn("_own", fwd < rev).withColumn("_key", F.when(F.col("_q").isNotNull(), key_of_order(F.least(fwd, rev), k)))
     joined = q.join(index, F.col("_key") == F.col("key"), "left")
     same = F.when(F.col("_own"), F.col("fwd")).otherwise(F.col("rev"))
     other = F.when(F.col("_own"), F.col("rev")).otherwise(F.col("fwd"))
@@ -53,7 +52,8 @@ def lookup(queries: DataFrame, index: DataFrame, k: int, canonical_mode: bool =
 
 def members(queries: DataFrame, index: DataFrame, k: int, absent: bool = False) -> DataFrame:
     """The rows of ``queries`` whose k-mer is in the dictionary on either strand, or, if ``absent``, is not."""
-    q = queries.withColumn("_key", F.when(is_query_kmer(F.col("kmer"), k), join_key(canonical(F.upper(F.col("kmer"))), k)))
+    text = F.upper(F.col("kmer"))
+    q = queries.withColumn("_key", F.when(is_query_kmer(F.col("kmer"), k), key_of_order(F.least(order_key(text), reverse_order_key(text)), k)))
     return q.join(index.select("key"), F.col("_key") == F.col("key"), "left_anti" if absent else "left_semi").drop("_key")
 
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions import mix31, pack, reverse_complement
+from strandloom.functions import key_of_order, mix31, order_key, pack, reverse_complement, reverse_order_key
 
 
-def kmer_windows(seqs: DataFrame, k: int, keep: list[str] | None = None) -> DataFrame:
-    """Every window of k letters: the kept columns, ``pos`` from 0, and ``kmer`` as it stands."""
-    keep = [c for c in seqs.columns if c != "seq"] if keep is None else keep
-    long = seqs.filter(F.length("seq") >= k)
-    rows = long.select(*keep, "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
-    return rows.select(*keep, "pos", F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("kmer"))
+#: Windows of one chunk of a sequence.
+CHUNK = 512
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over all shuffle partitions: a few rows are about to become very many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -25,6 +26,41 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _chunks(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """The kept columns, ``_c`` and ``_text``: consecutive chunks that overlap by k - 1 letters.
+
+    Taking a piece of a string costs its distance from the start, so windows are cut from
+    short chunks; the work is linear in the sequence, however long that is.
+    """
+    rows = _held(seqs.filter(F.length("seq") >= k).select(*keep, "seq"), "_parts", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).drop("seq")
+    joined = F.transform("_parts", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("_parts", i + 1), 1, k - 1), F.lit(""))))
+    return rows.select(*keep, F.posexplode(joined).alias("_c", "_text")).filter(F.length("_text") >= k)
+
+
+def _places(k: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK), F.length("_text") - k + 1) - 1)).alias("_p")
+
+
+def kmer_windows(seqs: DataFrame, k: int, keep: list[str] | None = None) -> DataFrame:
+    """Every window of k letters: the kept columns, ``pos`` from 0, and ``kmer`` as it stands."""
+    keep = [c for c in seqs.columns if c != "seq"] if keep is None else keep
+    rows = _chunks(seqs, k, keep).select(*keep, "_c", "_text", _places(k))
+    return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), F.substring("_text", F.col("_p") + 1, F.lit(k)).alias("kmer"))
+
+
+def keyed_windows(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """Every window of sequences of ACGT: the kept columns, ``pos``, the join ``key`` of its canonical
+    form, and ``own``: whether it is itself that form.
+
+    Both strands' order keys are pieces of two strings that are made once per chunk.
+    """
+    rows = _chunks(seqs, k, keep)
+    rows = rows.select(*keep, "_c", "_text", F.explode(F.array(F.struct(order_key(F.col("_text")).alias("f"), reverse_order_key(F.col("_text")).alias("r")))).alias("_o"))
+    rows = rows.select(*keep, "_c", F.length("_text").alias("_n"), F.col("_o.f").alias("_f"), F.col("_o.r").alias("_r"), _places(k))
+    fwd, rev = F.substring("_f", F.col("_n") - F.col("_p") - k + 1, F.lit(k)), F.substring("_r", F.col("_p") + 1, F.lit(k))
+    return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), key_of_order(F.least(fwd, rev), k).alias("key"), (fwd < rev).alias("own"))
+
+
 def _hashes(seq: Column, m: int, seed: int, strand: int) -> Column:
     """For every m-mer of the sequence the struct (hash, order, place, value) of one strand.
 

@@ -31,7 +31,7 @@ class KmerDictionary:
     @cached_property
     def super_kmers(self) -> DataFrame:
         c = self.config
-        return windows.super_kmers(self.strings, c.k, c.m, c.canonical, c.seed)
+        return windows.super_kmers(windows.spread(self.strings, "string_id"), c.k, c.m, c.canonical, c.seed)
 
     @cached_property
     def buckets(self) -> DataFrame:
@@ -44,7 +44,7 @@ class KmerDictionary:
         return lookups.members(kmers, self.index, self.config.k, absent)
 
     def stream_query(self, reads: DataFrame) -> DataFrame:
-        return scan.scan_lookup(reads, self.index, self.config.k, self.config.canonical)
+        return scan.scan_lookup(windows.spread(reads, "query_id"), self.index, self.config.k, self.config.canonical)
 
     def stats(self, reads: DataFrame) -> DataFrame:
         return scan.scan_stats(self.stream_query(reads))
@@ -83,7 +83,7 @@ def build_dictionary(seqs: DataFrame, config: BuildConfig | None = None, order:
     """The dictionary of sequences (``seq`` and the integer order column); nothing runs until it is queried."""
     config = config or BuildConfig()
     held = strings.string_set(seqs, config.k, config.on_invalid, order)
-    return KmerDictionary(config, held, lookups.index_kmers(held, config.k))
+    return KmerDictionary(config, held, lookups.index_kmers(windows.spread(held, "string_id"), config.k))
 
 
 def load_dictionary(spark: SparkSession, path: str) -> KmerDictionary:

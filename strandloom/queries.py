@@ -36,7 +36,7 @@ def docs_dictionary(spark: SparkSession, sf_dir: str, canonical: bool = False) -
 
 
 def read_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(X.reads(spark, sf_dir), K)
+    return windows.kmer_windows(windows.spread(X.reads(spark, sf_dir), "query_id"), K)
 
 
 def positions(d: KmerDictionary) -> DataFrame:
@@ -95,7 +95,7 @@ def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = X.scratch(spark, "dictionary")
     dictionary(spark, sf_dir).save(path)
     d = load_dictionary(spark, path)
-    return d.query(windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", "kmer")).select("id", "pos", "kmer_id", "kmer_offset", "string_id")
+    return d.query(windows.kmer_windows(windows.spread(X.seq_part(spark, sf_dir), "id"), K).select("id", "pos", "kmer")).select("id", "pos", "kmer_id", "kmer_offset", "string_id")
 
 
 # Bases and k-mers
@@ -121,37 +121,37 @@ def pack_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(X.seq_docs(spark, sf_dir), K)
+    return windows.kmer_windows(windows.spread(X.seq_docs(spark, sf_dir), "id"), K)
 
 
 @query
 def kmer_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.pack(F.col("kmer")).alias("bits"))
+    return windows.kmer_windows(windows.spread(X.seq_part(spark, sf_dir), "id"), K).select("id", "pos", fn.pack(F.col("kmer")).alias("bits"))
 
 
 @query
 def kmer_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.unpack(fn.pack(F.col("kmer")), K).alias("kmer"))
+    return windows.kmer_windows(windows.spread(X.seq_part(spark, sf_dir), "id"), K).select("id", "pos", fn.unpack(fn.pack(F.col("kmer")), K).alias("kmer"))
 
 
 @query
 def canonical_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(X.seq_docs(spark, sf_dir), K).select("id", "pos", fn.canonical(F.col("kmer")).alias("canonical"))
+    return windows.kmer_windows(windows.spread(X.seq_docs(spark, sf_dir), "id"), K).select("id", "pos", fn.canonical(F.col("kmer")).alias("canonical"))
 
 
 @query
 def kmer_get_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.get_base(F.col("kmer"), 0).alias("first"), fn.get_base(F.col("kmer"), 15).alias("middle"), fn.get_base(F.col("kmer"), 30).alias("last"))
+    return windows.kmer_windows(windows.spread(X.seq_part(spark, sf_dir), "id"), K).select("id", "pos", fn.get_base(F.col("kmer"), 0).alias("first"), fn.get_base(F.col("kmer"), 15).alias("middle"), fn.get_base(F.col("kmer"), 30).alias("last"))
 
 
 @query
 def kmer_set_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.set_base(F.col("kmer"), 2, F.lit("T")).alias("kmer"))
+    return windows.kmer_windows(windows.spread(X.seq_part(spark, sf_dir), "id"), K).select("id", "pos", fn.set_base(F.col("kmer"), 2, F.lit("T")).alias("kmer"))
 
 
 @query
 def kmer_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.append_base(F.col("kmer"), F.lit("G"), K).alias("kmer"))
+    return windows.kmer_windows(windows.spread(X.seq_part(spark, sf_dir), "id"), K).select("id", "pos", fn.append_base(F.col("kmer"), F.lit("G"), K).alias("kmer"))
 
 
 @query
@@ -304,7 +304,7 @@ def lookup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lookup_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_dictionary(spark, sf_dir).query(windows.kmer_windows(X.seq_docs(spark, sf_dir), K)).select("id", "pos", "kmer_offset")
+    return docs_dictionary(spark, sf_dir).query(windows.kmer_windows(windows.spread(X.seq_docs(spark, sf_dir), "id"), K)).select("id", "pos", "kmer_offset")
 
 
 @query
@@ -314,7 +314,7 @@ def lookup_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lookup_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_dictionary(spark, sf_dir, canonical=True).query(windows.kmer_windows(X.seq_docs(spark, sf_dir), K))
+    return docs_dictionary(spark, sf_dir, canonical=True).query(windows.kmer_windows(windows.spread(X.seq_docs(spark, sf_dir), "id"), K))
 
 
 @query
