@@ -16,10 +16,15 @@ def index_kmers(strings: DataFrame, k: int) -> DataFrame:
     of its reverse complement, null if there is none.  Equal k-mers are met by their least
     offset, by minima that combine before the shuffle; no bucket is ever gathered.
     """
-    rows = keyed_windows(strings, k, ["string_id", "string_begin", "string_end"])
-    place = F.struct((F.col("string_begin") + F.col("pos")).cast("bigint").alias("kmer_offset"), "string_id", "string_begin", "string_end")
-    rows = rows.select("key", F.col("own").alias("_own"), place.alias("_at"))
-    return rows.groupBy("key").agg(F.min(F.when(F.col("_own"), F.col("_at"))).alias("fwd"), F.min(F.when(~F.col("_own"), F.col("_at"))).alias("rev"))
+    place = ["string_id", "string_begin", "string_end"]
+    rows = keyed_windows(strings, k, place).withColumn("kmer_offset", (F.col("string_begin") + F.col("pos")).cast("bigint"))
+    # Strings lie in the order of their ids, so all four minima are of one place; being
+    # longs and no struct, they are combined in a hash map and nothing is sorted.
+    fields = ["kmer_offset", *place]
+    lows = [F.min(F.when(F.col("own") == own, F.col(c))).alias(f"{side}_{c}") for side, own in (("fwd", True), ("rev", False)) for c in fields]
+    found = rows.groupBy("key").agg(*lows)
+    sides = [F.when(F.col(f"{s}_kmer_offset").isNotNull(), F.struct(*[F.col(f"{s}_{c}").alias(c) for c in fields])).alias(s) for s in ("fwd", "rev")]
+    return found.select("key", *sides)
 
 
 def lookup(queries: DataFrame, index: DataFrame, k: int, canonical_mode: bool = False) -> DataFrame:
