@@ -54,12 +54,12 @@ def find_repeats(docs: DataFrame, min_words: int = 20, width: int = 12, id_col:
     Units are lines, and parts of lines between words chosen by content, so that a passage
     which begins inside a line is met too.  They are compared as lower-cased words; digests
     are grouped over all texts, the occurrence with the least (id, unit number) is kept, and
-    neighbouring units of which an earlier one exists are joined.  Stretches of fewer than
-    ``min_words`` words stay.  A passage of at least ``2 * width + min_words`` words that
-    repeats is always met.
+    neighbouring units of which an earlier one exists are joined.  A stretch stays unless one
+    earlier text holds at least ``min_words`` words of it.  A passage of at least
+    ``2 * width + min_words`` words that is whole in an earlier text is always met.
 
     Returns ``id_col, start, end, n_words, kept_id``: code points of the original text, end
-    exclusive; ``kept_id`` is the least id of the kept texts.  Null, empty and blank texts have no units.
+    exclusive; ``kept_id`` is the text that keeps most of the stretch.  Null, empty and blank texts have no units.
     Rows that share an id are one text that is repeated: it is no repeat of itself.  An empty
     table gives no rows; other columns are ignored.
     """
@@ -85,8 +85,12 @@ def find_repeats(docs: DataFrame, min_words: int = 20, width: int = 12, id_col:
     later = later.groupBy("_id", "unit").agg(F.max("words").alias("words"), F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.col("_first._id")).alias("_kept"))
     of_text = Window.partitionBy("_id").orderBy("unit")
     runs = later.withColumn("_run", F.col("unit") - F.row_number().over(of_text))
-    found = runs.groupBy("_id", "_run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").cast("long").alias("n_words"), F.min("_kept").alias("kept_id"))
-    return found.filter(F.col("n_words") >= min_words).select(F.col("_id").alias(id_col), "start", "end", "n_words", "kept_id")
+    # Two short lines that come from different texts are no passage, though they stand together.
+    per_text = runs.groupBy("_id", "_run", "_kept").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
+    found = per_text.groupBy("_id", "_run").agg(
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").cast("long").alias("n_words"), F.max("words").alias("_most"), F.max_by("_kept", "words").alias("kept_id")
+    )
+    return found.filter(F.col("_most") >= min_words).select(F.col("_id").alias(id_col), "start", "end", "n_words", "kept_id")
 
 
 def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
