@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import scan, stage
+from strandloom.llm.common import scan, smallest_hashed, stage
 from strandloom.llm.wordhash import Hasher, U, chunks, mix
 
 
@@ -93,7 +93,7 @@ def resample_by_importance(
     known = labels.filter(F.col("quality").isNotNull()).select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y"))
     share = known.agg(F.avg((F.col("_y") == 1).cast("double"))).first()[0]
     keep = (share if share is not None else 1.0) if keep is None else keep
-    good = known.filter("_y = 1").select("_id").orderBy(F.xxhash64("_id"), "_id").limit(target_sample)
+    good = smallest_hashed(known.filter("_y = 1").select("_id"), target_sample)
     target_ids = frozenset(r["_id"] for r in good.collect())
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     raw, target = count_ngrams(source, target_ids, buckets)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WORD, scan
+from strandloom.llm.common import WORD, scan, smallest_hashed
 
 WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -150,7 +150,7 @@ def train_line_model(docs: DataFrame, labels: DataFrame, sample: int = 1000, lin
     """
     y = labels.filter(F.col("quality").isNotNull()).select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y"))
     # The sample is drawn from the labels alone, and only its texts are fetched.
-    y = y.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
+    y = smallest_hashed(y, sample)
     d = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, 1000 * lines).alias("_text"))
     found = d.join(F.broadcast(y), "_id").select("_id", "_text", "_y").collect()
     rows = sorted(((r["_id"], r["_y"], r["_text"] or "") for r in found), key=lambda r: (r[0] is None, r))
