@@ -74,7 +74,7 @@ def kth_largest(df: DataFrame, col: str, k: int) -> float | None:
 
 
 def resample_by_importance(
-    docs: DataFrame, labels: DataFrame, keep: float | None = None, buckets: int = 16384, target_sample: int = 20000, temperature: float = 0.01, seed: int = 1,
+    docs: DataFrame, labels: DataFrame, keep: float | None = None, buckets: int = 16384, target_sample: int = 20000, temperature: float = 0.005, seed: int = 1,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Sample the texts that look most like good text, without replacement.

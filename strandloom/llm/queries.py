@@ -45,7 +45,7 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample_by_importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=0.9)
+    return resample_by_importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
