@@ -78,18 +78,10 @@ def minimizer_join(reads: DataFrame, strings: DataFrame, k: int, m: int, seed: i
     """
     from strandloom.operators.windows import super_kmers
 
-    known = super_kmers(strings, k, m, seed=seed)
-    texts = strings.select(F.col("string_id").alias("_sid"), F.col("string_begin").alias("_begin"), F.col("seq").alias("_text"))
-
-    def cut(rows: DataFrame) -> DataFrame:
-        return rows.select("*", F.substring("_text", F.col("first_pos") + 1, F.col("num_kmers") + k - 1).alias("_piece"))
-
-    known = cut(known.join(texts, F.col("string_id") == F.col("_sid"))).select(F.col("minimizer").alias("_m"), (F.col("_begin") + F.col("first_pos")).alias("_at"), F.col("pos_in_kmer").alias("_in"), F.col("num_kmers").alias("_n"), F.col("_piece").alias("_theirs"))
+    known = super_kmers(strings, k, m, seed=seed, piece=True)
+    known = known.select(F.col("minimizer").alias("_m"), (F.col("pos_in_seq") - F.col("pos_in_kmer")).alias("_at"), F.col("pos_in_kmer").alias("_in"), F.col("num_kmers").alias("_n"), F.col("piece").alias("_theirs"))
     own = reads.select(F.col("query_id").alias("string_id"), F.lit(0).cast("bigint").alias("string_begin"), F.upper("seq").alias("seq"))
-    valid = own.filter(F.col("seq").rlike("^[ACGT]*$"))
-    mine = super_kmers(valid, k, m, seed=seed)
-    read_texts = valid.select(F.col("string_id").alias("_sid"), F.col("seq").alias("_text"))
-    mine = cut(mine.join(read_texts, F.col("string_id") == F.col("_sid"))).select("string_id", "first_pos", "minimizer", "pos_in_kmer", "num_kmers", "_piece")
+    mine = super_kmers(own.filter(F.col("seq").rlike("^[ACGT]*$")), k, m, seed=seed, piece=True).withColumnRenamed("piece", "_piece")
     joined = mine.join(known, F.col("minimizer") == F.col("_m"))
     # Window i of mine meets window i + shift of theirs, where the minimizers lie on each other.
     shift = F.col("_in") - F.col("pos_in_kmer")

@@ -26,15 +26,22 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _chunks(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
-    """The kept columns, ``_c`` and ``_text``: consecutive chunks that overlap by k - 1 letters.
+def _chunks(seqs: DataFrame, k: int, keep: list[str], left: int = 0, right: int = 0) -> DataFrame:
+    """The kept columns, ``_c`` and ``_text``: consecutive chunks of ``CHUNK`` windows of k letters each,
+    with ``left`` letters more before (but for the first) and ``right`` more after.
 
-    Taking a piece of a string costs its distance from the start, so windows are cut from
-    short chunks; the work is linear in the sequence, however long that is.
+    Taking a piece of a string costs its distance from the start, and arrays over a whole
+    chromosome fit no row, so windows are cut from short chunks: the work is linear in the
+    sequence and bounded in a row, however long the sequence is.
     """
     rows = _held(seqs.filter(F.length("seq") >= k).select(*keep, "seq"), "_parts", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).drop("seq")
-    joined = F.transform("_parts", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("_parts", i + 1), 1, k - 1), F.lit(""))))
-    return rows.select(*keep, F.posexplode(joined).alias("_c", "_text")).filter(F.length("_text") >= k)
+
+    def joined(x: Column, i: Column) -> Column:
+        after = F.coalesce(F.substring(F.get("_parts", i + 1), 1, k - 1 + right), F.lit(""))
+        before = [F.coalesce(F.right(F.get("_parts", i - 1), F.lit(left)), F.lit(""))] if left else []
+        return F.concat(*before, x, after)
+
+    return rows.select(*keep, F.posexplode(F.transform("_parts", joined)).alias("_c", "_text")).filter(F.length("_text") >= k)
 
 
 def _places(k: int) -> Column:
@@ -75,17 +82,16 @@ def _hashes(seq: Column, m: int, seed: int, strand: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.length(seq) - m), one)
 
 
-def window_minimizers(seqs: DataFrame, k: int, m: int, canonical: bool = False, seed: int = 1) -> DataFrame:
-    """``seqs`` (of at least k letters) with ``mins``: of every window the struct (v, i), its minimizer
-    and the minimizer's place in the sequence.
+def _with_minimizers(rows: DataFrame, k: int, m: int, canonical: bool, seed: int) -> DataFrame:
+    """Adds ``mins``: of every window of ``_text`` the struct (v, i), its minimizer and the minimizer's place.
 
     The m-mer of the least hash wins, the leftmost of ties.  In canonical mode the strand of
     the lesser *value* wins, the forward one of ties; the place is always that on this strand.
-    The m-mers of a sequence are hashed once and windows take slices, so nothing is shuffled.
+    The m-mers of a chunk are hashed once and windows take slices, so nothing is shuffled.
     """
-    long = _held(seqs.filter(F.length("seq") >= k), "_f", _hashes(F.col("seq"), m, seed, 1))
+    rows = _held(rows, "_f", _hashes(F.col("_text"), m, seed, 1))
     if canonical:
-        long = _held(long, "_r", _hashes(F.col("seq"), m, seed, -1))
+        rows = _held(rows, "_r", _hashes(F.col("_text"), m, seed, -1))
     span = k - m + 1
 
     def least(p: Column) -> Column:
@@ -96,31 +102,34 @@ def window_minimizers(seqs: DataFrame, k: int, m: int, canonical: bool = False,
         first = r["v"] < f["v"]
         return F.struct(F.when(first, r["v"]).otherwise(f["v"]).alias("v"), F.when(first, r["i"]).otherwise(f["i"]).alias("i"))
 
-    return _held(long, "mins", F.transform(F.sequence(F.lit(0), F.length("seq") - k), least)).drop("_f", "_r")
+    return _held(rows, "mins", F.transform(F.sequence(F.lit(0), F.length("_text") - k), least)).drop("_f", "_r")
 
 
 def minimizers(seqs: DataFrame, k: int, m: int, canonical: bool = False, seed: int = 1) -> DataFrame:
     """One row per window: ``pos, minimizer, pos_in_kmer`` and the columns of ``seqs`` but its text."""
     keep = [c for c in seqs.columns if c != "seq"]
-    rows = window_minimizers(seqs, k, m, canonical, seed).select(*keep, F.posexplode("mins").alias("pos", "_m"))
-    return rows.select(*keep, "pos", F.col("_m.v").alias("minimizer"), (F.col("_m.i") - F.col("pos")).cast("int").alias("pos_in_kmer"))
+    rows = _with_minimizers(_chunks(seqs, k, keep), k, m, canonical, seed).select(*keep, "_c", F.posexplode("mins").alias("_p", "_m"))
+    return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), F.col("_m.v").alias("minimizer"), (F.col("_m.i") - F.col("_p")).cast("int").alias("pos_in_kmer"))
 
 
-def super_kmers(strings: DataFrame, k: int, m: int, canonical: bool = False, seed: int = 1) -> DataFrame:
+def super_kmers(strings: DataFrame, k: int, m: int, canonical: bool = False, seed: int = 1, piece: bool = False) -> DataFrame:
     """Runs of neighbouring windows that share a minimizer at one place.
 
     ``string_id, first_pos, minimizer, pos_in_seq`` (in the whole set), ``pos_in_kmer`` (of the
-    first window) and ``num_kmers``.  Run starts are found inside each sequence's array.
+    first window) and ``num_kmers``; with ``piece`` also the run's letters.  A run has at most
+    k - m + 1 windows, so a chunk that sees one window before and that many after its own
+    knows each of its runs whole.
     """
-    rows = window_minimizers(strings, k, m, canonical, seed)
+    rows = _with_minimizers(_chunks(strings, k, ["string_id", "string_begin"], left=1, right=k - m + 1), k, m, canonical, seed)
     count = F.size("mins")
-    same = lambda p: (F.get("mins", p) == F.get("mins", p - 1))
-    starts = F.filter(F.sequence(F.lit(0), count - 1), lambda p: (p == 0) | ~same(p))
-    rows = _held(rows, "_starts", starts).withColumn("_count", count)
-    rows = rows.select("string_id", "string_begin", "mins", "_starts", "_count", F.posexplode("_starts").alias("_k", "_p"))
+    starts = F.filter(F.sequence(F.lit(0), count - 1), lambda p: (p == 0) | (F.get("mins", p) != F.get("mins", p - 1)))
+    rows = _held(rows, "_starts", starts).withColumn("_count", count).withColumn("_l", F.when(F.col("_c") > 0, 1).otherwise(0))
+    rows = rows.select("string_id", "string_begin", "_c", "_l", "_text", "mins", "_starts", "_count", F.posexplode("_starts").alias("_k", "_p"))
+    rows = rows.filter((F.col("_p") >= F.col("_l")) & (F.col("_p") < F.col("_l") + CHUNK))
     stop = F.coalesce(F.get("_starts", F.col("_k") + 1), F.col("_count"))
-    at = F.get("mins", F.col("_p"))
+    at, base = F.get("mins", F.col("_p")), F.col("_c") * CHUNK - F.col("_l")
+    letters = [F.substring("_text", F.col("_p") + 1, stop - F.col("_p") + k - 1).alias("piece")] if piece else []
     return rows.select(
-        "string_id", F.col("_p").alias("first_pos"), at["v"].alias("minimizer"), (F.col("string_begin") + at["i"]).cast("bigint").alias("pos_in_seq"),
-        (at["i"] - F.col("_p")).cast("int").alias("pos_in_kmer"), (stop - F.col("_p")).cast("int").alias("num_kmers"),
+        "string_id", (base + F.col("_p")).cast("int").alias("first_pos"), at["v"].alias("minimizer"), (F.col("string_begin") + base + at["i"]).cast("bigint").alias("pos_in_seq"),
+        (at["i"] - F.col("_p")).cast("int").alias("pos_in_kmer"), (stop - F.col("_p")).cast("int").alias("num_kmers"), *letters,
     )

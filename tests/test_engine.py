@@ -156,7 +156,7 @@ def py_minimizer(kmer, m, canonical):
 @pytest.mark.parametrize("canonical", [False, True])
 def test_minimizers_and_super_kmers(spark, canonical):
     rng = random.Random(7)
-    rows = [dna(rng, n) for n in (9, 31, 80, 140)] + ["ACGT" * 16, "A" * 40, "ACGTACG"]
+    rows = [dna(rng, n) for n in (9, 31, 80, 140, 511, 512, 513, 520, 521, 1100, 5000)] + ["ACGT" * 16, "A" * 40, "ACGTACG"]
     d = seqs_of(spark, rows)
     got = {(r.id, r.pos): (r.minimizer, r.pos_in_kmer) for r in windows.minimizers(d, 9, 4, canonical).collect()}
     want = {(i, p): py_minimizer(s[p : p + 9], 4, canonical) for i, s in enumerate(rows) for p in range(len(s) - 8)}
@@ -201,7 +201,7 @@ def py_lookup(strings_, k, canonical):
 def test_lookup(spark, k, canonical):
     rng = random.Random(k)
     held = [dna(rng, rng.randint(k - 2, 3 * k)) for _ in range(12)]
-    held += [held[0], rc(held[1]), "A" * (k + 3)]
+    held += [held[0], rc(held[1]), "A" * (k + 3), dna(rng, 1500), dna(rng, 512), dna(rng, 511 + k)]
     d = build_dictionary(seqs_of(spark, held), BuildConfig(k=k, m=3, canonical=canonical))
     text = "".join(held)
     queries = [text[p : p + k] for p in range(0, len(text) - k, 3)] + [rc(text[p : p + k]).lower() for p in range(0, len(text) - k, 5)]
