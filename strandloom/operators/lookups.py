@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import is_query_kmer, key_of_order, order_key, reverse_order_key
-from strandloom.operators.windows import keyed_windows
+from strandloom.operators.windows import keyed_windows, spread, super_kmers
 
 
 def index_kmers(strings: DataFrame, k: int) -> DataFrame:
@@ -76,12 +76,10 @@ def minimizer_join(reads: DataFrame, strings: DataFrame, k: int, m: int, seed: i
     read off by aligning the minimizer's places; a join row stands for up to k - m + 1
     k-mers.  A minimizer with many places is split by Spark's skew join.
     """
-    from strandloom.operators.windows import super_kmers
-
-    known = super_kmers(strings, k, m, seed=seed, piece=True)
+    known = super_kmers(spread(strings, "string_id"), k, m, seed=seed, piece=True)
     known = known.select(F.col("minimizer").alias("_m"), (F.col("pos_in_seq") - F.col("pos_in_kmer")).alias("_at"), F.col("pos_in_kmer").alias("_in"), F.col("num_kmers").alias("_n"), F.col("piece").alias("_theirs"))
     own = reads.select(F.col("query_id").alias("string_id"), F.lit(0).cast("bigint").alias("string_begin"), F.upper("seq").alias("seq"))
-    mine = super_kmers(own.filter(F.col("seq").rlike("^[ACGT]*$")), k, m, seed=seed, piece=True).withColumnRenamed("piece", "_piece")
+    mine = super_kmers(spread(own.filter(F.col("seq").rlike("^[ACGT]*$")), "string_id"), k, m, seed=seed, piece=True).withColumnRenamed("piece", "_piece")
     joined = mine.join(known, F.col("minimizer") == F.col("_m"))
     # Window i of mine meets window i + shift of theirs, where the minimizers lie on each other.
     shift = F.col("_in") - F.col("pos_in_kmer")
