@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -20,24 +21,33 @@ LOW = 0x5555555555555555
 SHORT_RUN = 8
 
 
-def fingerprint(text: str, words: int, lanes: int) -> np.ndarray:
-    """``lanes`` unsigned 64-bit words; bit i is set if it is in over half of the shingle hashes.
+def shingles(text: str, words: int) -> np.ndarray:
+    """Hashes of all runs of ``words`` consecutive words (all words of a shorter text; none of a blank one).
 
-    Shingles are ``words`` consecutive words (all words of a shorter text), lower-cased A-Z,
-    joined by a space and hashed by XXH64 with seed 42; further lanes mix that hash anew.
+    Words are lower-cased A-Z, joined by a space and hashed by XXH64 with seed 42.
     """
     import xxhash
 
     own = text.encode("utf-8", "surrogatepass").lower().split()
     if not own:
-        return np.zeros(lanes, U)
+        return np.zeros(0, U)
     line = b" ".join(own)
     size = np.fromiter(map(len, own), np.int64, len(own))
     end = np.cumsum(size + 1) - 1
     k = min(words, len(own))
     starts, ends = (end - size)[: len(own) - k + 1].tolist(), end[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends)), U, len(starts))
+    return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends)), U, len(starts))
+
+
+def fingerprint(text: str, words: int, lanes: int) -> np.ndarray:
+    """``lanes`` unsigned 64-bit words; bit i is set if it is in over half of the hashes of ``shingles``.
+
+    Further lanes mix those hashes anew.
+    """
+    h = shingles(text, words)
+    if not len(h):
+        return np.zeros(lanes, U)
     out = np.empty(lanes, U)
     for lane in range(lanes):
         x = h if lane == 0 else mix(h + U(lane * STEP % (1 << 64)))
@@ -241,21 +251,105 @@ def bits_apart(similarity: float, bits: int, spread: float = 1.645) -> int:
     return math.floor(bits * p + spread * math.sqrt(bits * p * (1 - p)))
 
 
+def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For every set of distinct hashes the index of one set of its group; sets link if their exact
+    Jaccard similarity is at least ``similarity``.
+
+    The search goes from set to set, as in ``run_links``; overlaps are counted along the members of
+    the pool or along the sets that hold the hashes, whichever are fewer.
+    """
+    ratio = Fraction(str(similarity))
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    edge = np.append(0, np.cumsum(size))
+    _, code = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    by_code = np.argsort(code, kind="stable")
+    holder = np.repeat(np.arange(len(sets)), size)[by_code]
+    at = np.append(0, np.cumsum(np.bincount(code))) if len(code) else np.zeros(1, np.int64)
+    root = np.arange(len(sets))
+    free = np.ones(len(sets), bool)
+    mark = np.zeros(len(at), bool)
+    for first in range(len(sets)):
+        if not free[first]:
+            continue
+        free[first] = False
+        todo = [first]
+        while todo:
+            p = todo.pop()
+            own, n = code[edge[p] : edge[p + 1]], int(size[p])
+            lo = np.searchsorted(size, -(-n * ratio.numerator // ratio.denominator))
+            hi = np.searchsorted(size, n * ratio.denominator // ratio.numerator, "right")
+            pool = lo + np.flatnonzero(free[lo:hi])
+            if not len(pool):
+                continue
+            if not n:
+                found = pool
+            else:
+                if (at[own + 1] - at[own]).sum() < size[pool].sum():
+                    held = np.concatenate([holder[at[c] : at[c + 1]] for c in own])
+                    both = np.bincount(held, minlength=len(sets))[pool]
+                else:
+                    mark[own] = True
+                    if 2 * len(pool) > hi - lo:
+                        total = np.append(0, np.cumsum(mark[code[edge[lo] : edge[hi]]]))
+                        both = total[edge[pool + 1] - edge[lo]] - total[edge[pool] - edge[lo]]
+                    else:
+                        both = np.array([np.count_nonzero(mark[code[edge[q] : edge[q + 1]]]) for q in pool])
+                    mark[own] = False
+                found = pool[both * ratio.denominator >= (n + size[pool] - both) * ratio.numerator]
+            free[found] = False
+            root[found] = first
+            todo += found.tolist()
+    out = np.empty(len(sets), np.int64)
+    out[order] = order[root]
+    return out
+
+
+def verified_groups(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``node, root`` of every node of ``texts`` (``_group, node, _text``): the groups that links of at
+    least ``similarity`` make inside each ``_group``, by the texts' own shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+            node = np.fromiter(held, np.int64, len(held))
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[similar_groups(list(held.values()), similarity)])], names=["node", "root"])
+
+        group, held = None, {}
+        for batch in batches:
+            for g, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if held and g != group:
+                    yield emit(held)
+                    held = {}
+                group = g
+                if node not in held:
+                    held[node] = np.unique(shingles(text or "", words))
+        if held:
+            yield emit(held)
+
+    return scan(texts.select("_group", "node", "_text").repartition("_group").sortWithinPartitions("_group"), run, "node long, root long")
+
+
 def keep_one_of_each(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` without near-duplicates: of every group one row, that of the least id, stays unchanged.
 
-    Texts link if their ``64 * lanes``-bit fingerprints over ``words``-word shingles differ in
-    no more bits than texts of this similarity do; one lane of 64 bits is too coarse for that.
-    Equal texts always fall together, null and blank ones too.  Of rows that agree in id and
-    text one stays.  An empty table gives no rows.
+    Candidates are texts of which the ``64 * lanes``-bit fingerprints over ``words``-word shingles
+    differ in no more bits than texts of this similarity do.  Of these only texts link whose
+    shingle sets have a Jaccard similarity of ``similarity`` at least, counted exactly.  Equal
+    texts always fall together, null and blank ones too.  Of rows that agree in id and text one
+    stays.  An empty table gives no rows.
     """
     radius = bits_apart(similarity, 64 * lanes)
-    node = F.xxhash64(*lanes_of(lanes))
-    rows = stage(add_fingerprints(docs, words, lanes, id_col, text_col).withColumn("_node", node), "simhash")
-    roots = group_fingerprints(rows, lanes, radius, differ_rate(similarity), recall)
+    # Equal texts are one node.
+    rows = stage(add_fingerprints(docs, words, lanes, id_col, text_col).withColumn("_node", F.col("_h")), "simhash")
+    near = group_fingerprints(rows, lanes, radius, differ_rate(similarity), recall)
     firsts = rows.groupBy("_node").agg(F.min(F.struct("_id", "_h")).alias("_first"))
+    held = stage(near.join(firsts, F.col("node") == F.col("_node")).select(F.col("root").alias("_group"), "node", F.col("_first._id").alias("_held")), "candidates")
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
+    texts = texts.join(held, (F.col("_h") == F.col("node")) & F.col("_id").eqNullSafe(F.col("_held")))
+    roots = verified_groups(texts, words, similarity)
     firsts = firsts.join(roots, F.col("_node") == F.col("node"), "left").groupBy(F.coalesce("root", "_node").alias("_root")).agg(F.min("_first").alias("_first"))
     kept = stage(firsts.select(F.col("_first._id").alias("_kept"), F.col("_first._h").alias("_kept_h")), "kept")
     names = docs.columns

@@ -437,6 +437,35 @@ def test_near_copies_leave_one(spark, corpus):
     assert not any(200 <= i < 300 for i in ids) and sum(100 <= i < 200 for i in ids) <= 2 and sum(i >= 300 for i in ids) == 1
 
 
+def changed_copy(text, at):
+    """The text with the words at these places changed; five apart, each costs five shingles of five words."""
+    return " ".join(f"changed{k}" if k in at else w for k, w in enumerate(text.split()))
+
+
+def test_near_copies_below_the_similarity_stay(spark):
+    rng = random.Random(16)
+    base = [" ".join(f"{rng.choice(VOCAB)}{rng.randrange(9999)}" for _ in range(204)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + i, changed_copy(t, range(20, 190, 170 // 4)[:5])) for i, t in enumerate(base)]  # 175 of 225 shingles
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in rows]
+
+
+def test_similar_groups_against_brute_force():
+    rng = random.Random(17)
+    for size, n in ((6, 60), (40, 30), (0, 3)):
+        sets = [{rng.randrange(size + 2) for _ in range(rng.randint(0, size))} for _ in range(n)]
+        for k in range(n):
+            sets.append(set(list(sets[k])[1:]) | {99})
+        got = simhash.similar_groups([np.array(sorted(s), np.uint64) for s in sets], 0.8)
+        edges = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+        want = list(range(len(sets)))
+        for _ in want:
+            for a, b in edges:
+                want[a] = want[b] = min(want[a], want[b])
+        assert {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if got[a] == got[b]} == {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if want[a] == want[b]}
+
+
 def test_components(spark):
     rng = random.Random(16)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1200)] + [(2000, 2000 + i) for i in range(1, 50)] + [(7, 7)]
