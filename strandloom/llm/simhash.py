@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, segment-popcount cells, exact verification, components."""
+"""Near-duplicates: SimHash fingerprints in segment-popcount cells, or MinHash bands; exact verification, components."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from strandloom.llm.components import connected_components
 from strandloom.llm.wordhash import STEP, U, mix
 
 LOW = 0x5555555555555555
+#: Least hashes that make one band.
+BAND = 6
 #: Runs up to this length compare all neighbours at once; longer ones grow spanning trees.
 SHORT_RUN = 8
 
@@ -177,49 +179,15 @@ def exact_cells(points: DataFrame, radius: int) -> DataFrame:
     return coded.select("node", "f0", F.explode(cells).alias("cell"))
 
 
-def sampled_cells(points: DataFrame, lanes: int, differ: float, recall: float, total: int) -> DataFrame:
-    """Cells of many-lane fingerprints that two of them share with probability ``recall`` at least,
-    if their bits differ at a rate of at most ``differ``.
+def group_fingerprints(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """``node, root`` of every distinct fingerprint that links with another one; every link is found.
 
-    A cell is the value of some bits (one-bit segments of the same embedding), as many that
-    unrelated fingerprints rarely meet; there are as many tables of cells as ``recall`` needs.
-    """
-    bits = min(40, max(12, math.ceil(math.log2(max(total, 2))) + 2))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
-    rng = np.random.default_rng(20)
-    picks = np.stack([rng.choice(64 * lanes, bits, replace=False) for _ in range(tables)])
-    value = (1 << np.arange(bits, dtype=np.int64)).astype(U)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            fp = np.stack([batch.column(1 + k).to_numpy() for k in range(lanes)], axis=1)
-            for at in range(0, n, 2000):
-                part = np.ascontiguousarray(fp[at : at + 2000])
-                bit = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
-                cell = np.concatenate([mix((bit[:, p].astype(U) @ value) + U(t << 42)) for t, p in enumerate(picks)])
-                rows = np.tile(np.arange(at, at + len(part)), tables)
-                sub = pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *[pa.array(batch.column(k).to_numpy()[rows]) for k in range(1 + lanes)]], names=["cell", "node", *lanes_of(lanes)])
-                yield sub
-
-    return scan(points.select("node", *lanes_of(lanes)), run, "cell long, node long, " + ", ".join(f"{c} long" for c in lanes_of(lanes)))
-
-
-def group_fingerprints(rows: DataFrame, lanes: int, radius: int, differ: float | None = None, recall: float = 0.97) -> DataFrame:
-    """``node, root`` of every distinct fingerprint that links with another one.
-
-    ``differ=None`` finds every link (one lane); otherwise cells are sampled so that pairs of
-    which bits differ at that rate meet with probability ``recall``.  Copies are one
-    fingerprint, so they cost nothing here.
+    Copies are one fingerprint, so they cost nothing here.
     """
+    if lanes != 1:
+        raise ValueError("exact cells are made for fingerprints of 64 bits")
     points = stage(rows.select(F.col("_node").alias("node"), *lanes_of(lanes)).distinct(), "fingerprints")
-    if differ is None:
-        if lanes != 1:
-            raise ValueError("exact cells are made for fingerprints of 64 bits")
-        cells = exact_cells(points, radius)
-    else:
-        cells = sampled_cells(points, lanes, differ, recall, points.count())
-    return connected_components(link_cells(cells, lanes, radius))
+    return connected_components(link_cells(exact_cells(points, radius), lanes, radius))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,15 +208,58 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def differ_rate(similarity: float) -> float:
-    """The rate at which bits differ between texts of this shingle similarity (Jaccard)."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def bands_for(similarity: float, miss: float) -> int:
+    """Bands of which sets of this Jaccard similarity share none with probability ``miss`` at most."""
+    return max(1, math.ceil(math.log(miss) / math.log1p(-(similarity**BAND)))) if similarity < 1 else 1
+
 
+def band_cells(h: np.ndarray, bands: int) -> np.ndarray:
+    """A cell for every band: its number and the least of all hashes under ``BAND`` orders of its own."""
+    keys = mix(np.arange(1, 2 * bands * BAND + 1, dtype=U) * U(STEP)).reshape(2, -1, 1)
+    turn, times = keys[0], keys[1] | U(1)
+    least = np.full(bands * BAND, np.iinfo(U).max, U)
+    for at in range(0, len(h), 256):
+        least = np.minimum(least, ((h[at : at + 256] ^ turn) * times).min(axis=1))
+    cell = np.arange(bands, dtype=U) * U(STEP)
+    for column in least.reshape(bands, BAND).T:
+        cell = mix(cell ^ column) + U(1)
+    return cell
 
-def bits_apart(similarity: float, bits: int, spread: float = 1.645) -> int:
-    """Differing bits that a pair of texts of this similarity does not exceed in 19 of 20 cases."""
-    p = differ_rate(similarity)
-    return math.floor(bits * p + spread * math.sqrt(bits * p * (1 - p)))
+
+def add_bands(docs: DataFrame, words: int, bands: int, id_col: str, text_col: str) -> DataFrame:
+    """``_id, _h`` (hash of the text) and ``cells``, those of its bands, for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [band_cells(shingles(t or "", words), bands) for t in batch.column(2).to_pylist()]
+            flat = pa.array(np.concatenate([np.zeros(0, U), *cells]).view(np.int64))
+            edges = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * bands)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(edges, flat)], names=["_id", "_h", "cells"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
+    return scan(source, run, f"_id {id_type}, _h long, cells array<long>")
+
+
+def star_links(cells: DataFrame) -> DataFrame:
+    """Links ``a, b`` of every node to the least one in each of its cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # cell and least node of the final run, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            least = node[starts]
+            if held is not None and held[0] == cell[0]:
+                least[0] = held[1]
+            held = int(cell[-1]), int(least[-1])
+            least = np.repeat(least, np.diff(np.append(starts, len(cell))))
+            other = least != node
+            yield pa.RecordBatch.from_arrays([pa.array(least[other]), pa.array(node[other])], names=["a", "b"])
+
+    return scan(cells.select("cell", "node").repartition("cell").sortWithinPartitions("cell", "node"), run, "a long, b long")
 
 
 def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -330,29 +341,35 @@ def verified_groups(texts: DataFrame, words: int, similarity: float) -> DataFram
     return scan(texts.select("_group", "node", "_text").repartition("_group").sortWithinPartitions("_group"), run, "node long, root long")
 
 
-def keep_one_of_each(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, miss: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near-duplicates: of every group one row, that of the least id, stays unchanged.
 
-    Candidates are texts of which the ``64 * lanes``-bit fingerprints over ``words``-word shingles
-    differ in no more bits than texts of this similarity do.  Of these only texts link whose
-    shingle sets have a Jaccard similarity of ``similarity`` at least, counted exactly.  Equal
-    texts always fall together, null and blank ones too.  Of rows that agree in id and text one
-    stays.  An empty table gives no rows.
+    Candidates are texts whose sets of ``words``-word shingles share a MinHash band; a pair of
+    this ``similarity`` shares none with probability ``miss`` at most, however many rows there
+    are, and a more similar pair more rarely.  Of these only texts link whose shingle sets have
+    a Jaccard similarity of ``similarity`` at least, counted exactly.  Equal texts always fall
+    together, null and blank ones too.  Of rows that agree in id and text one stays.  An empty
+    table gives no rows.
     """
-    radius = bits_apart(similarity, 64 * lanes)
     # Equal texts are one node.
-    rows = stage(add_fingerprints(docs, words, lanes, id_col, text_col).withColumn("_node", F.col("_h")), "simhash")
-    near = group_fingerprints(rows, lanes, radius, differ_rate(similarity), recall)
-    firsts = rows.groupBy("_node").agg(F.min(F.struct("_id", "_h")).alias("_first"))
+    rows = stage(add_bands(docs, words, bands_for(similarity, miss), id_col, text_col), "bands")
+    firsts = stage(rows.groupBy(F.col("_h").alias("_node")).agg(F.min(F.struct("_id", "_h")).alias("_first")), "texts")
+    repeated = rows.groupBy("_id", "_h").count().filter("count > 1").select("_id", F.col("_h").alias("_rep_h"))
+    cells = rows.select(F.col("_h").alias("node"), "cells").dropDuplicates(["node"]).select("node", F.explode("cells").alias("cell"))
+    near = connected_components(star_links(cells))
     held = stage(near.join(firsts, F.col("node") == F.col("_node")).select(F.col("root").alias("_group"), "node", F.col("_first._id").alias("_held")), "candidates")
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
     texts = texts.join(held, (F.col("_h") == F.col("node")) & F.col("_id").eqNullSafe(F.col("_held")))
     roots = verified_groups(texts, words, similarity)
     firsts = firsts.join(roots, F.col("_node") == F.col("node"), "left").groupBy(F.coalesce("root", "_node").alias("_root")).agg(F.min("_first").alias("_first"))
-    kept = stage(firsts.select(F.col("_first._id").alias("_kept"), F.col("_first._h").alias("_kept_h")), "kept")
+    kept = firsts.select(F.col("_first._id").alias("_kept"), F.col("_first._h").alias("_kept_h"))
+    kept = stage(kept.join(repeated, F.col("_kept").eqNullSafe(F.col("_id")) & (F.col("_kept_h") == F.col("_rep_h")), "left").select("_kept", "_kept_h", F.col("_rep_h").isNotNull().alias("_rep")), "kept")
     names = docs.columns
-    found = docs.withColumn("_h", F.xxhash64(F.col(text_col))).join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_h") == F.col("_kept_h")))
+
+    def found(part: DataFrame) -> DataFrame:
+        return docs.withColumn("_h", F.xxhash64(F.col(text_col))).join(part, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_h") == F.col("_kept_h")))
+
+    # Only rows that agree in id and text, few as a rule, are dealt out again to leave one of them.
     one = Window.partitionBy("_kept", "_kept_h").orderBy(F.lit(1))
-    return found.withColumn("_one", F.row_number().over(one)).filter("_one = 1").select(*names)
+    several = found(stage(kept.filter("_rep"), "kept-repeated")).withColumn("_one", F.row_number().over(one)).filter("_one = 1")
+    return found(kept.filter("not _rep")).select(*names).unionByName(several.select(*names))

@@ -451,6 +451,26 @@ def test_near_copies_below_the_similarity_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in rows]
 
 
+def test_near_copies_at_the_similarity_go(spark):
+    rng = random.Random(18)
+    base = [" ".join(f"{rng.choice(VOCAB)}{rng.randrange(9999)}" for _ in range(229)) for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(1000 + i, changed_copy(t, range(20, 220, 40))) for i, t in enumerate(base)]  # 200 of 250 shingles
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
+
+
+def test_bands_meet_as_often_as_planned():
+    rng = np.random.default_rng(19)
+    assert (1 - 0.8**simhash.BAND) ** simhash.bands_for(0.8, 1e-9) <= 1e-9
+    met = []
+    for _ in range(40):
+        x = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
+        met.append((simhash.band_cells(x[:900], 64) == simhash.band_cells(x[100:], 64)).mean())
+    assert abs(np.mean(met) - 0.8**simhash.BAND) < 0.04
+    assert len(set(simhash.band_cells(np.zeros(0, np.uint64), 64).tolist())) == 64
+
+
 def test_similar_groups_against_brute_force():
     rng = random.Random(17)
     for size, n in ((6, 60), (40, 30), (0, 3)):
