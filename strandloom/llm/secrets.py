@@ -19,10 +19,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run is the match of [0-9a-f]+, so the length test can be part of it
 
-#: A name that announces a credential, then : or = or "is", then the value.
+KEYWORD = r"(?:pass(?:word|wd|phrase|code)|\bpwd|\bpass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|\bauth(?:orization)?)"
+#: A name that announces a credential, then blanks and : or = or "is", then the value.  A name of
+#: any length is read once, from its start, and nothing is given back, so the time is linear.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)|\bpwd|\bpass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|\bauth(?:orization)?)"""
-    r"""[A-Za-z0-9_-]{0,24}["'`]?[\x20\t]{0,4}(?::=|=>|[:=]|\bis\b)[\x20\t]{0,4}(?:(?:basic|bearer)[\x20\t]+)?["'`]?([^\s"'`,;<>()\[\]{}]+)""",
+    rf"""(?<![A-Za-z0-9_-])(?:(?!{KEYWORD})[A-Za-z0-9_-])*+{KEYWORD}[A-Za-z0-9_-]*+"""
+    r"""["'`]?[\x20\t]*+(?::=|=>|[:=]|\bis\b)[\x20\t]*+(?:(?:basic|bearer)[\x20\t]+)?["'`]?([^\s"'`,;<>()\[\]{}]+)""",
     re.I | re.A,
 )
 #: Lower-cased texts without any of these hold no context; a cheap first test.

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -132,6 +133,16 @@ def test_redaction(spark):
     assert got[1].text is None and got[2].text == "clean text" and got[2].n_chars == 10 and got[3].text == '[SECRET]"'
 
 
+def test_secrets_behind_long_names_and_wide_blanks():
+    value = "q8Zt+Lw2!vR9xK"
+    for before in ("secret_key          = \"", "db_password_prod :             ", "SECRET_KEY_BASE_FOR_PRODUCTION_ENVIRONMENT=", "token\t\t\t\t\t\t:=\t\t\t\t\t\t", "auth" + "_x" * 50 + "     is      "):
+        assert secrets.redact(f"{before}{value} next") == f"{before}[SECRET] next"
+    for text in ("secret" * 50_000, "secret" + " " * 300_000, "token = " * 40_000, "secret" + "-" * 300_000 + " ", "pass\t" * 60_000):
+        began = time.process_time()
+        secrets.find_spans(text)
+        assert time.process_time() - began < 3
+
+
 PAGES = [
     ("<html><head><title>t</title><style>p{}</style></head><body><nav><a>Menu</a></nav><article><h1>A &amp; B</h1><p><b>One<br>two<p>three &lt;x&gt;</article><footer>f</footer>", "A & B\n\nOne two\n\nthree <x>"),
     ("<body><header>H</header><main><p>Text  with\n space<aside>side</aside><div class='comments'><p>c</div><form><p>f</form></main>", "Text with space"),
