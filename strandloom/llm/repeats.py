@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import scan, stage
-from strandloom.llm.wordhash import Hasher, U, chunks
+from strandloom.llm.wordhash import Hasher, U, chunks, mix
 
 
 def unit_starts(hash_: np.ndarray, line: np.ndarray, width: int) -> np.ndarray:
@@ -48,18 +48,62 @@ def units_of(hasher: Hasher, texts: list[bytes], width: int) -> dict[str, np.nda
     return {"doc": doc, "unit": number, "digest": digest.view(np.int64), "words": stop - start, "start": chars[w.start[start]] - base, "end": chars[w.end[stop - 1]] - base}
 
 
+def run_starts(unit: np.ndarray, digest: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every unit of one text (in order) from which neighbouring units cover ``least`` words:
+    its index, and a digest of the fewest such units."""
+    total = np.append(0, np.cumsum(words))
+    stop = np.searchsorted(total, total[:-1] + least)  # total[stop] is the first that reaches it
+    fits = np.flatnonzero(stop < len(total))
+    fits = fits[unit[stop[fits] - 1] - unit[fits] == stop[fits] - 1 - fits]
+    stop, out = stop[fits], np.zeros(len(fits), U)
+    for k in range(int((stop - fits).max()) if len(fits) else 0):
+        live = fits + k < stop
+        out[live] = mix(out[live] + U(1)) ^ digest[fits[live] + k].view(U)
+    return fits, mix(out).view(np.int64)
+
+
+def add_run_digests(units: DataFrame, least: int) -> DataFrame:
+    """``_id, unit, far``: the digest of the units from ``unit`` on that cover ``least`` words, without a gap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+            one = pa.Table.from_batches(held).combine_chunks()
+            at, far = run_starts(*(one.column(k).to_numpy() for k in (1, 2, 3)), least)
+            return one.select([0, 1]).take(pa.array(at)).append_column("far", pa.array(far)).combine_chunks().to_batches()
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            edges = [0, *[i for i in range(1, len(ids)) if ids[i] != ids[i - 1]], len(ids)]
+            for a, b in zip(edges, edges[1:]):
+                if held and b > a and held[-1].column(0)[0].as_py() != ids[a]:
+                    yield from emit(held)
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from emit(held)
+
+    id_type = units.schema["_id"].dataType.simpleString()
+    ordered = units.select("_id", "unit", "digest", "words").repartition("_id").sortWithinPartitions("_id", "unit")
+    return scan(ordered, run, f"_id {id_type}, unit int, far long")
+
+
 def find_repeats(docs: DataFrame, min_words: int = 20, width: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stretches of text that stand elsewhere too and are not the earliest occurrence.
 
     Units are lines, and parts of lines between words chosen by content, so that a passage
     which begins inside a line is met too.  They are compared as lower-cased words; digests
     are grouped over all texts, the occurrence with the least (id, unit number) is kept, and
-    neighbouring units of which an earlier one exists are joined.  A stretch stays unless one
-    earlier text holds at least ``min_words`` words of it.  A passage of at least
-    ``2 * width + min_words`` words that is whole in an earlier text is always met.
+    neighbouring units of which an earlier one exists are joined.  A stretch goes if one text
+    keeps at least ``min_words`` words of it, or if neighbouring units of it that cover
+    ``min_words`` words stand together earlier, whichever texts hold these units first.  So a
+    passage is met if it is whole in an earlier text and its whole units hold ``min_words``
+    words together.
 
     Returns ``id_col, start, end, n_words, kept_id``: code points of the original text, end
-    exclusive; ``kept_id`` is the text that keeps most of the stretch.  Null, empty and blank texts have no units.
+    exclusive; ``kept_id`` is the text that keeps most of the stretch, or, if none keeps enough,
+    the first that holds such neighbours.  Null, empty and blank texts have no units.
     Rows that share an id are one text that is repeated: it is no repeat of itself.  An empty
     table gives no rows; other columns are ignored.
     """
@@ -81,16 +125,25 @@ def find_repeats(docs: DataFrame, min_words: int = 20, width: int = 12, id_col:
     # Digests met once are most of all; only those met twice go on, as a table of their own.
     first = F.min(F.struct("_id", "unit"))
     twice = stage(units.groupBy(F.col("digest").alias("_digest")).agg(first.alias("_first"), F.max(F.struct("_id", "unit")).alias("_last")).filter("_first <> _last").select("_digest", "_first"), "repeat-digests")
-    later = units.join(twice, F.col("digest") == F.col("_digest")).filter(~(F.struct("_id", "unit").eqNullSafe(F.col("_first"))))
-    later = later.groupBy("_id", "unit").agg(F.max("words").alias("words"), F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.col("_first._id")).alias("_kept"))
+    again = units.join(twice, F.col("digest") == F.col("_digest")).groupBy("_id", "unit")
+    again = stage(again.agg(F.min("digest").alias("digest"), F.max("words").alias("words"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("_first").alias("_first")), "repeat-units")
+    # Neighbours that stand together twice, though each was first met elsewhere.
+    far = stage(add_run_digests(again, min_words), "repeat-runs")
+    far_first = far.groupBy(F.col("far").alias("_far")).agg(first.alias("_far_first"), F.max(F.struct("_id", "unit")).alias("_far_last")).filter("_far_first <> _far_last").select("_far", "_far_first")
+    met = far.join(far_first, F.col("far") == F.col("_far")).filter(~(F.struct("_id", "unit").eqNullSafe(F.col("_far_first"))))
+    met = met.select(F.col("_id").alias("_met_id"), F.col("unit").alias("_met_unit"), F.struct(F.col("_far_first._id").alias("id")).alias("_met"))
+    later = again.filter(~(F.struct("_id", "unit").eqNullSafe(F.col("_first")))).withColumn("_kept", F.col("_first._id"))
+    later = later.join(met, F.col("_id").eqNullSafe(F.col("_met_id")) & (F.col("unit") == F.col("_met_unit")), "left").select("_id", "unit", "words", "start", "end", "_kept", "_met")
     of_text = Window.partitionBy("_id").orderBy("unit")
     runs = later.withColumn("_run", F.col("unit") - F.row_number().over(of_text))
     # Two short lines that come from different texts are no passage, though they stand together.
-    per_text = runs.groupBy("_id", "_run", "_kept").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
+    per_text = runs.groupBy("_id", "_run", "_kept").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("_met").alias("_met"))
     found = per_text.groupBy("_id", "_run").agg(
-        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").cast("long").alias("n_words"), F.max("words").alias("_most"), F.max_by("_kept", "words").alias("kept_id")
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").cast("long").alias("n_words"), F.max("words").alias("_most"), F.max_by("_kept", "words").alias("_keeps"), F.min("_met").alias("_met")
     )
-    return found.filter(F.col("_most") >= min_words).select(F.col("_id").alias(id_col), "start", "end", "n_words", "kept_id")
+    enough = F.col("_most") >= min_words
+    kept = F.when(enough, F.col("_keeps")).otherwise(F.col("_met.id"))
+    return found.filter(enough | F.col("_met").isNotNull()).select(F.col("_id").alias(id_col), "start", "end", "n_words", kept.alias("kept_id"))
 
 
 def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -273,6 +273,17 @@ def test_repeats_of_whole_lines_against_brute_force(spark):
     assert covered - want == set() and {x for x in want - covered if text[x[0]][x[1]] != " "} == set()
 
 
+def test_repeats_of_units_first_met_in_several_texts(spark):
+    rng = random.Random(20)
+    say = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    lines = [say(8) for _ in range(6)]
+    rows = [(i, f"{say(30)}\n{x}\n{say(30)}") for i, x in enumerate(lines)]
+    whole = "\n".join(lines)
+    rows += [(10, f"{say(30)}\n{whole}\n{say(30)}"), (11, f"{say(30)}\n{whole}\n{say(30)}"), (12, f"{say(30)}\n{lines[3]}\n{lines[1]}\n{lines[5]}\n{say(30)}")]
+    got = repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, dict(rows)[11][r.start : r.end], r.n_words, r.kept_id) for r in got] == [(11, whole, 48, 10)]
+
+
 def test_importance(spark, docs, none):
     rng = random.Random(10)
     rows = [(i, prose(rng, 80) if i % 4 else " ".join(rng.choice(["buy", "###", "now!!", "%%%"]) for _ in range(80))) for i in range(400)]
