@@ -1,4 +1,4 @@
-"""Main text of web pages: a site style tree per host decides which branches are noise."""
+"""Main text of web pages: the style trees of each site and of all sites decide which branches are noise."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import scan, stage
@@ -27,52 +27,98 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 P_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split())
 SAME_ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-#: Elements that never hold the article.
-NOISE_TAGS = frozenset("nav footer aside form script style noscript template textarea title iframe head button select option input dialog menu svg canvas object audio video map".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-# Words of class and id names of page furniture.
-NOISE_WORDS = frozenset(
+#: Controls and pictures: their text is never the page's.
+CONTROLS = frozenset("form head button select option input dialog menu svg canvas object audio video map".split())
+#: Tags and roles that say furniture; a hint that the trees' counts outweigh.
+FURNITURE_TAGS = frozenset("nav footer aside".split())
+FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+# Words of class and id names of page furniture, and words that say nothing beside them.
+FURNITURE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr
-    notice sidebar side rail widget menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead topbar comment comments
-    commentlist respond discussion disqus replies reply related recommended share sharing social subscribe newsletter signup login
-    popup modal overlay toolbar pagination pager skip copyright legal""".split()
+    notice sidebar rail widget menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead topbar header related recommended
+    share sharing social subscribe newsletter signup login popup modal overlay toolbar pagination pager skip copyright legal""".split()
 )
-NOISE_STARTS = ("advert", "sponsor", "comment", "breadcrumb", "newsletter", "cookie", "sidebar", "footer", "navbar")
+FILLER_WORDS = frozenset("top bottom left right main site page global box block bar slot wrapper wrap container inner outer list item items area section col row link links button buttons bars x".split())
+#: Names of readers' comments.  Comments are as rich as an article, so no entropy tells them from it: they go by name.
+COMMENT_WORDS = frozenset("comment comments commentlist respond disqus replies".split())
 MAIN_TAGS = frozenset(("article", "main"))
-#: Elements deeper than this count as their ancestor at this depth in the style tree.
-DEPTH = 12
+#: Elements nested deeper belong to their ancestor at this depth, as in browsers.
+DEPTH = 512
 
 
 @dataclass
 class Node:
     tag: str
-    path: str
-    noise: bool
+    key: int
+    parent: int
+    depth: int
+    gone: bool
+    hint: bool
     main: bool
+    holds_main: bool = False
+    low: bool = False
     children: list[str] = field(default_factory=list)
 
 
-def is_noise(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
-    """Whether the element's own name or attributes say that it is page furniture."""
-    if tag in NOISE_TAGS or (tag == "header" and not inside_main):
+@dataclass
+class Page:
+    """Blocks in order (node, text), and of every node its parent, depth, whether the page itself
+    calls it furniture, and the sequences of children that it was met with."""
+
+    blocks: list[tuple[int, str]]
+    nodes: dict[int, tuple[int, int, bool]]
+    styles: dict[int, set[str]]
+
+
+def names_of(attrs: dict[str, str]) -> list[list[str]]:
+    """The words of each class name and of the id, in lower case."""
+    found = (attrs.get("class", "") + " " + attrs.get("id", "")).split()
+    return [re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) for name in found]
+
+
+def is_furniture(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
+    """Whether tag, role or names hint at furniture.
+
+    A name hints only if it is made of furniture words and fillers alone ("cookie-banner", not
+    "has-sidebar" or "share-prices"), and never inside an article or main element.
+    """
+    if tag in FURNITURE_TAGS or (tag == "header" and not inside_main) or attrs.get("role", "").lower() in FURNITURE_ROLES:
         return True
-    if not attrs or tag in ("html", "body", "article", "main") and not attrs.get("hidden"):
-        names = re.findall(r"[a-z]+", (attrs.get("class", "") + " " + attrs.get("id", "")).lower()) if tag == "article" else ()
-        return any(n.startswith("comment") for n in names)
-    if attrs.get("role", "").lower() in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+    if inside_main or not attrs or tag in ("html", "body", "article", "main"):
+        return False
+    return any(any(w in FURNITURE_WORDS for w in words) and all(w in FURNITURE_WORDS or w in FILLER_WORDS for w in words) for words in names_of(attrs))
+
+
+def is_gone(tag: str, attrs: dict[str, str]) -> bool:
+    """Controls, what is hidden, and readers' comments: never text of the page, whatever the trees say."""
+    if tag in CONTROLS:
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
+    if not attrs or tag in ("html", "body", "main"):
+        return False
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    named = re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs.get("class", "") + " " + attrs.get("id", "")).lower()
-    words = re.findall(r"[a-z]+", named)
-    return any(w in NOISE_WORDS or w.startswith(NOISE_STARTS) for w in words) or ("header" in words and not inside_main and tag not in ("h1", "h2"))
+    return any(words and words[0] in COMMENT_WORDS for words in names_of(attrs))
+
+
+KEYS: dict[tuple[int, str], int] = {}
+
 
+def key_of(parent: int, name: str) -> int:
+    """The signed 64-bit name of a path: a hash of the parent's and the element's own name."""
+    import xxhash
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, set[str]]]:
-    """Blocks of a page in order (path, text, noise by name, inside the main part) and, for every
-    element path, the sequences of child elements that it was met with."""
-    root = Node("", "", False, False)
-    stack, blocks, styles = [root], [], {}
+    found = KEYS.get((parent, name))
+    if found is None:
+        if len(KEYS) > 200_000:
+            KEYS.clear()
+        digest = xxhash.xxh64_intdigest(f"{parent}/{name}".encode("utf-8", "surrogatepass"), 3)
+        found = KEYS[parent, name] = digest - (1 << 64) if digest >> 63 else digest
+    return found
+
+
+def parse(page: str) -> Page:
+    root = Node("", 0, 0, 0, False, False, False)
+    stack, made, blocks, styles = [root], [root], [], {}
     held: list[str] = []
     owner: Node | None = None
 
@@ -81,25 +127,23 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, set[s
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text and owner is not None:
-                blocks.append((owner.path, text, owner.noise, owner.main))
+                blocks.append((owner, text))
             held.clear()
         owner = None
 
     def close() -> None:
         node = stack.pop()
-        styles.setdefault(node.path, set()).add(" ".join(node.children))
+        if not node.gone and node.tag not in INLINE:
+            styles.setdefault(node.key, set()).add(" ".join(node.children))
 
     def put(text: str) -> None:
         nonlocal owner
-        top = stack[-1]
-        if owner is not None and (top.noise != owner.noise):
-            flush()
+        if stack[-1].gone:
+            return
         if owner is None:
             if not text.strip():
                 return
-            # The block is that of the nearest element that is no inline one, unless that one is noise by itself.
-            block = next(n for n in reversed(stack) if n.tag not in INLINE)
-            owner = Node(block.tag, block.path, top.noise, block.main)
+            owner = next(n for n in reversed(stack) if n.tag not in INLINE)
         held.append(text)
 
     at = 0
@@ -135,24 +179,38 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, set[s
                 _close_to(stack, same, SAME_ENDS[tag], close)
         attrs = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3] and not m[3].isspace() else {}
         above = stack[-1]
-        name = tag + "".join(sorted("." + re.sub(r"\d{2,}", "0", c) for c in attrs.get("class", "").split())) + ("#" + re.sub(r"\d{2,}", "0", attrs["id"]) if attrs.get("id") else "")
-        if tag not in INLINE:
+        gone = above.gone or is_gone(tag, attrs)
+        if tag in INLINE or gone:
+            node = Node(tag, above.key, above.parent, above.depth, gone, above.hint, above.main)
+        else:
+            name = tag + "".join(sorted("." + re.sub(r"\d{2,}", "0", c) for c in attrs.get("class", "").split())) + ("#" + re.sub(r"\d{2,}", "0", attrs["id"]) if attrs.get("id") else "")
             above.children.append(name)
-        inside = above.main or tag in MAIN_TAGS or attrs.get("role", "").lower() == "main" or attrs.get("itemprop") == "articleBody"
-        noise = above.noise or is_noise(tag, attrs, above.main)
-        path = above.path if tag in INLINE or len(stack) > DEPTH else f"{above.path}/{name}"
+            starts_main = tag in MAIN_TAGS or attrs.get("role", "").lower() == "main" or attrs.get("itemprop") == "articleBody"
+            if starts_main:
+                for n in stack:
+                    n.holds_main = True
+            if above.depth >= DEPTH:
+                node = Node(tag, above.key, above.parent, above.depth, False, above.hint, above.main)
+            else:
+                node = Node(tag, key_of(above.key, name), above.key, above.depth + 1, False, is_furniture(tag, attrs, above.main), above.main or starts_main)
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        if noise and not above.noise and tag in INLINE:
-            flush()
-        stack.append(Node(tag, path, noise, inside))
+        stack.append(node)
+        if not gone and tag not in INLINE:
+            made.append(node)
     rest = page[at:]
     cut_tag = rest.rfind("<")  # a tag that the end of the page cuts off
     put(rest[:cut_tag] if cut_tag >= 0 and re.match(r"<[/!a-zA-Z]", rest[cut_tag:]) else rest)
     flush()
     while len(stack) > 1:
         close()
-    return blocks, styles
+    # Furniture by the page's own signs: hinted, below such a branch, or outside of the main element.
+    low = {0: False}
+    for n in made[1:]:
+        outside = root.holds_main and not n.main and not n.holds_main
+        n.low = (n.hint and not n.holds_main) or low.get(n.parent, False) or outside
+        low[n.key] = low.get(n.key, True) and n.low
+    return Page([(n.key, t) for n, t in blocks], {n.key: (n.parent, n.depth, low[n.key]) for n in made[1:]}, styles)
 
 
 def _close_to(stack: list[Node], tag: str, limits: tuple[str, ...], close) -> None:
@@ -167,30 +225,34 @@ def _close_to(stack: list[Node], tag: str, limits: tuple[str, ...], close) -> No
             return
 
 
-def ancestors(path: str) -> list[str]:
-    parts = path.split("/")[1:]
-    return ["/" + "/".join(parts[: k + 1]) for k in range(len(parts))]
+def main_text(page: str, dropped: frozenset[int] | set[int], held: frozenset[int] | set[int]) -> str:
+    """Text of the blocks whose nodes the trees hold, in page order.  A node that the trees do not know
+    is judged by the page's own signs, and so is a page of which the trees leave nothing."""
+    found = parse(page)
 
+    def own(key: int) -> bool:
+        return key not in found.nodes or not found.nodes[key][2]
 
-def main_text(page: str, removed: frozenset[str] | set[str]) -> str:
-    """Text of the blocks that neither their own names nor the style tree call noise, in page order."""
-    blocks = [b for b in parse(page)[0] if not b[2]]
-    blocks = [b for b in blocks if not removed or not any(a in removed for a in ancestors(b[0]))]
-    if any(b[3] for b in blocks):
-        blocks = [b for b in blocks if b[3]]
-    return "\n\n".join(b[1] for b in blocks)
+    kept = [t for k, t in found.blocks if k in held or (k not in dropped and own(k))]
+    return "\n\n".join(kept or [t for k, t in found.blocks if own(k)])
 
 
-def style_tree(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
-    """``_host, path, pages, importance`` of every node of the merged trees of each host.
+def likeness(text: str, host: str) -> str:
+    """What a text has in common with those of other pages: without the name of its host, with all numbers alike."""
+    return re.sub(r"\d+", "0", text.replace(host, "") if host else text)
 
-    A node's children sequences are its presentation styles and the texts of its own blocks
-    its content.  With m pages that hold the node, content importance is one less the mean
-    over texts of log n / log m (n pages with that text), presentation importance the entropy
-    of the styles to the base m; a node with l styles has composite importance
-    ``(1 - gamma**l) * presentation + gamma**l * mean`` over its children and its content.
-    Counts are summed by node and text before anything meets, so a host may hold any share
-    of the pages.
+
+def style_trees(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
+    """``_host, node, pages, low, importance`` of the merged pages of each host; the host ``''`` stands for all.
+
+    A node is a path of element names from the root.  Its children sequences are its
+    presentation styles and the texts of its own blocks (``likeness``) its content.  With m pages that hold
+    the node, content importance is one less the mean over texts of log n / log m (n pages with
+    that text), presentation importance the entropy of the styles to the base m (both 1 on a
+    single page); a node with l styles has composite importance ``(1 - gamma**l) * presentation
+    + gamma**l * mean`` over its children and its content.  ``low`` is the share of its pages
+    whose own signs call the node furniture.  Counts are summed by node and text before anything
+    meets, so one host may hold any share of the pages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,75 +261,108 @@ def style_tree(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
         for batch in batches:
             rows = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                blocks, styles = parse(page or "")
-                texts = {(p, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 1) - (1 << 63)) for p, t, _, _ in blocks}
-                rows += [(host, p, 1, x) for p, x in texts]
-                rows += [(host, p, 2, xxhash.xxh64_intdigest(s.encode(), 2) - (1 << 63)) for p, many in styles.items() if p for s in many]
-                rows += [(host, p, 0, 0) for p in set(styles) | {p for p, _ in texts} if p]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["_host", "path", "kind", "feature"])
-
-    seen = scan(pages.select("_host", "_html"), run, "_host string, path string, kind int, feature long").groupBy("_host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
+                found = parse(page or "")
+                texts = {(k, xxhash.xxh64_intdigest(likeness(t, host).encode("utf-8", "surrogatepass"), 1) - (1 << 63)) for k, t in found.blocks if k}
+                rows += [(host, k, 1, x, 0, 0, 0) for k, x in texts]
+                rows += [(host, k, 2, xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 2) - (1 << 63), 0, 0, 0) for k, many in found.styles.items() if k for s in many]
+                rows += [(host, k, 0, 0, parent, depth, int(low)) for k, (parent, depth, low) in found.nodes.items()]
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_host", "node", "kind", "feature", "parent", "depth", "low"])
+
+    keys = ["node", "kind", "feature", "parent", "depth"]
+    met = scan(pages.select("_host", "_html"), run, "_host string, node long, kind int, feature long, parent long, depth int, low long")
+    met = stage(met.groupBy("_host", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("low").alias("low")), "style-features")
+    every = met.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("low").alias("low")).select(F.lit("").alias("_host"), *keys, "n", "low")
+    met = met.filter("_host <> ''").select("_host", *keys, "n", "low").unionByName(every)
     n, kind = F.col("n").cast("double"), F.col("kind")
-    nodes = seen.groupBy("_host", "path").agg(
-        F.max(F.when(kind == 0, n)).alias("m"),
+    nodes = met.groupBy("_host", "node").agg(
+        F.max(F.when(kind == 0, n)).alias("m"), F.max("low").alias("low"), F.max("depth").alias("depth"), F.max_by("parent", F.when(kind == 0, n)).alias("parent"),
         F.sum(F.when(kind == 1, F.log(n))).alias("text_log"), F.count(F.when(kind == 1, n)).alias("texts"),
         F.sum(F.when(kind == 2, n * F.log(n))).alias("style_log"), F.sum(F.when(kind == 2, n)).alias("style_n"), F.count(F.when(kind == 2, n)).alias("styles"),
     )
     log_m = F.when(F.col("m") > 1, F.log("m"))
     content = F.when(F.col("texts") > 0, F.coalesce(1 - F.col("text_log") / (F.col("texts") * log_m), F.lit(1.0)))
     look = F.when(F.col("styles") > 0, F.coalesce((F.log("style_n") - F.col("style_log") / F.col("style_n")) / log_m, F.lit(1.0)))
-    depth = F.size(F.split("path", "/")) - 1
     nodes = stage(
-        nodes.select("_host", "path", F.col("m").cast("long").alias("pages"), content.alias("content"), F.least(F.coalesce(look, F.lit(0.0)), F.lit(1.0)).alias("look"), F.pow(F.lit(gamma), F.greatest(F.col("styles"), F.lit(1))).alias("g"), depth.alias("depth"), F.regexp_replace("path", "/[^/]*$", "").alias("parent")),
+        nodes.select(
+            "_host", "node", "parent", "depth", F.col("m").cast("long").alias("pages"), (F.col("low") / F.col("m")).alias("low"), content.alias("content"),
+            F.least(F.coalesce(look, F.lit(0.0)), F.lit(1.0)).alias("look"), F.pow(F.lit(gamma), F.greatest(F.col("styles"), F.lit(1))).alias("g"),
+        ),
         "style-nodes",
-    )
-    done, below = None, None
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    for d in range(deepest, 0, -1):
-        level = nodes.filter(F.col("depth") == d)
+    )
+    done: list[DataFrame] = []
+    below = None
+    for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        level = nodes.filter(F.col("depth") == depth)
         if below is None:
             level = level.withColumn("child_sum", F.lit(0.0)).withColumn("child_n", F.lit(0).cast("long"))
         else:
-            level = level.join(below, ["_host", "path"], "left").withColumn("child_sum", F.coalesce("child_sum", F.lit(0.0))).withColumn("child_n", F.coalesce("child_n", F.lit(0).cast("long")))
+            level = level.join(below, ["_host", "node"], "left").withColumn("child_sum", F.coalesce("child_sum", F.lit(0.0))).withColumn("child_n", F.coalesce("child_n", F.lit(0).cast("long")))
         inner = (F.col("child_sum") + F.coalesce("content", F.lit(0.0))) / (F.col("child_n") + F.when(F.col("content").isNull(), 0).otherwise(1))
-        leaf = F.col("child_n") == 0
-        imp = F.when(leaf, F.coalesce("content", F.lit(0.0))).otherwise((1 - F.col("g")) * F.col("look") + F.col("g") * inner)
-        level = level.withColumn("importance", imp)
-        below = level.groupBy("_host", F.col("parent").alias("path")).agg(F.sum("importance").alias("child_sum"), F.count(F.lit(1)).alias("child_n"))
-        part = level.select("_host", "path", "pages", "importance")
-        done = part if done is None else done.unionByName(part)
-    return done if done is not None else nodes.select("_host", "path", "pages", F.lit(0.0).alias("importance"))
-
-
-def extract_main_text(
-    pages: DataFrame, least: float = 0.1, min_pages: int = 5, salts: int = 16, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
-) -> DataFrame:
+        own = F.when(F.col("child_n") == 0, F.coalesce("content", F.lit(0.0))).otherwise((1 - F.col("g")) * F.col("look") + F.col("g") * inner)
+        level = level.withColumn("importance", own)
+        if depth % 8 == 0:  # a deep page would else make one plan of hundreds of joins
+            level = stage(level, "style-level")
+        below = level.groupBy("_host", F.col("parent").alias("node")).agg(F.sum("importance").alias("child_sum"), F.count(F.lit(1)).alias("child_n"))
+        done.append(level.select("_host", "node", "pages", "low", F.col("content").isNotNull().alias("texts"), "importance"))
+    if not done:
+        return nodes.select("_host", "node", "pages", "low", F.lit(True).alias("texts"), F.lit(0.0).alias("importance"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def shrunk(importance: Column, pages: Column, low: Column | None, toward: Column | None, most: int) -> Column:
+    """Importance counted as one vote for every page after the first, ``most`` at most, beside two votes
+    of the pages' own signs or five of the tree of all sites."""
+    votes = F.least(pages - 1, F.lit(most))
+    ground, weight = (1 - low, 2) if toward is None else (toward, 5)
+    return (votes * importance + weight * ground) / (votes + weight)
+
+
+def judge_nodes(trees: DataFrame, least: float) -> DataFrame:
+    """``_host, node, score, keep`` of every node with text that stands on two pages at least, of its host or of all.
+
+    The tree of all sites backs off to the pages' own signs and a host's tree to that of all
+    sites; the lesser of both scores counts, since a small host shows little repetition.
+    """
+    every = trees.filter("_host = '' and texts").select(F.col("node").alias("_n"), F.col("pages").alias("_all"), shrunk(F.col("importance"), F.col("pages"), F.col("low"), None, 30).alias("_every"))
+    hosts = trees.filter("_host <> '' and texts").join(every, F.col("node") == F.col("_n"))
+    score = F.least(F.col("_every"), shrunk(F.col("importance"), F.col("pages"), None, F.col("_every"), 30))
+    hosts = hosts.filter("_all >= 2").select("_host", "node", score.alias("score"))
+    alone = every.filter("_all >= 2").select(F.lit("").alias("_host"), F.col("_n").alias("node"), F.col("_every").alias("score"))
+    return hosts.unionByName(alone).withColumn("keep", F.col("score") >= least)
+
+
+def extract_main_text(pages: DataFrame, least: float = 0.75, salts: int = 16, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The article of every page, without menus, notices, adverts, forms, comments and markup.
 
-    Branches whose tag, role, class or id names page furniture go at once.  The pages of a
-    host are merged into a style tree, and branches of less than ``least`` importance that at
-    least ``min_pages`` pages share go too.  If what is left has an article or main element,
-    only that is taken.  Character references are decoded, white space inside a block becomes
-    one space, and blocks are joined by two line feeds.
+    The pages of a host are merged into a style tree and those of all hosts into another; a
+    block stays if the score of its node, an entropy-based importance (``judge_nodes``), is
+    ``least`` or more.  Tags, roles, names and the place outside an article or main element are
+    two votes against up to thirty of the counts; alone they judge only nodes that no second page
+    holds.  Controls, hidden elements and readers' comments always go.  Character references are
+    decoded, white space inside a block becomes one space, and blocks are joined by two line feeds.
 
     Returns ``id_col, url_col, text, n_chars``.  A null, empty or blank page has an empty
-    text; a page without a host is judged by names only.  Repeated rows give repeated rows,
-    an empty table none; other columns are ignored.
+    text; a page without a host is judged by the tree of all sites.  Repeated rows give
+    repeated rows, an empty table none; other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host.alias("_host"))
-    tree = style_tree(source.filter("_host <> ''"))
-    # A host's list holds template nodes that many of its pages share, not its pages.
-    weak = tree.filter((F.col("importance") < least) & (F.col("pages") >= min_pages)).groupBy("_host").agg(F.sort_array(F.collect_set("path")).alias("_removed"))
+    judged = judge_nodes(style_trees(source), least)
+    # A host's list holds the nodes that its pages share with others, eight bytes each.
+    lists = judged.groupBy("_host").agg(F.collect_list(F.when(~F.col("keep"), F.col("node"))).alias("_dropped"), F.collect_list(F.when(F.col("keep"), F.col("node"))).alias("_held"))
     # Staged, its size is known: Spark broadcasts it if small; else the salts spread a large host.
-    weak = stage(weak, "style-removed").select(F.col("_host").alias("_h"), "_removed", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
+    lists = stage(lists, "style-judged").select(F.col("_host").alias("_h"), "_dropped", "_held", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
     salted = source.withColumn("_salt", F.pmod(F.xxhash64("_id", "_url"), F.lit(salts)).cast("int"))
-    joined = salted.join(weak, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left").select("_id", "_url", "_html", "_removed")
+    joined = salted.join(lists, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left").select("_id", "_url", "_html", "_dropped", "_held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p or "", frozenset(r or ())) for p, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [main_text(p or "", frozenset(d or ()), frozenset(h or ())) for p, d, h in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["_id", "_url", "text", "n_chars"])
 
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
