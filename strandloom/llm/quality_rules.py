@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WORD, scan, smallest_hashed
+from strandloom.llm.common import WORD, scan, smallest_hashed, stage
 
 WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -21,7 +21,14 @@ DIGITS = "0123456789"
 #: Words that navigation, notices and footers use; a hint among others, in four languages.
 CHROME = re.compile(r"\b(?:cookies?|copyright|login|log in|sign (?:in|up)|subscribe|newsletter|menu|home|click here|read more|privacy|terms of|all rights reserved|share|impressum|datenschutz|mentions légales|aviso legal)\b|©", re.I)
 
-FEATURES = ("bias", "words_1_2", "words_3_5", "words_16_on", "odd_10", "odd_50", "shout", "upper_50", "ends_sentence", "seen_before", "few_distinct", "digits_20", "short_chrome", "long_words", "pipes")
+FEATURES = (
+    "bias", "words_1_2", "words_3_5", "words_16_on", "odd_10", "odd_50", "shout", "upper_50", "ends_sentence", "seen_before", "few_distinct", "digits_20", "short_chrome", "long_words", "pipes",
+    "first_line", "last_line", "only_line", "words_6_12", "after_short", "before_short",
+)
+#: Lines of one chain of the fit; a longer text gives several chains.
+CHAIN = 256
+#: What a line's weak label allows: boilerplate alone, content alone, or either.
+BOILERPLATE, CONTENT, EITHER = 1, 2, 3
 
 
 @dataclass(frozen=True)
@@ -64,9 +71,10 @@ def repeat_words(words: list[str]) -> int:
 
 
 def line_features(lines: list[list[str]], raw: list[str]) -> np.ndarray:
-    """Binary features of each non-blank line of a text: its words and its raw form."""
+    """Binary features of each non-blank line of a text: its words, its raw form and its place."""
     out = np.zeros((len(lines), len(FEATURES)), np.float32)
     seen: set[str] = set()
+    last = len(lines) - 1
     for i, (words, line) in enumerate(zip(lines, raw)):
         n, size = len(words), max(len(line), 1)
         odd = sum(map(line.count, ODD)) / n
@@ -74,6 +82,7 @@ def line_features(lines: list[list[str]], raw: list[str]) -> np.ndarray:
             1, n <= 2, 3 <= n <= 5, n >= 16, odd > 0.1, odd > 0.5, line.count("!!") / n > 0.1, sum(map(str.isupper, words)) > 0.5 * n,
             line.rstrip()[-1:] in ".!?…\"”»" and odd <= 0.1, line in seen, n >= 8 and len(set(words)) < 0.5 * n,
             sum(map(line.count, DIGITS)) > 0.2 * size, n <= 12 and bool(CHROME.search(line)), size > 14 * n, line.count("|") > 0.1 * n,
+            i == 0, i == last, last == 0, 6 <= n <= 12, i > 0 and len(lines[i - 1]) <= 12, i < last and len(lines[i + 1]) <= 12,
         )
         seen.add(line)
     return out
@@ -102,40 +111,90 @@ def viterbi(scores: np.ndarray, move: np.ndarray) -> list[int]:
     return labels[::-1]
 
 
-def fit(texts: list[tuple[np.ndarray, int]], rounds: int = 100, rate: float = 0.1, l2: float = 1e-3) -> LineModel:
-    """Gradient ascent on the likelihood of the field; every line of a text carries the text's label."""
-    texts = [(f, y) for f, y in texts if len(f)]
+def weak_labels(features: np.ndarray, lines: list[str], quality: int, shared: frozenset[int]) -> np.ndarray:
+    """What each line of a labelled text may be.
+
+    A line that other texts hold between other lines is boilerplate.  Of the others, a sentence
+    of six words or more without odd signs is content in a good text and open in a poor one;
+    what is no such sentence is open in a good text and boilerplate in a poor one.
+    """
+    import xxhash
+
+    f = dict(zip(FEATURES, features.T > 0))
+    plain = f["ends_sentence"] & ~(f["words_1_2"] | f["words_3_5"] | f["upper_50"] | f["shout"] | f["few_distinct"])
+    out = np.where(plain, CONTENT if quality == 1 else EITHER, EITHER if quality == 1 else BOILERPLATE)
+    met = np.array([xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42) in shared for line in lines], bool)
+    return np.where(met, BOILERPLATE, out) if len(lines) else out
+
+
+def sums(score: np.ndarray, move: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log Z of every chain, the marginals of labels and of neighbouring labels, by the forward-backward algorithm."""
+    steps = score.shape[1]
+    alpha, beta = np.zeros_like(score), np.zeros_like(score)
+    alpha[:, 0] = score[:, 0]
+    for k in range(1, steps):
+        both = alpha[:, k - 1, :, None] + move
+        alpha[:, k] = np.where(live[:, k, None], score[:, k] + np.logaddexp(both[:, 0], both[:, 1]), alpha[:, k - 1])
+    for k in range(steps - 2, -1, -1):
+        both = move + (score[:, k + 1] + beta[:, k + 1])[:, None, :]
+        beta[:, k] = np.where(live[:, k + 1, None], np.logaddexp(both[..., 0], both[..., 1]), 0)
+    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    one = np.exp(alpha + beta - z[:, None, None]) * live[..., None]
+    pairs = live[:, 1:] & live[:, :-1]
+    two = np.exp(np.minimum(alpha[:, :-1, :, None] + move + (score + beta)[:, 1:, None, :] - z[:, None, None, None], 0)) * pairs[..., None, None]
+    return z, one, two
+
+
+def likelihood(emit: np.ndarray, move: np.ndarray, batches: list[tuple[np.ndarray, ...]], l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted log likelihood of what the weak labels allow, and its gradients.
+
+    It is log Z over the allowed label sequences less log Z over all, so open lines are summed out.
+    """
+    value = -0.5 * l2 * ((emit**2).sum() + (move**2).sum())
+    d_emit, d_move = -l2 * emit, -l2 * move
+    for x, closed, live, weight in batches:
+        score = x @ emit
+        z, one, two = sums(score, move, live)
+        z_in, one_in, two_in = sums(score + closed, move, live)
+        value += float(weight @ (z_in - z))
+        d_emit = d_emit + np.einsum("i,itf,itl->fl", weight, x, one_in - one, optimize=True)
+        d_move = d_move + np.einsum("i,itab->ab", weight, two_in - two)
+    return value, d_emit, d_move
+
+
+def padded(chains: list[tuple[np.ndarray, np.ndarray, float]]) -> list[tuple[np.ndarray, ...]]:
+    """Chains of like lengths in arrays: features, penalties of what is not allowed, live lines, weights."""
+    chains = sorted((c for c in chains if len(c[0])), key=lambda c: len(c[0]))
+    out = []
+    while chains:
+        steps = 2 * len(chains[0][0])
+        n = max(1, sum(len(c[0]) <= steps for c in chains))
+        part, chains = chains[:n], chains[n:]
+        steps = len(part[-1][0])
+        x, closed, live = np.zeros((n, steps, len(FEATURES))), np.zeros((n, steps, 2)), np.zeros((n, steps), bool)
+        for i, (f, may, _) in enumerate(part):
+            x[i, : len(f)], live[i, : len(f)] = f, True
+            closed[i, : len(f), 0], closed[i, : len(f), 1] = np.where(may & BOILERPLATE, 0, -1e9), np.where(may & CONTENT, 0, -1e9)
+        out.append((x, closed, live, np.array([w for *_, w in part])))
+    return out
+
+
+def fit(texts: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 100, rate: float = 0.1, l2: float = 1e-3) -> LineModel:
+    """Gradient ascent on ``likelihood``; ``texts`` holds features, what is allowed, and the quality of each text.
+
+    Both qualities weigh alike, however rare one is, and so do the texts of one quality.
+    """
+    texts = [t for t in texts if len(t[0])]
     emit, move = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
     if not texts:
         emit[0, 1] = 1.0
         return LineModel(emit, move)
-    steps = max(len(f) for f, _ in texts)
-    x = np.zeros((len(texts), steps, len(FEATURES)))
-    live = np.zeros((len(texts), steps), bool)
-    y = np.array([label for _, label in texts])
-    for i, (f, _) in enumerate(texts):
-        x[i, : len(f)], live[i, : len(f)] = f, True
-    # Both labels weigh alike, however rare one is.
-    weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    gold = np.eye(2)[y][:, None, :] * live[..., None]
-    pairs = live[:, 1:] & live[:, :-1]
+    many = {y: sum(t[2] == y for t in texts) for y in {t[2] for t in texts}}
+    chains = [(f[k : k + CHAIN], may[k : k + CHAIN], 0.5 / many[y] / len(f)) for f, may, y in texts for k in range(0, len(f), CHAIN)]
+    batches = padded(chains)
     first, second = [np.zeros_like(emit), np.zeros_like(move)], [np.zeros_like(emit), np.zeros_like(move)]
-    per_line = weight / live.sum(axis=1)
     for t in range(1, rounds + 1):
-        score = x @ emit
-        alpha, beta = np.zeros_like(score), np.zeros_like(score)
-        alpha[:, 0] = score[:, 0]
-        for k in range(1, steps):
-            new = score[:, k] + np.logaddexp.reduce(alpha[:, k - 1, :, None] + move, axis=1)
-            alpha[:, k] = np.where(live[:, k, None], new, alpha[:, k - 1])
-        for k in range(steps - 2, -1, -1):
-            new = np.logaddexp.reduce(move + (score[:, k + 1] + beta[:, k + 1])[:, None, :], axis=2)
-            beta[:, k] = np.where(live[:, k + 1, None], new, 0)
-        z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        p = np.exp(alpha + beta - z[:, None, None]) * live[..., None]
-        two = np.exp(alpha[:, :-1, :, None] + move + (score + beta)[:, 1:, None, :] - z[:, None, None, None]) * pairs[..., None, None]
-        want = gold[:, :-1, :, None] * gold[:, 1:, None, :]
-        grads = [np.einsum("i,itf,itl->fl", per_line, x, gold - p) - l2 * emit, np.einsum("i,itab->ab", per_line, want - two) - l2 * move]
+        _, *grads = likelihood(emit, move, batches, l2)
         for k, (w, g) in enumerate(zip((emit, move), grads)):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -143,22 +202,57 @@ def fit(texts: list[tuple[np.ndarray, int]], rounds: int = 100, rate: float = 0.
     return LineModel(emit, move)
 
 
-def train_line_model(docs: DataFrame, labels: DataFrame, sample: int = 1000, lines: int = 40, id_col: str = "doc_id", text_col: str = "text") -> LineModel:
-    """Fit the field on at most ``sample`` labelled texts (those with the smallest hashed ids), ``lines`` lines each.
+def shared_lines(texts: DataFrame, of: DataFrame) -> DataFrame:
+    """``_line`` (hash), of the lines of ``of._text``, that stand in ``texts._text`` in three or more contexts
+    (line before and line after), and in at least half as many contexts as places.
+
+    So a line that copies of one text share is none.  Counts cover all of ``texts``.
+    """
+
+    def lines(df: DataFrame) -> Column:
+        return F.transform(F.filter(F.split(F.coalesce("_text", F.lit("")), "\n"), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(x))
+
+    wanted = stage(of.select(F.explode(lines(of)).alias("_line")).distinct(), "sample-lines")
+    own = texts.select(lines(texts).alias("_l"))
+    none = F.array(F.lit(None).cast("long"))
+    before = F.when(F.size("_l") > 0, F.concat(none, F.slice("_l", 1, F.greatest(F.size("_l") - 1, F.lit(0)))))
+    after = F.when(F.size("_l") > 0, F.concat(F.slice("_l", 2, F.size("_l")), none))
+    met = own.select(F.explode(F.arrays_zip("_l", before.alias("b"), after.alias("a"))).alias("_x")).select(F.col("_x._l").alias("_line"), F.xxhash64("_x.b", "_x.a").alias("_near"))
+    met = met.join(wanted, "_line", "left_semi").groupBy("_line", "_near").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("_line").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("_nears")).filter("_nears >= 3 and 2 * _nears >= n").select("_line")
+
+
+def train_line_model(docs: DataFrame, labels: DataFrame, sample: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> LineModel:
+    """Fit the field on the whole texts of at most ``sample`` labelled ids (those with the smallest hashes).
 
-    ``labels`` has ``id_col`` and ``quality``, 1 for good.  Without any labelled text, all lines count as content.
+    ``labels`` has ``id_col`` and ``quality``, 1 for good; an id labelled more than once has its
+    least label, and of rows that share an id the least text counts.  Lines are labelled weakly
+    (``weak_labels``), by the counts of ``shared_lines`` over all of ``docs``.  The driver receives
+    one integer for each line of the sample.  Without any labelled text, all lines count as content.
     """
-    y = labels.filter(F.col("quality").isNotNull()).select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y"))
+    y = labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col("quality").cast("int")).alias("_y"))
     # The sample is drawn from the labels alone, and only its texts are fetched.
     y = smallest_hashed(y, sample)
-    d = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, 1000 * lines).alias("_text"))
-    found = d.join(F.broadcast(y), "_id").select("_id", "_text", "_y").collect()
-    rows = sorted(((r["_id"], r["_y"], r["_text"] or "") for r in found), key=lambda r: (r[0] is None, r))
-    texts = []
-    for _, label, text in rows:
-        words, raw = split_lines(text)
-        texts.append((line_features(words[:lines], raw[:lines]), label))
-    return fit(texts)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    found = stage(texts.join(F.broadcast(y), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")), "line-sample")
+    shared = frozenset(r[0] & ((1 << 64) - 1) for r in shared_lines(texts, found).collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = 1 << np.arange(len(FEATURES))
+        for batch in batches:
+            rows = []
+            for text, quality in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words, raw = split_lines(text or "")
+                f = line_features(words, raw)
+                rows.append(((f > 0) @ bits << 2 | weak_labels(f, raw, quality, shared)).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int64()))], names=["_y", "lines"])
+
+    rows = scan(found.select("_text", "_y"), run, "_y int, lines array<long>").collect()
+    held = []
+    for r in sorted(rows):
+        code = np.array(r["lines"], np.int64)
+        held.append(((code[:, None] >> (2 + np.arange(len(FEATURES))) & 1).astype(float), code & 3, r["_y"]))
+    return fit(held)
 
 
 def judge(text: str, model: LineModel, min_share: float) -> tuple[int, int, int, int, int, bool, float, bool]:
