@@ -45,55 +45,114 @@ TEMPLATES = (
 
 
 class Index:
-    """Postings of the rare words of all templates: word -> (template, position)."""
+    """Postings of the words of all templates, word -> (template, positions), and their IDF among the templates."""
 
-    def __init__(self, templates=TEMPLATES, rare_share: float = 0.5):
+    def __init__(self, templates=TEMPLATES):
         self.words = [t.encode().split() for _, t, _ in templates]
         self.labels = [label for label, _, _ in templates]
         self.keys = [[p.encode().split() for p in keys] for _, _, keys in templates]
-        df = Counter(w for words in self.words for w in set(words))
-        self.idf = {w: math.log(len(templates) / n) for w, n in df.items()}
-        least = math.log(1 / rare_share)
-        self.posting: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.posting: dict[bytes, list[tuple[int, list[int]]]] = defaultdict(list)
         for t, words in enumerate(self.words):
+            at = defaultdict(list)
             for k, w in enumerate(words):
-                if self.idf[w] >= least:
-                    self.posting[w].append((t, k))
+                at[w].append(k)
+            for w, ks in at.items():
+                self.posting[w].append((t, ks))
+        self.idf = {w: math.log(len(templates) / len(found)) for w, found in self.posting.items()}
         #: A text without any of these can hold no key phrase.
         self.hints = sorted({max(keys[0], key=len) for keys in self.keys})
 
-    def find(self, words: list[bytes], min_score: float, slack: int) -> dict[str, float]:
-        """Labels whose template aligns with the words somewhere, with the best share of its words."""
-        votes: dict[tuple[int, int], float] = defaultdict(float)
+    def candidates(self, words: list[bytes], take: int, reach: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(template, least, greatest start) where at least half of the looked-up words agree on a start.
+
+        The licence words of the file are looked up from the highest IDF down, until each
+        template has met ``take`` of them; a posting votes for the start it implies, and votes
+        within ``reach`` of each other agree.
+        """
+        places: dict[bytes, list[int]] = defaultdict(list)
         for p, w in enumerate(words):
-            for t, k in self.posting.get(w, ()):
-                votes[t, p - k] += self.idf[w]
+            if w in self.posting:
+                places[w].append(p)
+        met = [0] * len(self.words)
+        votes: list[list[tuple[int, int]]] = [[] for _ in self.words]
+        for n, w in enumerate(sorted(places, key=lambda w: (-self.idf[w], w))):
+            for t, ks in self.posting[w]:
+                if met[t] < take:
+                    met[t] += 1
+                    votes[t] += [(p - k, n) for p in places[w] for k in ks]
+        for t, found in enumerate(votes):
+            need = min(take, len(set(self.words[t]))) / 2
+            if met[t] < need:
+                continue
+            found.sort()
+            held, lo, last = Counter(), 0, None
+            for hi, (start, n) in enumerate(found):
+                held[n] += 1
+                while start - found[lo][0] > reach[t]:
+                    held[found[lo][1]] -= 1
+                    if not held[found[lo][1]]:
+                        del held[found[lo][1]]
+                    lo += 1
+                if len(held) >= need:
+                    if last is not None and found[lo][0] <= last[1]:
+                        last = last[0], start
+                    else:
+                        if last is not None:
+                            yield t, *last
+                        last = found[lo][0], start
+            if last is not None:
+                yield t, *last
+
+    def find(self, words: list[bytes], min_score: float, slack: int, take: int) -> dict[str, float]:
+        """Labels whose template stands somewhere in the words, with the best share of its words met in order."""
+        reach = [max(slack, math.ceil((1 - min_score) * len(own))) for own in self.words]
         found: dict[str, float] = {}
-        for (t, start), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+        for t, lo, hi in self.candidates(words, take, reach):
             own, label = self.words[t], self.labels[t]
             if found.get(label, 0) >= 1:
                 continue
-            near = words[max(0, start - slack) : max(0, start + len(own) + slack)]
-            # Words may be left out or put in: all nearby starts vote together through the window.
-            if not all(holds(near, key) for key in self.keys[t]):
-                continue
-            score = sum((Counter(own) & Counter(near)).values()) / len(own)
-            if score >= min_score:
-                found[label] = max(found.get(label, 0.0), score)
+            # Many agreeing starts in a row are tried piece by piece, so that no window outgrows the template.
+            for start in range(lo, hi + 1, reach[t] + 1):
+                near = words[max(0, start - reach[t]) : max(0, min(start + reach[t], hi) + len(own) + reach[t])]
+                if in_order(near, self.keys[t]):
+                    score = common_in_order(own, near) / len(own)
+                    if score >= min_score:
+                        found[label] = max(found.get(label, 0.0), score)
         return found
 
 
-def holds(words: list[bytes], phrase: list[bytes]) -> bool:
-    return any(words[i : i + len(phrase)] == phrase for i, w in enumerate(words) if w == phrase[0])
+def in_order(words: list[bytes], phrases: list[list[bytes]]) -> bool:
+    """Whether all phrases stand whole, each after the one before."""
+    at = 0
+    for phrase in phrases:
+        k = len(phrase)
+        at = next((i + k for i in range(at, len(words) - k + 1) if words[i] == phrase[0] and words[i : i + k] == phrase), -1)
+        if at < 0:
+            return False
+    return True
+
+
+def common_in_order(a: list[bytes], b: list[bytes]) -> int:
+    """Length of the longest common subsequence, a bit for each word of ``a``."""
+    where: dict[bytes, int] = defaultdict(int)
+    for i, w in enumerate(a):
+        where[w] |= 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for w in b:
+        u = v & where.get(w, 0)
+        v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
 
 
-def scan_licenses(docs: DataFrame, min_score: float = 0.8, slack: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, min_score: float = 0.8, slack: int = 3, take: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs`` with the licences that its whole text names.
 
-    Base labels come from fixed phrases.  The method looks up every word that is rare
-    among the licence templates in a positional index, intersects the postings by relative
-    position, and keeps a template where its mandatory key phrases stand and at least
-    ``min_score`` of its words are found in place, up to ``slack`` words on either side.
+    Base labels come from fixed phrases.  The method looks up the licence words of a text from
+    the highest IDF down, ``take`` for each template, intersects the postings by relative
+    position, and keeps a template where its mandatory key phrases stand in order and at least
+    ``min_score`` of its words are met in order (longest common subsequence), with as many words
+    put in between as may be missing, or ``slack``.
 
     Returns ``id_col, n_words, n_base, first_word, last_word, base_labels, labels, score``.
     ``score`` is the best share of a template, 1 with a base label, else 0.  A null or empty
@@ -113,7 +172,7 @@ def scan_licenses(docs: DataFrame, min_score: float = 0.8, slack: int = 3, id_co
                 if at := [i for i, w in enumerate(words) if w == phrase[0] and words[i : i + k] == phrase]:
                     starts += at
                     base.add(label)
-            found = index.find(words, min_score, slack)
+            found = index.find(words, min_score, slack, take)
         score = 1.0 if base else max(found.values(), default=0.0)
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), score
 
