@@ -74,21 +74,24 @@ def kth_largest(df: DataFrame, col: str, k: int) -> float | None:
 
 
 def resample_by_importance(
-    docs: DataFrame, labels: DataFrame, keep: float | None = None, buckets: int = 16384, target_sample: int = 20000, temperature: float = 0.005, seed: int = 1,
+    docs: DataFrame, labels: DataFrame, keep: float | None = None, buckets: int = 16384, target_sample: int = 20000, seed: int = 1,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Sample the texts that look most like good text, without replacement.
+    """Sample texts without replacement, in proportion to how much likelier good text makes them than raw text.
 
     Words and word pairs are hashed into ``buckets``.  The raw model counts them over all
     texts; the target model over at most ``target_sample`` texts labelled ``quality = 1``
-    (those with the smallest hashed ids).  A text's weight is the mean, over its n-grams, of
-    log p(target) - log p(raw) (add-one smoothed), divided by ``temperature``; the sample is
-    the k texts with the greatest weight plus Gumbel noise, which is drawn from a hash of the
-    id.  ``k`` is ``keep`` of all rows; by default the share of good texts among the labels.
+    (those with the smallest hashed ids).  A text's log weight is the sum over its n-grams of
+    log p(target) - log p(raw) (add-one smoothed), so its weight is the likelihood ratio of the
+    two models; the sample is the k texts with the greatest log weight plus Gumbel noise, which
+    is drawn from a hash of the id and ``seed``: successive draws without replacement, each in
+    proportion to the weights left.  ``k`` is ``keep`` of all rows; by default the share of good
+    texts among the labels.
 
     Returns ``id_col, n_grams, log_weight, sample_key`` of the sampled rows.  A null, empty or
-    blank text has no n-grams and comes last.  Rows tied with the k-th key, such as repeats of
-    one row, are all taken; an empty table gives no rows; other columns are ignored.
+    blank text has no n-grams and the log weight 0, that of a text of which both models think
+    alike.  Rows tied with the k-th key, such as repeats of one row, are all taken; an empty
+    table gives no rows; other columns are ignored.
     """
     known = labels.filter(F.col("quality").isNotNull()).select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y"))
     share = known.agg(F.avg((F.col("_y") == 1).cast("double"))).first()[0]
@@ -112,7 +115,7 @@ def resample_by_importance(
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = scan(source, run, f"_id {id_type}, n_grams long, _total double")
     even = (F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight = F.when(F.col("n_grams") > 0, F.round(F.col("_total") / F.col("n_grams"), 9) / F.lit(temperature)).otherwise(F.lit(-1e6))
+    weight = F.round("_total", 9)
     rows = rows.select("_id", "n_grams", weight.alias("log_weight"), (weight - F.log(-F.log(even))).alias("sample_key"))
     rows = stage(rows, "importance")
     k = int(np.ceil(keep * rows.count()))
