@@ -19,6 +19,10 @@ from strandloom.llm.sharding import shard_by_vector_packing
 from strandloom.llm.simhash import near_duplicates
 
 
+#: A public tokenizer file; its whole words in order of merges are the dictionary of the secret scan.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,7 +33,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents"))
+    return find_secrets(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY)
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
