@@ -44,10 +44,37 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def scan(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded by bytes as well as by rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # plans read it when they run
     return df.mapInArrow(fn, schema)
 
 
+def fresh(names: list[str], wanted: str) -> str:
+    """``wanted``, with as many underscores before it as make it clash with no name, whatever the case."""
+    held = {n.lower() for n in names}
+    while wanted.lower() in held:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def join_counted(left: DataFrame, right: DataFrame, left_key: str, right_key: str, count: str, spread: list[str], hot_rows: int = 10_000) -> DataFrame:
+    """Inner join on a key that is unique on the right, where ``count`` is the number of its rows on the left.
+
+    Keys of more than ``hot_rows`` rows, and of more than a ten-thousandth of all, are broadcast:
+    at most 10,000 rows of the right.  Their rows on the left are dealt out by the columns ``spread``,
+    so no task gathers one key, whatever its share.  The columns of the right but for ``count`` follow
+    those of the left.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    names = [c for c in right.columns if c != count]
+    hot = stage(right.filter(F.col(count) > max(hot_rows, total // 10_000)).select(F.col(right_key).alias("_hot_key"), F.struct(*names).alias("_hot")), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right.drop(count), F.col(left_key) == F.col(right_key))
+    cold = right.filter(F.col(count) <= max(hot_rows, total // 10_000)).select(F.col(right_key).alias("_cold_key"), F.struct(*names).alias("_cold"))
+    dealt = left.join(F.broadcast(hot), F.col(left_key) == F.col("_hot_key"), "left").withColumn("_dealt", F.when(F.col("_hot").isNull(), F.col(left_key)).otherwise(F.xxhash64(*spread)))
+    both = dealt.join(cold, (F.col("_dealt") == F.col("_cold_key")) & F.col("_hot").isNull(), "left").withColumn("_met", F.coalesce("_hot", "_cold"))
+    return both.filter(F.col("_met").isNotNull()).select(*left.columns, *[F.col(f"_met.{c}").alias(c) for c in names])
+
+
 def number_rows(df: DataFrame, group: list[str], order: list[Column], out: str, parts: int = 64) -> DataFrame:
     """Gapless numbers from 0 within each group, for groups of any size.
 

@@ -214,15 +214,33 @@ def test_contamination(spark, docs, none, corpus):
     assert decontaminate.find_contamination(none, bench).count() == 0 and decontaminate.find_contamination(docs, bench.limit(0)).count() == 0
 
 
-def test_contamination_in_blocks(spark, monkeypatch):
+def test_contamination_by_broadcast_and_by_join_agree(spark, corpus, monkeypatch):
     rng = random.Random(6)
-    items = [(i, prose(rng, 20)) for i in range(30)]
-    texts = [(i, "a b " + t) for i, t in items]
-    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
-    whole = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, bench).collect()}
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, bench).collect()} == whole and len(whole) >= 30
-    assert decontaminate.drop_contaminated(docs.unionAll(spark.createDataFrame([(99, None), (98, "clean")], "doc_id long, text string")), bench).count() == 2
+    items = [(i, prose(rng, rng.randint(3, 60))) for i in range(60)] + [(200, None), (201, ""), (202, "É so ö " * 4), (3, "one item more of this id and text")]
+    texts = [*corpus, (7000, None), (7001, "é SO ö " * 4)]
+    for i, t in items[:60]:
+        w = t.split()
+        for _ in range(rng.randint(0, len(w) // 4)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["new"], [w[at], "in"]])
+        texts += [(3000 + i, prose(rng, 20) + " " + " ".join(w) + ". " + prose(rng, 20))] * (1 + i % 2)
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(i, t, 5, "x") for i, t in texts], "doc_id long, text string, _row int, _contaminated string").repartition(3)
+    found = Counter(tuple(r) for r in decontaminate.find_contamination(docs, bench).collect())
+    kept = Counter(tuple(r) for r in decontaminate.drop_contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 100)
+    assert Counter(tuple(r) for r in decontaminate.find_contamination(docs, bench).collect()) == found and sum(found.values()) > 60
+    assert Counter(tuple(r) for r in decontaminate.drop_contaminated(docs, bench).collect()) == kept and 0 < sum(kept.values()) < len(texts)
+    assert {r[0] for r in kept} == {i for i, _ in texts} - {r[0] for r in found}
+
+
+def test_a_large_benchmark_is_searched_in_one_scan(spark, monkeypatch):
+    """100 MB of items, none collected: every table of texts is read a fixed number of times."""
+    items = spark.range(50_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{k}"))) for k in range(60)]).alias("text"))
+    texts = items.filter("item_id % 5000 = 0").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before "), "text", F.lit(" after")).alias("text"))
+    monkeypatch.setattr(decontaminate.Searcher, "__init__", None)
+    found = decontaminate.find_contamination(texts, items)
+    assert {(r.doc_id, r.item_id, r.distance, r.first_word) for r in found.collect()} == {(i, i, 0, 1) for i in range(0, 50_000, 5000)}
 
 
 def test_repeats_catch_passages_and_leave_the_rest(spark):
