@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import scan, stage
+from strandloom.llm.common import fresh, join_counted, scan, stage
 from strandloom.llm.wordhash import Hasher, U, chunks, mix
 
 
@@ -124,13 +124,15 @@ def find_repeats(docs: DataFrame, min_words: int = 20, width: int = 12, id_col:
     units = scan(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run, schema)
     # Digests met once are most of all; only those met twice go on, as a table of their own.
     first = F.min(F.struct("_id", "unit"))
-    twice = stage(units.groupBy(F.col("digest").alias("_digest")).agg(first.alias("_first"), F.max(F.struct("_id", "unit")).alias("_last")).filter("_first <> _last").select("_digest", "_first"), "repeat-digests")
-    again = units.join(twice, F.col("digest") == F.col("_digest")).groupBy("_id", "unit")
+    twice = units.groupBy(F.col("digest").alias("_digest")).agg(first.alias("_first"), F.max(F.struct("_id", "unit")).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    twice = stage(twice.filter("_first <> _last").select("_digest", "_first", "_n"), "repeat-digests")
+    again = join_counted(units, twice, "digest", "_digest", "_n", ["_id", "unit"]).groupBy("_id", "unit")
     again = stage(again.agg(F.min("digest").alias("digest"), F.max("words").alias("words"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("_first").alias("_first")), "repeat-units")
     # Neighbours that stand together twice, though each was first met elsewhere.
     far = stage(add_run_digests(again, min_words), "repeat-runs")
-    far_first = far.groupBy(F.col("far").alias("_far")).agg(first.alias("_far_first"), F.max(F.struct("_id", "unit")).alias("_far_last")).filter("_far_first <> _far_last").select("_far", "_far_first")
-    met = far.join(far_first, F.col("far") == F.col("_far")).filter(~(F.struct("_id", "unit").eqNullSafe(F.col("_far_first"))))
+    far_first = far.groupBy(F.col("far").alias("_far")).agg(first.alias("_far_first"), F.max(F.struct("_id", "unit")).alias("_far_last"), F.count(F.lit(1)).alias("_n"))
+    far_first = stage(far_first.filter("_far_first <> _far_last").select("_far", "_far_first", "_n"), "repeat-far")
+    met = join_counted(far, far_first, "far", "_far", "_n", ["_id", "unit"]).filter(~(F.struct("_id", "unit").eqNullSafe(F.col("_far_first"))))
     met = met.select(F.col("_id").alias("_met_id"), F.col("unit").alias("_met_unit"), F.struct(F.col("_far_first._id").alias("id")).alias("_met"))
     later = again.filter(~(F.struct("_id", "unit").eqNullSafe(F.col("_first")))).withColumn("_kept", F.col("_first._id"))
     later = later.join(met, F.col("_id").eqNullSafe(F.col("_met_id")) & (F.col("unit") == F.col("_met_unit")), "left").select("_id", "unit", "words", "start", "end", "_kept", "_met")
@@ -158,18 +160,24 @@ def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 20, width: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all but the earliest occurrence of repeated stretches cut out; the removed
-    spans of the original text stand in a new column ``removed`` (empty if none)."""
+    """``docs`` with all but the earliest occurrence of repeated stretches cut out (``find_repeats``).
+
+    The removed spans of the original text stand in a last column ``removed``, empty if none; if
+    ``docs`` has a column of that name, it stays and the new one has underscores before its name.
+    Null and empty texts stay as they are, repeated rows are cut alike, an empty table gives no rows.
+    """
+    removed = fresh(docs.columns, "removed")
     spans = find_repeats(docs, min_words, width, id_col, text_col)
-    spans = spans.groupBy(F.col(id_col).alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    joined = docs.drop("removed").join(spans, F.col(id_col).eqNullSafe(F.col("_cut_id")), "left").drop("_cut_id")
-    joined = joined.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    at, rm = joined.columns.index(text_col), joined.columns.index("removed")
+    spans = spans.groupBy(F.col(id_col).alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own_id"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    joined = rows.join(spans, F.col("_own_id").eqNullSafe(F.col("_cut_id")), "left").select("_row.*", F.coalesce("_cut", none).alias(removed))
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = list(batch.columns)
-            cols[at] = pa.array([cut(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(cols[at].to_pylist(), cols[rm].to_pylist())], pa.string())
+            cols[at] = pa.array([cut(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(cols[at].to_pylist(), cols[-1].to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     return scan(joined, run, joined.schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import scan, stage
+from strandloom.llm.common import join_counted, scan, stage
 from strandloom.llm.components import connected_components
 from strandloom.llm.wordhash import STEP, U, mix
 
@@ -158,14 +158,22 @@ def link_cells(cells: DataFrame, lanes: int, radius: int) -> DataFrame:
     return scan(sorted_cells, run, "a long, b long")
 
 
-def exact_cells(points: DataFrame, radius: int) -> DataFrame:
+def groups_for(points: int, radius: int) -> int:
+    """The number of segment groups for which cells and comparisons of so many points cost least.
+
+    ``m`` groups give a point one cell for every choice of ``m - radius``; the counts of two-bit
+    segments hold 1.5 bits each, so so many points of chance share a cell.  Any choice finds all links.
+    """
+    return min(range(2 * radius, min(4 * radius, 32) + 1), key=lambda m: math.comb(m, radius) * (8 + points / 2 ** (48 * (m - radius) / m)))
+
+
+def exact_cells(points: DataFrame, radius: int, groups: int) -> DataFrame:
     """All cells of one-lane fingerprints such that any two within ``radius`` bits share one.
 
-    The two-bit segments' counts are cut into ``2 * radius`` groups.  Counts differ in total
-    (Manhattan) by at most ``radius``, so in at least ``radius`` groups they agree: the grid
-    cells are the counts of every choice of ``radius`` groups.
+    The two-bit segments' counts are cut into ``groups`` groups.  Counts differ in total
+    (Manhattan) by at most ``radius``, so in at least ``groups - radius`` groups they agree: the
+    grid cells are the counts of every choice of so many groups.
     """
-    groups = 2 * radius
     edges = [2 * (32 * g // groups) for g in range(groups + 1)]
     masks = [sum(((1 << b) - 1) & ~((1 << a) - 1) for a, b in (edges[g : g + 2] for g in chosen)) for chosen in combinations(range(groups), groups - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -187,7 +195,7 @@ def group_fingerprints(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
     if lanes != 1:
         raise ValueError("exact cells are made for fingerprints of 64 bits")
     points = stage(rows.select(F.col("_node").alias("node"), *lanes_of(lanes)).distinct(), "fingerprints")
-    return connected_components(link_cells(exact_cells(points, radius), lanes, radius))
+    return connected_components(link_cells(exact_cells(points, radius, groups_for(points.count(), radius)), lanes, radius))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,9 +210,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     roots = group_fingerprints(rows, 1, radius)
     least = rows.groupBy("_node").agg(F.min("_id").alias("_least"))
     joined = least.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root"))
-    per_root = joined.groupBy("_root").agg(F.min("_least").alias("component_id")).withColumnRenamed("_root", "_r")
-    named = stage(joined.join(per_root, F.col("_root") == F.col("_r")).select(F.col("_node").alias("_n"), "component_id"), "components")
-    out = rows.join(named, F.col("_node") == F.col("_n"))
+    joined = stage(joined, "rooted")
+    per_root = stage(joined.groupBy(F.col("_root").alias("_r")).agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_many")), "roots")
+    named = join_counted(joined, per_root, "_root", "_r", "_many", ["_node"])
+    # A copied text is a key of many rows: its fingerprint is looked up as such.
+    copies = rows.groupBy(F.col("_node").alias("_c")).agg(F.count(F.lit(1)).alias("_copies"))
+    named = stage(named.join(copies, F.col("_node") == F.col("_c")).select(F.col("_node").alias("_n"), "component_id", "_copies"), "components")
+    out = join_counted(rows, named, "_node", "_n", "_copies", ["_id"])
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -227,18 +239,18 @@ def band_cells(h: np.ndarray, bands: int) -> np.ndarray:
 
 
 def add_bands(docs: DataFrame, words: int, bands: int, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _h`` (hash of the text) and ``cells``, those of its bands, for every row."""
+    """``_id, _h`` (hash of the text), ``_bytes`` (its length) and ``cells``, those of its bands, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = [band_cells(shingles(t or "", words), bands) for t in batch.column(2).to_pylist()]
             flat = pa.array(np.concatenate([np.zeros(0, U), *cells]).view(np.int64))
             edges = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * bands)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(edges, flat)], names=["_id", "_h", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.ListArray.from_arrays(edges, flat)], names=["_id", "_h", "_bytes", "cells"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
-    return scan(source, run, f"_id {id_type}, _h long, cells array<long>")
+    source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("_bytes"))
+    return scan(source, run, f"_id {id_type}, _h long, _bytes long, cells array<long>")
 
 
 def star_links(cells: DataFrame) -> DataFrame:
@@ -317,14 +329,109 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return out
 
 
-def verified_groups(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``node, root`` of every node of ``texts`` (``_group, node, _text``): the groups that links of at
-    least ``similarity`` make inside each ``_group``, by the texts' own shingles."""
+def keep_verified(rows: DataFrame, words: int, similarity: float, text_at: int) -> DataFrame:
+    """Of ``rows`` (columns of the documents, then ``_group, _first``) those of the least ``_first`` of the
+    classes that links of at least ``similarity`` make inside each ``_group``, by the texts' own shingles."""
+    n = len(rows.columns) - 2
+    schema = rows.select(*rows.columns[:n]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one = pa.Table.from_batches(held).combine_chunks()
+            root = similar_groups([np.unique(shingles(t or "", words)) for t in one.column(text_at).to_pylist()], similarity)
+            first = [(x["id"] is None, x["id"], x["h"]) for x in one.column(n + 1).to_pylist()]
+            least: dict[int, int] = {}
+            for i, r in enumerate(root.tolist()):
+                if r not in least or first[i] < first[least[r]]:
+                    least[r] = i
+            yield from one.select(range(n)).take(pa.array(sorted(least.values()))).combine_chunks().to_batches()
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            group = batch.column(n).to_pylist()
+            edges = [0, *[i for i in range(1, len(group)) if group[i] != group[i - 1]], len(group)]
+            for a, b in zip(edges, edges[1:]):
+                if held and b > a and held[-1].column(n)[0].as_py() != group[a]:
+                    yield from emit(held)
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from emit(held)
+
+    return scan(rows.repartition("_group").sortWithinPartitions("_group"), run, schema)
+
+
+def distances(texts: DataFrame, centers: DataFrame, words: int) -> DataFrame:
+    """``_group, node, both, either``: shingles common with, and in either of, the text and its group's center.
+
+    A center's text is dealt to a slice of its group for every shuffle partition, so a group of any size is spread.
+    """
+    slices = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = texts.select("_group", F.pmod(F.xxhash64("node"), F.lit(slices)).cast("int").alias("_slice"), F.lit(1).alias("_kind"), "node", "_text")
+    heads = centers.select("_group", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"), F.lit(0).alias("_kind"), "node", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, U)
+        for batch in batches:
+            out = []
+            for group, kind, node, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                own = np.unique(shingles(text or "", words))
+                if not kind:
+                    head = own
+                else:
+                    both = len(np.intersect1d(head, own, assume_unique=True))
+                    out.append((group, node, both, len(head) + len(own) - both))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["_group", "node", "both", "either"])
+
+    return scan(heads.unionByName(sliced).repartition("_group", "_slice").sortWithinPartitions("_group", "_slice", "_kind"), run, "_group long, node long, both long, either long")
+
+
+def link_large_groups(texts: DataFrame, words: int, similarity: float, most: int) -> tuple[DataFrame | None, DataFrame]:
+    """Links ``a, b`` that settle groups of more than ``most`` bytes, and what is left to compare in one task a group.
+
+    ``texts`` has ``_group, node, _text, _open``.  In every round one open text of each such group is
+    its center, and all others of the group are compared with it, in parallel.  One less by
+    Jaccard, similarity is a metric: a text at distance x of the center can only link with texts
+    nearer than x + 1 - ``similarity``.  So a text that is linked with the center, and nearer than
+    the nearest unlinked one less that, has no other links that matter, and leaves the group.  No
+    link is lost, the center always leaves, and no group is ever gathered while it is large.
+    """
+    ratio, links, rest = Fraction(str(similarity)), None, []
+    while True:
+        sizes = texts.groupBy("_group").agg(F.sum(F.octet_length("_text") + 64).alias("_b"), F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("_open"), F.col("node"))).alias("_center"))
+        large = stage(sizes.filter((F.col("_b") > most) & F.col("_center").isNotNull()).select(F.col("_group").alias("_g"), "_center", "_n"), "large-groups")
+        if large.isEmpty():
+            return links, texts if not rest else _union([*rest, texts])
+        own = stage(join_counted(texts, large, "_group", "_g", "_n", ["node"]).drop("_g"), "large-texts")
+        rest.append(texts.join(large, F.col("_group") == F.col("_g"), "left_anti"))
+        centers = own.filter("node = _center")
+        far = stage(distances(own.filter("node <> _center"), centers, words), "distances")
+        linked = F.col("both") * ratio.denominator >= F.col("either") * ratio.numerator
+        away = 1 - F.col("both") / F.greatest(F.col("either"), F.lit(1))
+        near = far.join(large.select("_g", "_center"), F.col("_group") == F.col("_g")).filter(linked).select(F.col("_center").alias("a"), F.col("node").alias("b"))
+        near = stage(near, "center-links")
+        links = near if links is None else links.unionByName(near)
+        least = far.filter(~linked).groupBy(F.col("_group").alias("_lg")).agg(F.min(away).alias("_least"))
+        left = far.join(least, F.col("_group") == F.col("_lg")).filter(~linked | (away >= F.col("_least") - (1 - similarity) - 1e-9)).select(F.col("node").alias("_left"), linked.alias("_linked"))
+        texts = stage(own.join(left, F.col("node") == F.col("_left")).select("_group", "node", "_text", (F.col("_open") & ~F.col("_linked")).alias("_open")), "open-texts")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def class_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links ``a, b`` of every text to one of its class, for groups that fit a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(held: dict[int, np.ndarray]) -> pa.RecordBatch:
             node = np.fromiter(held, np.int64, len(held))
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[similar_groups(list(held.values()), similarity)])], names=["node", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(node[similar_groups(list(held.values()), similarity)]), pa.array(node)], names=["a", "b"])
 
         group, held = None, {}
         for batch in batches:
@@ -333,43 +440,72 @@ def verified_groups(texts: DataFrame, words: int, similarity: float) -> DataFram
                     yield emit(held)
                     held = {}
                 group = g
-                if node not in held:
-                    held[node] = np.unique(shingles(text or "", words))
+                held[node] = np.unique(shingles(text or "", words))
         if held:
             yield emit(held)
 
-    return scan(texts.select("_group", "node", "_text").repartition("_group").sortWithinPartitions("_group"), run, "node long, root long")
+    return scan(texts.select("_group", "node", "_text").repartition("_group").sortWithinPartitions("_group"), run, "a long, b long")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, miss: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, miss: float = 1e-9, large_group: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``docs`` without near-duplicates: of every group one row, that of the least id, stays unchanged.
 
     Candidates are texts whose sets of ``words``-word shingles share a MinHash band; a pair of
     this ``similarity`` shares none with probability ``miss`` at most, however many rows there
     are, and a more similar pair more rarely.  Of these only texts link whose shingle sets have
-    a Jaccard similarity of ``similarity`` at least, counted exactly.  Equal texts always fall
-    together, null and blank ones too.  Of rows that agree in id and text one stays.  An empty
-    table gives no rows.
+    a Jaccard similarity of ``similarity`` at least, counted exactly.  Candidate groups of up to
+    ``large_group`` bytes of different texts are compared in one task, larger ones by rounds of
+    ``link_large_groups``; both ways give the same rows.
+
+    Equal texts always fall together, null and blank ones too; a null id comes last.  Of rows that
+    agree in id and text one stays.  An empty table gives no rows, and columns of any name pass through.
     """
     # Equal texts are one node.
     rows = stage(add_bands(docs, words, bands_for(similarity, miss), id_col, text_col), "bands")
-    firsts = stage(rows.groupBy(F.col("_h").alias("_node")).agg(F.min(F.struct("_id", "_h")).alias("_first")), "texts")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))
+    firsts = rows.groupBy(F.col("_h").alias("_node")).agg(F.min(order).alias("_first"), F.max("_bytes").alias("_bytes"))
     repeated = rows.groupBy("_id", "_h").count().filter("count > 1").select("_id", F.col("_h").alias("_rep_h"))
+    firsts = firsts.join(repeated, (F.col("_node") == F.col("_rep_h")) & F.col("_first.id").eqNullSafe(F.col("_id")), "left")
+    firsts = stage(firsts.select("_node", F.col("_first.id").alias("_held"), "_bytes", F.col("_rep_h").isNotNull().alias("_rep")), "texts")
     cells = rows.select(F.col("_h").alias("node"), "cells").dropDuplicates(["node"]).select("node", F.explode("cells").alias("cell"))
     near = connected_components(star_links(cells))
-    held = stage(near.join(firsts, F.col("node") == F.col("_node")).select(F.col("root").alias("_group"), "node", F.col("_first._id").alias("_held")), "candidates")
-    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
-    texts = texts.join(held, (F.col("_h") == F.col("node")) & F.col("_id").eqNullSafe(F.col("_held")))
-    roots = verified_groups(texts, words, similarity)
-    firsts = firsts.join(roots, F.col("_node") == F.col("node"), "left").groupBy(F.coalesce("root", "_node").alias("_root")).agg(F.min("_first").alias("_first"))
-    kept = firsts.select(F.col("_first._id").alias("_kept"), F.col("_first._h").alias("_kept_h"))
-    kept = stage(kept.join(repeated, F.col("_kept").eqNullSafe(F.col("_id")) & (F.col("_kept_h") == F.col("_rep_h")), "left").select("_kept", "_kept_h", F.col("_rep_h").isNotNull().alias("_rep")), "kept")
-    names = docs.columns
+    held = stage(firsts.join(near, F.col("_node") == F.col("node"), "left").select("_node", "_held", "_bytes", "_rep", F.col("root").alias("_group")), "candidates")
+    sizes = held.filter("_group is not null").groupBy(F.col("_group").alias("_g")).agg(F.sum(F.col("_bytes") + 64).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    large = stage(sizes.filter(F.col("_b") > large_group).select("_g", "_n"), "large")
+    source = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"))
+    if not large.isEmpty():
+        own = stage(join_counted(held.filter("_group is not null"), large, "_group", "_g", "_n", ["_node"]).drop("_g"), "large-held")
+        one = source.join(own, (F.col("_h") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_held")))
+        one = one.select("_group", F.col("_node").alias("node"), F.col(f"_row.`{text_col}`").alias("_text"), F.lit(True).alias("_open")).dropDuplicates(["node"])
+        links, rest = link_large_groups(stage(one, "large-rows"), words, similarity, large_group)
+        links = class_links(rest, words, similarity) if links is None else links.unionByName(class_links(rest, words, similarity))
+        roots = connected_components(links).select(F.col("node").alias("_n"), "root")
+        order = F.struct(F.col("_held").isNull().alias("none"), F.col("_held").alias("id"), F.col("_node").alias("node"))
+        kept = own.join(roots, F.col("_node") == F.col("_n"), "left").groupBy(F.coalesce("root", "_node").alias("_root")).agg(F.min(order).alias("_k"))
+        kept = kept.select(F.col("_k.node").alias("_k"))
+        settled = own.join(kept, F.col("_node") == F.col("_k"), "left_semi").select("_node", "_held", "_bytes", "_rep", F.lit(None).cast("long").alias("_group"))
+        small = held.join(own.select(F.col("_node").alias("_n")), F.col("_node") == F.col("_n"), "left_anti")
+        held = stage(small.unionByName(settled), "settled")
 
     def found(part: DataFrame) -> DataFrame:
-        return docs.withColumn("_h", F.xxhash64(F.col(text_col))).join(part, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_h") == F.col("_kept_h")))
+        part = part.select("_node", "_held", "_group", "_rep")
+        return source.join(part, (F.col("_h") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_held")))
 
     # Only rows that agree in id and text, few as a rule, are dealt out again to leave one of them.
-    one = Window.partitionBy("_kept", "_kept_h").orderBy(F.lit(1))
-    several = found(stage(kept.filter("_rep"), "kept-repeated")).withColumn("_one", F.row_number().over(one)).filter("_one = 1")
-    return found(kept.filter("not _rep")).select(*names).unionByName(several.select(*names))
+    one = Window.partitionBy("_id", "_h").orderBy(F.lit(1))
+
+    def single(part: DataFrame) -> DataFrame:
+        several = stage(held.filter("_rep"), "repeated")
+        plain = found(part.filter("not _rep"))
+        if several.isEmpty():
+            return plain
+        again = found(several).join(part.select(F.col("_node").alias("_p")), F.col("_h") == F.col("_p"), "left_semi")
+        return plain.unionByName(again.withColumn("_one", F.row_number().over(one)).filter("_one = 1").drop("_one"))
+
+    alone = single(held.filter("_group is null")).select("_row.*")
+    grouped = single(held.filter("_group is not null")).select("_row.*", F.col("_group"), F.struct(F.col("_id").alias("id"), F.col("_h").alias("h")).alias("_first"))
+    grouped = grouped.toDF(*[f"c{k}" for k in range(len(docs.columns))], "_group", "_first")
+    together = keep_verified(grouped, words, similarity, docs.columns.index(text_col)).toDF(*docs.columns)
+    return alone.unionByName(together)

@@ -1,7 +1,9 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties and extra columns."""
 
+import functools
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -102,28 +104,68 @@ def test_secrets_base(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(want.count(k + ":") for k in ("assign", "access", "hex"))
 
 
-def brute_cost(value):
-    """Cheapest segmentation by trying all, for values of brute-force characters and known words only."""
-    best = {0: 0.0}
-    for end in range(1, len(value) + 1):
+def is_power(block):
+    return any(len(block) % q == 0 and block == block[:q] * (len(block) // q) for q in range(1, len(block)))
+
+
+def brute_cost(value, ranks):
+    """Cheapest segmentation by trying every list of segments of every kind; brute-forced spans are one segment each."""
+
+    @functools.cache
+    def best(start, after_brute):
+        if start == len(value):
+            return 0.0
         options = []
-        for start in range(end):
-            part = value[start:end]
-            if part in secrets.RANK:
-                options.append(best[start] + np.log10(secrets.RANK[part]) + secrets.SEGMENT)
-            if not any(c.isalpha() for c in part):
-                options.append(best[start] + sum(secrets.DIGIT if c.isdigit() else secrets.OTHER for c in part) + secrets.SEGMENT)
-        best[end] = min(options, default=float("inf"))
-    return best[len(value)]
+        for end in range(start + 1, len(value) + 1):
+            part, low = value[start:end], value[start:end].lower()
+            if not after_brute:
+                options.append(secrets.SEGMENT + sum(map(secrets.char_cost, low)) + best(end, True))
+            spellings = {low: 0, low[::-1]: 1} if low != low[::-1] else {low: 0}
+            for one in "li":
+                leet = "".join(dict(zip("04317@$5!", f"oae{one}tassi")).get(c, c) for c in low)
+                spellings[leet] = min(spellings.get(leet, 9), len({c for c, d in zip(low, leet) if c != d}))
+            costs = [math.log10(ranks[w]) + secrets.SEGMENT * k for w, k in spellings.items() if w in ranks and len(w) >= 3]
+            if costs:
+                options.append(secrets.SEGMENT + min(costs) + secrets.capitals(part) + best(end, False))
+            if (date := secrets.date_cost(low)) is not None:
+                options.append(secrets.SEGMENT + date + best(end, False))
+            keys = part.translate(secrets.UNSHIFT).lower()
+            steps = [secrets.walk_steps(x, y) for x, y in zip(keys, keys[1:])]
+            if len(part) >= 3 and all(steps):
+                turns = 1 + sum(x != y for x, y in zip(steps, steps[1:]))
+                options.append(secrets.SEGMENT + secrets.walk_cost(len(part), turns, keys != part) + best(end, False))
+            for size in range(1, len(part) // 2 + 1):
+                block, times = low[:size], len(part) // size
+                more = value[end:].lower().startswith(block) and value[end + size :].lower().startswith(block)
+                if low == block * times and len(part) % size == 0 and not is_power(block) and not more:
+                    options.append(secrets.SEGMENT + brute_cost(part[:size], ranks) + math.log10(times) + best(end, False))
+        return min(options, default=math.inf)
+
+    return best(0, False)
+
+
+def test_guess_cost_against_all_segmentations():
+    ranks = {w: 10 * i for i, w in enumerate(["pass", "word", "password", "ass", "tea", "monkey", "los", "one"], 1)}
+    rng = random.Random(31)
+    values = ["password", "drowssap", "P@ssw0rd", "PASSWORDpass", "aaalpha", "aaaaaaa", "ababab", "x9$x9$x9$", "qwe123", "1qaz2wsx", "QWErty", "19990101", "1999-1-2", "31.12.99x", "2024aa", "tea2019", "1111", "3-4-56", "éa", "", "m0nkeyyek"]
+    values += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 8))) for alphabet in ("ab", "aA1", "qweasd", "019-2", "pas5$", "zxX!1q") for _ in range(40)]
+    values += ["".join(rng.choice([*ranks, "qwer", "2020", "zz", "!", "Pass", "7", "xyxy"]) for _ in range(2))[:12] for _ in range(60)]
+    for value in values:
+        assert secrets.guess_cost(value, ranks) == pytest.approx(brute_cost(value, ranks), abs=1e-9), value
+        for bound in (3.0, 9.0):
+            got = secrets.guess_cost(value, ranks, bound)
+            assert (got >= bound) == (brute_cost(value, ranks) >= bound - 1e-12)
 
 
 def test_guess_cost():
-    for value in ("password", "!monkey-dragon?", "7#9%2&password", "shadow", "4%8^1~3"):
-        assert secrets.guess_cost(value) == pytest.approx(brute_cost(value), abs=1e-9)
-    weak = ["password", "changeme123", "qwertyuiop", "aaaaaaaaaaaa", "summer2019", "2019-05-17", "P@ssword", ""]
-    strong = ["9f8Q!xzP2kd7", "Tr0ub4dor&3xyz", "f3ef4d6b2755a36d7d9c25bd72c4d5f6"]
-    assert max(map(secrets.guess_cost, weak)) < 9 < min(map(secrets.guess_cost, strong))
-    assert secrets.guess_cost("a1" * 50_000) > 1000
+    ranks = secrets.ranked_words("/opt/tokenizers/word_bpe_49k.json")
+    weak = ["password", "changeme123", "qwertyuiop", "aaaaaaaaaaaa", "summer2019", "2019-05-17", "P@ssw0rd", "incorrect", "authentication", "x9$x9$x9$x9$", "zaq1xsw2", "a" * 64, "a" * 65, ""]
+    strong = ["9f8Q!xzP2kd7", "Tr0ub4dor&3xyz", "f3ef4d6b2755a36d7d9c25bd72c4d5f6", "xkqjzvbwpl", "qxzvbkjwmtrp", "Xkqjzvbwpl"]
+    assert max(secrets.guess_cost(v, ranks) for v in weak) < 9 < min(secrets.guess_cost(v, ranks) for v in strong)
+    for long in ("a1" * 50_000, "a" * 100_000, "qw" * 50_000, "".join(chr(33 + (i * i * 7 + i) % 90) for i in range(100_000))):
+        began = time.process_time()
+        secrets.guess_cost(long, ranks, 9.0)
+        assert time.process_time() - began < 5
 
 
 def test_redaction(spark):
@@ -161,15 +203,93 @@ def test_html_pages(spark):
     assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_style_tree_removes_shared_branches_only(spark):
+def page_texts(spark, rows, **more):
+    return {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **more).collect()}
+
+
+def test_the_trees_decide_where_no_name_or_tag_does(spark):
+    """Branches without any telling name, tag or article element: what the pages share goes, on one host and over hosts."""
     rng = random.Random(5)
+    notes = [prose(rng, 8) for _ in range(4)]
     rows, want = [], {}
-    for i in range(20):
-        own = prose(rng, 30)
-        rows.append((i, "http://site.example/" + str(i), f"<body><div class='z1'><p>We value you</p></div><div class='z2'><p>{own}</p><p>Same line</p></div></body>"))
-        want[i] = own + "\n\nSame line"
-    got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.page_id: " ".join(r.text.split()) for r in got} == {k: " ".join(v.split()) for k, v in want.items()}
+    for i in range(60):
+        own = [prose(rng, 30) for _ in range(3)]
+        host = "site.example" if i < 40 else f"h{i}.example"
+        rows.append((i, f"http://{host}/{i}", f"<body><div class='z1'><p>{rng.choice(notes)}</p></div><div class='z2'>{''.join(f'<p>{t}</p>' for t in own)}</div><div class='z3'>{host} since {2000 + i}</div></body>"))
+        want[i] = "\n\n".join(" ".join(t.split()) for t in own)
+    assert page_texts(spark, rows) == want
+    by_signs = {i: html_text.main_text(h, frozenset(), frozenset()) for i, _, h in rows}
+    assert all(by_signs[i] != want[i] for i in want)
+
+
+def test_names_alone_remove_no_article_branch(spark):
+    own = "Prices of shares rose on Monday as traders weighed the news of the week"
+    bodies = [
+        f"<article><section class='share-prices'><p>{own}</p></section></article>", f"<article><div class='legal-analysis'><p>{own}</p></div></article>", f"<article><p class='related'>{own}</p></article>",
+        f"<div class='layout has-sidebar'><p>{own}</p></div>", f"<div class='sidebar'><main><p>{own}</p></main></div>", f"<div class='page cookie-banner-open'><p>{own}</p></div>", f"<div class='no-comments'><p>{own}</p></div>",
+        f"<div class='cookie-banner'>x</div><div id='sidebar'>y</div><p>{own}</p>", f"<main><p>{own}</p><div class='comment-list'><p>First!</p></div></main>", f"<nav>Menu</nav><p>{own}</p><footer>f</footer>",
+    ]
+    got = page_texts(spark, [(i, f"http://n{i}.example/", f"<body>{'<div>' * i}{b}") for i, b in enumerate(bodies)])
+    assert got == {i: own for i in range(len(bodies))}
+
+
+def test_deep_pages_and_pages_that_are_all_alike(spark):
+    deep = "<div class='d'>" * 40
+    rng = random.Random(6)
+    own = [" ".join(prose(rng, 20).split()) for _ in range(12)]
+    rows = [(i, "http://deep.example/", f"{deep}<section class='a'>Menu of all pages</section><section class='b'>{t}</section>") for i, t in enumerate(own)]
+    rows += [(100 + i, "http://same.example/", "<body><nav>Menu</nav><p>one text</p>") for i in range(30)]
+    rows += [(200, "http://very-deep.example/", "<div>" * 3000 + "bottom")]
+    got = page_texts(spark, rows)
+    assert got == {i: t for i, t in enumerate(own)} | {100 + i: "one text" for i in range(30)} | {200: "bottom"}
+
+
+def brute_tree(pages, host, gamma=0.9):
+    """Importance of every node of the merged pages, by recursion over the tree."""
+    texts, styles, holders, parent = defaultdict(Counter), defaultdict(Counter), Counter(), {}
+    for own_host, page in pages:
+        p = html_text.parse(page)
+        for k, t in {(k, html_text.likeness(t, own_host)) for k, t in p.blocks if k}:
+            texts[k][t] += 1
+        for k, found in p.styles.items():
+            styles[k].update(found)
+        for k, (up, _, _) in p.nodes.items():
+            holders[k] += 1
+            parent[k] = up
+    children = defaultdict(list)
+    for k, up in parent.items():
+        children[up].append(k)
+
+    def importance(k):
+        m = holders[k]
+        content = None
+        if texts[k]:
+            content = 1.0 if m == 1 else 1 - sum(math.log(n, m) for n in texts[k].values()) / len(texts[k])
+        below = [importance(c) for c in children[k]]
+        if not below:
+            return content or 0.0
+        total = sum(styles[k].values())
+        look = min(1.0, 1.0 if m == 1 else -sum(n / total * math.log(n / total, m) for n in styles[k].values()))
+        g = gamma ** len(styles[k])
+        inner = below + ([content] if content is not None else [])
+        return (1 - g) * look + g * sum(inner) / len(inner)
+
+    return {k: importance(k) for k in parent}
+
+
+def test_style_trees_against_recursion(spark):
+    rng = random.Random(7)
+    some = [prose(rng, 5) for _ in range(6)]
+    rows = []
+    for i in range(40):
+        body = "".join(rng.choice(["<div class='a'>%s<p>%s</p></div>", "<ul><li>%s<li>%s</ul>", "<div class='b'><div class='c'>%s</div><p>%s</div>"]) % (rng.choice(some), prose(rng, 4)) for _ in range(rng.randint(0, 4)))
+        rows.append((f"h{i % 3}.example" if i % 7 else "", f"<body>{body}"))
+    got = defaultdict(dict)
+    for r in html_text.style_trees(spark.createDataFrame(rows, "_host string, _html string")).collect():
+        got[r._host][r.node] = r.importance
+    for host in ("h0.example", "h1.example", "h2.example", ""):
+        want = brute_tree([x for x in rows if x[0] == host or not host], host)
+        assert got[host] == pytest.approx(want, abs=1e-9) and len(want) > 5
 
 
 def brute_distance(pattern, text):
@@ -302,18 +422,79 @@ def test_repeats_of_units_first_met_in_several_texts(spark):
     assert [(r.doc_id, dict(rows)[11][r.start : r.end], r.n_words, r.kept_id) for r in got] == [(11, whole, 48, 10)]
 
 
+def test_a_copy_whose_lines_all_stand_elsewhere_first(spark):
+    rng = random.Random(21)
+    say = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    lines = [say(10) for _ in range(12)]
+    rows = [(i, f"{say(30)}\n{x}\n{say(30)}") for i, x in enumerate(lines)] + [(100, "\n".join(lines)), (101, "\n".join(lines))]
+    got = repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(101, 0, len(rows[-1][1]), 120, 100)]
+
+
+def test_passages_whole_in_an_earlier_text_are_met_whatever_holds_their_units(spark):
+    rng = random.Random(22)
+    say = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    rows, want = [], set()
+    for case in range(12):
+        lines = [say(rng.randint(3, 14)) for _ in range(rng.randint(8, 12))]
+        base = case * 100
+        rows += [(base + i, f"{say(25)}\n{x}\n{say(25)}") for i, x in enumerate(lines) if rng.random() < 0.8]
+        whole = "\n".join(lines)
+        rows += [(base + 90, f"{say(20)}\n{whole}\n{say(20)}"), (base + 91, f"{say(15)}\n{whole}\n{say(30)}")]
+        want.add(base + 91)
+    got = {(r.doc_id, dict(rows)[r.doc_id][r.start : r.end].count("\n")) for r in repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, _ in got} == want and min(n for _, n in got) >= 7
+
+
+def test_removal_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "a", 1, 2), (2, text, "b", 3, 4), (3, None, None, None, None)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, removed string, _kept int, _cut_id int"))
+    assert got.columns == ["doc_id", "text", "removed", "_kept", "_cut_id", "_removed"]
+    assert {(r.doc_id, r.text, r.removed, len(r._removed)) for r in got.collect()} == {(1, text, "a", 0), (2, "", "b", 1), (3, None, None, 0)}
+    assert repeats.remove_repeats(got.limit(0)).count() == 0
+
+
+def brute_log_weights(texts, good, buckets):
+    """log p(target) - log p(raw) of whole texts, from counts of hashed words and pairs."""
+    hasher = importance.Hasher()
+
+    def grams(t):
+        return importance.features(hasher, [(t or "").encode()], buckets)[1].tolist()
+
+    raw, target = Counter(g for t in texts.values() for g in grams(t)), Counter(g for i in good for g in grams(texts[i]))
+    n_raw, n_target = sum(raw.values()) + buckets, sum(target.values()) + buckets
+    return {i: sum(math.log((target[g] + 1) / n_target) - math.log((raw[g] + 1) / n_raw) for g in grams(t)) for i, t in texts.items()}
+
+
 def test_importance(spark, docs, none):
     rng = random.Random(10)
     rows = [(i, prose(rng, 80) if i % 4 else " ".join(rng.choice(["buy", "###", "now!!", "%%%"]) for _ in range(80))) for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 4 > 0), None) for i in range(0, 400, 3)], "doc_id long, quality int, toxic int")
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id for r in importance.resample_by_importance(d, labels, keep=0.75).collect()}
-    assert len(kept) == 300 and sum(i % 4 == 0 for i in kept) == 0
+    kept = importance.resample_by_importance(d, labels, keep=0.75).collect()
+    assert len(kept) == 300 and sum(r.doc_id % 4 == 0 for r in kept) == 0
+    want = brute_log_weights(dict(rows), [i for i in range(0, 400, 3) if i % 4], 16384)
+    assert {r.doc_id: r.log_weight for r in kept} == pytest.approx({r.doc_id: want[r.doc_id] for r in kept}, abs=1e-6)
     assert importance.resample_by_importance(docs, labels).count() > 0
     assert importance.resample_by_importance(none, labels).count() == 0
     assert importance.resample_by_importance(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_inclusion_follows_the_weights(spark):
+    """One draw of 60 texts of three kinds, over many seeds: the share of each kind is that of its weight."""
+    rows = [(i, ("good word", "mid word", "poor word")[i % 3]) for i in range(60)]
+    labels = spark.createDataFrame([(0, 1), (3, 1), (1, 1)], "doc_id long, quality int")
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    weight = {k: math.exp(w) for k, w in brute_log_weights(dict(rows), [0, 3, 1], 16).items() if k < 3}
+    drawn = Counter(r.doc_id % 3 for seed in range(150) for r in importance.resample_by_importance(d, labels, keep=1 / 60, buckets=16, seed=seed).collect())
+    total = sum(weight.values())
+    assert sum(drawn.values()) == 150
+    for kind, w in weight.items():
+        p = w / total
+        assert abs(drawn[kind] - 150 * p) < 4 * math.sqrt(150 * p * (1 - p)), (drawn, weight)
+
+
 def test_ngram_counts_against_brute_force(spark):
     texts = ["a B c a b", "", None, "a b", "É é"]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_id long, _text string")
@@ -355,7 +536,7 @@ def test_quality_rules(spark, docs, none, corpus):
     assert quality_rules.rate_documents(none, model).count() == 0
 
 
-def test_viterbi_and_gradient():
+def test_viterbi_is_the_best_sequence():
     rng = np.random.default_rng(1)
     for n in range(1, 8):
         s, move = rng.normal(size=(n, 2)), rng.normal(size=(2, 2))
@@ -363,6 +544,74 @@ def test_viterbi_and_gradient():
         assert tuple(quality_rules.viterbi(s, move)) == best
 
 
+def test_likelihood_and_its_gradient():
+    """The value by summing over all label sequences, the gradients by finite differences."""
+    rng = np.random.default_rng(2)
+    n = len(quality_rules.FEATURES)
+    chains = [((rng.random((k, n)) < 0.4).astype(float), rng.integers(1, 4, k), w) for k, w in ((1, 0.3), (4, 1.0), (6, 0.5), (9, 0.7), (5, 0.2))]
+    batches = quality_rules.padded(chains)
+    emit, move = rng.normal(size=(n, 2)), rng.normal(size=(2, 2))
+    value, d_emit, d_move = quality_rules.likelihood(emit, move, batches, 0.01)
+    want = -0.005 * ((emit**2).sum() + (move**2).sum())
+    for f, may, w in chains:
+        every = inside = 0.0
+        for y in itertools.product((0, 1), repeat=len(f)):
+            e = math.exp(sum((f[i] @ emit)[k] for i, k in enumerate(y)) + sum(move[a, b] for a, b in zip(y, y[1:])))
+            every += e
+            inside += e if all(may[i] >> k & 1 for i, k in enumerate(y)) else 0
+        want += w * (math.log(inside) - math.log(every))
+    assert value == pytest.approx(want, abs=1e-8)
+    for weights, grad in ((emit, d_emit), (move, d_move)):
+        for at in np.ndindex(weights.shape):
+            held = weights[at]
+            ends = []
+            for step in (1e-5, -1e-5):
+                weights[at] = held + step
+                ends.append(quality_rules.likelihood(emit, move, batches, 0.01)[0])
+            weights[at] = held
+            assert grad[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-6)
+
+
+def test_shared_lines_against_brute_force(spark):
+    rng = random.Random(23)
+    lines = [prose(rng, 4) for _ in range(12)]
+    texts = ["\n".join(rng.choice([*lines, prose(rng, 5), " "]) for _ in range(rng.randint(0, 6))) for _ in range(60)] + [f"{lines[0]}\n{lines[1]}"] * 40 + [None, ""]
+    occurs, near = Counter(), defaultdict(set)
+    for t in texts:
+        own = [x for x in (t or "").split("\n") if WORDS.search(x)]
+        for a, x, b in zip([None, *own], own, [*own[1:], None]):
+            occurs[x] += 1
+            near[x].add((a, b))
+    d = spark.createDataFrame([(t,) for t in texts], "_text string")
+    got = {r[0] & (1 << 64) - 1 for r in quality_rules.shared_lines(d, d).collect()}
+    assert got == {xxhash.xxh64_intdigest(x.encode(), 42) for x in occurs if len(near[x]) >= 3 and 2 * len(near[x]) >= occurs[x]}
+
+
+def test_line_model_marks_lines_inside_texts(spark):
+    """Menu lines stand between sentences of good texts: the field labels both in one text."""
+    rng = random.Random(24)
+    sentence = lambda: prose(rng, 20).rstrip(".") + "."
+    menu = [" | ".join(prose(rng, 1) for _ in range(5)) for _ in range(5)]
+    texts = [(i, "\n".join([rng.choice(menu), sentence(), sentence(), sentence(), rng.choice(menu)])) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 80, 2)], "doc_id long, quality int")
+    model = quality_rules.train_line_model(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    for _, t in texts[1::2]:
+        words, raw = quality_rules.split_lines(t)
+        assert quality_rules.viterbi(quality_rules.line_features(words, raw) @ model.emit, model.move) == [0, 1, 1, 1, 0]
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    docs = spark.createDataFrame([(i, f"line {i}.\nmore {k}") for i in range(30) for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] * 20 + [(None, 1), (3, None)], "doc_id long, quality int")
+    held = []
+    keep, quality_rules.fit = quality_rules.fit, held.append
+    try:
+        quality_rules.train_line_model(docs, labels, sample=10)
+    finally:
+        quality_rules.fit = keep
+    assert len(held[0]) == 10 and all(len(f) == 2 for f, _, _ in held[0])
+
+
 def test_line_model_learns(spark):
     rng = random.Random(13)
     good = [(i, "\n".join(prose(rng, 20).rstrip(".") + "." for _ in range(5))) for i in range(60)]
@@ -401,6 +650,40 @@ def test_licenses(spark, docs, none, corpus):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licence_words_must_stand_in_order():
+    index, rng = licenses.Index(), random.Random(25)
+    before = [b"word%d" % i for i in range(40)]
+    for label, template, _ in licenses.TEMPLATES:
+        own = template.encode().split()
+        assert index.find([*before, *own, *before], 0.8, 3, 8).get(label) == 1
+        if len(own) >= 20:
+            gaps = list(own)
+            for _ in range(len(own) // 10):
+                gaps.insert(rng.randrange(len(gaps)), b"between")
+            keys = [p.encode().split() for _, t, ps in licenses.TEMPLATES if t == template for p in ps]
+            assert not licenses.in_order(gaps, keys) or index.find([*before, *gaps, *before], 0.8, 3, 8).get(label, 0) >= 0.9
+            key = keys[0]
+            at = next(i for i in range(len(own)) if own[i : i + len(key)] == key)
+            rest = own[:at] + own[at + len(key) :]
+            rng.shuffle(rest)
+            assert label not in index.find([*before, *key, *rest, *before], 0.8, 3, 8)
+    many = b"released under the mit license and more ".split() * 3000
+    assert index.find(many, 0.8, 3, 8) == {"mit": 1.0}
+
+
+def test_common_in_order_against_the_table():
+    rng = random.Random(26)
+    for _ in range(200):
+        a, b = ([rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(0, 70))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b, 1):
+                new.append(max(row[j], new[-1], row[j - 1] + (x == y)))
+            row = new
+        assert licenses.common_in_order(a, b) == row[-1]
+
+
 def brute_fingerprint(text):
     words = WORDS.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
@@ -453,12 +736,18 @@ def test_all_links_are_found(spark):
     fps = list(dict.fromkeys(fps))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     rows = spark.createDataFrame([(x, x) for x in signed], "_node long, f0 long")
-    got = {r.node: r.root for r in simhash.group_fingerprints(rows, 1, 4).collect()}
     want = brute_components({x: i for i, x in enumerate(fps)}, 4)
-    groups = defaultdict(set)
-    for x, s in zip(fps, signed):
-        groups[got.get(s, s)].add(want[x])
-    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+    for number in (8, 11):
+        simhash_groups, simhash.groups_for = simhash.groups_for, lambda *_: number
+        try:
+            got = {r.node: r.root for r in simhash.group_fingerprints(rows, 1, 4).collect()}
+        finally:
+            simhash.groups_for = simhash_groups
+        groups = defaultdict(set)
+        for x, s in zip(fps, signed):
+            groups[got.get(s, s)].add(want[x])
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+    assert simhash.groups_for(1000, 4) == 8 < simhash.groups_for(10**10, 4)
 
 
 def test_near_copies_leave_one(spark, corpus):
@@ -500,6 +789,43 @@ def test_near_copies_at_the_similarity_go(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
 
 
+def test_large_candidate_groups_give_the_same_rows(spark):
+    """A chain of texts that drift apart, a dense group of near copies, and exact copies: in one task and by rounds."""
+    rng = random.Random(27)
+    words = [f"{rng.choice(VOCAB)}{rng.randrange(9999)}" for _ in range(150)]
+    rows = []
+    for i in range(60):  # neighbours are similar, the ends share nothing
+        rows.append((i, " ".join(words)))
+        if i % 3:
+            words[(i * 7) % 150] = f"new{i}"
+        else:
+            words = words[2:] + [f"tail{i}", f"end{i}"]
+    base = [f"{rng.choice(VOCAB)}{rng.randrange(9999)}" for _ in range(150)]
+    for i in range(80):
+        near = list(base)
+        for at in rng.sample(range(150), rng.choice([0, 1, 2, 4])):
+            near[at] = f"x{i}"
+        rows.append((100 + i, " ".join(near)))
+    rows += [(None, rows[5][1]), (300, None), (301, ""), (302, "one"), (0, rows[0][1]), (303, "one")]
+    docs = spark.createDataFrame([(i, t, "a", 1, 2, 3) for i, t in rows], "doc_id long, text string, _h string, _kept int, _group int, c0 int").repartition(3)
+    small = simhash.keep_one_of_each(docs)
+    assert small.columns == docs.columns and small.schema == docs.schema
+    want = Counter(r.doc_id for r in small.collect())
+    assert Counter(r.doc_id for r in simhash.keep_one_of_each(docs, large_group=3000).collect()) == want
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows[:140]}
+    root = {i: i for i in sets}
+    for _ in range(len(sets)):
+        changed = False
+        for a, b in itertools.combinations(sets, 2):
+            if root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+        if not changed:
+            break
+    assert want == Counter({*root.values(), 300, 302}) or want == Counter({*root.values(), 301, 302})
+    assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
+
+
 def test_bands_meet_as_often_as_planned():
     rng = np.random.default_rng(19)
     assert (1 - 0.8**simhash.BAND) ** simhash.bands_for(0.8, 1e-9) <= 1e-9

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandloom.llm import queries
-from strandloom.llm.common import number_rows, smallest_hashed
+from strandloom.llm.common import fresh, join_counted, number_rows, smallest_hashed
 
 
 @pytest.mark.parametrize("n", [1, 10, 900])
@@ -24,6 +24,19 @@ def test_number_rows(spark):
         assert own == list(range(len(own))) and own
 
 
+def test_join_counted_with_and_without_hot_keys(spark):
+    left = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.createDataFrame([(7, "hot", 2000), (2500, "cold", 1), (2501, None, 1), (9999, "none", 0)], "key long, v string, n long")
+    want = sorted([(7, i, 7, "hot") for i in range(2000)] + [(2500, 2500, 2500, "cold"), (2501, 2501, 2501, None)], key=str)
+    for hot_rows in (100, 10_000):
+        got = join_counted(left, right, "k", "key", "n", ["id"], hot_rows)
+        assert got.columns == ["k", "id", "key", "v"] and sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
+def test_fresh_names():
+    assert fresh(["a", "_X", "__x"], "_x") == "___x" and fresh([], "removed") == "removed"
+
+
 def test_entry_points():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secret_scans", "packing"]
@@ -40,3 +53,22 @@ def test_pipeline_stages_keep_the_columns(spark):
             assert out.join(before, columns, "left_anti").count() == 0, name
     packed = corpus_pipeline.STAGES[-1][1](spark, out, sf)
     assert packed.select("doc_id").distinct().count() == out.select("doc_id").distinct().count()
+
+
+CASES = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "password = 'q8Zt+Lw2!vR9xK' and more words here", None, None, None), (3, "password = 'q8Zt+Lw2!vR9xK' and more words here", None, None, None), (None, "plain words " * 30, "en", "s", 5)]
+NAMES = "doc_id long, text string, lang string, source string, n_chars long, _h string, _kept int, _kept_h int, _row int, _group int, removed int, _id int, _text int"
+
+
+@pytest.mark.parametrize("rows", [CASES, []], ids=["odd rows", "empty table"])
+def test_pipeline_stages_pass_odd_rows_and_names(spark, rows):
+    """Nulls, empty texts, repeated rows, an empty table, and columns named like the operators' own."""
+    docs = spark.createDataFrame([(*r, "x", *range(7)) for r in rows], NAMES)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001").collect()
+        ids = sorted((r.doc_id for r in out), key=str)
+        if name == "near_duplicates":
+            assert ids == ([1, 3, None] if rows else [])
+        elif name == "quality_rules":
+            assert all(r.doc_id is None for r in out)  # the others are short or empty
+        else:
+            assert ids == sorted((r[0] for r in rows), key=str), name
