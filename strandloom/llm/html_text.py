@@ -291,27 +291,26 @@ def style_trees(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
         ),
         "style-nodes",
     )
-    done: list[DataFrame] = []
-    below = None
-    for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, 0, -1):
-        level = nodes.filter(F.col("depth") == depth)
-        if below is None:
-            level = level.withColumn("child_sum", F.lit(0.0)).withColumn("child_n", F.lit(0).cast("long"))
-        else:
-            level = level.join(below, ["_host", "node"], "left").withColumn("child_sum", F.coalesce("child_sum", F.lit(0.0))).withColumn("child_n", F.coalesce("child_n", F.lit(0).cast("long")))
-        inner = (F.col("child_sum") + F.coalesce("content", F.lit(0.0))) / (F.col("child_n") + F.when(F.col("content").isNull(), 0).otherwise(1))
-        own = F.when(F.col("child_n") == 0, F.coalesce("content", F.lit(0.0))).otherwise((1 - F.col("g")) * F.col("look") + F.col("g") * inner)
-        level = level.withColumn("importance", own)
-        if depth % 8 == 0:  # a deep page would else make one plan of hundreds of joins
-            level = stage(level, "style-level")
-        below = level.groupBy("_host", F.col("parent").alias("node")).agg(F.sum("importance").alias("child_sum"), F.count(F.lit(1)).alias("child_n"))
-        done.append(level.select("_host", "node", "pages", "low", F.col("content").isNotNull().alias("texts"), "importance"))
-    if not done:
-        return nodes.select("_host", "node", "pages", "low", F.lit(True).alias("texts"), F.lit(0.0).alias("importance"))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    # Importance is own + down * (sum over the children), a linear recurrence: sums over 1, 2, 4, ... levels in as many rounds.
+    many = nodes.groupBy(F.col("_host").alias("_ph"), F.col("parent").alias("_p")).agg(F.count(F.lit(1)).alias("child_n"))
+    held = nodes.join(many, (F.col("_host") == F.col("_ph")) & (F.col("node") == F.col("_p")), "left")
+    parts = F.col("child_n") + F.when(F.col("content").isNull(), 0).otherwise(1)
+    own = F.when(F.col("child_n").isNull(), F.coalesce("content", F.lit(0.0))).otherwise((1 - F.col("g")) * F.col("look") + F.col("g") * F.coalesce("content", F.lit(0.0)) / parts)
+    held = held.select("_host", "node", "parent", "depth", "pages", "low", F.col("content").isNotNull().alias("texts"), own.alias("importance"), (F.col("g") / parts).alias("down"))
+    held = stage(held, "style-own")
+    above = held.select(F.col("_host").alias("_ah"), F.col("node").alias("_a"), F.col("down").alias("weight"))
+    held = held.join(above, (F.col("_host") == F.col("_ah")) & (F.col("parent") == F.col("_a")), "left").drop("_ah", "down", "parent")
+    levels = 1
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    while levels < deepest:
+        held = stage(held, "style-sums")
+        sums = held.filter("_a is not null").groupBy(F.col("_host").alias("_sh"), F.col("_a").alias("_s")).agg(F.sum(F.col("weight") * F.col("importance")).alias("sum"))
+        up = held.select(F.col("_host").alias("_uh"), F.col("node").alias("_u"), F.col("_a").alias("_ua"), F.col("weight").alias("_uw"))
+        held = held.join(sums, (F.col("_host") == F.col("_sh")) & (F.col("node") == F.col("_s")), "left").withColumn("importance", F.col("importance") + F.coalesce("sum", F.lit(0.0)))
+        held = held.join(up, (F.col("_host") == F.col("_uh")) & (F.col("_a") == F.col("_u")), "left")
+        held = held.select("_host", "node", "pages", "low", "texts", "importance", F.col("_ua").alias("_a"), (F.col("weight") * F.col("_uw")).alias("weight"))
+        levels *= 2
+    return held.select("_host", "node", "pages", "low", "texts", "importance")
 
 
 def shrunk(importance: Column, pages: Column, low: Column | None, toward: Column | None, most: int) -> Column:
