@@ -13,7 +13,7 @@ from strandloom.fixtures import BASES, HEX
 from strandloom.operators import buckets, reports, scan
 from strandloom.operators.windows import kmer_windows, spread
 from strandloom.plans import KmerDictionary, build_dictionary, load_dictionary
-from strandloom.sources import read_any, read_queries
+from strandloom.sources import is_sequence_file, read_any, read_queries
 
 
 def numbered(spark: SparkSession, path: str, name: str = "id") -> DataFrame:
@@ -41,6 +41,8 @@ def build(spark: SparkSession, a: argparse.Namespace) -> str:
 def query(spark: SparkSession, a: argparse.Namespace) -> str:
     d = load_dictionary(spark, a.index)
     if a.streaming:
+        if not is_sequence_file(a.query):
+            raise SystemExit("--streaming takes FASTA or FASTQ files: " + a.query)
         return shown(d.stats(numbered(spark, a.query, "query_id")))
     return shown(reports.point_report(d.query(read_queries(spark, a.query, d.config.k))))
 
@@ -51,14 +53,14 @@ def check(spark: SparkSession, a: argparse.Namespace) -> str:
     if a.streaming:
         found = d.stream_query(numbered(spark, a.file, "query_id"))
         return shown(scan.scan_check(found, d.index, d.config.k, d.config.canonical))
-    own = kmer_windows(spread(numbered(spark, a.file), "id"), d.config.k).select("kmer")
+    own = kmer_windows(numbered(spark, a.file), d.config.k).select("kmer")
     found = d.query(own)
     missing = [r["kmer"] for r in reports.self_check(found).collect()]
     return shown(reports.point_report(found)) + ("\nall found" if not missing else "\nmissing: " + " ".join(missing))
 
 
 def stored_kmers(d: KmerDictionary, rows: int) -> DataFrame:
-    return spread(kmer_windows(spread(d.strings.select("string_id", "seq"), "string_id"), d.config.k, []).limit(rows), "kmer")
+    return spread(kmer_windows(d.strings.select("string_id", "seq"), d.config.k, []).limit(rows), "kmer")
 
 
 def bench(spark: SparkSession, a: argparse.Namespace) -> str:

@@ -34,7 +34,8 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.substring(F.col("seq"), (F.col("id") % 60 + 1).cast("int"), F.lit(60))
     absent = _hashed("zy", "id")
     seq = (
-        F.when(F.col("id") % 5 == 0, F.overlay(cut, F.lit("N"), F.lit(31), F.lit(1)))
+        F.when(F.col("id") % 10 == 0, F.overlay(cut, F.lit("N"), F.lit(31), F.lit(1)))
+        .when(F.col("id") % 5 == 0, F.overlay(cut, F.lit("N"), F.lit(6), F.lit(1)))
         .when(F.col("id") % 7 == 0, absent)
         .when(F.col("id") % 11 == 0, F.substring(cut, 1, 20))
         .when(F.col("id") % 13 == 0, F.lower(cut))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions import is_query_kmer, key_of_order, order_key, reverse_order_key
-from strandloom.operators.windows import keyed_windows, spread, super_kmers
+from strandloom.functions import canonical, is_query_kmer, key_of_order, order_key, reverse_order_key
+from strandloom.operators.windows import keyed_windows, kmer_windows, stretches, super_kmers
 
 
 def index_kmers(strings: DataFrame, k: int) -> DataFrame:
@@ -62,6 +62,26 @@ def members(queries: DataFrame, index: DataFrame, k: int, absent: bool = False)
     return q.join(index.select("key"), F.col("_key") == F.col("key"), "left_anti" if absent else "left_semi").drop("_key")
 
 
+def canonical_set(strings: DataFrame, k: int) -> DataFrame:
+    """``kmer``: the distinct canonical k-mers of a string set, for set operations between dictionaries."""
+    return kmer_windows(strings.select("string_id", "seq"), k, []).select(canonical(F.col("kmer")).alias("kmer")).distinct()
+
+
+def kmer_union(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """``kmer`` of either string set, on either strand."""
+    return canonical_set(a, k).union(canonical_set(b, k)).distinct()
+
+
+def kmer_intersect(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """``kmer`` of both string sets, on either strand."""
+    return canonical_set(a, k).join(canonical_set(b, k), "kmer", "left_semi")
+
+
+def kmer_except(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """``kmer`` of the first string set that the second does not hold on either strand."""
+    return canonical_set(a, k).join(canonical_set(b, k), "kmer", "left_anti")
+
+
 def minimizer_found(windows: DataFrame, tuples: DataFrame) -> DataFrame:
     """``windows`` (with ``minimizer``) and whether the dictionary holds that minimizer: exact membership."""
     known = tuples.select(F.col("minimizer").alias("_known")).distinct()
@@ -70,16 +90,19 @@ def minimizer_found(windows: DataFrame, tuples: DataFrame) -> DataFrame:
 
 
 def minimizer_join(reads: DataFrame, strings: DataFrame, k: int, m: int, seed: int = 1) -> DataFrame:
-    """Forward-strand lookup that ships super-k-mers instead of k-mers: the same offsets as ``lookup``.
+    """Forward-strand lookup that ships super-k-mers instead of k-mers: the same offsets as ``lookup`` on that strand.
+
+    Reads are cut at letters other than ACGT, so all their valid windows take part.
 
     Both sides are cut into super-k-mers, joined on the minimizer, and the shared k-mers are
     read off by aligning the minimizer's places; a join row stands for up to k - m + 1
     k-mers.  A minimizer with many places is split by Spark's skew join.
     """
-    known = super_kmers(spread(strings, "string_id"), k, m, seed=seed, piece=True)
+    known = super_kmers(strings, k, m, seed=seed, piece=True)
     known = known.select(F.col("minimizer").alias("_m"), (F.col("pos_in_seq") - F.col("pos_in_kmer")).alias("_at"), F.col("pos_in_kmer").alias("_in"), F.col("num_kmers").alias("_n"), F.col("piece").alias("_theirs"))
-    own = reads.select(F.col("query_id").alias("string_id"), F.lit(0).cast("bigint").alias("string_begin"), F.upper("seq").alias("seq"))
-    mine = super_kmers(spread(own.filter(F.col("seq").rlike("^[ACGT]*$")), "string_id"), k, m, seed=seed, piece=True).withColumnRenamed("piece", "_piece")
+    own = stretches(reads.select("query_id", "seq"), k)
+    own = own.select(F.struct("query_id", "offset").alias("string_id"), F.lit(0).cast("bigint").alias("string_begin"), "seq")
+    mine = super_kmers(own, k, m, seed=seed, piece=True).withColumnRenamed("piece", "_piece")
     joined = mine.join(known, F.col("minimizer") == F.col("_m"))
     # Window i of mine meets window i + shift of theirs, where the minimizers lie on each other.
     shift = F.col("_in") - F.col("pos_in_kmer")
@@ -87,5 +110,5 @@ def minimizer_join(reads: DataFrame, strings: DataFrame, k: int, m: int, seed: i
     rows = joined.withColumn("_shift", shift).withColumn("_first", first).withColumn("_last", last).filter("_first < _last")
     rows = rows.withColumn("i", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)))
     same = F.substring("_piece", F.col("i") + 1, F.lit(k)) == F.substring("_theirs", F.col("i") + F.col("_shift") + 1, F.lit(k))
-    hits = rows.filter(same).groupBy(F.col("string_id").alias("query_id"), (F.col("first_pos") + F.col("i")).cast("int").alias("pos"))
+    hits = rows.filter(same).groupBy(F.col("string_id.query_id").alias("query_id"), (F.col("string_id.offset") + F.col("first_pos") + F.col("i")).cast("int").alias("pos"))
     return hits.agg(F.min(F.col("_at") + F.col("i") + F.col("_shift")).cast("bigint").alias("kmer_offset"))

@@ -31,8 +31,9 @@ def _chunks(seqs: DataFrame, k: int, keep: list[str], left: int = 0, right: int
     with ``left`` letters more before (but for the first) and ``right`` more after.
 
     Taking a piece of a string costs its distance from the start, and arrays over a whole
-    chromosome fit no row, so windows are cut from short chunks: the work is linear in the
-    sequence and bounded in a row, however long the sequence is.
+    chromosome are slow to carry, so windows are cut from short chunks: the work is linear in the
+    sequence.  Chunks are dealt over all shuffle partitions before anything is made of them, so
+    one long sequence keeps all tasks busy; only the cutting is one task a sequence.
     """
     rows = _held(seqs.filter(F.length("seq") >= k).select(*keep, "seq"), "_parts", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).drop("seq")
 
@@ -41,7 +42,18 @@ def _chunks(seqs: DataFrame, k: int, keep: list[str], left: int = 0, right: int
         before = [F.coalesce(F.right(F.get("_parts", i - 1), F.lit(left)), F.lit(""))] if left else []
         return F.concat(*before, x, after)
 
-    return rows.select(*keep, F.posexplode(F.transform("_parts", joined)).alias("_c", "_text")).filter(F.length("_text") >= k)
+    cut = rows.select(*keep, F.posexplode(F.transform("_parts", joined)).alias("_c", "_text")).filter(F.length("_text") >= k)
+    return cut.repartition(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_c", *(keep or ["_text"]))
+
+
+def stretches(reads: DataFrame, k: int) -> DataFrame:
+    """The runs of k or more letters ACGT (in upper case) of each sequence: its columns, ``seq`` being the run, and ``offset``."""
+    parts = F.regexp_extract_all(F.upper("seq"), F.lit("[ACGT]+|[^ACGT]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,seq:string>>").alias("held"))
+    walked = F.aggregate(parts, start, lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["held"], F.array(F.struct(s["at"].alias("offset"), x.alias("seq")))).alias("held")))
+    keep = [c for c in reads.columns if c != "seq"]
+    found = reads.select(*keep, F.explode(F.filter(walked["held"], lambda p: p["seq"].rlike("^[ACGT]") & (F.length(p["seq"]) >= k))).alias("_p"))
+    return found.select(*keep, F.col("_p.seq").alias("seq"), F.col("_p.offset").alias("offset"))
 
 
 def _places(k: int) -> Column:

@@ -14,7 +14,7 @@ def _md5(tags: str, col: str) -> str:
 PART = f"part_seq AS (SELECT p_partkey AS id, {_md5('abcd', 'p_partkey')} AS seq FROM part)"
 DOCS = "doc_seq AS (SELECT doc_id AS id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g') AS seq FROM documents)"
 READS = f"""{PART}, cuts AS (SELECT id, seq, substr(seq, 1 + id % 60, 60) AS sl, lead(seq) OVER (ORDER BY id) AS nxt FROM part_seq),
-reads AS (SELECT id AS query_id, CASE WHEN id % 5 = 0 THEN substr(sl, 1, 30) || 'N' || substr(sl, 32)
+reads AS (SELECT id AS query_id, CASE WHEN id % 10 = 0 THEN substr(sl, 1, 30) || 'N' || substr(sl, 32) WHEN id % 5 = 0 THEN substr(sl, 1, 5) || 'N' || substr(sl, 7)
   WHEN id % 7 = 0 THEN {_md5('zy', 'id')} WHEN id % 11 = 0 THEN substr(sl, 1, 20) WHEN id % 13 = 0 THEN lower(sl)
   WHEN id % 17 = 0 AND nxt IS NOT NULL THEN right(seq, 30) || left(nxt, 30)
   WHEN id % 2 = 1 THEN reverse(translate(sl, 'ACGT', 'TGCA')) ELSE sl END AS seq FROM cuts)"""
@@ -104,7 +104,17 @@ STATS = ", ".join(
 )
 TOTALS = f"""totals AS (SELECT (SELECT count(*) FROM strings) AS num_strings, (SELECT cast(sum(length(seq)) AS BIGINT) FROM strings) AS total_bases,
  (SELECT cast(sum(length(seq) - {K - 1}) AS BIGINT) FROM strings) AS num_kmers, (SELECT count(DISTINCT minimizer) FROM tuples) AS num_minimizers)"""
-POSITIONS = """positions AS (SELECT DISTINCT unnest([string_begin, (string_begin + string_end) // 2, string_end - 1, string_end]) AS pos FROM strings)"""
+POSITIONS = """positions AS (SELECT DISTINCT unnest(range(string_begin, string_end + 1)) AS pos FROM strings)"""
+ASKED = f"{_windows('reads', 'w', ident='query_id')}, asked AS (SELECT query_id, kmer FROM w UNION ALL SELECT query_id, seq FROM reads WHERE length(seq) < {K})"
+TWO = f"""{PART}, one_set AS (SELECT id, seq FROM part_seq WHERE id % 3 <> 0), two_set AS (SELECT id, seq FROM part_seq WHERE id % 2 = 0), {_windows('one_set', 'w1')}, {_windows('two_set', 'w2')}"""
+
+
+def _canonical(source: str) -> str:
+    """The lesser of a k-mer and its reverse complement in the order of 2-bit codes, last base first."""
+    key = lambda x: f"reverse(translate({x}, 'ACTG', '0123'))"
+    return f"SELECT DISTINCT CASE WHEN {key('kmer')} < {key(_rc('kmer'))} THEN kmer ELSE {_rc('kmer')} END AS kmer FROM {source}"
+
+
 SCAN = f"""{PART_DICT}, flags AS (SELECT *, coalesce(regexp_matches(kmer, '^[ACGTacgt]*$'), false) AS valid,
  coalesce(off IS NOT NULL AND lag(sid) OVER o = sid AND lag(ori) OVER o = ori AND off = lag(off) OVER o + ori, false) AS ext FROM hits WINDOW o AS (PARTITION BY query_id ORDER BY pos))"""
 _LOG2 = "CASE WHEN {0} <= 1 THEN 0 ELSE length(bin(cast({0} AS BIGINT) - 1)) END"
@@ -136,7 +146,7 @@ SELECT id, array_to_string(list_transform(range(0, cast(ceil(length(seq) / 4) AS
     "kmer_set_base": f"WITH {PART}, {_windows('part_seq', 'w')} SELECT id, pos, left(kmer, 2) || 'T' || substr(kmer, 4) AS kmer FROM w",
     "kmer_append": f"WITH {PART}, {_windows('part_seq', 'w')} SELECT id, pos, 'G' || left(kmer, {K - 1}) AS kmer FROM w",
     "dna_valid": f"WITH {READS} SELECT query_id, regexp_matches(seq, '^[ACGTacgt]*$') AS valid FROM reads",
-    "query_validity": f"WITH {READS} SELECT query_id, left(seq, {K}) AS kmer, length(left(seq, {K})) = {K} AS right_length, regexp_matches(left(seq, {K}), '^[ACGTacgt]{{{K}}}$') AS valid FROM reads",
+    "query_validity": f"WITH {READS}, {ASKED} SELECT query_id, kmer, length(kmer) = {K} AS right_length, regexp_matches(kmer, '^[ACGTacgt]{{{K}}}$') AS valid FROM asked",
     "mmer_hash": f"WITH {PART}, {_windows('part_seq', 'w', M)} SELECT id, pos, {_mix(_bits('kmer', M))} AS hash FROM w",
     "bucket_log2": f"WITH {DOCS} SELECT id, cast({_log2('length(seq)')} AS INTEGER) AS log2 FROM doc_seq",
     "kmer_pack_long": f"WITH {PART}, {_windows('part_seq', 'w', 63)} SELECT id, pos, {_bits('kmer', 31)} AS l0, {_bits('substr(kmer, 32, 31)', 31)} AS l1, {_bits('substr(kmer, 63, 1)', 1)} AS l2 FROM w",
@@ -173,19 +183,24 @@ FROM buckets WHERE bucket_class = 'heavy' GROUP BY 1""",
 SELECT id, pos, off - sid * 62 AS kmer_id, off AS kmer_offset, cast(ori AS INTEGER) AS orientation, sid AS string_id FROM hits""",
     "membership_semi": f"WITH {PART_DICT} SELECT query_id, pos, kmer FROM hits WHERE off IS NOT NULL",
     "membership_anti": f"WITH {PART_DICT} SELECT query_id, pos, kmer FROM hits WHERE off IS NULL",
-    "minimizer_join": f"WITH {READS}, {_strings('part_seq')}, {_stored()}, whole AS (SELECT * FROM reads WHERE regexp_matches(seq, '^[ACGTacgt]*$')), {_windows('whole', 'w', ident='query_id')} SELECT query_id, pos, f.kmer_offset FROM w JOIN firsts f ON f.kmer = upper(w.kmer)",
-    "minimizer_found": f"""WITH {READS}, {_strings('part_seq')}, whole AS (SELECT query_id, seq FROM reads WHERE regexp_matches(seq, '^[ACGT]*$')), {_mins('whole', M, cols='query_id')},
-mine AS (SELECT query_id, p, v, i FROM mins), {_mins('strings', M, cols='string_id').replace('mers AS', 'mers2 AS').replace('FROM mers)', 'FROM mers2)').replace('spread AS', 'spread2 AS').replace('spread s', 'spread2 s').replace('lens AS', 'lens2 AS').replace('JOIN lens', 'JOIN lens2').replace('near AS', 'near2 AS').replace('FROM near', 'FROM near2').replace('fwd AS', 'fwd2 AS').replace('FROM fwd', 'FROM fwd2').replace('mins AS', 'mins2 AS')},
+    "minimizer_join": f"WITH {READS}, {_strings('part_seq')}, {_stored()}, {_windows('reads', 'w', ident='query_id')} SELECT query_id, pos, f.kmer_offset FROM w JOIN firsts f ON f.kmer = upper(w.kmer)",
+    "minimizer_found": f"""WITH {READS}, {_strings('part_seq')}, whole AS (SELECT query_id, regexp_replace(upper(seq), '[^ACGT]', 'A', 'g') AS seq FROM reads), {_mins('whole', M, cols='query_id')},
+mine AS (SELECT query_id, p, v, i FROM mins JOIN reads USING (query_id) WHERE regexp_matches(substr(reads.seq, cast(p AS INTEGER) + 1, {K}), '^[ACGTacgt]*$')), {_mins('strings', M, cols='string_id').replace('mers AS', 'mers2 AS').replace('FROM mers)', 'FROM mers2)').replace('spread AS', 'spread2 AS').replace('spread s', 'spread2 s').replace('lens AS', 'lens2 AS').replace('JOIN lens', 'JOIN lens2').replace('near AS', 'near2 AS').replace('FROM near', 'FROM near2').replace('fwd AS', 'fwd2 AS').replace('FROM fwd', 'FROM fwd2').replace('mins AS', 'mins2 AS')},
 known AS (SELECT DISTINCT v AS kv FROM mins2)
 SELECT query_id, cast(p AS INTEGER) AS pos, v AS minimizer, cast(i - p AS INTEGER) AS pos_in_kmer, kv IS NOT NULL AS minimizer_found FROM mine LEFT JOIN known ON kv = v""",
+    "kmer_union": f"WITH {TWO} {_canonical('w1')} UNION {_canonical('w2')}",
+    "kmer_intersect": f"WITH {TWO} {_canonical('w1')} INTERSECT {_canonical('w2')}",
+    "kmer_except": f"WITH {TWO} {_canonical('w1')} EXCEPT {_canonical('w2')}",
     "segment_lookup": f"WITH {DOCS}, {_strings('doc_seq')} SELECT id * 10 + 3 AS segment_id, string_id FROM strings",
     "stream_lookup": f"WITH {SCAN} SELECT query_id, pos, valid, off IS NOT NULL AS found, off AS kmer_offset, cast(ori AS INTEGER) AS orientation, ext AS is_extension FROM flags",
     "stream_stats": f"""WITH {SCAN} SELECT count(*) AS windows, count(off) AS found, count(*) - count(off) AS not_found, round(count(off) * 100.0 / count(*), 6)::DOUBLE AS hit_rate,
  count(*) FILTER (off IS NOT NULL AND NOT ext) AS searches, count(*) FILTER (ext) AS extensions, count(*) FILTER (NOT valid) AS invalid, count(*) FILTER (valid AND off IS NULL) AS negative FROM flags""",
-    "stream_check": f"WITH {READS}, {_windows('reads', 'w', ident='query_id')} SELECT count(*) AS windows, cast(0 AS BIGINT) AS mismatches FROM w",
+    "stream_check": f"""WITH {PART_DICT}, ways AS (SELECT DISTINCT kmer, upper(kmer) AS same, {_rc('upper(kmer)')} AS turned FROM w),
+direct AS (SELECT ways.kmer, coalesce(min(stored.kmer_offset) FILTER (stored.kmer = same), min(stored.kmer_offset) FILTER (stored.kmer = turned)) AS place FROM ways JOIN stored ON stored.kmer IN (same, turned) GROUP BY ways.kmer)
+SELECT count(*) AS windows, count(*) FILTER (off IS DISTINCT FROM place) AS mismatches FROM hits LEFT JOIN direct ON direct.kmer = hits.kmer""",
     "stream_static": f"""WITH {PART_DICT}, per AS (SELECT query_id AS rid, count(*) AS windows, count(off) AS found, min(off) AS first_offset FROM hits GROUP BY query_id)
 SELECT event_id AS query_id, windows, found, first_offset FROM events JOIN per ON rid = event_id % (SELECT count(*) FROM part) + 1""",
-    "query_report": f"""WITH {READS}, {_strings('part_seq')}, {_stored()}, w AS (SELECT left(seq, {K}) AS kmer FROM reads), {_lookup('w')}
+    "query_report": f"""WITH {READS}, {_strings('part_seq')}, {_stored()}, {ASKED}, {_lookup('asked')}
 SELECT count(off) AS found, count(*) - count(off) AS not_found, count(*) AS total, round(count(off) * 100.0 / count(*), 6)::DOUBLE AS hit_rate FROM hits""",
     "self_check": f"WITH {DOCS_DICT}, {_lookup('w')} SELECT kmer FROM hits WHERE off IS NULL ORDER BY kmer LIMIT 10",
     "dict_stats": f"WITH {_tuples(M)}, {TOTALS} SELECT num_strings, total_bases, num_kmers, num_minimizers, {K} AS k, {M} AS m, false AS canonical FROM totals",

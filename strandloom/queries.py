@@ -36,14 +36,19 @@ def docs_dictionary(spark: SparkSession, sf_dir: str, canonical: bool = False) -
 
 
 def read_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(windows.spread(X.reads(spark, sf_dir), "query_id"), K)
+    return windows.kmer_windows(X.reads(spark, sf_dir), K)
 
 
 def positions(d: KmerDictionary) -> DataFrame:
-    """Every string's first, middle and last base, and the position after its last."""
-    s = d.strings
-    pos = F.explode(F.array("string_begin", F.floor((F.col("string_begin") + F.col("string_end")) / 2).cast("bigint"), F.col("string_end") - 1, F.col("string_end")))
-    return s.select(pos.alias("pos")).distinct()
+    """Every base of every string, and the position after the last one."""
+    pos = F.explode(F.sequence(F.col("string_begin"), F.col("string_end")))
+    return d.strings.select(pos.alias("pos")).distinct()
+
+
+def query_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of every read, and reads that are shorter than a k-mer."""
+    reads = X.reads(spark, sf_dir)
+    return windows.kmer_windows(reads, K).select("query_id", "kmer").unionByName(reads.filter(F.length("seq") < K).select("query_id", F.col("seq").alias("kmer")))
 
 
 # Sources and sinks
@@ -95,7 +100,7 @@ def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = X.scratch(spark, "dictionary")
     dictionary(spark, sf_dir).save(path)
     d = load_dictionary(spark, path)
-    return d.query(windows.kmer_windows(windows.spread(X.seq_part(spark, sf_dir), "id"), K).select("id", "pos", "kmer")).select("id", "pos", "kmer_id", "kmer_offset", "string_id")
+    return d.query(windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", "kmer")).select("id", "pos", "kmer_id", "kmer_offset", "string_id")
 
 
 # Bases and k-mers
@@ -121,37 +126,37 @@ def pack_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(windows.spread(X.seq_docs(spark, sf_dir), "id"), K)
+    return windows.kmer_windows(X.seq_docs(spark, sf_dir), K)
 
 
 @query
 def kmer_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(windows.spread(X.seq_part(spark, sf_dir), "id"), K).select("id", "pos", fn.pack(F.col("kmer")).alias("bits"))
+    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.pack(F.col("kmer")).alias("bits"))
 
 
 @query
 def kmer_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(windows.spread(X.seq_part(spark, sf_dir), "id"), K).select("id", "pos", fn.unpack(fn.pack(F.col("kmer")), K).alias("kmer"))
+    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.unpack(fn.pack(F.col("kmer")), K).alias("kmer"))
 
 
 @query
 def canonical_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(windows.spread(X.seq_docs(spark, sf_dir), "id"), K).select("id", "pos", fn.canonical(F.col("kmer")).alias("canonical"))
+    return windows.kmer_windows(X.seq_docs(spark, sf_dir), K).select("id", "pos", fn.canonical(F.col("kmer")).alias("canonical"))
 
 
 @query
 def kmer_get_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(windows.spread(X.seq_part(spark, sf_dir), "id"), K).select("id", "pos", fn.get_base(F.col("kmer"), 0).alias("first"), fn.get_base(F.col("kmer"), 15).alias("middle"), fn.get_base(F.col("kmer"), 30).alias("last"))
+    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.get_base(F.col("kmer"), 0).alias("first"), fn.get_base(F.col("kmer"), 15).alias("middle"), fn.get_base(F.col("kmer"), 30).alias("last"))
 
 
 @query
 def kmer_set_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(windows.spread(X.seq_part(spark, sf_dir), "id"), K).select("id", "pos", fn.set_base(F.col("kmer"), 2, F.lit("T")).alias("kmer"))
+    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.set_base(F.col("kmer"), 2, F.lit("T")).alias("kmer"))
 
 
 @query
 def kmer_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.kmer_windows(windows.spread(X.seq_part(spark, sf_dir), "id"), K).select("id", "pos", fn.append_base(F.col("kmer"), F.lit("G"), K).alias("kmer"))
+    return windows.kmer_windows(X.seq_part(spark, sf_dir), K).select("id", "pos", fn.append_base(F.col("kmer"), F.lit("G"), K).alias("kmer"))
 
 
 @query
@@ -161,7 +166,7 @@ def dna_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def query_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.query_validity(X.reads(spark, sf_dir).select("query_id", F.substring("seq", 1, K).alias("kmer")), K)
+    return reports.query_validity(query_kmers(spark, sf_dir), K)
 
 
 @query
@@ -304,7 +309,7 @@ def lookup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lookup_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_dictionary(spark, sf_dir).query(windows.kmer_windows(windows.spread(X.seq_docs(spark, sf_dir), "id"), K)).select("id", "pos", "kmer_offset")
+    return docs_dictionary(spark, sf_dir).query(windows.kmer_windows(X.seq_docs(spark, sf_dir), K)).select("id", "pos", "kmer_offset")
 
 
 @query
@@ -314,7 +319,7 @@ def lookup_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lookup_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_dictionary(spark, sf_dir, canonical=True).query(windows.kmer_windows(windows.spread(X.seq_docs(spark, sf_dir), "id"), K))
+    return docs_dictionary(spark, sf_dir, canonical=True).query(windows.kmer_windows(X.seq_docs(spark, sf_dir), K))
 
 
 @query
@@ -342,10 +347,33 @@ def minimizer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def minimizer_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = windows.minimizers(X.reads(spark, sf_dir).filter("seq rlike '^[ACGT]*$'"), K, M)
+    own = windows.minimizers(windows.stretches(X.reads(spark, sf_dir), K), K, M)
+    own = own.select("query_id", (F.col("pos") + F.col("offset")).cast("int").alias("pos"), "minimizer", "pos_in_kmer")
     return lookups.minimizer_found(own, dictionary(spark, sf_dir).super_kmers)
 
 
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two overlapping string sets: all parts but each third, and each second one, reversed."""
+    part = X.seq_part(spark, sf_dir)
+    two = part.filter("id % 2 = 0").select("id", fn.reverse_complement(F.col("seq")).alias("seq"))
+    return strings.string_set(part.filter("id % 3 <> 0"), K), strings.string_set(two, K)
+
+
+@query
+def kmer_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.kmer_union(*halves(spark, sf_dir), K)
+
+
+@query
+def kmer_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.kmer_intersect(*halves(spark, sf_dir), K)
+
+
+@query
+def kmer_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.kmer_except(*halves(spark, sf_dir), K)
+
+
 @query
 def segment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary of numbered segments, of which some are too short to be strings: the number stays with its string."""
@@ -389,8 +417,7 @@ def stream_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def query_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A k-mer list with wrong lengths and letters."""
-    kmers = X.reads(spark, sf_dir).select(F.substring("seq", 1, K).alias("kmer"))
-    return reports.point_report(dictionary(spark, sf_dir).query(kmers))
+    return reports.point_report(dictionary(spark, sf_dir).query(query_kmers(spark, sf_dir).select("kmer")))
 
 
 @query

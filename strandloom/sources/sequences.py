@@ -1,12 +1,12 @@
 """FASTA, FASTQ, plain text, k-mer lists and segment files, all through Spark's text reader.
 
-Compressed files (.gz) are read by Hadoop's codecs.  Plain and FASTA files are split over
-tasks; a FASTQ file is one task, since its records have no mark that quality lines lack.
+Compressed files (.gz) are read by Hadoop's codecs.  Files of all kinds are split over tasks; a
+FASTQ record has no mark that quality lines lack, so its lines are numbered over the splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import is_dna
@@ -24,21 +24,35 @@ def _checked(df: DataFrame, validate: bool) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
     """``name, seq`` (upper case) of every record; sequence lines are joined."""
-    raw = spark.read.option("lineSep", ">").text(path).filter(F.length(F.trim("value")) > 0)
+    # A record starts at a line's begin; the first one of a file keeps its sign.
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).filter(F.length(F.regexp_replace("value", r"\s", "")) > 0)
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     body = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", ""))
     return _checked(raw.select(F.trim(head).alias("name"), body.alias("seq")), validate)
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value, _file, _line``: every line with its number in its file, from 0.
+
+    Lines are counted split by split, and one total a split meets the others in a running sum;
+    a split's lines follow each other in one task, so their own numbers need no order.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    splits = lines.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_block", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
+    return lines.join(splits, ["_file", "_block"]).select("value", "_file", (F.col("_row") - F.col("_first") + F.col("_before")).alias("_line"))
+
+
 def read_fastq(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
-    """``name, seq, qual`` of every four-line record."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n+$", ""), r"\r?\n").alias("l")).filter(F.length(F.array_join("l", "")) > 0)
-    records = lines.select("l", F.explode(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 4).cast("int"))).alias("i"))
-    at = lambda k: F.get("l", F.col("i") * 4 + k)
-    found = records.select(at(0).alias("head"), F.upper(F.trim(at(1))).alias("seq"), at(2).alias("plus"), at(3).alias("qual"))
+    """``name, seq, qual`` of every four-line record; blank lines after the last one are left out."""
+    lines = _numbered_lines(spark, path)
+    at = lambda k: F.max(F.when(F.col("_line") % 4 == k, F.col("value")))
+    records = lines.groupBy("_file", F.floor(F.col("_line") / 4).alias("_record")).agg(at(0).alias("head"), F.upper(F.trim(at(1))).alias("seq"), at(2).alias("plus"), F.rtrim(at(3)).alias("qual"))
+    found = records.filter(F.length(F.trim(F.concat_ws("", "head", "seq", "plus", "qual"))) > 0)
     broken = F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.coalesce("head", F.lit(""))))
     good = F.col("head").startswith("@") & F.coalesce(F.col("plus").startswith("+"), F.lit(False)) & (F.length("seq") == F.length("qual"))
-    return _checked(found.select(F.when(good, F.substring("head", 2, 1 << 20)).otherwise(broken.cast("string")).alias("name"), "seq", "qual"), validate)
+    return _checked(found.select(F.when(good, F.expr("substring(head, 2)")).otherwise(broken.cast("string")).alias("name"), "seq", "qual"), validate)
 
 
 def read_plain(spark: SparkSession, path: str) -> DataFrame:
@@ -71,12 +85,16 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return read_plain(spark, path)
 
 
+def is_sequence_file(path: str) -> bool:
+    """Whether the name is that of a FASTA or FASTQ file or folder."""
+    return path.rstrip("/").lower().endswith((*FASTA_ENDS, *FASTQ_ENDS))
+
+
 def read_queries(spark: SparkSession, path: str, k: int) -> DataFrame:
     """``kmer`` of a query file: all k-mers of sequence files, or the lines of a k-mer list."""
     from strandloom.operators.windows import kmer_windows
 
-    name = path.rstrip("/").lower()
-    if name.endswith((*FASTA_ENDS, *FASTQ_ENDS, ".spss")):
+    if is_sequence_file(path) or path.rstrip("/").lower().endswith(".spss"):
         seqs = read_any(spark, path).withColumn("id", F.monotonically_increasing_id())
         return kmer_windows(seqs, k).select("kmer")
     return read_kmer_list(spark, path)
