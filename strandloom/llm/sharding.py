@@ -17,7 +17,8 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
     ``items`` holds a row per item and a column per dimension.  Dimensions are scaled so
     that a shard's fair share is one.  Items go largest first; each goes, among the shards
     where it fits, to the one whose residual capacity has the greatest dot product with it,
-    and where it fits nowhere, to the one it overfills least.
+    and where it fits nowhere, to the one it overfills least.  ``level`` then evens out what
+    the last items left uneven.
     """
     total = items.sum(axis=0).astype(float)
     scaled = items / np.where(total > 0, total, 1) * shards
@@ -29,7 +30,44 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
         score = np.where(fits, left @ v, -np.inf) if fits.any() else (left - v).min(axis=1)
         out[i] = k = int(np.argmax(score))
         left[k] -= v
-    return out
+    return level(scaled, out, shards, 10 * shards)
+
+
+def level(items: np.ndarray, shard: np.ndarray, shards: int, rounds: int) -> np.ndarray:
+    """Lower the sum of squared loads by moving an item, or swapping two, between two shards a round.
+
+    The pairs tried are the fullest and the emptiest shard in each dimension; if they are at
+    their best, the one furthest from its fair share and every other.  Ends when no exchange helps.
+    """
+    shard = shard.copy()
+    load = np.zeros((shards, items.shape[1]))
+    np.add.at(load, shard, items)
+    none = np.zeros((1, items.shape[1]))
+
+    def best(a: int, b: int) -> tuple[float, int, int, int, int]:
+        """The greatest gain of an exchange of an item (or none, -1) of ``a`` for one of ``b``."""
+        own, other = np.flatnonzero(shard == a), np.flatnonzero(shard == b)
+        x, y, gap = np.concatenate([none, items[own]]), np.concatenate([none, items[other]]), load[a] - load[b]
+        # The moved vector v = x - y gains v . (gap - v).
+        gain = (x @ gap - (x * x).sum(axis=1))[:, None] - (y @ gap + (y * y).sum(axis=1))[None, :] + 2 * (x @ y.T)
+        i, j = np.unravel_index(int(gain.argmax()), gain.shape)
+        return float(gain[i, j]), a, b, int(own[i - 1]) if i else -1, int(other[j - 1]) if j else -1
+
+    for _ in range(rounds):
+        pairs = {(int(load[:, d].argmax()), int(load[:, d].argmin())) for d in range(items.shape[1])}
+        found = max(best(a, b) for a, b in sorted(pairs))
+        if found[0] <= 1e-9:
+            far = int(np.abs(load - load.mean(axis=0)).max(axis=1).argmax())
+            found = max((best(far, b) for b in range(shards) if b != far), default=found)
+        gain, a, b, i, j = found
+        if gain <= 1e-9:
+            break
+        for item, source, target in ((i, a, b), (j, b, a)):
+            if item >= 0:
+                shard[item] = target
+                load[source] -= items[item]
+                load[target] += items[item]
+    return shard
 
 
 def shard_by_vector_packing(

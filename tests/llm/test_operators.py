@@ -72,6 +72,40 @@ def test_sharding_balances_and_splits_hot_groups(spark):
         assert len(v) == 8 and max(v) <= 1.02 * min(v), (c, v)
 
 
+def test_levelling_against_all_exchanges():
+    """No move of one item and no swap of two lowers the sum of squared loads any more; what it costs is never more than before."""
+    rng = np.random.default_rng(4)
+    for trial in range(20):
+        items = rng.random((int(rng.integers(0, 30)), 3)) ** 3
+        start = rng.integers(0, 4, len(items)).astype(np.int32)
+
+        def cost(shard):
+            return sum(float((items[shard == k].sum(axis=0) ** 2).sum()) for k in range(4))
+
+        got = sharding.level(items, start, 4, 10_000)
+        assert got.shape == start.shape and cost(got) <= cost(start) + 1e-9
+        load = np.array([items[got == k].sum(axis=0) for k in range(4)]).reshape(4, 3)
+        far = int(np.abs(load - load.mean(axis=0)).max(axis=1).argmax())
+        for a, b in itertools.product([None, *np.flatnonzero(got == far)], [None, *np.flatnonzero(got != far)]):
+            for target in range(4) if b is None else [got[b]]:
+                other = got.copy()
+                if a is not None:
+                    other[a] = target
+                if b is not None:
+                    other[b] = far
+                assert cost(other) >= cost(got) - 1e-8, (trial, a, b)
+    assert len(sharding.place(np.zeros((0, 3)), 4)) == 0
+
+
+def test_few_uneven_groups_are_levelled(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, int(10 * 1.008**i))) for i in range(600)]
+    got = sharding.shard_by_vector_packing(spark.createDataFrame(rows, "doc_id long, text string"), shards=20).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    for c in ("b", "n"):
+        v = [r[c] for r in got]
+        assert len(v) == 20 and max(v) <= 1.01 * min(v), (c, sorted(v))
+
+
 def test_small_groups_stay_together(spark):
     rows = [(i, f"text number {i % 500}") for i in range(2000)]
     got = sharding.shard_by_vector_packing(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).groupBy("text_crc32").agg(F.countDistinct("shard").alias("n"))
