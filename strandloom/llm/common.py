@@ -75,13 +75,14 @@ def join_counted(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return both.filter(F.col("_met").isNotNull()).select(*left.columns, *[F.col(f"_met.{c}").alias(c) for c in names])
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[Column], out: str, parts: int = 64) -> DataFrame:
+def number_rows(df: DataFrame, group: list[str], order: list[Column], out: str, rows: int) -> DataFrame:
     """Gapless numbers from 0 within each group, for groups of any size.
 
-    Every group is dealt over ``parts`` slices by the hash of the ordering columns;
-    a slice is numbered alone and shifted by the total of the slices before it.
-    Only the (group, slice) totals, at most ``parts`` rows a group, meet in one task.
+    Every group is dealt over slices by the hash of the ordering columns, one for each million
+    of the ``rows`` of all groups and 64 at least; a slice is numbered alone and shifted by the
+    total of the slices before it.  Only a group's slice totals meet in one task.
     """
+    parts = max(64, rows // 1_000_000)
     df = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
     counts = df.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -71,7 +71,7 @@ def pack_by_length(
     )
     rows = cut.join(F.broadcast(table), F.col("n_tokens") == F.col("_k")).drop("_k")
     order = [F.xxhash64("_id", "seq_no"), F.col("_id"), F.col("seq_no"), F.col("n_tokens")]
-    rows = number_rows(rows, ["bucket"], order, "_at")
+    rows = number_rows(rows, ["bucket"], order, "_at", sum(histogram.values()))
     held = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))).cast("long"))
     return rows.select(
         F.col("_id").alias(id_col), "seq_no", "first_token", "n_tokens", "bucket", "bucket_len",

@@ -116,5 +116,5 @@ def shard_by_vector_packing(
     chosen = place(vectors, shards)
     table = docs.sparkSession.createDataFrame([(u["_unit"], u["_piece"], int(s)) for u, s in zip(units, chosen)], "_u long, _p int, shard int")
     placed = item.join(F.broadcast(table), (F.col("_unit") == F.col("_u")) & (F.col("_piece") == F.col("_p"))).drop("_u", "_p", "_unit", "_piece")
-    placed = number_rows(placed, ["shard"], [F.col("_id"), F.col("text_crc32"), F.col("size")], "slot")
+    placed = number_rows(placed, ["shard"], [F.col("_id"), F.col("text_crc32"), F.col("size")], "slot", total["one"])
     return placed.select(F.col("_id").alias(id_col), "size", "text_crc32", "tokens", "shard", "slot")

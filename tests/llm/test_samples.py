@@ -18,10 +18,11 @@ def test_smallest_hashed(spark, n):
 
 def test_number_rows(spark):
     rows = spark.range(500).select((F.col("id") % 3).alias("g"), "id").unionAll(spark.createDataFrame([(None, 7), (None, 7), (None, None)], "g long, id long"))
-    got = number_rows(rows, ["g"], [F.col("id")], "n").collect()
-    for g in (0, 1, 2, None):
-        own = sorted(r.n for r in got if r.g == g)
-        assert own == list(range(len(own))) and own
+    for many in (503, 200_000_000):  # 64 and 200 slices
+        got = number_rows(rows, ["g"], [F.col("id")], "n", many).collect()
+        for g in (0, 1, 2, None):
+            own = sorted(r.n for r in got if r.g == g)
+            assert own == list(range(len(own))) and own
 
 
 def test_join_counted_with_and_without_hot_keys(spark):
