@@ -35,15 +35,12 @@ def pack_bytes(col: Column) -> Column:
     """Binary of four bases a byte, the first in the low bits; the last byte is filled with zero bits."""
     digits = F.translate(F.upper(col), BASES, DIGITS)
     filled = F.rpad(digits, (F.ceil(F.length(col) / 4) * 4).cast("int"), F.lit("0"))
-    count = F.ceil(F.length(col) / 4).cast("int")
     # In a reversed group of four digits the first base is lowest: two hex digits each.
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.lpad(F.conv(F.reverse(F.substring(filled, i * 4 + 1, F.lit(4))), 4, 16), 2, "0"))
-    return F.when(F.length(col) > 0, F.unhex(F.array_join(groups, ""))).otherwise(F.when(col.isNotNull(), F.unhex(F.lit(""))))
+    groups = F.transform(F.regexp_extract_all(filled, F.lit("(?s).{4}"), F.lit(0)), lambda g: F.lpad(F.conv(F.reverse(g), 4, 16), 2, "0"))
+    return F.unhex(F.array_join(groups, ""))
 
 
 def unpack_bytes(data: Column, length: Column) -> Column:
     """The first ``length`` bases of packed bytes; fewer if the bytes end before."""
-    hexed = F.hex(data)
-    count = F.octet_length(data).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.reverse(F.lpad(F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 4), 4, "0")))
-    return F.when(count > 0, F.substring(decode_bases(F.array_join(groups, "")), F.lit(1), length.cast("int"))).otherwise(F.when(data.isNotNull(), F.lit("")))
+    groups = F.transform(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0)), lambda h: F.reverse(F.lpad(F.conv(h, 16, 4), 4, "0")))
+    return F.substring(decode_bases(F.array_join(groups, "")), F.lit(1), length.cast("int"))

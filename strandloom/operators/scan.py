@@ -19,18 +19,21 @@ def scan_lookup(reads: DataFrame, index: DataFrame, k: int, canonical_mode: bool
     return lookup(windows, index, k, canonical_mode)
 
 
-def with_extension(scan: DataFrame) -> DataFrame:
+def with_extension(scan: DataFrame, block: int = 1 << 16) -> DataFrame:
     """Adds ``is_extension``: the window continues its predecessor's hit by one base in its direction.
 
-    Well defined if every k-mer has one place (a spectrum-preserving string set).
+    Well defined if every k-mer has one place (a spectrum-preserving string set).  A read is dealt
+    in blocks of so many windows, each with the last window before it, so no task holds a long one.
     """
-    before = Window.partitionBy("query_id").orderBy("pos")
+    own = F.floor(F.col("pos") / block)
+    dealt = scan.withColumn("_block", F.explode(F.when(F.pmod(F.col("pos"), F.lit(block)) == block - 1, F.array(own, own + 1)).otherwise(F.array(own))))
+    before = Window.partitionBy("query_id", "_block").orderBy("pos")
     prev = lambda c: F.lag(c).over(before)
     follows = (
         F.col("found") & prev("found") & (prev("pos") == F.col("pos") - 1) & (prev("string_id") == F.col("string_id"))
         & (prev("orientation") == F.col("orientation")) & (F.col("kmer_offset") == prev("kmer_offset") + F.col("orientation"))
     )
-    return scan.withColumn("is_extension", F.coalesce(follows, F.lit(False)))
+    return dealt.withColumn("is_extension", F.coalesce(follows, F.lit(False))).filter(F.col("_block") == own).drop("_block")
 
 
 def scan_stats(scan: DataFrame) -> DataFrame:

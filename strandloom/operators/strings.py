@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import is_dna
+from strandloom.operators.windows import CHUNK, chunks
 
 #: Rows of one slice of the running offsets.
 SLICE = 1 << 16
@@ -55,17 +56,22 @@ def locate(positions: DataFrame, strings: DataFrame, position: str = "pos", widt
 
 def kmer_at(positions: DataFrame, strings: DataFrame, k: int, position: str = "pos", width: int = 4096) -> DataFrame:
     """``positions`` with ``string_id`` and the k-mer that starts there; null where it would leave its string."""
-    found = locate(positions, strings, position, width).drop("string_begin", "string_end")
-    texts = strings.select(F.col("string_id").alias("_sid"), F.col("string_begin"), F.col("string_end"), "seq")
-    joined = found.join(texts, F.col("string_id") == F.col("_sid"), "left")
-    fits = F.col(position) + k <= F.col("string_end")
-    kmer = F.when(fits, F.substring("seq", (F.col(position) - F.col("string_begin") + 1).cast("int"), F.lit(k)))
-    return joined.select(*positions.columns, "string_id", kmer.alias("kmer"))
+    found = locate(positions, strings, position, width)
+    return _with_kmer(found, F.col(position) - F.col("string_begin"), strings, k).drop("string_begin", "string_end")
 
 
 def kmer_in_string(wanted: DataFrame, strings: DataFrame, k: int) -> DataFrame:
     """``string_id, pos`` with the k-mer at that place of that string; null where there is none."""
-    texts = strings.select(F.col("string_id").alias("_sid"), "seq")
-    joined = wanted.join(texts, F.col("string_id") == F.col("_sid"), "left")
-    fits = (F.col("pos") >= 0) & (F.col("pos") + k <= F.length("seq"))
-    return joined.select(*wanted.columns, F.when(fits, F.substring("seq", (F.col("pos") + 1).cast("int"), F.lit(k))).alias("kmer"))
+    return _with_kmer(wanted, F.col("pos"), strings, k)
+
+
+def _with_kmer(rows: DataFrame, place: Column, strings: DataFrame, k: int) -> DataFrame:
+    """``rows`` (with ``string_id``) and the k-mer at that place of that string; null where there is none.
+
+    Strings are joined chunk by chunk: a k-mer is cut from a short text, and the places of one
+    long string are dealt over its chunks.
+    """
+    texts = chunks(strings.select("string_id", "seq"), k, ["string_id"]).select(F.col("string_id").alias("_sid"), F.col("_c").cast("bigint").alias("_c"), "_text")
+    joined = rows.join(texts, (F.col("string_id") == F.col("_sid")) & (F.floor(place / CHUNK) == F.col("_c")), "left")
+    kmer = F.substring("_text", (F.pmod(place, F.lit(CHUNK)) + 1).cast("int"), F.lit(k))
+    return joined.select(*rows.columns, F.when(F.length(kmer) == k, kmer).alias("kmer"))

@@ -26,7 +26,7 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _chunks(seqs: DataFrame, k: int, keep: list[str], left: int = 0, right: int = 0) -> DataFrame:
+def chunks(seqs: DataFrame, k: int, keep: list[str], left: int = 0, right: int = 0) -> DataFrame:
     """The kept columns, ``_c`` and ``_text``: consecutive chunks of ``CHUNK`` windows of k letters each,
     with ``left`` letters more before (but for the first) and ``right`` more after.
 
@@ -63,7 +63,7 @@ def _places(k: int) -> Column:
 def kmer_windows(seqs: DataFrame, k: int, keep: list[str] | None = None) -> DataFrame:
     """Every window of k letters: the kept columns, ``pos`` from 0, and ``kmer`` as it stands."""
     keep = [c for c in seqs.columns if c != "seq"] if keep is None else keep
-    rows = _chunks(seqs, k, keep).select(*keep, "_c", "_text", _places(k))
+    rows = chunks(seqs, k, keep).select(*keep, "_c", "_text", _places(k))
     return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), F.substring("_text", F.col("_p") + 1, F.lit(k)).alias("kmer"))
 
 
@@ -73,7 +73,7 @@ def keyed_windows(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
 
     Both strands' order keys are pieces of two strings that are made once per chunk.
     """
-    rows = _chunks(seqs, k, keep)
+    rows = chunks(seqs, k, keep)
     rows = rows.select(*keep, "_c", "_text", F.explode(F.array(F.struct(order_key(F.col("_text")).alias("f"), reverse_order_key(F.col("_text")).alias("r")))).alias("_o"))
     rows = rows.select(*keep, "_c", F.length("_text").alias("_n"), F.col("_o.f").alias("_f"), F.col("_o.r").alias("_r"), _places(k))
     fwd, rev = F.substring("_f", F.col("_n") - F.col("_p") - k + 1, F.lit(k)), F.substring("_r", F.col("_p") + 1, F.lit(k))
@@ -120,7 +120,7 @@ def _with_minimizers(rows: DataFrame, k: int, m: int, canonical: bool, seed: int
 def minimizers(seqs: DataFrame, k: int, m: int, canonical: bool = False, seed: int = 1) -> DataFrame:
     """One row per window: ``pos, minimizer, pos_in_kmer`` and the columns of ``seqs`` but its text."""
     keep = [c for c in seqs.columns if c != "seq"]
-    rows = _with_minimizers(_chunks(seqs, k, keep), k, m, canonical, seed).select(*keep, "_c", F.posexplode("mins").alias("_p", "_m"))
+    rows = _with_minimizers(chunks(seqs, k, keep), k, m, canonical, seed).select(*keep, "_c", F.posexplode("mins").alias("_p", "_m"))
     return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), F.col("_m.v").alias("minimizer"), (F.col("_m.i") - F.col("_p")).cast("int").alias("pos_in_kmer"))
 
 
@@ -132,7 +132,7 @@ def super_kmers(strings: DataFrame, k: int, m: int, canonical: bool = False, see
     k - m + 1 windows, so a chunk that sees one window before and that many after its own
     knows each of its runs whole.
     """
-    rows = _with_minimizers(_chunks(strings, k, ["string_id", "string_begin"], left=1, right=k - m + 1), k, m, canonical, seed)
+    rows = _with_minimizers(chunks(strings, k, ["string_id", "string_begin"], left=1, right=k - m + 1), k, m, canonical, seed)
     count = F.size("mins")
     starts = F.filter(F.sequence(F.lit(0), count - 1), lambda p: (p == 0) | (F.get("mins", p) != F.get("mins", p - 1)))
     rows = _held(rows, "_starts", starts).withColumn("_count", count).withColumn("_l", F.when(F.col("_c") > 0, 1).otherwise(0))

@@ -134,9 +134,8 @@ ORACLE_SQL: dict[str, str] = {
     "dict_roundtrip": f"WITH {PART}, {_strings('part_seq')} SELECT id, cast(unnest(range(0, 128 - {K} + 1)) AS INTEGER) AS pos, string_begin - string_id * {K - 1} + pos AS kmer_id, string_begin + pos AS kmer_offset, string_id FROM strings",
     "base_encode": f"WITH {DOCS} SELECT id, translate(seq, 'ACTG', '0123') AS codes, seq AS bases FROM doc_seq",
     "revcomp": f"WITH {DOCS} SELECT id, translate(seq, 'ACGT', 'TGCA') AS comp, {_rc('seq')} AS rc FROM doc_seq",
-    "pack_bytes": f"""WITH {PART}, cut AS (SELECT id, substr(seq, 1, cast(id % 128 + 1 AS INTEGER)) AS seq FROM part_seq)
-SELECT id, array_to_string(list_transform(range(0, cast(ceil(length(seq) / 4) AS BIGINT)), lambda b: lower(printf('%02x', cast(list_sum(list_transform(range(0, 4), lambda j:
- CASE WHEN substr(seq, cast(4 * b + j AS INTEGER) + 1, 1) = '' THEN 0 ELSE (strpos('ACTG', substr(seq, cast(4 * b + j AS INTEGER) + 1, 1)) - 1) << (2 * j) END)) AS BIGINT)))), '') AS packed_hex, seq AS unpacked FROM cut""",
+    "pack_bytes": f"""WITH {DOCS} SELECT id, array_to_string(list_transform(range(0, cast(ceil(length(seq) / 4) AS BIGINT)), lambda b: lower(printf('%02x', cast(list_sum(list_transform(range(0, 4), lambda j:
+ CASE WHEN substr(seq, cast(4 * b + j AS INTEGER) + 1, 1) = '' THEN 0 ELSE (strpos('ACTG', substr(seq, cast(4 * b + j AS INTEGER) + 1, 1)) - 1) << (2 * j) END)) AS BIGINT)))), '') AS packed_hex, seq AS unpacked FROM doc_seq""",
     "kmer_windows": f"WITH {DOCS}, {_windows('doc_seq', 'w')} SELECT * FROM w",
     "kmer_pack": f"WITH {PART}, {_windows('part_seq', 'w')} SELECT id, pos, {_bits('kmer', K)} AS bits FROM w",
     "kmer_unpack": f"WITH {PART}, {_windows('part_seq', 'w')} SELECT id, pos, kmer FROM w",
@@ -151,7 +150,7 @@ SELECT id, array_to_string(list_transform(range(0, cast(ceil(length(seq) / 4) AS
     "bucket_log2": f"WITH {DOCS} SELECT id, cast({_log2('length(seq)')} AS INTEGER) AS log2 FROM doc_seq",
     "kmer_pack_long": f"WITH {PART}, {_windows('part_seq', 'w', 63)} SELECT id, pos, {_bits('kmer', 31)} AS l0, {_bits('substr(kmer, 32, 31)', 31)} AS l1, {_bits('substr(kmer, 63, 1)', 1)} AS l2 FROM w",
     "spss_strings": f"WITH {DOCS}, {_strings('doc_seq')} SELECT string_id, string_begin, string_end, seq FROM strings",
-    "access_kmer": f"""WITH {DOCS}, {_strings('doc_seq')}, wanted AS (SELECT string_id, seq, cast(unnest([-1, 0, 7, 200]) AS BIGINT) AS pos FROM strings)
+    "access_kmer": f"""WITH {DOCS}, {_strings('doc_seq')}, wanted AS (SELECT string_id, seq, cast(unnest(range(-1, length(seq) + 1)) AS BIGINT) AS pos FROM strings)
 SELECT string_id, pos, CASE WHEN pos >= 0 AND pos + {K} <= length(seq) THEN substr(seq, pos + 1, {K}) END AS kmer FROM wanted""",
     "kmer_at_pos": f"""WITH {DOCS}, {_strings('doc_seq')}, {POSITIONS} SELECT pos, string_id, CASE WHEN pos + {K} <= string_end THEN substr(seq, pos - string_begin + 1, {K}) END AS kmer
 FROM positions LEFT JOIN strings ON pos >= string_begin AND pos < string_end""",

@@ -120,8 +120,7 @@ def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pack_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = fn.pack_bytes(F.col("seq"))
-    rows = X.seq_part(spark, sf_dir).select("id", F.substring(F.col("seq"), F.lit(1), (F.col("id") % 128 + 1).cast("int")).alias("seq"))
-    return rows.select("id", F.lower(F.hex(packed)).alias("packed_hex"), fn.unpack_bytes(packed, F.length("seq")).alias("unpacked"))
+    return X.seq_docs(spark, sf_dir).select("id", F.lower(F.hex(packed)).alias("packed_hex"), fn.unpack_bytes(packed, F.length("seq")).alias("unpacked"))
 
 
 @query
@@ -198,8 +197,8 @@ def spss_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def access_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs_dictionary(spark, sf_dir)
-    wanted = d.strings.select("string_id", F.explode(F.array(*[F.lit(p).cast("bigint") for p in (-1, 0, 7, 200)])).alias("pos"))
-    return d.access(wanted)
+    every = F.explode(F.sequence(F.lit(-1).cast("bigint"), F.col("string_end") - F.col("string_begin")))
+    return d.access(d.strings.select("string_id", every.alias("pos")))
 
 
 @query
@@ -377,7 +376,9 @@ def kmer_except(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def segment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary of numbered segments, of which some are too short to be strings: the number stays with its string."""
-    rows = X.seq_docs(spark, sf_dir).withColumn("segment_id", F.col("id") * 10 + 3)
+    path = X.scratch(spark, "segments")
+    X.seq_docs(spark, sf_dir).filter("seq <> ''").select(F.concat_ws("\t", (F.col("id") * 10 + 3).cast("string"), "seq")).write.text(path)
+    rows = sources.read_segments(spark, path).withColumn("id", F.col("segment_id"))
     return strings.string_set(rows, K).select("segment_id", "string_id")
 
 

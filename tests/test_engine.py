@@ -273,6 +273,10 @@ def test_scan_counters(spark, canonical):
     assert {c: got[c] for c in want} == want and got.windows == sum(want.values())
     assert tuple(scan.scan_check(d.stream_query(frame), d.index, k, canonical).first()) == (got.windows, 0)
     assert d.stats(frame.limit(0)).first().hit_rate is None
+    found = d.stream_query(frame)
+    whole = sorted(map(str, scan.with_extension(found).collect()))
+    for block in (1, 7, 8):  # reads in blocks of windows
+        assert sorted(map(str, scan.with_extension(found, block).collect())) == whole
 
 
 def test_positions(spark):
@@ -286,6 +290,20 @@ def test_positions(spark):
     assert got[16] == got[17] == (None, None)
 
 
+def test_places_in_strings_of_several_chunks(spark):
+    rng = random.Random(53)
+    held = [dna(rng, n) for n in (511, 512, 513, 526, 527, 528, 1100, 20)]
+    d = build_dictionary(seqs_of(spark, held), BuildConfig(k=15, m=4))
+    wanted = spark.createDataFrame([(i, p) for i, s in enumerate(held) for p in range(-1, len(s) + 1)] + [(99, 0), (None, 0)], "string_id long, pos long")
+    got = {(r.string_id, r.pos): r.kmer for r in d.access(wanted).collect()}
+    want = {(i, p): s[p : p + 15] if 0 <= p <= len(s) - 15 else None for i, s in enumerate(held) for p in range(-1, len(s) + 1)}
+    assert got == {**want, (99, 0): None, (None, 0): None}
+    begin = {r.string_id: r.string_begin for r in d.strings.collect()}
+    at = d.kmer_at(spark.range(sum(map(len, held)) + 3).select(F.col("id").alias("pos"))).collect()
+    assert all(r.kmer == (want[r.string_id, r.pos - begin[r.string_id]] if r.string_id is not None else None) for r in at)
+    assert sum(r.kmer is not None for r in at) == sum(len(s) - 14 for s in held)
+
+
 def test_save_and_load(spark, tmp_path):
     d = build_dictionary(seqs_of(spark, ["ACGTACGTAGG", "TTTACTTTT"]), BuildConfig(k=5, m=2, seed=7))
     path = str(tmp_path / "dict")
