@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import canonical, is_query_kmer, key_of_order, order_key, reverse_order_key
-from strandloom.operators.windows import keyed_windows, kmer_windows, stretches, super_kmers
+from strandloom.operators.windows import keyed_windows, kmer_windows, query_windows, stretches, super_kmers
 
 
 def index_kmers(strings: DataFrame, k: int) -> DataFrame:
@@ -39,6 +39,20 @@ def lookup(queries: DataFrame, index: DataFrame, k: int, canonical_mode: bool =
     q = queries.withColumn("_q", F.when(valid, text))
     fwd, rev = order_key(F.col("_q")), reverse_order_key(F.col("_q"))
     q = q.withColumn("_own", fwd < rev).withColumn("_key", F.when(F.col("_q").isNotNull(), key_of_order(F.least(fwd, rev), k)))
+    return _answers(q, queries.columns, index, k, canonical_mode)
+
+
+def lookup_windows(seqs: DataFrame, index: DataFrame, k: int, canonical_mode: bool = False) -> DataFrame:
+    """``lookup`` of every window of sequences (``seq``): their columns, ``pos, kmer, valid`` and the answer.
+
+    Keys of both strands are made chunk by chunk, not anew for each k-mer.
+    """
+    q = query_windows(seqs, k)
+    return _answers(q, [c for c in q.columns if c not in ("_key", "_own")], index, k, canonical_mode)
+
+
+def _answers(q: DataFrame, names: list[str], index: DataFrame, k: int, canonical_mode: bool) -> DataFrame:
+    """The columns ``names`` of ``q`` (with ``_key`` and ``_own``) and where each k-mer is."""
     joined = q.join(index, F.col("_key") == F.col("key"), "left")
     same = F.when(F.col("_own"), F.col("fwd")).otherwise(F.col("rev"))
     other = F.when(F.col("_own"), F.col("rev")).otherwise(F.col("fwd"))
@@ -49,7 +63,7 @@ def lookup(queries: DataFrame, index: DataFrame, k: int, canonical_mode: bool =
     hit = F.when(forward, same).otherwise(other)
     offset, sid = F.col("_hit.kmer_offset"), F.col("_hit.string_id")
     return joined.withColumn("_hit", hit).withColumn("_dir", F.when(forward, F.lit(1)).otherwise(F.lit(-1))).select(
-        *queries.columns,
+        *names,
         offset.isNotNull().alias("found"), (offset - sid * (k - 1)).alias("kmer_id"), (offset - F.col("_hit.string_begin")).alias("kmer_id_in_string"), offset.alias("kmer_offset"),
         F.when(offset.isNotNull(), F.col("_dir")).cast("int").alias("orientation"), sid.alias("string_id"), F.col("_hit.string_begin").alias("string_begin"), F.col("_hit.string_end").alias("string_end"),
     )

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions import is_query_kmer
-from strandloom.operators.lookups import lookup
-from strandloom.operators.windows import kmer_windows
+from strandloom.operators.lookups import lookup, lookup_windows
 
 
 def scan_lookup(reads: DataFrame, index: DataFrame, k: int, canonical_mode: bool = False) -> DataFrame:
@@ -15,8 +13,7 @@ def scan_lookup(reads: DataFrame, index: DataFrame, k: int, canonical_mode: bool
 
     Stateless, so it serves batch and stream alike.
     """
-    windows = kmer_windows(reads, k).withColumn("valid", is_query_kmer(F.col("kmer"), k))
-    return lookup(windows, index, k, canonical_mode)
+    return lookup_windows(reads, index, k, canonical_mode)
 
 
 def with_extension(scan: DataFrame, block: int = 1 << 16) -> DataFrame:

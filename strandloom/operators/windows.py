@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions import key_of_order, mix31, order_key, pack, reverse_complement, reverse_order_key
+from strandloom.functions import is_dna, is_query_kmer, key_of_order, mix31, order_key, pack, reverse_complement, reverse_order_key
 
 
 #: Windows of one chunk of a sequence.
@@ -80,6 +80,22 @@ def keyed_windows(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
     return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), key_of_order(F.least(fwd, rev), k).alias("key"), (fwd < rev).alias("own"))
 
 
+def query_windows(seqs: DataFrame, k: int) -> DataFrame:
+    """Every window of sequences of any letters: their columns, ``pos``, ``kmer`` as it stands, ``valid`` (k
+    letters ACGT in either case), and as in ``keyed_windows`` ``_key``, null if not valid, and ``_own``.
+
+    Letters are tested once a chunk, and window by window only where a chunk holds others.
+    """
+    keep = [c for c in seqs.columns if c != "seq"]
+    text = F.upper("_text")
+    made = F.struct(order_key(text).alias("f"), reverse_order_key(text).alias("r"), is_dna(F.col("_text")).alias("clean"))
+    rows = _held(chunks(seqs, k, keep), "_o", made).select(*keep, "_c", "_text", F.length("_text").alias("_n"), F.col("_o.f").alias("_f"), F.col("_o.r").alias("_r"), F.col("_o.clean").alias("_clean"), _places(k))
+    fwd, rev = F.substring("_f", F.col("_n") - F.col("_p") - k + 1, F.lit(k)), F.substring("_r", F.col("_p") + 1, F.lit(k))
+    kmer = F.substring("_text", F.col("_p") + 1, F.lit(k))
+    valid = F.col("_clean") | is_query_kmer(kmer, k)
+    return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), kmer.alias("kmer"), valid.alias("valid"), F.when(valid, key_of_order(F.least(fwd, rev), k)).alias("_key"), (fwd < rev).alias("_own"))
+
+
 def _hashes(seq: Column, m: int, seed: int, strand: int) -> Column:
     """For every m-mer of the sequence the struct (hash, order, place, value) of one strand.
 

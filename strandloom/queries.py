@@ -303,12 +303,12 @@ def skew_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lookup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary(spark, sf_dir).query(read_windows(spark, sf_dir))
+    return dictionary(spark, sf_dir).stream_query(X.reads(spark, sf_dir)).drop("valid")
 
 
 @query
 def lookup_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_dictionary(spark, sf_dir).query(windows.kmer_windows(X.seq_docs(spark, sf_dir), K)).select("id", "pos", "kmer_offset")
+    return docs_dictionary(spark, sf_dir).stream_query(X.seq_docs(spark, sf_dir)).select("id", "pos", "kmer_offset")
 
 
 @query
@@ -318,7 +318,7 @@ def lookup_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lookup_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_dictionary(spark, sf_dir, canonical=True).query(windows.kmer_windows(X.seq_docs(spark, sf_dir), K))
+    return docs_dictionary(spark, sf_dir, canonical=True).stream_query(X.seq_docs(spark, sf_dir)).drop("valid")
 
 
 @query
