@@ -294,7 +294,11 @@ def rate_documents(docs: DataFrame, model: LineModel, min_share: float = 0.5, id
 
 
 def drop_low_quality(docs: DataFrame, model: LineModel, min_share: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is kept, all columns unchanged, in one scan."""
+    """The rows of ``docs`` whose text ``rate_documents`` would keep, all columns unchanged, in one scan.
+
+    A null, empty or blank text goes.  Repeated rows stay or go together, an empty table gives no
+    rows, and columns of any name pass through.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
