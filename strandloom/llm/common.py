@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Most bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 8 << 20
@@ -42,10 +43,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scan(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded by bytes as well as by rows."""
+def scan(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes as well as by rows.
+
+    With a ``StructType``, that of a table with a user's columns, ``fn`` meets the columns by place,
+    as ``c0, c1, ...``, and gives them so: names with dots or quotes do not resolve.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # plans read it when they run
-    return df.mapInArrow(fn, schema)
+    if isinstance(schema, str):
+        return df.mapInArrow(fn, schema)
+    placed = StructType([StructField(f"c{k}", f.dataType, f.nullable, f.metadata) for k, f in enumerate(schema)])
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(fn, placed).toDF(*schema.names)
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def fresh(names: list[str], wanted: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strandloom.llm.common import fresh, scan, stage
+from strandloom.llm.common import columns_of, fresh, scan, stage
 from strandloom.llm.wordhash import Hasher, U, chunks
 
 #: ASCII characters that are no letters and no digits part words; all others stand for themselves.
@@ -269,7 +269,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.2, min_
         held = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
         bad = search_by_hash(held.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")), numbered(items, item_col, item_text_col), rate, min_words)
         bad = stage(bad.select(F.col("_row").alias("_contaminated")).distinct(), "contaminated").withColumnRenamed("_contaminated", fresh([*docs.columns, row], "_contaminated"))
-        return held.join(bad, held[row] == F.col(bad.columns[0]), "left_anti").select(*[held[c] for c in docs.columns])
+        return held.join(bad, held[row] == F.col(bad.columns[0]), "left_anti").select(*columns_of(docs))
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(small)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import fresh, join_counted, scan, stage
+from strandloom.llm.common import columns_of, fresh, join_counted, scan, stage
 from strandloom.llm.wordhash import Hasher, U, chunks, mix
 
 
@@ -169,7 +169,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, width: int = 12, id_col
     removed = fresh(docs.columns, "removed")
     spans = find_repeats(docs, min_words, width, id_col, text_col)
     spans = spans.groupBy(F.col(id_col).alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own_id"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("_row"), F.col(id_col).alias("_own_id"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     joined = rows.join(spans, F.col("_own_id").eqNullSafe(F.col("_cut_id")), "left").select("_row.*", F.coalesce("_cut", none).alias(removed))
     at = docs.columns.index(text_col)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import join_counted, scan, stage
+from strandloom.llm.common import columns_of, join_counted, scan, stage
 from strandloom.llm.components import connected_components
 from strandloom.llm.wordhash import STEP, U, mix
 
@@ -474,7 +474,7 @@ def keep_one_of_each(
     held = stage(firsts.join(near, F.col("_node") == F.col("node"), "left").select("_node", "_held", "_bytes", "_rep", F.col("root").alias("_group")), "candidates")
     sizes = held.filter("_group is not null").groupBy(F.col("_group").alias("_g")).agg(F.sum(F.col("_bytes") + 64).alias("_b"), F.count(F.lit(1)).alias("_n"))
     large = stage(sizes.filter(F.col("_b") > large_group).select("_g", "_n"), "large")
-    source = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"))
+    source = docs.select(F.struct(*columns_of(docs)).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"))
     if not large.isEmpty():
         own = stage(join_counted(held.filter("_group is not null"), large, "_group", "_g", "_n", ["_node"]).drop("_g"), "large-held")
         one = source.join(own, (F.col("_h") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_held")))
