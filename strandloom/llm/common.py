@@ -83,7 +83,7 @@ def join_counted(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     if hot.isEmpty():
         return left.join(right.drop(count), F.col(left_key) == F.col(right_key))
     cold = right.filter(F.col(count) <= max(hot_rows, total // 10_000)).select(F.col(right_key).alias("_cold_key"), F.struct(*names).alias("_cold"))
-    dealt = left.join(F.broadcast(hot), F.col(left_key) == F.col("_hot_key"), "left").withColumn("_dealt", F.when(F.col("_hot").isNull(), F.col(left_key)).otherwise(F.xxhash64(*spread)))
+    dealt = left.join(F.broadcast(hot), F.col(left_key) == F.col("_hot_key"), "left").withColumn("_dealt", F.when(F.col("_hot").isNull(), F.col(left_key)).otherwise(F.xxhash64(*spread).cast(left.schema[left_key].dataType)))
     both = dealt.join(cold, (F.col("_dealt") == F.col("_cold_key")) & F.col("_hot").isNull(), "left").withColumn("_met", F.coalesce("_hot", "_cold"))
     return both.filter(F.col("_met").isNotNull()).select(*left.columns, *[F.col(f"_met.{c}").alias(c) for c in names])
 

@@ -32,6 +32,8 @@ def test_join_counted_with_and_without_hot_keys(spark):
     for hot_rows in (100, 10_000):
         got = join_counted(left, right, "k", "key", "n", ["id"], hot_rows)
         assert got.columns == ["k", "id", "key", "v"] and sorted((tuple(r) for r in got.collect()), key=str) == want
+        text = join_counted(left.withColumn("k", F.col("k").cast("string")), right.withColumn("key", F.col("key").cast("string")), "k", "key", "n", ["id"], hot_rows)
+        assert sorted((tuple(r) for r in text.collect()), key=str) == [(str(a), b, str(c), d) for a, b, c, d in want]
 
 
 def test_fresh_names():
