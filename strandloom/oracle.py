@@ -199,6 +199,8 @@ direct AS (SELECT ways.kmer, coalesce(min(stored.kmer_offset) FILTER (stored.kme
 SELECT count(*) AS windows, count(*) FILTER (off IS DISTINCT FROM place) AS mismatches FROM hits LEFT JOIN direct ON direct.kmer = hits.kmer""",
     "stream_static": f"""WITH {PART_DICT}, per AS (SELECT query_id AS rid, count(*) AS windows, count(off) AS found, min(off) AS first_offset FROM hits GROUP BY query_id)
 SELECT event_id AS query_id, windows, found, first_offset FROM events JOIN per ON rid = event_id % (SELECT count(*) FROM part) + 1""",
+    "stream_chunked": f"""WITH {SCAN}, per AS (SELECT query_id AS rid, count(*) AS windows, count(off) AS found, count(*) FILTER (off IS NOT NULL AND NOT ext) AS searches, count(*) FILTER (ext) AS extensions, count(*) FILTER (NOT valid) AS invalid FROM flags GROUP BY query_id)
+SELECT event_id AS query_id, windows, found, searches, extensions, invalid FROM events JOIN per ON rid = event_id % (SELECT count(*) FROM part) + 1""",
     "query_report": f"""WITH {READS}, {_strings('part_seq')}, {_stored()}, {ASKED}, {_lookup('asked')}
 SELECT count(off) AS found, count(*) - count(off) AS not_found, count(*) AS total, round(count(off) * 100.0 / count(*), 6)::DOUBLE AS hit_rate FROM hits""",
     "self_check": f"WITH {DOCS_DICT}, {_lookup('w')} SELECT kmer FROM hits WHERE off IS NULL ORDER BY kmer LIMIT 10",

@@ -15,7 +15,7 @@ from strandloom.operators import buckets as B
 from strandloom.operators import lookups, reports, scan, strings, windows
 from strandloom.oracle import ORACLE_SQL
 from strandloom.plans import KmerDictionary, build_dictionary, load_dictionary
-from strandloom.streaming import read_stream, run_once, stream_scan
+from strandloom.streaming import chunk_scan, read_stream, run_once, stream_scan
 
 K, M = 31, 13
 M_HEAVY = 5  # so short that many buckets are heavy
@@ -415,6 +415,31 @@ def stream_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("query_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if("found").alias("found"), F.min("kmer_offset").alias("first_offset"))
 
 
+@query
+def stream_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event by event, the read it carries in chunks of 20 bases, which arrive in three waves and not in their order."""
+    source = X.scratch(spark, "chunks")
+    held = X.reads(spark, sf_dir)
+    count = held.count()
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % count + 1).alias("_read"))
+    span = int(events.agg(F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))).first()[0] or 0) + 1
+    cut = F.posexplode(F.regexp_extract_all("seq", F.lit("(?s).{1,20}"), F.lit(0))).alias("_c", "piece")
+    pieces = events.join(held, F.col("_read") == F.col("query_id")).select("event_id", "ts", cut).withColumn("_wave", (F.col("_c") + F.col("event_id")) % 3)
+    late = F.timestamp_seconds(F.unix_seconds("ts") + 2 * span * F.col("_wave"))
+    rows = pieces.select(F.col("event_id").alias("query_id"), (F.col("_c") * 20).cast("long").alias("start"), F.col("piece").alias("seq"), late.alias("ts"), "_wave")
+    for wave in range(3):
+        rows.filter(F.col("_wave") == wave).drop("_wave").repartition(4).write.mode("append").parquet(source)
+    stream = read_stream(spark, source, "query_id long, start long, seq string, ts timestamp", files_per_trigger=4)
+    out, stored = X.scratch(spark, "stream"), X.scratch(spark, "dictionary")
+    dictionary(spark, sf_dir).save(stored)  # or each micro-batch would build the index anew
+    scanned = chunk_scan(stream, load_dictionary(spark, stored).index, K, late=f"{span} seconds", hold_minutes=span // 10 + 1)
+    run_once(scanned.select("query_id", "pos", "valid", "found", "is_extension"), out, X.scratch(spark, "progress"))
+    return spark.read.parquet(out).groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("windows"), F.count_if("found").alias("found"), F.count_if(F.col("found") & ~F.col("is_extension")).alias("searches"),
+        F.count_if("is_extension").alias("extensions"), F.count_if(~F.col("valid")).alias("invalid"),
+    )
+
+
 @query
 def query_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A k-mer list with wrong lengths and letters."""

@@ -1,17 +1,22 @@
-"""Structured Streaming: whole reads need no state; reads in chunks keep their last k - 1 bases."""
+"""Structured Streaming: whole reads need no state; reads in chunks keep their last k - 1 bases and their last hit."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from strandloom.operators.lookups import lookup
+from strandloom.operators.lookups import lookup_windows
 from strandloom.operators.scan import scan_lookup
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 64) -> DataFrame:
     """A Parquet folder as a stream of reads."""
@@ -23,23 +28,157 @@ def stream_scan(reads: DataFrame, index: DataFrame, k: int, canonical_mode: bool
     return scan_lookup(reads, index, k, canonical_mode)
 
 
-def chunk_lookup(chunks: DataFrame, index: DataFrame, k: int, canonical_mode: bool = False) -> DataFrame:
-    """Lookups of reads that arrive in chunks (``query_id, chunk, seq``), windows across chunks included.
+class Pieces(StatefulProcessor):
+    """Chunks of reads (``start, seq``) put in order: every chunk with the k - 1 bases before it.
 
-    The state of a read is its last k - 1 bases and the count of those before; chunks of a
-    read must arrive in order between micro-batches, and are put in order within one.
+    Reads are grouped by a hash, since a call for each read would cost far more than its state; the
+    state of each is its own all the same: how far it has come, its last k - 1 bases, and the chunks that
+    wait for one before them.  It ends when the watermark has passed its last chunk by the time held: chunks
+    that still wait are given without what is missing before them, and a row of ``start`` -1 tells the
+    next operator that the read is over.
     """
 
-    def carry(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tail, start = state.get if state.exists else ("", 0)
-        pieces = pd.concat(list(frames)).sort_values("chunk")["seq"]
-        text = tail + "".join(pieces)
-        state.update((text[-(k - 1) :], start + max(len(text) - k + 1, 0)))
-        windows = [text[i : i + k] for i in range(len(text) - k + 1)]
-        yield pd.DataFrame({"query_id": [key[0]] * len(windows), "pos": range(start, start + len(windows)), "kmer": windows})
-
-    rows = chunks.groupBy("query_id").applyInPandasWithState(carry, "query_id long, pos long, kmer string", "tail string, start long", "append", "NoTimeout")
-    return lookup(rows, index, k, canonical_mode)
+    def __init__(self, k: int, hold_ms: int, id_kind: str) -> None:
+        self.k, self.hold_ms, self.id_kind = k, hold_ms, id_kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.come = handle.getMapState("come", f"query_id {self.id_kind}", "next long, tail string, waiting long, due long")
+        self.waiting = handle.getMapState("waiting", f"query_id {self.id_kind}, start long", "seq string")
+        self.timer = handle.getValueState("timer", "due long")
+
+    def _out(self, pieces: list[tuple[object, int, str]]) -> pd.DataFrame:
+        held = [p for p in pieces if len(p[2]) >= self.k]
+        return pd.DataFrame({"_bucket": [0] * len(held), "query_id": pd.Series([p[0] for p in held], dtype=object), "start": [p[1] for p in held], "seq": pd.Series([p[2] for p in held], dtype=object)})
+
+    def _waiting(self, read: object) -> dict[int, str]:
+        return {start: seq for (other, start), (seq,) in self.waiting.iterator() if other == read}
+
+    def _follow(self, read: object, at: int, tail: str, chunks: dict[int, str], flush: bool) -> tuple[int, str, list[tuple[object, int, str]]]:
+        """Takes what follows ``at`` out of ``chunks``, with ``flush`` beyond gaps too."""
+        pieces = []
+        for start in sorted(chunks):
+            if start > at and not flush:
+                break
+            if start > at:
+                at, tail = start, ""
+            new = chunks.pop(start)[at - start :]  # bases that came before are not read again
+            if new:
+                pieces.append((read, at - len(tail), tail + new))
+                at, tail = at + len(new), (tail + new)[-(self.k - 1) :]
+        return at, tail, pieces
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        came: dict[object, list[tuple]] = {}
+        for frame in rows:
+            for read, *chunk in zip(frame["query_id"], frame["start"], frame["seq"], frame["ts"]):
+                came.setdefault(read, []).append(chunk)
+        first, out = None, []
+        for read, new in came.items():
+            at, tail, count, due = self.come.getValue((read,)) or (0, "", 0, 0)
+            old = self._waiting(read) if count else {}
+            chunks = dict(old)
+            for start, seq, ts in new:
+                due = max(due, int(ts.timestamp() * 1000) + self.hold_ms)
+                if seq is not None and len(seq) > len(chunks.get(start, "")):
+                    chunks[int(start)] = seq
+            at, tail, pieces = self._follow(read, at, tail, chunks, flush=False)
+            for start in old.keys() - chunks.keys():
+                self.waiting.removeKey((read, start))
+            for start, seq in chunks.items():
+                if old.get(start) != seq:
+                    self.waiting.updateValue((read, start), (seq,))
+            self.come.updateValue((read,), (at, tail, len(chunks), due))
+            first = due if first is None else min(first, due)
+            out += pieces
+        if first is not None:
+            self._wake(first)
+        yield self._out(out)
+
+    def _wake(self, due: int) -> None:
+        """The next look at what is over: one timer at a time."""
+        timer = self.timer.get()
+        if timer is not None and timer[0] <= due:
+            return
+        if timer is not None:
+            self.handle.deleteTimer(timer[0])
+        self.handle.registerTimer(due)
+        self.timer.update((due,))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, later, out = timerValues.getCurrentWatermarkInMs(), None, []
+        self.timer.clear()
+        for (read,), (at, tail, count, due) in list(self.come.iterator()):
+            if due > now:
+                later = due if later is None else min(later, due)
+                continue
+            chunks = self._waiting(read) if count else {}
+            for start in chunks:
+                self.waiting.removeKey((read, start))
+            self.come.removeKey((read,))
+            out += [*self._follow(read, at, tail, chunks, flush=True)[2], (read, -1, "N" * self.k)]
+        if later is not None:
+            self._wake(later)
+        yield self._out(out)
+
+    def close(self) -> None:
+        pass
+
+
+class LastHit(StatefulProcessor):
+    """Windows of reads with ``is_extension``: the state is each read's last window and its hit, until the read is over."""
+
+    FIELDS = ("pos", "string_id", "kmer_offset", "orientation")
+
+    def __init__(self, id_kind: str) -> None:
+        self.id_kind = id_kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getMapState("last", f"query_id {self.id_kind}", "pos long, string_id long, kmer_offset long, orientation long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows)).sort_values(["query_id", "pos"], kind="stable").reset_index(drop=True)
+        read = got["query_id"].to_numpy()
+        # Nulls are not equal to anything, so no window follows or is followed by one without a hit.
+        own = {f: got[f].to_numpy(float) for f in self.FIELDS}
+        before = {f: np.r_[np.nan, v[:-1]] for f, v in own.items()}
+        starts = np.flatnonzero(np.r_[True, read[1:] != read[:-1]])
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(got)]):
+            over = int((own["pos"][lo:hi] < 0).sum())
+            state = self.last.getValue((read[lo],)) if lo + over < hi or over else None
+            if lo + over < hi:
+                for f, v in zip(self.FIELDS, state or [None] * 4):
+                    before[f][lo + over] = np.nan if v is None else v
+            if over:
+                if state is not None:
+                    self.last.removeKey((read[lo],))
+            else:
+                self.last.updateValue((read[lo],), tuple(None if np.isnan(own[f][hi - 1]) else int(own[f][hi - 1]) for f in self.FIELDS))
+        follows = (before["pos"] + 1 == own["pos"]) & (before["string_id"] == own["string_id"]) & (before["orientation"] == own["orientation"]) & (before["kmer_offset"] + own["orientation"] == own["kmer_offset"])
+        yield got.assign(is_extension=follows)[own["pos"] >= 0]
+
+    def close(self) -> None:
+        pass
+
+
+def chunk_scan(chunks: DataFrame, index: DataFrame, k: int, canonical_mode: bool = False, late: str = "10 minutes", hold_minutes: int = 10, buckets: int = 256) -> DataFrame:
+    """The scan of reads that arrive in chunks: ``query_id, start`` (of the chunk's first base in its read, from 0), ``seq`` and ``ts``.
+
+    Gives what ``scan.with_extension`` gives for whole reads, windows and extensions across chunks included.
+    Chunks of a read may come in any order and more than once.  A read is over once the watermark, ``late``
+    behind the greatest ``ts``, has passed its greatest ``ts`` by ``hold_minutes``; all its state goes then.  Chunks
+    that come behind the watermark are dropped and counted in the query's progress; a chunk whose
+    predecessor never came is looked up at the read's end, without windows across the gap, as is one that comes
+    after the end but before the watermark.  Reads are dealt over ``buckets`` by a hash.  The state is kept in RocksDB, the one store that serves timers.
+    """
+    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    bucket = F.pmod(F.xxhash64("query_id"), F.lit(buckets)).cast("int").alias("_bucket")
+    rows = chunks.select(bucket, "query_id", F.col("start").cast("long").alias("start"), "seq", "ts").filter("start IS NOT NULL").withWatermark("ts", late)
+    kind = chunks.schema["query_id"].dataType.simpleString()
+    pieces = rows.groupBy("_bucket").transformWithStateInPandas(Pieces(k, hold_minutes * 60_000, kind), f"_bucket int, query_id {kind}, start long, seq string", "append", "EventTime")
+    found = lookup_windows(pieces.drop("_bucket"), index, k, canonical_mode).withColumn("pos", (F.col("pos") + F.when(F.col("start") < 0, F.lit(-1)).otherwise(F.col("start"))).cast("long")).drop("start")
+    schema = StructType([*(StructField(f.name, f.dataType) for f in found.schema), StructField("is_extension", BooleanType())])
+    return found.withColumn("_bucket", bucket).groupBy("_bucket").transformWithStateInPandas(LastHit(kind), schema, "append", "None")
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:

@@ -14,7 +14,7 @@ from strandloom.operators import buckets as B
 from strandloom.operators import lookups, scan, strings, windows
 from strandloom.plans import build_dictionary, load_dictionary
 from strandloom.plans.dictionary import DictionaryFormatError, occurrences
-from strandloom.streaming import chunk_lookup, read_stream, run_once, stream_scan
+from strandloom.streaming import chunk_scan, read_stream, run_once, stream_scan
 from strandloom.streaming.reads import window_counts
 
 COMP = str.maketrans("ACGT", "TGCA")
@@ -334,17 +334,74 @@ def test_streams_equal_batch(spark, tmp_path):
     assert window_counts(scan.scan_lookup(frame, index, 15)).agg(F.sum("found")).first()[0] == len(want)
 
 
-def test_chunked_reads_keep_state(spark, tmp_path):
+def chunk_files(spark, folder, waves):
+    """One file, and so one micro-batch, per wave of (query_id, start, seq, minute)."""
+    for wave in waves:
+        rows = spark.createDataFrame(wave, "query_id long, start long, seq string, t long")
+        rows.select("query_id", "start", "seq", F.timestamp_seconds(1_700_000_000 + F.col("t") * 60).alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+
+
+def run_chunks(spark, tmp_path, index, k, waves, canonical=False):
+    """The rows that a stream over the waves gives, and what its state operators told of each micro-batch."""
+    chunk_files(spark, str(tmp_path / "in"), waves)
+    stream = read_stream(spark, str(tmp_path / "in"), "query_id long, start long, seq string, ts timestamp", files_per_trigger=1)
+    out = chunk_scan(stream, index, k, canonical)
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out")), [p.stateOperators for p in query.recentProgress]
+
+
+@pytest.mark.parametrize("canonical", [False, True])
+def test_chunked_reads_equal_the_batch_scan(spark, tmp_path, canonical):
+    """Chunks of any size, out of order, repeated, overlapping, with N and lower case: windows, hits and extensions of the whole reads."""
     rng = random.Random(43)
+    held = [dna(rng, 60) for _ in range(6)]
+    d = build_dictionary(seqs_of(spark, held), BuildConfig(k=15, m=5, canonical=canonical))
+    index = d.index.persist()
+    reads = [held[i % 6] if i % 3 else rc(held[i % 6]) for i in range(9)] + [held[1][:30] + "N" + held[1][31:], held[2].lower(), held[3][:40] + held[4], dna(rng, 50), "ACG", ""]
+    waves = [[], [], [], []]
+    for q, read in enumerate(reads):
+        at = 0
+        while at < len(read):
+            n, start = rng.randint(1, 25), max(0, at - rng.choice([0, 0, 3]))
+            piece = (q, start, read[start : at + n], 0)
+            waves[rng.randrange(4)].append(piece)
+            if rng.random() < 0.2:
+                waves[rng.randrange(4)].append(piece)
+            at += n
+    got, _ = run_chunks(spark, tmp_path, index, 15, waves, canonical)
+    frame = spark.createDataFrame(list(enumerate(reads)), "query_id long, seq string")
+    want = scan.with_extension(d.stream_query(frame))
+    columns = ["query_id", "pos", "kmer", "valid", "found", "kmer_offset", "orientation", "string_id", "is_extension"]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.withColumn("pos", F.col("pos").cast("long")).select(*columns).collect()))
+
+
+def test_state_of_finished_reads_ends_and_late_chunks_have_a_fate(spark, tmp_path):
+    rng = random.Random(44)
     held = [dna(rng, 60) for _ in range(4)]
     index = build_dictionary(seqs_of(spark, held), BuildConfig(k=15, m=5)).index.persist()
-    for c in range(3):  # a file, and so a micro-batch, per chunk
-        rows = [(i, c, held[i][20 * c : 20 * c + 20]) for i in range(4)]
-        spark.createDataFrame(rows, "query_id long, chunk long, seq string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = read_stream(spark, str(tmp_path / "in"), "query_id long, chunk long, seq string", files_per_trigger=1)
-    run_once(chunk_lookup(stream, index, 15).select("query_id", "pos", "kmer_offset"), str(tmp_path / "out"), str(tmp_path / "cp"))
-    got = {(r.query_id, r.pos): r.kmer_offset for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(i, p): 60 * i + p for i in range(4) for p in range(46)}
+    waves = [
+        [(0, 0, held[0][:20], 0), (1, 0, held[1][:20], 0)],
+        [(0, 20, held[0][20:], 5), (1, 30, held[1][30:], 5), (2, 0, held[2], 100)],  # 20 to 29 of read 1 never come
+        [(3, 0, held[3], 101)],
+        [(0, 20, held[0][20:], 5), (3, 0, held[3], 300)],  # behind the watermark: dropped; a read seen again
+        [(3, 0, held[3], 302)],
+        [(2, 20, held[2][20:], 295)],  # after the end of read 2, before the watermark: alone
+        [(9, 0, "ACGT", 2000)],
+    ]
+    got, progress = run_chunks(spark, tmp_path, index, 15, waves)
+    places = {}
+    for r in got.collect():
+        assert r.found and r.kmer_offset == 60 * r.query_id + r.pos
+        places.setdefault(r.query_id, []).append((r.pos, r.is_extension))
+    assert {q: sorted(v) for q, v in places.items()} == {
+        0: [(p, p > 0) for p in range(46)],
+        1: [(p, p not in (0, 30)) for p in [*range(6), *range(30, 46)]],
+        2: sorted([(p, p > 0) for p in range(46)] + [(p, p > 20) for p in range(20, 46)]),
+        3: [(p, p > 0) for p in range(46)],
+    }
+    assert sum(o.numRowsDroppedByWatermark for ops in progress for o in ops) == 1
+    assert [o.numRowsRemoved > 0 for o in progress[-1]] == [True, True] and all(o.numRowsTotal <= 3 for o in progress[-1])  # only read 9 is left
 
 
 @pytest.mark.parametrize("partitions", ["1", "8"])
