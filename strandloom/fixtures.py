@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import reverse_complement
+from strandloom.staging import scratch as scratch
 
 HEX, BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
 
@@ -44,16 +45,3 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(cut)
     )
     return rows.select(F.col("id").alias("query_id"), seq.alias("seq"))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``; in local mode a temporary one)."""
-    import tempfile
-    import uuid
-
-    home = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not home:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        home = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-    return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -43,6 +43,13 @@ def key_of_order(order: Column, k: int) -> Column:
     return F.struct(*limbs)
 
 
+def kmer_of_key(key: Column, k: int) -> Column:
+    """The k-mer of a join key."""
+    if k <= LONG_BASES:
+        return unpack(key, k)
+    return F.concat(*[unpack(key[f"l{i}"], min(LONG_BASES, k - a)) for i, a in enumerate(range(0, k, LONG_BASES))])
+
+
 def join_key(col: Column, k: int) -> Column:
     return key_of_order(order_key(col), k)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions import canonical, is_query_kmer, key_of_order, order_key, reverse_order_key
-from strandloom.operators.windows import keyed_windows, kmer_windows, query_windows, stretches, super_kmers
+from strandloom.functions import is_query_kmer, key_of_order, kmer_of_key, order_key, reverse_order_key
+from strandloom.operators.windows import keyed_windows, query_windows, stretches, super_kmers
 
 
 def index_kmers(strings: DataFrame, k: int) -> DataFrame:
@@ -27,6 +27,17 @@ def index_kmers(strings: DataFrame, k: int) -> DataFrame:
     return found.select("key", *sides)
 
 
+def repeated_kmers(strings: DataFrame, k: int) -> DataFrame:
+    """``kmer, places, first_offset, last_offset`` of every canonical k-mer that is stored more than once, on either strand.
+
+    A string set without such rows is spectrum-preserving.  Counts, minima and maxima are combined
+    before the shuffle, so a k-mer of very many places is no hot group.
+    """
+    rows = keyed_windows(strings, k, ["string_begin"]).withColumn("_at", (F.col("string_begin") + F.col("pos")).cast("bigint"))
+    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("places"), F.min("_at").alias("first_offset"), F.max("_at").alias("last_offset"))
+    return found.filter("places > 1").select(kmer_of_key(F.col("key"), k).alias("kmer"), "places", "first_offset", "last_offset")
+
+
 def lookup(queries: DataFrame, index: DataFrame, k: int, canonical_mode: bool = False) -> DataFrame:
     """``queries`` (with ``kmer``) and where each k-mer is: ``found, kmer_id, kmer_id_in_string,
     kmer_offset, orientation, string_id, string_begin, string_end``; nulls if it is nowhere.
@@ -76,24 +87,24 @@ def members(queries: DataFrame, index: DataFrame, k: int, absent: bool = False)
     return q.join(index.select("key"), F.col("_key") == F.col("key"), "left_anti" if absent else "left_semi").drop("_key")
 
 
-def canonical_set(strings: DataFrame, k: int) -> DataFrame:
-    """``kmer``: the distinct canonical k-mers of a string set, for set operations between dictionaries."""
-    return kmer_windows(strings.select("string_id", "seq"), k, []).select(canonical(F.col("kmer")).alias("kmer")).distinct()
+def canonical_keys(strings: DataFrame, k: int) -> DataFrame:
+    """``key``: the distinct canonical k-mers of a string set as join keys, for set operations between dictionaries."""
+    return keyed_windows(strings.select("string_id", "seq"), k, []).select("key").distinct()
 
 
 def kmer_union(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """``kmer`` of either string set, on either strand."""
-    return canonical_set(a, k).union(canonical_set(b, k)).distinct()
+    """``kmer`` of either string set, on either strand.  Longs are shuffled; letters are made at the end."""
+    return canonical_keys(a, k).union(canonical_keys(b, k)).distinct().select(kmer_of_key(F.col("key"), k).alias("kmer"))
 
 
 def kmer_intersect(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """``kmer`` of both string sets, on either strand."""
-    return canonical_set(a, k).join(canonical_set(b, k), "kmer", "left_semi")
+    return canonical_keys(a, k).join(canonical_keys(b, k), "key", "left_semi").select(kmer_of_key(F.col("key"), k).alias("kmer"))
 
 
 def kmer_except(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """``kmer`` of the first string set that the second does not hold on either strand."""
-    return canonical_set(a, k).join(canonical_set(b, k), "kmer", "left_anti")
+    return canonical_keys(a, k).join(canonical_keys(b, k), "key", "left_anti").select(kmer_of_key(F.col("key"), k).alias("kmer"))
 
 
 def minimizer_found(windows: DataFrame, tuples: DataFrame) -> DataFrame:

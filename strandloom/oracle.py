@@ -117,6 +117,16 @@ def _canonical(source: str) -> str:
 
 SCAN = f"""{PART_DICT}, flags AS (SELECT *, coalesce(regexp_matches(kmer, '^[ACGTacgt]*$'), false) AS valid,
  coalesce(off IS NOT NULL AND lag(sid) OVER o = sid AND lag(ori) OVER o = ori AND off = lag(off) OVER o + ori, false) AS ext FROM hits WINDOW o AS (PARTITION BY query_id ORDER BY pos))"""
+# A scan that stays on its string: all places of all windows, the stretches of each diagonal, and a walk from search to search.
+FOLLOWED = f"""{DOCS}, {_strings('doc_seq')}, {_stored()}, asked AS (SELECT id, seq FROM doc_seq UNION ALL SELECT -1 - id, {_rc('seq')} FROM doc_seq), {_windows('asked', 'w')}, {_lookup('w')},
+same AS (SELECT w.id, w.pos, string_id, 1 AS ori, kmer_offset - w.pos AS diagonal FROM w JOIN stored USING (kmer) UNION ALL SELECT w.id, w.pos, string_id, -1, kmer_offset + w.pos FROM w JOIN stored ON stored.kmer = {_rc('w.kmer')}),
+islands AS (SELECT *, pos - row_number() OVER (PARTITION BY id, string_id, ori, diagonal ORDER BY pos) AS island FROM same),
+ends AS (SELECT id, string_id, ori, diagonal, min(pos) AS lo, max(pos) AS hi FROM islands GROUP BY id, string_id, ori, diagonal, island),
+reach AS (SELECT h.id, h.pos, h.off, h.ori, h.sid, e.hi FROM hits h JOIN ends e ON e.id = h.id AND e.string_id = h.sid AND e.ori = h.ori AND e.diagonal = h.off - h.ori * h.pos AND h.pos BETWEEN e.lo AND e.hi),
+later AS (SELECT id, pos, min(CASE WHEN off IS NOT NULL THEN pos END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM hits),
+ahead AS (SELECT r.id, r.pos, later.nxt FROM reach r JOIN later ON later.id = r.id AND later.pos = r.hi + 1),
+walk(id, pos) AS (SELECT id, min(pos) FROM reach GROUP BY id UNION ALL SELECT walk.id, ahead.nxt FROM walk JOIN ahead ON ahead.id = walk.id AND ahead.pos = walk.pos WHERE ahead.nxt IS NOT NULL),
+runs AS (SELECT reach.* FROM walk JOIN reach USING (id, pos))"""
 _LOG2 = "CASE WHEN {0} <= 1 THEN 0 ELSE length(bin(cast({0} AS BIGINT) - 1)) END"
 
 
@@ -194,6 +204,11 @@ SELECT query_id, cast(p AS INTEGER) AS pos, v AS minimizer, cast(i - p AS INTEGE
     "stream_lookup": f"WITH {SCAN} SELECT query_id, pos, valid, off IS NOT NULL AS found, off AS kmer_offset, cast(ori AS INTEGER) AS orientation, ext AS is_extension FROM flags",
     "stream_stats": f"""WITH {SCAN} SELECT count(*) AS windows, count(off) AS found, count(*) - count(off) AS not_found, round(count(off) * 100.0 / count(*), 6)::DOUBLE AS hit_rate,
  count(*) FILTER (off IS NOT NULL AND NOT ext) AS searches, count(*) FILTER (ext) AS extensions, count(*) FILTER (NOT valid) AS invalid, count(*) FILTER (valid AND off IS NULL) AS negative FROM flags""",
+    "stream_runs_docs": f"WITH RECURSIVE {FOLLOWED} SELECT id AS query_id, cast(pos AS BIGINT) AS first_pos, cast(hi - pos + 1 AS BIGINT) AS num_kmers, off AS kmer_offset, cast(ori AS BIGINT) AS orientation, sid AS string_id FROM runs",
+    "stream_stats_docs": f"""WITH RECURSIVE {FOLLOWED} SELECT count(*) AS windows, count(off) AS found, count(*) - count(off) AS not_found, round(count(off) * 100.0 / count(*), 6)::DOUBLE AS hit_rate,
+ (SELECT count(*) FROM runs) AS searches, (SELECT cast(coalesce(sum(hi - pos), 0) AS BIGINT) FROM runs) AS extensions, 0::BIGINT AS invalid, count(*) FILTER (off IS NULL) AS negative FROM hits""",
+    "spss_violations": f"""WITH {DOCS}, {_strings('doc_seq')}, {_stored()}, {_canonical('stored').replace('SELECT DISTINCT', 'turned AS (SELECT kmer_offset,')})
+SELECT kmer, count(*) AS places, min(kmer_offset) AS first_offset, max(kmer_offset) AS last_offset FROM turned GROUP BY kmer HAVING count(*) > 1""",
     "stream_check": f"""WITH {PART_DICT}, ways AS (SELECT DISTINCT kmer, upper(kmer) AS same, {_rc('upper(kmer)')} AS turned FROM w),
 direct AS (SELECT ways.kmer, coalesce(min(stored.kmer_offset) FILTER (stored.kmer = same), min(stored.kmer_offset) FILTER (stored.kmer = turned)) AS place FROM ways JOIN stored ON stored.kmer IN (same, turned) GROUP BY ways.kmer)
 SELECT count(*) AS windows, count(*) FILTER (off IS DISTINCT FROM place) AS mismatches FROM hits LEFT JOIN direct ON direct.kmer = hits.kmer""",

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from strandloom.config import BuildConfig
 from strandloom.operators import buckets as B
-from strandloom.operators import lookups, reports, scan, strings, windows
+from strandloom.operators import lookups, reports, scan, seeds, strings, windows
+from strandloom.staging import staged
 
 FORMAT, VERSION = "strandloom-dictionary", 1
 
@@ -46,8 +47,26 @@ class KmerDictionary:
     def stream_query(self, reads: DataFrame) -> DataFrame:
         return scan.scan_lookup(reads, self.index, self.config.k, self.config.canonical)
 
-    def stats(self, reads: DataFrame) -> DataFrame:
-        return scan.scan_stats(self.stream_query(reads))
+    @cached_property
+    def is_unique(self) -> bool:
+        """Whether every k-mer has one place on either strand: as many places are stored as there are k-mers."""
+        places = self.strings.agg(F.coalesce(F.sum(F.length("seq").cast("long") - self.config.k + 1), F.lit(0))).first()[0]
+        return self.index.count() == places
+
+    def runs(self, reads: DataFrame) -> DataFrame:
+        """Every search of a scan of ``reads`` (``query_id, seq``) and how far its string is followed, whether or not k-mers repeat."""
+        found = staged(self.stream_query(reads), "scan")
+        return seeds.seeded_runs(found, reads, self.strings, self.config.k)
+
+    def stats(self, reads: DataFrame, unique: bool | None = None) -> DataFrame:
+        """The counters of a scan of ``reads``.  ``unique`` tells whether every k-mer has one place; by default that is found out.
+
+        With one place each, a window's neighbours tell whether it is an extension; else the scan is followed.
+        """
+        if self.is_unique if unique is None else unique:
+            return scan.scan_stats(self.stream_query(reads))
+        found = staged(self.stream_query(reads), "scan")
+        return seeds.seeded_stats(found, seeds.seeded_runs(found, reads, self.strings, self.config.k))
 
     def locate(self, positions: DataFrame, position: str = "pos") -> DataFrame:
         return strings.locate(positions, self.strings, position)

@@ -392,7 +392,31 @@ def stream_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary(spark, sf_dir).stats(X.reads(spark, sf_dir))
+    return dictionary(spark, sf_dir).stats(X.reads(spark, sf_dir), unique=True)
+
+
+def docs_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' sequences as reads: forward and, with negative numbers, reversed."""
+    rows = X.seq_docs(spark, sf_dir).select(F.col("id").alias("query_id"), "seq")
+    return rows.unionByName(rows.select((-1 - F.col("query_id")).alias("query_id"), fn.reverse_complement(F.col("seq")).alias("seq")))
+
+
+@query
+def stream_stats_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters over repeating input: the dictionary of the documents, scanned by them."""
+    return docs_dictionary(spark, sf_dir).stats(docs_reads(spark, sf_dir))
+
+
+@query
+def stream_runs_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every search of the same scan, and how far its string is followed."""
+    return docs_dictionary(spark, sf_dir).runs(docs_reads(spark, sf_dir))
+
+
+@query
+def spss_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical k-mers of more than one place, with how many they have, the first and the last."""
+    return lookups.repeated_kmers(docs_dictionary(spark, sf_dir).strings, K)
 
 
 @query

@@ -11,7 +11,7 @@ from strandloom import functions as fn
 from strandloom import sources
 from strandloom.config import BuildConfig, is_valid_k
 from strandloom.operators import buckets as B
-from strandloom.operators import lookups, scan, strings, windows
+from strandloom.operators import lookups, scan, seeds, strings, windows
 from strandloom.plans import build_dictionary, load_dictionary
 from strandloom.plans.dictionary import DictionaryFormatError, occurrences
 from strandloom.streaming import chunk_scan, read_stream, run_once, stream_scan
@@ -279,6 +279,73 @@ def test_scan_counters(spark, canonical):
         assert sorted(map(str, scan.with_extension(found, block).collect())) == whole
 
 
+def py_seeded(read, held, k, find):
+    """The scan that stays on the string it has found: (first window, windows, offset, orientation) of every search."""
+    begins, at = [], 0
+    for s in held:
+        if len(s) >= k:
+            begins.append((at, s))
+            at += len(s)
+    runs, state = [], None
+    for i in range(len(read) - k + 1):
+        q = read[i : i + k].upper()
+        if not re.fullmatch("[ACGT]*", q):
+            state = None
+            continue
+        if state:
+            off, turn = state[0] + state[1], state[1]
+            begin, s = next((b, s) for b, s in begins if b <= state[0] < b + len(s))
+            stored = s[off - begin : off - begin + k] if off >= begin else ""
+            if stored in (q, rc(q)):
+                state, runs[-1][1] = (off, turn), runs[-1][1] + 1
+                continue
+        state = find(q)
+        if state:
+            runs.append([i, 1, *state])
+    return [tuple(r) for r in runs]
+
+
+@pytest.mark.parametrize("canonical", [False, True])
+@pytest.mark.parametrize("k, block", [(5, 1 << 16), (5, 7), (11, 64)])
+def test_scans_of_repeats_follow_their_string(spark, canonical, k, block):
+    """Strings made of shared pieces, in both orientations, and reads across them: runs equal the state machine's."""
+    rng = random.Random(100 * k + block)
+    pieces = [dna(rng, rng.randint(k, 3 * k)) for _ in range(6)] + ["A" * 30, "ACACACACACAC"]
+
+    def made(n):
+        return "".join(p if rng.random() < 0.5 else rc(p) for p in rng.choices(pieces, k=n))
+
+    held = [made(rng.randint(1, 5)) for _ in range(14)] + [made(60), "ACG", "A" * 700]
+    long_one = held[14][200:900]
+    reads = [made(rng.randint(1, 6)) for _ in range(40)] + [held[14], rc(held[14]), held[3] + "N" + held[4].lower(), "A" * 1500, "", "AC", long_one[:350] + long_one[351:]]
+    d = build_dictionary(seqs_of(spark, held), BuildConfig(k=k, m=3, canonical=canonical))
+    frame = spark.createDataFrame(list(enumerate(reads)), "query_id long, seq string")
+    found = d.stream_query(frame)
+    got = {}
+    for r in seeds.seeded_runs(found, frame, d.strings, k, block).collect():
+        got.setdefault(r.query_id, []).append((r.first_pos, r.num_kmers, r.kmer_offset, r.orientation))
+    find = py_lookup(held, k, canonical)
+    want = {i: py_seeded(r, held, k, find) for i, r in enumerate(reads)}
+    assert {i: sorted(v) for i, v in got.items()} == {i: v for i, v in want.items() if v}
+    if block > 100:
+        stats = d.stats(frame).first()
+        assert (stats.searches, stats.extensions) == (sum(map(len, want.values())), sum(n - 1 for v in want.values() for _, n, _, _ in v))
+        assert stats.windows == stats.searches + stats.extensions + stats.invalid + stats.negative and not d.is_unique
+        assert d.stats(frame.limit(0)).first().searches == 0
+
+
+def test_a_long_repeat_is_followed_in_few_rounds(spark):
+    """A read that follows the later of two copies: 40,000 windows whose first places are elsewhere."""
+    rng = random.Random(5)
+    copy, head, tail = dna(rng, 40_000), dna(rng, 300), dna(rng, 300)
+    d = build_dictionary(seqs_of(spark, [copy, head + copy + tail]), BuildConfig(k=31, m=7))
+    for turn, read in ((1, head + copy + tail), (-1, rc(head + copy + tail))):
+        frame = spark.createDataFrame([(0, read)], "query_id long, seq string")
+        n = len(read) - 30
+        runs = seeds.seeded_runs(d.stream_query(frame), frame, d.strings, 31).collect()
+        assert [tuple(r)[1:] for r in runs] == [(0, n, 40_000 if turn > 0 else 40_000 + n - 1, turn, 1)]
+
+
 def test_positions(spark):
     d = build_dictionary(seqs_of(spark, ["ACGTACGTA", "TTTTTTT"]), BuildConfig(k=5, m=2))
     pos = spark.createDataFrame([(p,) for p in range(0, 18)], "pos long")
