@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import is_query_kmer, key_of_order, kmer_of_key, order_key, reverse_order_key
+from strandloom.functions.kmers import LONG_BASES
 from strandloom.operators.windows import keyed_windows, query_windows, stretches, super_kmers
 
 
 def index_kmers(strings: DataFrame, k: int) -> DataFrame:
-    """One row per canonical k-mer: ``key``, and the first place of either strand.
+    """One row per canonical k-mer: ``key`` (``l0, l1, ...`` above 31 bases), and the first place of either strand.
 
     ``fwd`` is the first place where the canonical form itself is stored, ``rev`` the first
     of its reverse complement, null if there is none.  Equal k-mers are met by their least
@@ -24,7 +27,7 @@ def index_kmers(strings: DataFrame, k: int) -> DataFrame:
     lows = [F.min(F.when(F.col("own") == own, F.col(c))).alias(f"{side}_{c}") for side, own in (("fwd", True), ("rev", False)) for c in fields]
     found = rows.groupBy("key").agg(*lows)
     sides = [F.when(F.col(f"{s}_kmer_offset").isNotNull(), F.struct(*[F.col(f"{s}_{c}").alias(c) for c in fields])).alias(s) for s in ("fwd", "rev")]
-    return found.select("key", *sides)
+    return found.select("key" if k <= LONG_BASES else "key.*", *sides)
 
 
 def repeated_kmers(strings: DataFrame, k: int) -> DataFrame:
@@ -38,6 +41,17 @@ def repeated_kmers(strings: DataFrame, k: int) -> DataFrame:
     return found.filter("places > 1").select(kmer_of_key(F.col("key"), k).alias("kmer"), "places", "first_offset", "last_offset")
 
 
+def key_columns(k: int) -> list[str]:
+    """The columns of an index that hold its key: one long, or a column for each limb, since stored buckets are made of plain columns."""
+    return ["key"] if k <= LONG_BASES else [f"l{i}" for i in range(-(-k // LONG_BASES))]
+
+
+def same_key(key: Column, k: int) -> Column:
+    """Whether a join key is that of an index row."""
+    names = key_columns(k)
+    return key == F.col("key") if names == ["key"] else reduce(lambda x, y: x & y, [key[c] == F.col(c) for c in names])
+
+
 def lookup(queries: DataFrame, index: DataFrame, k: int, canonical_mode: bool = False) -> DataFrame:
     """``queries`` (with ``kmer``) and where each k-mer is: ``found, kmer_id, kmer_id_in_string,
     kmer_offset, orientation, string_id, string_begin, string_end``; nulls if it is nowhere.
@@ -64,7 +78,7 @@ def lookup_windows(seqs: DataFrame, index: DataFrame, k: int, canonical_mode: bo
 
 def _answers(q: DataFrame, names: list[str], index: DataFrame, k: int, canonical_mode: bool) -> DataFrame:
     """The columns ``names`` of ``q`` (with ``_key`` and ``_own``) and where each k-mer is."""
-    joined = q.join(index, F.col("_key") == F.col("key"), "left")
+    joined = q.join(index, same_key(F.col("_key"), k), "left")
     same = F.when(F.col("_own"), F.col("fwd")).otherwise(F.col("rev"))
     other = F.when(F.col("_own"), F.col("rev")).otherwise(F.col("fwd"))
     if canonical_mode:
@@ -84,7 +98,7 @@ def members(queries: DataFrame, index: DataFrame, k: int, absent: bool = False)
     """The rows of ``queries`` whose k-mer is in the dictionary on either strand, or, if ``absent``, is not."""
     text = F.upper(F.col("kmer"))
     q = queries.withColumn("_key", F.when(is_query_kmer(F.col("kmer"), k), key_of_order(F.least(order_key(text), reverse_order_key(text)), k)))
-    return q.join(index.select("key"), F.col("_key") == F.col("key"), "left_anti" if absent else "left_semi").drop("_key")
+    return q.join(index.select(*key_columns(k)), same_key(F.col("_key"), k), "left_anti" if absent else "left_semi").drop("_key")
 
 
 def canonical_keys(strings: DataFrame, k: int) -> DataFrame:

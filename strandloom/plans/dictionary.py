@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -14,7 +15,7 @@ from strandloom.operators import buckets as B
 from strandloom.operators import lookups, reports, scan, seeds, strings, windows
 from strandloom.staging import staged
 
-FORMAT, VERSION = "strandloom-dictionary", 1
+FORMAT, VERSION = "strandloom-dictionary", 2
 
 
 class DictionaryFormatError(ValueError):
@@ -88,16 +89,32 @@ class KmerDictionary:
     def save(self, path: str, partitions: int | None = None) -> None:
         """Two Parquet tables and a metadata file; an existing dictionary is never overwritten.
 
-        The index is written sorted by key within hash partitions, so scans for keys skip row groups.
+        The index is written in buckets of its key, sorted, so a loaded dictionary is never shuffled again: only the
+        queries are, into its buckets.  ``partitions`` is their number, by default that of shuffle
+        partitions; with fewer buckets than a session's shuffle partitions Spark would shuffle both sides.
         """
         spark = self.strings.sparkSession
-        meta = {"format": FORMAT, "version": VERSION, **self.config.asdict()}
+        count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        meta = {"format": FORMAT, "version": VERSION, "buckets": count, **self.config.asdict()}
         self.strings.write.mode("errorifexists").parquet(f"{path}/strings")
-        dealt = self.index.repartition(partitions, "key") if partitions else self.index.repartition("key")
-        dealt.sortWithinPartitions("key").write.mode("errorifexists").parquet(f"{path}/index")
+        name, keys = _table_name(), lookups.key_columns(self.config.k)
+        self.index.repartition(count, *keys).write.format("parquet").bucketBy(count, *keys).sortBy(*keys).option("path", f"{path}/index").saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}")  # the files stay
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/meta")
 
 
+def _table_name() -> str:
+    return f"strandloom_{uuid.uuid4().hex}"
+
+
+def _stored_index(spark: SparkSession, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """The index's files as a bucketed table of this session."""
+    schema = spark.read.parquet(path).schema
+    name, columns = _table_name(), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(keys)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def build_dictionary(seqs: DataFrame, config: BuildConfig | None = None, order: str = "id") -> KmerDictionary:
     """The dictionary of sequences (``seq`` and the integer order column); nothing runs until it is queried."""
     config = config or BuildConfig()
@@ -113,7 +130,9 @@ def load_dictionary(spark: SparkSession, path: str) -> KmerDictionary:
         raise DictionaryFormatError(f"{path} has no readable metadata") from e
     if meta.pop("format", None) != FORMAT or meta.pop("version", None) != VERSION:
         raise DictionaryFormatError(f"{path} is not a dictionary of version {VERSION}")
-    return KmerDictionary(BuildConfig(**meta), spark.read.parquet(f"{path}/strings"), spark.read.parquet(f"{path}/index"))
+    buckets, config = meta.pop("buckets"), BuildConfig(**meta)
+    index = _stored_index(spark, f"{path}/index", lookups.key_columns(config.k), buckets)
+    return KmerDictionary(config, spark.read.parquet(f"{path}/strings"), index)
 
 
 def occurrences(dictionary: KmerDictionary) -> DataFrame:

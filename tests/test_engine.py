@@ -386,6 +386,30 @@ def test_save_and_load(spark, tmp_path):
         load_dictionary(spark, str(tmp_path / "other"))
 
 
+@pytest.mark.parametrize("k", [15, 63])
+def test_a_loaded_dictionary_is_not_shuffled_again(spark, tmp_path, k):
+    """Only the queries are, into the index's buckets; rows are those of the dictionary as built."""
+    rng = random.Random(k)
+    held = [dna(rng, 200) for _ in range(20)]
+    d = build_dictionary(seqs_of(spark, held), BuildConfig(k=k, m=5))
+    path = str(tmp_path / "dict")
+    d.save(path, partitions=8)
+    asked = spark.createDataFrame([(s[i : i + k] if i % 3 else rc(s[i : i + k]),) for s in [*held, dna(rng, 200)] for i in range(0, 130, 7)], "kmer string")
+    back = load_dictionary(spark, path)
+    for conf, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(conf, value)
+    try:
+        answers = back.query(asked)
+        plan = answers._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, answers.collect())) == sorted(map(str, d.query(asked).collect()))
+        inside = back.contains(asked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for text in (plan, inside):
+        assert text.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in text
+
+
 def test_streams_equal_batch(spark, tmp_path):
     rng = random.Random(41)
     held = [dna(rng, 60) for _ in range(10)]
