@@ -16,8 +16,8 @@ def string_set(seqs: DataFrame, k: int, on_invalid: str = "error", order: str =
     """``string_id, string_begin, string_end, seq`` (and further columns) of sequences of at least k bases.
 
     Ids are dense from 0 in the order of the integer column ``order``; shorter sequences take none.
-    Offsets are two-level prefix sums: within slices of the order column, and over slice
-    totals, of which there is one per ``SLICE`` values; only those meet in one task.
+    Offsets are three-level prefix sums: within slices of ``SLICE`` values of the order column, over the slices of
+    a group, and over the groups, of which there are at most 2**24 whatever the values are.
     ``on_invalid='split'`` cuts sequences at letters other than ACGT instead of failing.
     """
     seq = F.upper(F.col("seq"))
@@ -29,9 +29,7 @@ def string_set(seqs: DataFrame, k: int, on_invalid: str = "error", order: str =
         rows = seqs.select(F.col(order).cast("bigint").alias("_ord"), F.posexplode(F.split(seq, "[^ACGT]+")).alias("_part", "seq"), *extra)
     rows = rows.filter(F.length("seq") >= k).withColumn("_slice", F.floor(F.col("_ord") / SLICE).cast("bigint"))
     rows = rows.withColumn("_len", F.length("seq").cast("bigint"))
-    totals = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"), F.sum("_len").alias("_bases"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("_slice").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_bases").over(before), F.lit(0)).alias("_b0"))
+    totals = _before(rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"), F.sum("_len").alias("_bases")))
     inside = Window.partitionBy("_slice").orderBy("_ord", "_part")
     numbered = rows.withColumn("_i", F.row_number().over(inside) - 1).withColumn("_run", F.sum("_len").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     joined = numbered.join(totals, F.col("_slice") == F.col("_s"))
@@ -39,6 +37,21 @@ def string_set(seqs: DataFrame, k: int, on_invalid: str = "error", order: str =
     return joined.select((F.col("_n0") + F.col("_i")).cast("bigint").alias("string_id"), (end - F.col("_len")).cast("bigint").alias("string_begin"), end.cast("bigint").alias("string_end"), "seq", *extra)
 
 
+def _before(totals: DataFrame) -> DataFrame:
+    """``_s, _n0, _b0``: of each slice the rows and bases of all slices before it.
+
+    Slices are summed by groups of 2**24, so neither a group nor the groups' totals are more rows than
+    that in one task, even if ids are hashes and each has a slice of its own.
+    """
+    rows = totals.withColumn("_group", F.shiftright("_slice", 24))
+    sums = rows.groupBy("_group").agg(F.sum("_n").alias("_gn"), F.sum("_bases").alias("_gb"))
+    ahead = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("_group").alias("_g"), F.coalesce(F.sum("_gn").over(ahead), F.lit(0)).alias("_n1"), F.coalesce(F.sum("_gb").over(ahead), F.lit(0)).alias("_b1"))
+    inside = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("_group", F.col("_slice").alias("_s"), F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_ni"), F.coalesce(F.sum("_bases").over(inside), F.lit(0)).alias("_bi"))
+    return rows.join(sums, F.col("_group") == F.col("_g")).select("_s", (F.col("_n1") + F.col("_ni")).alias("_n0"), (F.col("_b1") + F.col("_bi")).alias("_b0"))
+
+
 def locate(positions: DataFrame, strings: DataFrame, position: str = "pos", width: int = 4096) -> DataFrame:
     """``positions`` with ``string_id, string_begin, string_end`` of the string that covers each; null if none.
 

@@ -47,13 +47,20 @@ def chunks(seqs: DataFrame, k: int, keep: list[str], left: int = 0, right: int =
 
 
 def stretches(reads: DataFrame, k: int) -> DataFrame:
-    """The runs of k or more letters ACGT (in upper case) of each sequence: its columns, ``seq`` being the run, and ``offset``."""
-    parts = F.regexp_extract_all(F.upper("seq"), F.lit("[ACGT]+|[^ACGT]+"), F.lit(0))
+    """Pieces of letters ACGT (in upper case) that hold each window of k such letters once: the columns of the reads, ``seq``
+    being the piece, and ``offset``.
+
+    Runs of such letters are cut further at chunks, so the work is linear in a sequence and no piece is long.
+    """
+    keep = [c for c in reads.columns if c != "seq"]
+    rows = chunks(reads.withColumn("seq", F.upper("seq")), k, keep)
+    parts = F.regexp_extract_all("_text", F.lit("[ACGT]+|[^ACGT]+"), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,seq:string>>").alias("held"))
     walked = F.aggregate(parts, start, lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["held"], F.array(F.struct(s["at"].alias("offset"), x.alias("seq")))).alias("held")))
-    keep = [c for c in reads.columns if c != "seq"]
-    found = reads.select(*keep, F.explode(F.filter(walked["held"], lambda p: p["seq"].rlike("^[ACGT]") & (F.length(p["seq"]) >= k))).alias("_p"))
-    return found.select(*keep, F.col("_p.seq").alias("seq"), F.col("_p.offset").alias("offset"))
+    whole = F.array(F.struct(F.lit(0).alias("offset"), F.col("_text").alias("seq")))
+    found = F.when(is_dna(F.col("_text")), whole).otherwise(F.filter(walked["held"], lambda p: p["seq"].rlike("^[ACGT]") & (F.length(p["seq"]) >= k)))
+    cut = rows.select(*keep, "_c", F.explode(found).alias("_p"))
+    return cut.select(*keep, F.col("_p.seq").alias("seq"), (F.col("_c") * CHUNK + F.col("_p.offset")).cast("int").alias("offset"))
 
 
 def _places(k: int) -> Column:
@@ -110,9 +117,11 @@ def _hashes(seq: Column, m: int, seed: int, strand: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.length(seq) - m), one)
 
 
-def _with_minimizers(rows: DataFrame, k: int, m: int, canonical: bool, seed: int) -> DataFrame:
+def _with_minimizers(rows: DataFrame, k: int, m: int, canonical: bool, seed: int, ties: bool = False) -> DataFrame:
     """Adds ``mins``: of every window of ``_text`` the struct (v, i), its minimizer and the minimizer's place.
 
+    With ``ties`` also t, whether both strands have one value: then the place depends on the strand read.
+
     The m-mer of the least hash wins, the leftmost of ties.  In canonical mode the strand of
     the lesser *value* wins, the forward one of ties; the place is always that on this strand.
     The m-mers of a chunk are hashed once and windows take slices, so nothing is shuffled.
@@ -128,7 +137,8 @@ def _with_minimizers(rows: DataFrame, k: int, m: int, canonical: bool, seed: int
             return F.struct(f["v"].alias("v"), f["i"].alias("i"))
         r = F.array_min(F.slice("_r", p + 1, F.lit(span)))
         first = r["v"] < f["v"]
-        return F.struct(F.when(first, r["v"]).otherwise(f["v"]).alias("v"), F.when(first, r["i"]).otherwise(f["i"]).alias("i"))
+        tie = [(r["v"] == f["v"]).alias("t")] if ties else []
+        return F.struct(F.when(first, r["v"]).otherwise(f["v"]).alias("v"), F.when(first, r["i"]).otherwise(f["i"]).alias("i"), *tie)
 
     return _held(rows, "mins", F.transform(F.sequence(F.lit(0), F.length("_text") - k), least)).drop("_f", "_r")
 
@@ -140,15 +150,16 @@ def minimizers(seqs: DataFrame, k: int, m: int, canonical: bool = False, seed: i
     return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), F.col("_m.v").alias("minimizer"), (F.col("_m.i") - F.col("_p")).cast("int").alias("pos_in_kmer"))
 
 
-def super_kmers(strings: DataFrame, k: int, m: int, canonical: bool = False, seed: int = 1, piece: bool = False) -> DataFrame:
+def super_kmers(strings: DataFrame, k: int, m: int, canonical: bool = False, seed: int = 1, piece: bool = False, ties: bool = False) -> DataFrame:
     """Runs of neighbouring windows that share a minimizer at one place.
 
     ``string_id, first_pos, minimizer, pos_in_seq`` (in the whole set), ``pos_in_kmer`` (of the
-    first window) and ``num_kmers``; with ``piece`` also the run's letters.  A run has at most
+    first window) and ``num_kmers``; with ``piece`` also the run's letters; in canonical mode with ``ties`` runs are cut
+    where ``tie`` changes: whether the minimizers of both strands have one value.  A run has at most
     k - m + 1 windows, so a chunk that sees one window before and that many after its own
     knows each of its runs whole.
     """
-    rows = _with_minimizers(chunks(strings, k, ["string_id", "string_begin"], left=1, right=k - m + 1), k, m, canonical, seed)
+    rows = _with_minimizers(chunks(strings, k, ["string_id", "string_begin"], left=1, right=k - m + 1), k, m, canonical, seed, ties)
     count = F.size("mins")
     starts = F.filter(F.sequence(F.lit(0), count - 1), lambda p: (p == 0) | (F.get("mins", p) != F.get("mins", p - 1)))
     rows = _held(rows, "_starts", starts).withColumn("_count", count).withColumn("_l", F.when(F.col("_c") > 0, 1).otherwise(0))
@@ -157,6 +168,7 @@ def super_kmers(strings: DataFrame, k: int, m: int, canonical: bool = False, see
     stop = F.coalesce(F.get("_starts", F.col("_k") + 1), F.col("_count"))
     at, base = F.get("mins", F.col("_p")), F.col("_c") * CHUNK - F.col("_l")
     letters = [F.substring("_text", F.col("_p") + 1, stop - F.col("_p") + k - 1).alias("piece")] if piece else []
+    letters += [at["t"].alias("tie")] if ties else []
     return rows.select(
         "string_id", (base + F.col("_p")).cast("int").alias("first_pos"), at["v"].alias("minimizer"), (F.col("string_begin") + base + at["i"]).cast("bigint").alias("pos_in_seq"),
         (at["i"] - F.col("_p")).cast("int").alias("pos_in_kmer"), (stop - F.col("_p")).cast("int").alias("num_kmers"), *letters,

@@ -193,6 +193,8 @@ SELECT id, pos, off - sid * 62 AS kmer_id, off AS kmer_offset, cast(ori AS INTEG
     "membership_semi": f"WITH {PART_DICT} SELECT query_id, pos, kmer FROM hits WHERE off IS NOT NULL",
     "membership_anti": f"WITH {PART_DICT} SELECT query_id, pos, kmer FROM hits WHERE off IS NULL",
     "minimizer_join": f"WITH {READS}, {_strings('part_seq')}, {_stored()}, {_windows('reads', 'w', ident='query_id')} SELECT query_id, pos, f.kmer_offset FROM w JOIN firsts f ON f.kmer = upper(w.kmer)",
+    "minimizer_join_canonical": f"""WITH {DOCS}, {_strings('doc_seq')}, {_stored()}, asked AS (SELECT id AS query_id, seq FROM doc_seq UNION ALL SELECT -1 - id, {_rc('seq')} FROM doc_seq), {_windows('asked', 'w', ident='query_id')}, {_lookup('w', canonical=True)}
+SELECT query_id, pos, off AS kmer_offset, cast(ori AS INTEGER) AS orientation FROM hits WHERE off IS NOT NULL""",
     "minimizer_found": f"""WITH {READS}, {_strings('part_seq')}, whole AS (SELECT query_id, regexp_replace(upper(seq), '[^ACGT]', 'A', 'g') AS seq FROM reads), {_mins('whole', M, cols='query_id')},
 mine AS (SELECT query_id, p, v, i FROM mins JOIN reads USING (query_id) WHERE regexp_matches(substr(reads.seq, cast(p AS INTEGER) + 1, {K}), '^[ACGTacgt]*$')), {_mins('strings', M, cols='string_id').replace('mers AS', 'mers2 AS').replace('FROM mers)', 'FROM mers2)').replace('spread AS', 'spread2 AS').replace('spread s', 'spread2 s').replace('lens AS', 'lens2 AS').replace('JOIN lens', 'JOIN lens2').replace('near AS', 'near2 AS').replace('FROM near', 'FROM near2').replace('fwd AS', 'fwd2 AS').replace('FROM fwd', 'FROM fwd2').replace('mins AS', 'mins2 AS')},
 known AS (SELECT DISTINCT v AS kv FROM mins2)

@@ -344,6 +344,12 @@ def minimizer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.minimizer_join(X.reads(spark, sf_dir), dictionary(spark, sf_dir).strings, K, M)
 
 
+@query
+def minimizer_join_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both strands of repeating input, by canonical super-k-mers and, of heavy minimizers, by k-mers."""
+    return lookups.minimizer_lookup(docs_reads(spark, sf_dir), docs_dictionary(spark, sf_dir, canonical=True).strings, K, M)
+
+
 @query
 def minimizer_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = windows.minimizers(windows.stretches(X.reads(spark, sf_dir), K), K, M)

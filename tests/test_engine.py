@@ -126,6 +126,11 @@ def test_string_set(spark):
     # Ids over many slices of the order column.
     many = spark.range(0, 40).select((F.col("id") * 50_000).alias("id"), F.lit("ACGTA").alias("seq"))
     assert [(r.string_id, r.string_begin) for r in strings.string_set(many, 5).orderBy("string_id").collect()] == [(i, 5 * i) for i in range(40)]
+    # Ids that are hashes, negative ones too.
+    hashed = spark.range(0, 300).select(F.xxhash64("id").alias("id"), F.concat(F.lit("ACGTA"), F.repeat(F.lit("C"), (F.col("id") % 7).cast("int"))).alias("seq"))
+    rows = sorted((r.id, r.seq) for r in hashed.collect())
+    got = strings.string_set(hashed, 5).orderBy("string_id").collect()
+    assert [(r.string_id, r.string_begin, r.seq) for r in got] == [(i, sum(len(s) for _, s in rows[:i]), seq) for i, (_, seq) in enumerate(rows)]
 
 
 def test_locate(spark):
@@ -234,6 +239,31 @@ def test_heavy_buckets_are_exact(spark):
     assert fast == plain and len(fast) == 500
 
 
+@pytest.mark.parametrize("canonical", [False, True])
+@pytest.mark.parametrize("k, m", [(15, 3), (15, 4), (15, 7), (33, 5)])
+def test_minimizer_lookup_of_both_strands(spark, canonical, k, m):
+    """Light and heavy minimizers, windows whose strands tie, repeats on both strands, N and lower case: as the plain lookup."""
+    rng = random.Random(10 * k + m)
+    held = [dna(rng, rng.randint(k, 90)) for _ in range(40)] + [dna(rng, 1300), "A" * 60, "ACGT" * 20]
+    held += [rc(held[0]), held[1], rc(held[40])[100:400]] + [dna(rng, 12) + "AAACCC" + dna(rng, 12) for _ in range(100)]
+    reads = [s if i % 2 else rc(s) for i, s in enumerate(held)] + [dna(rng, 80), held[40][:300] + "N" + held[40][301:].lower(), "", "ACG", "T" * 50]
+    d = build_dictionary(seqs_of(spark, held), BuildConfig(k=k, m=m, canonical=canonical))
+    frame = spark.createDataFrame(list(enumerate(reads)), "query_id long, seq string")
+    want = {(r.query_id, r.pos): (r.kmer_offset, r.orientation) for r in d.stream_query(frame).filter("found").collect()}
+    for light in (64, 2, 0):
+        got = lookups.minimizer_lookup(frame, d.strings, k, m, canonical_mode=canonical, light=light).collect()
+        assert {(r.query_id, r.pos): (r.kmer_offset, r.orientation) for r in got} == want and len(got) == len(want)
+
+
+def test_stretches_are_linear_and_hold_each_window_once(spark):
+    rng = random.Random(3)
+    rows = ["ACGTN" * 20_000, "N" * 5000, "acgtacgtacgt" + "N" + dna(rng, 3000), "NACGTACGTAN", "ACG", "", None]
+    frame = spark.createDataFrame(list(enumerate(rows)), "query_id long, seq string")
+    got = sorted((r.query_id, r.offset + i, r.seq[i : i + 4]) for r in windows.stretches(frame, 4).collect() for i in range(len(r.seq) - 3))
+    want = sorted((q, i, s[i : i + 4].upper()) for q, s in enumerate(rows) if s for i in range(len(s) - 3) if re.fullmatch("[ACGTacgt]{4}", s[i : i + 4]))
+    assert got == want
+
+
 def py_scan(read, k, find, place):
     """The scan as a state machine: extend the last hit by one base, or search."""
     counts, state = dict.fromkeys(("searches", "extensions", "invalid", "negative"), 0), None
