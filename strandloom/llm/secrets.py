@@ -66,19 +66,29 @@ A_DATE, A_SEPARATED_DATE, A_YEAR, SEGMENT = math.log10(365 * 100), math.log10(36
 def ranked_words(path: str | None = None) -> dict[str, int]:
     """Rank of each dictionary word: ``COMMON``, then the words of a tokenizer file in its order of merges.
 
-    ``path`` names a BPE vocabulary in JSON that marks words and ends of words by ``</w>``.
+    ``path`` names a BPE vocabulary in JSON that marks words and ends of words by ``</w>``; a missing one is an
+    error, since a poorer dictionary would take common words for secrets.
     """
     words = list(COMMON)
     if path:
         import json
 
-        with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+        try:
+            with open(path, encoding="utf-8") as f:
+                vocabulary = json.load(f)["model"]["vocab"]
+        except FileNotFoundError as e:
+            raise ValueError(f"no vocabulary at {path}: name one by the parameter vocabulary, or None for the short list of common words") from e
         words += [w[:-4] for w, _ in sorted(vocabulary.items(), key=lambda x: x[1]) if w.endswith("</w>")]
     return {w: i + 1 for i, w in enumerate(dict.fromkeys(w for w in words if len(w) >= SHORTEST_WORD and w.isalpha()))}
 
 
 RANK = ranked_words()
+#: A public tokenizer file; its whole words in order of merges are the dictionary of every scan, unless another is named.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+# What stands before the name of a variable in common languages and shells.
+HOLDERS = "process env environ os config conf cfg settings self this request req args opts options params props secrets vault var vars local data ctx context app module".split()
+#: A reference to a variable is no secret, whatever its name: $NAME, ${NAME}, %NAME%, process.env.NAME, config.name.
+REFERENCE = re.compile(rf"\$\{{?[A-Za-z_][A-Za-z0-9_.:-]*\}}?|%[A-Za-z_][A-Za-z0-9_]*%|\{{\{{.*|(?:{'|'.join(HOLDERS)})(?:\??\.[A-Za-z_][A-Za-z0-9_]*)+", re.A)
 
 
 def char_cost(c: str) -> float:
@@ -223,7 +233,7 @@ def find_spans(text: str, min_cost: float = 9.0, min_len: int = 6, ranks: dict[s
         found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".!?:")
-            if len(value) >= min_len and guess_cost(value, ranks, min_cost) >= min_cost:
+            if len(value) >= min_len and not REFERENCE.fullmatch(value) and guess_cost(value, ranks, min_cost) >= min_cost:
                 found.append((m.start(1), m.start(1) + len(value), 3))
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
@@ -235,13 +245,14 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def find_secrets(docs: DataFrame, min_cost: float = 9.0, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, min_cost: float = 9.0, vocabulary: str | None = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs`` with counts and spans of secrets, over the whole text.
 
     Kinds: ``assign``, ``access`` and ``hex`` are fixed patterns; ``guess`` is a value in a
     credential context of which the cheapest segmentation into words, dates, repeats,
     keyboard walks and brute-forced characters needs at least ``10 ** min_cost`` guesses;
-    ``vocabulary`` names a tokenizer file on the driver for the words (``ranked_words``).
+    ``vocabulary`` names a tokenizer file on the driver for the words (``ranked_words``).  A value that
+    refers to a variable is none.
 
     Returns ``id_col, n_assign, n_access, n_hex, base_sha256, spans, n_guess``; spans are
     ``kind:start:end`` in code points, end exclusive.  A null text counts as empty: zero
@@ -286,7 +297,7 @@ def redact(text: str | None, mark: str = "[SECRET]", min_cost: float = 9.0, rank
     return "".join([*out, text[at:]]) if out else text
 
 
-def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", min_cost: float = 9.0, vocabulary: str | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", min_cost: float = 9.0, vocabulary: str | None = VOCABULARY, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with secrets replaced in its text column; every row and column is kept.
 
     ``length_col``, if present, becomes the code points of the new text where it changed.  Null and

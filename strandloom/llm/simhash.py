@@ -388,8 +388,12 @@ def distances(texts: DataFrame, centers: DataFrame, words: int) -> DataFrame:
     return scan(heads.unionByName(sliced).repartition("_group", "_slice").sortWithinPartitions("_group", "_slice", "_kind"), run, "_group long, node long, both long, either long")
 
 
-def link_large_groups(texts: DataFrame, words: int, similarity: float, most: int) -> tuple[DataFrame | None, DataFrame]:
-    """Links ``a, b`` that settle groups of more than ``most`` bytes, and what is left to compare in one task a group.
+#: Rounds of one center a group before what is left of a large group is taken cell by cell.
+CENTER_ROUNDS = 8
+
+
+def center_links(texts: DataFrame, words: int, similarity: float, most: int, rounds: int | None) -> tuple[DataFrame | None, DataFrame]:
+    """Links ``a, b`` that settle texts of groups of more than ``most`` bytes in so many rounds, and the texts that are left.
 
     ``texts`` has ``_group, node, _text, _open``.  In every round one open text of each such group is
     its center, and all others of the group are compared with it, in parallel.  One less by
@@ -399,11 +403,11 @@ def link_large_groups(texts: DataFrame, words: int, similarity: float, most: int
     link is lost, the center always leaves, and no group is ever gathered while it is large.
     """
     ratio, links, rest = Fraction(str(similarity)), None, []
-    while True:
+    while rounds is None or rounds > 0:
         sizes = texts.groupBy("_group").agg(F.sum(F.octet_length("_text") + 64).alias("_b"), F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("_open"), F.col("node"))).alias("_center"))
         large = stage(sizes.filter((F.col("_b") > most) & F.col("_center").isNotNull()).select(F.col("_group").alias("_g"), "_center", "_n"), "large-groups")
         if large.isEmpty():
-            return links, texts if not rest else _union([*rest, texts])
+            break
         own = stage(join_counted(texts, large, "_group", "_g", "_n", ["node"]).drop("_g"), "large-texts")
         rest.append(texts.join(large, F.col("_group") == F.col("_g"), "left_anti"))
         centers = own.filter("node = _center")
@@ -414,8 +418,34 @@ def link_large_groups(texts: DataFrame, words: int, similarity: float, most: int
         near = stage(near, "center-links")
         links = near if links is None else links.unionByName(near)
         least = far.filter(~linked).groupBy(F.col("_group").alias("_lg")).agg(F.min(away).alias("_least"))
-        left = far.join(least, F.col("_group") == F.col("_lg")).filter(~linked | (away >= F.col("_least") - (1 - similarity) - 1e-9)).select(F.col("node").alias("_left"), linked.alias("_linked"))
-        texts = stage(own.join(left, F.col("node") == F.col("_left")).select("_group", "node", "_text", (F.col("_open") & ~F.col("_linked")).alias("_open")), "open-texts")
+        left = far.join(least, F.col("_group") == F.col("_lg")).filter(~linked | (away >= F.col("_least") - (1 - similarity) - 1e-9)).select(F.col("_group").alias("_left_group"), F.col("node").alias("_left"), linked.alias("_linked"))
+        texts = own.join(left, (F.col("node") == F.col("_left")) & (F.col("_group") == F.col("_left_group")))
+        texts = stage(texts.select("_group", "node", "_text", (F.col("_open") & ~F.col("_linked")).alias("_open")), "open-texts")
+        rounds = None if rounds is None else rounds - 1
+    return links, texts if not rest else _union([*rest, texts])
+
+
+def link_large_groups(texts: DataFrame, words: int, similarity: float, most: int, cells: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Links ``a, b`` that settle groups of more than ``most`` bytes, and what is left to compare in one task a group.
+
+    ``texts`` has ``_group, node, _text, _open``, and ``cells`` the band cells of each ``node``.  A group of
+    near copies empties in a few rounds of ``center_links``.  A group that chance or a chain of gradual changes
+    holds together would take a round for almost every text, so after ``CENTER_ROUNDS`` what is left of
+    it falls into its cells: texts that link share one, and a cell holds no more than alike texts.
+    """
+    links, left = center_links(texts, words, similarity, most, CENTER_ROUNDS)
+    sizes = left.groupBy("_group").agg(F.sum(F.octet_length("_text") + 64).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    large = stage(sizes.filter(F.col("_b") > most).select(F.col("_group").alias("_g"), "_n"), "lasting-groups")
+    if large.isEmpty():
+        return links, left
+    left = stage(left, "left-texts")
+    own = join_counted(left, large, "_group", "_g", "_n", ["node"]).drop("_g")
+    dealt = own.join(cells.select(F.col("node").alias("_cell_node"), "cell"), F.col("node") == F.col("_cell_node")).select(F.xxhash64("_group", "cell").alias("_group"), "node", "_text", F.lit(True).alias("_open"))
+    several = dealt.groupBy(F.col("_group").alias("_g")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    dealt = stage(join_counted(stage(dealt, "cell-texts"), stage(several, "cell-sizes"), "_group", "_g", "_n", ["node"]).drop("_g"), "cell-groups")
+    more, rest = center_links(dealt, words, similarity, most, None)
+    found = [x for x in (links, more) if x is not None]
+    return _union(found) if found else None, _union([left.join(large, F.col("_group") == F.col("_g"), "left_anti"), rest])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -444,6 +474,7 @@ def class_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
         if held:
             yield emit(held)
 
+    # A text of several groups is there once a group, and a group of one text links it with itself.
     return scan(texts.select("_group", "node", "_text").repartition("_group").sortWithinPartitions("_group"), run, "a long, b long")
 
 
@@ -456,8 +487,8 @@ def keep_one_of_each(
     this ``similarity`` shares none with probability ``miss`` at most, however many rows there
     are, and a more similar pair more rarely.  Of these only texts link whose shingle sets have
     a Jaccard similarity of ``similarity`` at least, counted exactly.  Candidate groups of up to
-    ``large_group`` bytes of different texts are compared in one task, larger ones by rounds of
-    ``link_large_groups``; both ways give the same rows.
+    ``large_group`` bytes of different texts are compared in one task, larger ones by
+    ``link_large_groups``, in few rounds whatever their form; both ways give the same rows.
 
     Equal texts always fall together, null and blank ones too; a null id comes last.  Of rows that
     agree in id and text one stays.  An empty table gives no rows, and columns of any name pass through.
@@ -479,7 +510,7 @@ def keep_one_of_each(
         own = stage(join_counted(held.filter("_group is not null"), large, "_group", "_g", "_n", ["_node"]).drop("_g"), "large-held")
         one = source.join(own, (F.col("_h") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_held")))
         one = one.select("_group", F.col("_node").alias("node"), F.col(f"_row.`{text_col}`").alias("_text"), F.lit(True).alias("_open")).dropDuplicates(["node"])
-        links, rest = link_large_groups(stage(one, "large-rows"), words, similarity, large_group)
+        links, rest = link_large_groups(stage(one, "large-rows"), words, similarity, large_group, cells)
         links = class_links(rest, words, similarity) if links is None else links.unionByName(class_links(rest, words, similarity))
         roots = connected_components(links).select(F.col("node").alias("_n"), "root")
         order = F.struct(F.col("_held").isNull().alias("none"), F.col("_held").alias("id"), F.col("_node").alias("node"))
