@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import scan, stage
+from strandloom.llm.common import join_counted, scan, stage
 
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
 #: A tag (slash, name, attributes), or what holds no text: a comment, a declaration, a raw element whole.
@@ -36,9 +36,11 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 FURNITURE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr
     notice sidebar rail widget menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead topbar header related recommended
-    share sharing social subscribe newsletter signup login popup modal overlay toolbar pagination pager skip copyright legal""".split()
+    share sharing social subscribe newsletter signup login popup modal overlay toolbar pagination pager skip copyright legal side""".split()
 )
-FILLER_WORDS = frozenset("top bottom left right main site page global box block bar slot wrapper wrap container inner outer list item items area section col row link links button buttons bars x".split())
+#: Of these, words that an article or main element uses for parts of its own.
+ARTICLE_WORDS = frozenset("header masthead banner notice skip copyright legal overlay side related recommended menu nav navigation footer toolbar".split())
+FILLER_WORDS = frozenset("top bottom left right main site page global box block bar slot wrapper wrap container inner outer list item items area section col row link links button buttons bars x c layer text message".split())
 #: Names of readers' comments.  Comments are as rich as an article, so no entropy tells them from it: they go by name.
 COMMENT_WORDS = frozenset("comment comments commentlist respond disqus replies".split())
 MAIN_TAGS = frozenset(("article", "main"))
@@ -80,13 +82,14 @@ def is_furniture(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
     """Whether tag, role or names hint at furniture.
 
     A name hints only if it is made of furniture words and fillers alone ("cookie-banner", not
-    "has-sidebar" or "share-prices"), and never inside an article or main element.
+    "has-sidebar" or "share-prices"); inside an article or main element fewer words do.
     """
     if tag in FURNITURE_TAGS or (tag == "header" and not inside_main) or attrs.get("role", "").lower() in FURNITURE_ROLES:
         return True
-    if inside_main or not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    return any(any(w in FURNITURE_WORDS for w in words) and all(w in FURNITURE_WORDS or w in FILLER_WORDS for w in words) for words in names_of(attrs))
+    hints = FURNITURE_WORDS - ARTICLE_WORDS if inside_main else FURNITURE_WORDS
+    return any(any(w in hints for w in words) and all(w in FURNITURE_WORDS or w in FILLER_WORDS for w in words) for words in names_of(attrs))
 
 
 def is_gone(tag: str, attrs: dict[str, str]) -> bool:
@@ -242,17 +245,14 @@ def likeness(text: str, host: str) -> str:
     return re.sub(r"\d+", "0", text.replace(host, "") if host else text)
 
 
-def style_trees(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
-    """``_host, node, pages, low, importance`` of the merged pages of each host; the host ``''`` stands for all.
+KEYS_OF_FEATURES = ["node", "kind", "feature", "parent", "depth"]
 
-    A node is a path of element names from the root.  Its children sequences are its
-    presentation styles and the texts of its own blocks (``likeness``) its content.  With m pages that hold
-    the node, content importance is one less the mean over texts of log n / log m (n pages with
-    that text), presentation importance the entropy of the styles to the base m (both 1 on a
-    single page); a node with l styles has composite importance ``(1 - gamma**l) * presentation
-    + gamma**l * mean`` over its children and its content.  ``low`` is the share of its pages
-    whose own signs call the node furniture.  Counts are summed by node and text before anything
-    meets, so one host may hold any share of the pages.
+
+def style_features(pages: DataFrame) -> DataFrame:
+    """``_host, node, kind, feature, parent, depth, n, low``: what the pages hold, counted; ``pages`` has ``_host, _html``.
+
+    Kinds: 0 a node itself, 1 a text of its own blocks, 2 a sequence of its children; 3 a node with text in
+    a skeleton (the set of a page's nodes with text, in ``feature``), 4 a page (its hash in ``node``) and its skeleton.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,19 +260,43 @@ def style_trees(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for host, page, digest in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 found = parse(page or "")
                 texts = {(k, xxhash.xxh64_intdigest(likeness(t, host).encode("utf-8", "surrogatepass"), 1) - (1 << 63)) for k, t in found.blocks if k}
                 rows += [(host, k, 1, x, 0, 0, 0) for k, x in texts]
                 rows += [(host, k, 2, xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 2) - (1 << 63), 0, 0, 0) for k, many in found.styles.items() if k for s in many]
                 rows += [(host, k, 0, 0, parent, depth, int(low)) for k, (parent, depth, low) in found.nodes.items()]
+                own = sorted({k for k, _ in found.blocks if k})
+                skeleton = xxhash.xxh64_intdigest(",".join(map(str, own)), 5) - (1 << 63)
+                rows += [(host, k, 3, skeleton, 0, 0, 0) for k in own]
+                rows.append((host, digest, 4, skeleton, 0, 0, 0))
             cols = list(zip(*rows)) or [()] * 7
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_host", "node", "kind", "feature", "parent", "depth", "low"])
 
-    keys = ["node", "kind", "feature", "parent", "depth"]
-    met = scan(pages.select("_host", "_html"), run, "_host string, node long, kind int, feature long, parent long, depth int, low long")
-    met = stage(met.groupBy("_host", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("low").alias("low")), "style-features")
+    met = scan(pages.select("_host", "_html", page_hash()), run, "_host string, node long, kind int, feature long, parent long, depth int, low long")
+    return stage(met.groupBy("_host", *KEYS_OF_FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("low").alias("low")), "style-features")
+
+
+def page_hash() -> Column:
+    """Pages of one host and text are one."""
+    return F.xxhash64("_host", "_html").alias("_page")
+
+
+def style_trees(pages: DataFrame, gamma: float = 0.9, features: DataFrame | None = None) -> DataFrame:
+    """``_host, node, pages, low, importance`` of the merged pages of each host; the host ``''`` stands for all.
+
+    A node is a path of element names from the root.  Its children sequences are its
+    presentation styles and the texts of its own blocks (``likeness``) its content.  With m pages that hold
+    the node, content importance is one less the mean over texts of log n / log m (n pages with
+    that text), presentation importance the entropy of the styles to the base m (both 1 on a
+    single page); a node with l styles has composite importance ``(1 - gamma**l) * presentation
+    + gamma**l * mean`` over its children and its content.  ``low`` is the share of its pages
+    whose own signs call the node furniture.  Counts are summed by node and text before anything
+    meets (``features``), so one host may hold any share of the pages.
+    """
+    keys = KEYS_OF_FEATURES
+    met = (style_features(pages) if features is None else features).filter("kind <= 2")
     every = met.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("low").alias("low")).select(F.lit("").alias("_host"), *keys, "n", "low")
     met = met.filter("_host <> ''").select("_host", *keys, "n", "low").unionByName(every)
     n, kind = F.col("n").cast("double"), F.col("kind")
@@ -335,7 +359,24 @@ def judge_nodes(trees: DataFrame, least: float) -> DataFrame:
     return hosts.unionByName(alone).withColumn("keep", F.col("score") >= least)
 
 
-def extract_main_text(pages: DataFrame, least: float = 0.75, salts: int = 16, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def page_judgements(features: DataFrame, judged: DataFrame) -> DataFrame:
+    """``_key, n, _dropped, _held``: of every page (its hash) how often it is there, and which of its own nodes the trees drop and hold.
+
+    The nodes of each skeleton meet the judged nodes of its host by node, so no list is longer than a page's
+    nodes, whatever a host holds; pages then meet their skeleton.  Keys of very many rows are dealt out.
+    """
+    name = lambda x: F.concat("_host", F.lit("\x00"), F.col(x).cast("string"))
+    bones = features.filter("kind = 3").select("_host", name("node").alias("_node"), "node", "feature")
+    many = bones.groupBy(F.col("_node").alias("_many")).agg(F.count(F.lit(1)).alias("n"))
+    verdicts = judged.select(name("node").alias("_judged"), "keep").join(many, F.col("_judged") == F.col("_many")).select("_judged", "keep", "n")
+    met = join_counted(bones, stage(verdicts, "style-judged"), "_node", "_judged", "n", ["feature"])
+    lists = met.groupBy(name("feature").alias("_listed")).agg(F.collect_list(F.when(~F.col("keep"), F.col("node"))).alias("_dropped"), F.collect_list(F.when(F.col("keep"), F.col("node"))).alias("_held"))
+    pages = features.filter("kind = 4").select(F.col("node").alias("_key"), name("feature").alias("_bones"), F.col("n").alias("_copies"))
+    skeletons = pages.groupBy(F.col("_bones").alias("_skeleton")).agg(F.count(F.lit(1)).alias("n")).join(lists, F.col("_skeleton") == F.col("_listed"), "left").drop("_listed")
+    return join_counted(pages, stage(skeletons, "style-skeletons"), "_bones", "_skeleton", "n", ["_key"]).select("_key", F.col("_copies").alias("n"), "_dropped", "_held")
+
+
+def extract_main_text(pages: DataFrame, least: float = 0.75, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The article of every page, without menus, notices, adverts, forms, comments and markup.
 
     The pages of a host are merged into a style tree and those of all hosts into another; a
@@ -351,13 +392,10 @@ def extract_main_text(pages: DataFrame, least: float = 0.75, salts: int = 16, id
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host.alias("_host"))
-    judged = judge_nodes(style_trees(source), least)
-    # A host's list holds the nodes that its pages share with others, eight bytes each.
-    lists = judged.groupBy("_host").agg(F.collect_list(F.when(~F.col("keep"), F.col("node"))).alias("_dropped"), F.collect_list(F.when(F.col("keep"), F.col("node"))).alias("_held"))
-    # Staged, its size is known: Spark broadcasts it if small; else the salts spread a large host.
-    lists = stage(lists, "style-judged").select(F.col("_host").alias("_h"), "_dropped", "_held", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
-    salted = source.withColumn("_salt", F.pmod(F.xxhash64("_id", "_url"), F.lit(salts)).cast("int"))
-    joined = salted.join(lists, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left").select("_id", "_url", "_html", "_dropped", "_held")
+    features = style_features(source)
+    judged = judge_nodes(style_trees(source, features=features), least)
+    own = stage(page_judgements(features, judged), "style-pages")
+    joined = join_counted(source.select("_id", "_url", "_html", page_hash()), own, "_page", "_key", "n", ["_id", "_url"]).select("_id", "_url", "_html", "_dropped", "_held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
