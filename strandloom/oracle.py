@@ -140,6 +140,12 @@ ORACLE_SQL: dict[str, str] = {
     "plain_scan": f"WITH {PART} SELECT seq FROM part_seq",
     "kmer_list_scan": f"WITH {READS} SELECT upper(seq) AS kmer FROM reads WHERE seq <> ''",
     "cfseg_scan": f"WITH {PART} SELECT id * 10 AS segment_id, seq FROM part_seq",
+    "cfseg_errors": f"""WITH {PART}, lines AS (SELECT id % 1000 + 1 AS line, id, CASE WHEN id % 11 = 0 THEN id::VARCHAR WHEN id % 7 = 0 THEN 's' || id || ' ' || seq WHEN id % 5 = 0 THEN id || chr(9) || 'ACGTNACGT' WHEN id % 3 = 0 THEN '' ELSE NULL END AS text FROM part_seq)
+SELECT line, CASE WHEN id % 11 = 0 THEN 'no sequence' WHEN id % 7 = 0 THEN 'no segment number' ELSE 'letters other than ACGT' END AS reason, text FROM lines WHERE text <> ''""",
+    "record_callback": f"""WITH {DOCS}, runs AS (SELECT id, max(length(r)) AS longest FROM (SELECT id, unnest(regexp_extract_all(seq, 'A+|C+|G+|T+')) AS r FROM doc_seq) GROUP BY id)
+SELECT d.id, cast(length(replace(replace(seq, 'A', ''), 'T', '')) AS BIGINT) AS gc, coalesce(longest, 0) AS longest_run FROM doc_seq d LEFT JOIN runs ON runs.id = d.id WHERE seq IS NOT NULL""",
+    "kmers_sql": f"WITH {DOCS}, {_windows('doc_seq', 'w')} SELECT * FROM w",
+    "super_kmers_sql": f"WITH {_tuples(M)} SELECT s.id, first_pos, minimizer, pos_in_kmer, num_kmers FROM tuples JOIN strings s USING (string_id)",
     "seq_counts": f"WITH {DOCS} SELECT count(*) AS sequences, cast(sum(length(seq)) AS BIGINT) AS bases FROM doc_seq",
     "dict_roundtrip": f"WITH {PART}, {_strings('part_seq')} SELECT id, cast(unnest(range(0, 128 - {K} + 1)) AS INTEGER) AS pos, string_begin - string_id * {K - 1} + pos AS kmer_id, string_begin + pos AS kmer_offset, string_id FROM strings",
     "base_encode": f"WITH {DOCS} SELECT id, translate(seq, 'ACTG', '0123') AS codes, seq AS bases FROM doc_seq",

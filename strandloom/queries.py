@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +91,44 @@ def cfseg_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.read_segments(spark, path)
 
 
+@query
+def cfseg_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bad lines of damaged segment files of 1000 lines each, by number and reason."""
+    path = X.scratch(spark, "segments")
+    bad = F.when(F.col("id") % 11 == 0, F.col("id").cast("string")).when(F.col("id") % 7 == 0, F.concat(F.lit("s"), F.col("id").cast("string"), F.lit(" "), "seq"))
+    bad = bad.when(F.col("id") % 5 == 0, F.concat(F.col("id").cast("string"), F.lit("\tACGTNACGT"))).when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.col("id").cast("string"), F.lit("\t"), "seq"))
+    rows = X.seq_part(spark, sf_dir).withColumn("file", F.floor(F.col("id") / 1000))
+    rows.repartition("file").sortWithinPartitions("file", "id").select("file", bad.alias("value")).write.partitionBy("file").text(path)
+    return sources.segment_errors(spark, path).select("line", "reason", "text")
+
+
+@query
+def record_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of the user's on every record: its share of G and C, and its longest run of one letter."""
+
+    def rate(name: str | None, seq: str) -> list[tuple]:
+        runs = [len(m[0]) for m in re.finditer(r"(.)\1*", seq)]
+        return [(int(name), (seq.count("G") + seq.count("C")), max(runs, default=0))]
+
+    rows = X.seq_docs(spark, sf_dir).select(F.col("id").alias("name"), "seq")
+    return sources.map_records(rows, rate, "id long, gc long, longest_run long")
+
+
+@query
+def kmers_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function in SQL text."""
+    fn.register_table_functions(spark)
+    X.seq_docs(spark, sf_dir).createOrReplaceTempView("strandloom_docs")
+    return spark.sql(f"SELECT id, pos, kmer FROM strandloom_docs, LATERAL kmers(seq, {K})")
+
+
+@query
+def super_kmers_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fn.register_table_functions(spark)
+    X.seq_part(spark, sf_dir).createOrReplaceTempView("strandloom_parts")
+    return spark.sql(f"SELECT id, first_pos, minimizer, pos_in_kmer, num_kmers FROM strandloom_parts, LATERAL super_kmers(seq, {K}, {M}, 1)")
+
+
 @query
 def seq_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.sequence_counts(X.seq_docs(spark, sf_dir))

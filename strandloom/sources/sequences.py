@@ -6,8 +6,13 @@ FASTQ record has no mark that quality lines lack, so its lines are numbered over
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from strandloom.functions import is_dna
 
@@ -65,13 +70,62 @@ def read_kmer_list(spark: SparkSession, path: str) -> DataFrame:
     return read_plain(spark, path).withColumnRenamed("seq", "kmer")
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """``segment_id, seq`` of lines of a number, white space and bases; any other line is an error."""
-    line = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> ''")
-    form = r"^([0-9]+)\s+([ACGTacgt]+)$"
-    wrong = F.raise_error(F.concat(F.lit("not a segment line: "), F.substring("line", 1, 80)))
-    ok = F.when(F.col("line").rlike(form), F.col("line")).otherwise(wrong.cast("string"))
-    return line.select(ok.alias("line")).select(F.regexp_extract("line", form, 1).cast("bigint").alias("segment_id"), F.upper(F.regexp_extract("line", form, 2)).alias("seq"))
+def _segment_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line`` (from 1), ``text``, the ``id`` and ``seq`` parts of every line that is not blank, and ``reason``: what is wrong with it, else null."""
+    rows = _numbered_lines(spark, path).select(F.col("_file").alias("file"), (F.col("_line") + 1).alias("line"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text")).filter("text <> ''")
+    rows = rows.withColumn("id", F.regexp_extract("text", r"^(\S+)", 1)).withColumn("seq", F.regexp_extract("text", r"^\S+\s+(.*)$", 1))
+    reason = (
+        F.when(~F.col("text").rlike(r"\s"), "no sequence")
+        .when(~F.col("id").rlike("^[0-9]+$") | F.col("id").try_cast("bigint").isNull(), "no segment number")
+        .when(~is_dna(F.col("seq")), "letters other than ACGT")
+    )
+    return rows.withColumn("reason", reason)
+
+
+def read_segments(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """``segment_id, seq`` of lines of a number, white space and bases.
+
+    Any other line is an error that names its file, line and reason; if not ``strict``, such lines are left
+    out, and ``segment_errors`` lists them.  A number has at most 63 bits.
+    """
+    rows = _segment_lines(spark, path)
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("not a segment line: "), "reason", F.lit(" on line "), F.col("line").cast("string"), F.lit(" of "), "file", F.lit(": "), F.substring("text", 1, 80)))
+        rows = rows.withColumn("id", F.when(F.col("reason").isNull(), F.col("id")).otherwise(wrong.cast("string")))
+    else:
+        rows = rows.filter("reason IS NULL")
+    return rows.select(F.col("id").cast("bigint").alias("segment_id"), F.upper("seq").alias("seq"))
+
+
+def segment_errors(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` (its name), ``line, reason, text`` of every line of segment files that is none; lines are numbered over the splits of a file."""
+    return _segment_lines(spark, path).filter("reason IS NOT NULL").select(F.substring_index("file", "/", -1).alias("file"), "line", "reason", "text")
+
+
+def map_records(records: DataFrame, fn: Callable[[str | None, str], Iterable[tuple]], schema: str, name: str = "name") -> DataFrame:
+    """Rows of the given schema that a function of your own makes of each record's name and sequence.
+
+    ``fn`` runs on the executors, record by record inside Arrow batches, and gives any number of tuples.  A
+    record without a sequence is passed over, a null name is given as None, an empty table gives no rows.  An
+    error in ``fn`` fails the query and names the record.
+    """
+    kind = _parse_datatype_string(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(kind)
+        for batch in batches:
+            rows: list[tuple] = []
+            for own, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if seq is None:
+                    continue
+                try:
+                    rows += fn(own, seq)
+                except Exception as e:
+                    raise ValueError(f"the callback failed on record {own!r}: {e}") from e
+            columns = list(zip(*rows)) if rows else [[] for _ in target]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+    return records.select(F.col(name).cast("string"), "seq").mapInArrow(run, kind)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom import sources
+from strandloom import functions, sources
 from strandloom.operators import lookups, strings, windows
 
 
@@ -60,3 +60,57 @@ def test_chunks_of_one_long_sequence_are_dealt_over_all_tasks(spark):
     rows = windows.kmer_windows(spark.createDataFrame([(0, long)], "id long, seq string"), 31)
     per_task = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per_task) == 200_000 - 30 and len(per_task) == 4 and max(per_task) < 2 * min(per_task)
+
+
+def test_segment_errors_by_file_and_line(spark, tmp_path):
+    lines = ["7\tACGT", "", "x ACGT", "8", "  9   acgt  ", "10 ACNT", "99999999999999999999 ACGT", "-3 ACGT", "11 AC GT"]
+    (tmp_path / "a.seg").write_text("\n".join(lines) + "\n")
+    many = [f"{i} ACGT" if i % 1000 else f"{i} AXGT" for i in range(1, 20_001)]
+    (tmp_path / "b.seg").write_text("\n".join(many))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # files in many splits
+    try:
+        got = sorted(tuple(r) for r in sources.segment_errors(spark, str(tmp_path)).collect())
+        good = sorted(tuple(r) for r in sources.read_segments(spark, str(tmp_path), strict=False).collect())
+        with pytest.raises(Exception, match=r"not a segment line: [\w ]+ on line [34789] of"):
+            sources.read_segments(spark, str(tmp_path / "a.seg")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted([
+        ("a.seg", 3, "no segment number", "x ACGT"), ("a.seg", 4, "no sequence", "8"), ("a.seg", 6, "letters other than ACGT", "10 ACNT"),
+        ("a.seg", 7, "no segment number", "99999999999999999999 ACGT"), ("a.seg", 8, "no segment number", "-3 ACGT"), ("a.seg", 9, "letters other than ACGT", "11 AC GT"),
+        *[("b.seg", i, "letters other than ACGT", f"{i} AXGT") for i in range(1000, 20_001, 1000)],
+    ])
+    assert good == sorted([(7, "ACGT"), (9, "ACGT"), *[(i, "ACGT") for i in range(1, 20_001) if i % 1000]])
+    (tmp_path / "none.seg").write_text("")
+    assert sources.segment_errors(spark, str(tmp_path / "none.seg")).count() == 0
+
+
+def test_map_records(spark):
+    rows = spark.createDataFrame([("a", "ACGT"), (None, ""), ("n", None), ("b", "GG")], "name string, seq string")
+    out = sources.map_records(rows, lambda name, seq: [(name, len(seq), c) for c in seq], "name string, n int, base string")
+    assert sorted(map(tuple, out.collect())) == [("a", 4, c) for c in "ACGT"] + [("b", 2, "G")] * 2 and out.columns == ["name", "n", "base"]
+    assert sources.map_records(rows.limit(0), lambda name, seq: [(1,)], "n int").count() == 0
+    assert sources.map_records(rows, lambda name, seq: [(name,)], "name string").filter("name IS NULL").count() == 1
+
+    def strict(name, seq):
+        if not seq:
+            raise RuntimeError("nothing there")
+        return []
+
+    with pytest.raises(Exception, match="the callback failed on record None: nothing there"):
+        sources.map_records(rows, strict, "n int").collect()
+
+
+def test_table_functions(spark):
+    functions.register_table_functions(spark)
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate([0, 5, 9, 10, 60, 700])] + [(9, None), (10, "A" * 40), (11, "acgtacgtacgt")]
+    spark.createDataFrame(rows, "string_id long, seq string").createOrReplaceTempView("held")
+    got = {(r.string_id, r.pos): r.kmer for r in spark.sql("SELECT * FROM held, LATERAL kmers(seq, 9)").collect()}
+    assert got == {(i, p): s[p : p + 9] for i, s in rows if s for p in range(len(s) - 8)}
+    runs = spark.sql("SELECT string_id, first_pos, minimizer, pos_in_kmer, num_kmers FROM held, LATERAL super_kmers(seq, 9, 4, 1)")
+    plain = windows.super_kmers(spark.table("held").filter("seq IS NOT NULL").selectExpr("string_id", "0L AS string_begin", "upper(seq) AS seq"), 9, 4)
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, plain.select(*runs.columns).collect()))
+    for sql, error in (("kmers('ACGT', 0)", "k must be positive"), ("super_kmers('ACGT', 3, 3, 1)", "m must be"), ("super_kmers('ACNTACGTAA', 5, 3, 1)", "letters other")):
+        with pytest.raises(Exception, match=error):
+            spark.sql(f"SELECT * FROM {sql}").collect()
