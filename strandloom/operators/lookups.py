@@ -96,10 +96,15 @@ def _answers(q: DataFrame, names: list[str], index: DataFrame, k: int, canonical
     )
 
 
+def query_key(kmer: Column, k: int) -> Column:
+    """The join key of a k-mer's canonical form; null if it has another length or other letters."""
+    text = F.upper(kmer)
+    return F.when(is_query_kmer(kmer, k), key_of_order(F.least(order_key(text), reverse_order_key(text)), k))
+
+
 def members(queries: DataFrame, index: DataFrame, k: int, absent: bool = False) -> DataFrame:
     """The rows of ``queries`` whose k-mer is in the dictionary on either strand, or, if ``absent``, is not."""
-    text = F.upper(F.col("kmer"))
-    q = queries.withColumn("_key", F.when(is_query_kmer(F.col("kmer"), k), key_of_order(F.least(order_key(text), reverse_order_key(text)), k)))
+    q = queries.withColumn("_key", query_key(F.col("kmer"), k))
     return q.join(index.select(*key_columns(k)), same_key(F.col("_key"), k), "left_anti" if absent else "left_semi").drop("_key")
 
 

@@ -198,6 +198,7 @@ FROM buckets WHERE bucket_class = 'heavy' GROUP BY 1""",
 SELECT id, pos, off - sid * 62 AS kmer_id, off AS kmer_offset, cast(ori AS INTEGER) AS orientation, sid AS string_id FROM hits""",
     "membership_semi": f"WITH {PART_DICT} SELECT query_id, pos, kmer FROM hits WHERE off IS NOT NULL",
     "membership_anti": f"WITH {PART_DICT} SELECT query_id, pos, kmer FROM hits WHERE off IS NULL",
+    "membership_sketched": f"WITH {PART}, {DOCS}, {_strings('part_seq')}, {_stored()}, {_windows('doc_seq', 'w')} SELECT id, pos, kmer FROM w WHERE kmer NOT IN (SELECT kmer FROM stored) AND {_rc('kmer')} NOT IN (SELECT kmer FROM stored)",
     "minimizer_join": f"WITH {READS}, {_strings('part_seq')}, {_stored()}, {_windows('reads', 'w', ident='query_id')} SELECT query_id, pos, f.kmer_offset FROM w JOIN firsts f ON f.kmer = upper(w.kmer)",
     "minimizer_join_canonical": f"""WITH {DOCS}, {_strings('doc_seq')}, {_stored()}, asked AS (SELECT id AS query_id, seq FROM doc_seq UNION ALL SELECT -1 - id, {_rc('seq')} FROM doc_seq), {_windows('asked', 'w', ident='query_id')}, {_lookup('w', canonical=True)}
 SELECT query_id, pos, off AS kmer_offset, cast(ori AS INTEGER) AS orientation FROM hits WHERE off IS NOT NULL""",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandloom.config import BuildConfig
 from strandloom.operators import buckets as B
 from strandloom.operators import lookups, reports, scan, seeds, strings, windows
+from strandloom.operators import sketch as sketches
 from strandloom.staging import staged
 
 FORMAT, VERSION = "strandloom-dictionary", 2
@@ -45,6 +46,15 @@ class KmerDictionary:
     def contains(self, kmers: DataFrame, absent: bool = False) -> DataFrame:
         return lookups.members(kmers, self.index, self.config.k, absent)
 
+    @cached_property
+    def sketch(self) -> sketches.Sketch | None:
+        """Which k-mers may be held, for many queries of which few are; None if it would be too large to send."""
+        return sketches.sketch_keys(self.index, self.config.k)
+
+    def contains_sketched(self, kmers: DataFrame, absent: bool = False) -> DataFrame:
+        """As ``contains``; what the sketch rules out is not shuffled."""
+        return sketches.members_sketched(kmers, self.index, self.config.k, self.sketch, absent)
+
     def stream_query(self, reads: DataFrame) -> DataFrame:
         return scan.scan_lookup(reads, self.index, self.config.k, self.config.canonical)
 

@@ -378,6 +378,14 @@ def membership_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary(spark, sf_dir).contains(read_windows(spark, sf_dir), absent=True)
 
 
+@query
+def membership_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absent windows of the documents' sequences, of which hardly one is held: most never reach the join."""
+    d = dictionary(spark, sf_dir)
+    asked = windows.kmer_windows(X.seq_docs(spark, sf_dir), K).unionByName(windows.kmer_windows(X.seq_part(spark, sf_dir), K))
+    return d.contains_sketched(asked, absent=True)
+
+
 @query
 def minimizer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.minimizer_join(X.reads(spark, sf_dir), dictionary(spark, sf_dir).strings, K, M)

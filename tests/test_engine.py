@@ -12,6 +12,7 @@ from strandloom import sources
 from strandloom.config import BuildConfig, is_valid_k
 from strandloom.operators import buckets as B
 from strandloom.operators import lookups, scan, seeds, strings, windows
+from strandloom.operators import sketch as sketches
 from strandloom.plans import build_dictionary, load_dictionary
 from strandloom.plans.dictionary import DictionaryFormatError, occurrences
 from strandloom.streaming import chunk_scan, read_stream, run_once, stream_scan
@@ -227,6 +228,25 @@ def test_lookup(spark, k, canonical):
     assert d.check().count() == 0 and occurrences(d).agg(F.sum("count")).first()[0] == sum(max(0, len(s) - k + 1) for s in held)
 
 
+@pytest.mark.parametrize("k", [15, 33])
+def test_membership_by_a_sketch(spark, k):
+    """Same rows as the join alone; nine of ten absent k-mers never reach it; a sketch beyond its bound is not made."""
+    rng = random.Random(k)
+    d = build_dictionary(seqs_of(spark, [dna(rng, 400) for _ in range(200)]), BuildConfig(k=k, m=5))
+    held = [r.kmer for r in windows.kmer_windows(d.strings, k, []).limit(2000).collect()]
+    asked = held + [rc(x).lower() for x in held[:300]] + [dna(rng, k) for _ in range(4000)] + ["", "N" * k, "ACG", None]
+    frame = spark.createDataFrame(list(enumerate(asked)), "qid long, kmer string")
+    for absent in (False, True):
+        want = {r.qid for r in d.contains(frame, absent).collect()}
+        assert {r.qid for r in d.contains_sketched(frame, absent).collect()} == want
+        assert {r.qid for r in sketches.members_sketched(frame, d.index, k, None, absent).collect()} == want
+    keys = frame.select(lookups.query_key(F.col("kmer"), k).alias("key")).filter("key IS NOT NULL").select("key" if k <= 31 else "key.*")
+    maybe = keys.select(d.sketch.maybe(F.xxhash64(*keys.columns)).alias("m")).filter("m").count()
+    assert 2300 <= maybe <= 2300 + 400
+    assert sketches.sketch_keys(d.index, k, most_bytes=1000) is None
+    assert sketches.sketch_keys(d.index.limit(0), k).blocks == 1
+
+
 def test_heavy_buckets_are_exact(spark):
     """Motifs repeated so often that buckets of 200 and 300 places exist: every stored k-mer is found."""
     rng = random.Random(21)
