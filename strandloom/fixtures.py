@@ -11,14 +11,14 @@ from strandloom.staging import scratch as scratch
 HEX, BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
 
 
-def _hashed(tags: str, col: str) -> Column:
+def hashed(tags: str, col: str) -> Column:
     return F.concat(*[F.translate(F.md5(F.concat(F.lit(t), F.col(col).cast("string")).cast("binary")), HEX, BASES) for t in tags])
 
 
 def seq_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, seq``: 128 bases per part; every 31-mer is distinct on both strands."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"))
-    return part.select("id", _hashed("abcd", "id").alias("seq"))
+    return part.select("id", hashed("abcd", "id").alias("seq"))
 
 
 def seq_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = part.select((F.col("id") - 1).alias("_id"), F.substring("seq", 1, 30).alias("_next"))
     rows = part.join(after, F.col("id") == F.col("_id"), "left")
     cut = F.substring(F.col("seq"), (F.col("id") % 60 + 1).cast("int"), F.lit(60))
-    absent = _hashed("zy", "id")
+    absent = hashed("zy", "id")
     seq = (
         F.when(F.col("id") % 10 == 0, F.overlay(cut, F.lit("N"), F.lit(31), F.lit(1)))
         .when(F.col("id") % 5 == 0, F.overlay(cut, F.lit("N"), F.lit(6), F.lit(1)))

@@ -106,7 +106,7 @@ TOTALS = f"""totals AS (SELECT (SELECT count(*) FROM strings) AS num_strings, (S
  (SELECT cast(sum(length(seq) - {K - 1}) AS BIGINT) FROM strings) AS num_kmers, (SELECT count(DISTINCT minimizer) FROM tuples) AS num_minimizers)"""
 POSITIONS = """positions AS (SELECT DISTINCT unnest(range(string_begin, string_end + 1)) AS pos FROM strings)"""
 ASKED = f"{_windows('reads', 'w', ident='query_id')}, asked AS (SELECT query_id, kmer FROM w UNION ALL SELECT query_id, seq FROM reads WHERE length(seq) < {K})"
-TWO = f"""{PART}, one_set AS (SELECT id, seq FROM part_seq WHERE id % 3 <> 0), two_set AS (SELECT id, seq FROM part_seq WHERE id % 2 = 0), {_windows('one_set', 'w1')}, {_windows('two_set', 'w2')}"""
+TWO = f"""{PART}, two_set AS (SELECT id, {_rc(f"(left(seq, 64) || {_md5('zy', 'id')})")} AS seq FROM part_seq), {_windows('part_seq', 'w1')}, {_windows('two_set', 'w2')}"""
 
 
 def _canonical(source: str) -> str:
@@ -228,6 +228,7 @@ SELECT event_id AS query_id, windows, found, searches, extensions, invalid FROM
     "query_report": f"""WITH {READS}, {_strings('part_seq')}, {_stored()}, {ASKED}, {_lookup('asked')}
 SELECT count(off) AS found, count(*) - count(off) AS not_found, count(*) AS total, round(count(off) * 100.0 / count(*), 6)::DOUBLE AS hit_rate FROM hits""",
     "self_check": f"WITH {DOCS_DICT}, {_lookup('w')} SELECT kmer FROM hits WHERE off IS NULL ORDER BY kmer LIMIT 10",
+    "self_check_totals": f"WITH {DOCS_DICT}, {_lookup('w')} SELECT count(*) AS windows, count(*) FILTER (off IS NULL) AS missing FROM hits",
     "dict_stats": f"WITH {_tuples(M)}, {TOTALS} SELECT num_strings, total_bases, num_kmers, num_minimizers, {K} AS k, {M} AS m, false AS canonical FROM totals",
     "string_lengths": f"WITH {DOCS}, {_strings('doc_seq')} SELECT cast(length(seq) AS BIGINT) AS string_length, count(*) AS num_strings FROM strings GROUP BY 1",
     "space_model": f"""WITH {_buckets()}, {TOTALS}, s AS (SELECT {STATS} FROM buckets),

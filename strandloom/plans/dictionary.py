@@ -66,8 +66,13 @@ class KmerDictionary:
 
     def runs(self, reads: DataFrame) -> DataFrame:
         """Every search of a scan of ``reads`` (``query_id, seq``) and how far its string is followed, whether or not k-mers repeat."""
+        return self._followed(reads)[1]
+
+    def _followed(self, reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The lookup of every window and the searches; reads are written first, since both read them and ids may be made on the fly."""
+        reads = staged(reads.select("query_id", "seq"), "reads")
         found = staged(self.stream_query(reads), "scan")
-        return seeds.seeded_runs(found, reads, self.strings, self.config.k)
+        return found, seeds.seeded_runs(found, reads, self.strings, self.config.k)
 
     def stats(self, reads: DataFrame, unique: bool | None = None) -> DataFrame:
         """The counters of a scan of ``reads``.  ``unique`` tells whether every k-mer has one place; by default that is found out.
@@ -76,8 +81,7 @@ class KmerDictionary:
         """
         if self.is_unique if unique is None else unique:
             return scan.scan_stats(self.stream_query(reads))
-        found = staged(self.stream_query(reads), "scan")
-        return seeds.seeded_stats(found, seeds.seeded_runs(found, reads, self.strings, self.config.k))
+        return seeds.seeded_stats(*self._followed(reads))
 
     def locate(self, positions: DataFrame, position: str = "pos") -> DataFrame:
         return strings.locate(positions, self.strings, position)
@@ -96,6 +100,10 @@ class KmerDictionary:
         own = windows.kmer_windows(self.strings.select("seq"), self.config.k, [])
         return reports.self_check(self.query(own.select("kmer")))
 
+    def check_totals(self) -> DataFrame:
+        """``windows, missing``: one row; how many k-mers of its own strings were asked, and how many of them are not found."""
+        return reports.check_totals(self.stream_query(self.strings.select("seq")))
+
     def save(self, path: str, partitions: int | None = None) -> None:
         """Two Parquet tables and a metadata file; an existing dictionary is never overwritten.
 

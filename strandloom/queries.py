@@ -404,26 +404,26 @@ def minimizer_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.minimizer_found(own, dictionary(spark, sf_dir).super_kmers)
 
 
-def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two overlapping string sets: all parts but each third, and each second one, reversed."""
+def two_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two overlapping string sets: all parts, and the first half of each with bases of its own behind it, reversed."""
     part = X.seq_part(spark, sf_dir)
-    two = part.filter("id % 2 = 0").select("id", fn.reverse_complement(F.col("seq")).alias("seq"))
-    return strings.string_set(part.filter("id % 3 <> 0"), K), strings.string_set(two, K)
+    other = part.select("id", fn.reverse_complement(F.concat(F.substring("seq", 1, 64), X.hashed("zy", "id"))).alias("seq"))
+    return strings.string_set(part, K), strings.string_set(other, K)
 
 
 @query
 def kmer_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookups.kmer_union(*halves(spark, sf_dir), K)
+    return lookups.kmer_union(*two_sets(spark, sf_dir), K)
 
 
 @query
 def kmer_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookups.kmer_intersect(*halves(spark, sf_dir), K)
+    return lookups.kmer_intersect(*two_sets(spark, sf_dir), K)
 
 
 @query
 def kmer_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookups.kmer_except(*halves(spark, sf_dir), K)
+    return lookups.kmer_except(*two_sets(spark, sf_dir), K)
 
 
 @query
@@ -528,6 +528,11 @@ def self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_dictionary(spark, sf_dir).check()
 
 
+@query
+def self_check_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_dictionary(spark, sf_dir).check_totals()
+
+
 @query
 def dict_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary(spark, sf_dir).totals()
