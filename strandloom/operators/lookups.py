@@ -22,7 +22,19 @@ def index_kmers(strings: DataFrame, k: int) -> DataFrame:
     offset, by minima that combine before the shuffle; no bucket is ever gathered.
     """
     place = ["string_id", "string_begin", "string_end"]
-    rows = keyed_windows(strings, k, place).withColumn("kmer_offset", (F.col("string_begin") + F.col("pos")).cast("bigint"))
+    return _first_places(keyed_windows(strings, k, place).withColumn("kmer_offset", (F.col("string_begin") + F.col("pos")).cast("bigint")), k)
+
+
+def index_chunks(chunks: DataFrame, strings: DataFrame, k: int, size: int) -> DataFrame:
+    """The index of records in chunks of ``size`` letters and k - 1 more, with the strings that ``chunked_set`` made of them."""
+    own = strings.select(F.col("file").alias("_f"), F.col("record").alias("_r"), "string_id", "string_begin", "string_end")
+    rows = chunks.join(own, (F.col("file") == F.col("_f")) & (F.col("record") == F.col("_r")))
+    found = keyed_windows(rows, k, ["string_id", "string_begin", "string_end", "chunk"])
+    return _first_places(found.withColumn("kmer_offset", (F.col("string_begin") + F.col("chunk") * size + F.col("pos")).cast("bigint")), k)
+
+
+def _first_places(rows: DataFrame, k: int) -> DataFrame:
+    place = ["string_id", "string_begin", "string_end"]
     # Strings lie in the order of their ids, so all four minima are of one place; being
     # longs and no struct, they are combined in a hash map and nothing is sorted.
     fields = ["kmer_offset", *place]

@@ -27,14 +27,29 @@ def string_set(seqs: DataFrame, k: int, on_invalid: str = "error", order: str =
         rows = seqs.select(F.col(order).cast("bigint").alias("_ord"), F.lit(0).alias("_part"), F.when(is_dna(F.col("seq")), seq).otherwise(F.when(F.col("seq").isNotNull(), wrong)).alias("seq"), *extra)
     else:
         rows = seqs.select(F.col(order).cast("bigint").alias("_ord"), F.posexplode(F.split(seq, "[^ACGT]+")).alias("_part", "seq"), *extra)
-    rows = rows.filter(F.length("seq") >= k).withColumn("_slice", F.floor(F.col("_ord") / SLICE).cast("bigint"))
-    rows = rows.withColumn("_len", F.length("seq").cast("bigint"))
+    return _placed(rows.filter(F.length("seq") >= k).withColumn("_len", F.length("seq").cast("bigint")), ["seq", *extra])
+
+
+def chunked_set(chunks: DataFrame) -> DataFrame:
+    """``string_id, string_begin, string_end, file, record, name`` of the records of ``sources.read_fasta_chunks``, in the order of files and records.
+
+    Records with a chunk hold a k-mer, so they are the strings; their letters stay in the chunks.
+    """
+    records = chunks.groupBy("file", "record").agg(F.min("name").alias("name"), F.min("length").alias("_len"))
+    files = records.groupBy("file").agg(F.max("record").alias("_most")).withColumn("_first", F.coalesce(F.sum("_most").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = records.join(files.select(F.col("file").alias("_f"), "_first"), F.col("file") == F.col("_f")).withColumn("_ord", F.col("_first") + F.col("record")).withColumn("_part", F.lit(0))
+    return _placed(rows, ["file", "record", "name"])
+
+
+def _placed(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``string_id, string_begin, string_end`` and the kept columns, of rows ordered by ``_ord`` and ``_part`` with lengths ``_len``."""
+    rows = rows.withColumn("_slice", F.floor(F.col("_ord") / SLICE).cast("bigint"))
     totals = _before(rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"), F.sum("_len").alias("_bases")))
     inside = Window.partitionBy("_slice").orderBy("_ord", "_part")
     numbered = rows.withColumn("_i", F.row_number().over(inside) - 1).withColumn("_run", F.sum("_len").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     joined = numbered.join(totals, F.col("_slice") == F.col("_s"))
     end = F.col("_b0") + F.col("_run")
-    return joined.select((F.col("_n0") + F.col("_i")).cast("bigint").alias("string_id"), (end - F.col("_len")).cast("bigint").alias("string_begin"), end.cast("bigint").alias("string_end"), "seq", *extra)
+    return joined.select((F.col("_n0") + F.col("_i")).cast("bigint").alias("string_id"), (end - F.col("_len")).cast("bigint").alias("string_begin"), end.cast("bigint").alias("string_end"), *keep)
 
 
 def _before(totals: DataFrame) -> DataFrame:

@@ -192,6 +192,7 @@ FROM buckets WINDOW o AS (ORDER BY minimizer)""",
 FROM buckets WHERE bucket_class = 'heavy' GROUP BY 1""",
     "lookup_full": f"WITH {PART_DICT} SELECT query_id, pos, kmer, {FULL} FROM hits",
     "lookup_offset": f"WITH {DOCS_DICT}, {_lookup('w')} SELECT id, pos, off AS kmer_offset FROM hits",
+    "lookup_chunked": f"WITH {PART_DICT} SELECT query_id, pos, off - sid * {K - 1} AS kmer_id, off AS kmer_offset, cast(ori AS INTEGER) AS orientation, sid AS string_id FROM hits",
     "lookup_orientation": f"WITH {PART_DICT} SELECT query_id, pos, off AS kmer_offset, cast(ori AS INTEGER) AS orientation FROM hits",
     "lookup_canonical": f"WITH {DOCS_DICT}, {_lookup('w', canonical=True)} SELECT id, pos, kmer, {FULL} FROM hits",
     "lookup_long": f"""WITH {PART}, {_strings('part_seq', 63)}, {_stored(63)}, turned AS (SELECT id, CASE WHEN id % 2 = 0 THEN {_rc('seq')} ELSE seq END AS seq FROM part_seq), {_windows('turned', 'w', 63)}, {_lookup('w', 63)}

@@ -14,6 +14,7 @@ from strandloom.config import BuildConfig
 from strandloom.operators import buckets as B
 from strandloom.operators import lookups, reports, scan, seeds, strings, windows
 from strandloom.operators import sketch as sketches
+from strandloom.sources.chunked import SIZE
 from strandloom.staging import staged
 
 FORMAT, VERSION = "strandloom-dictionary", 2
@@ -61,7 +62,7 @@ class KmerDictionary:
     @cached_property
     def is_unique(self) -> bool:
         """Whether every k-mer has one place on either strand: as many places are stored as there are k-mers."""
-        places = self.strings.agg(F.coalesce(F.sum(F.length("seq").cast("long") - self.config.k + 1), F.lit(0))).first()[0]
+        places = self.strings.agg(F.coalesce(F.sum(F.col("string_end") - F.col("string_begin") - self.config.k + 1), F.lit(0))).first()[0]
         return self.index.count() == places
 
     def runs(self, reads: DataFrame) -> DataFrame:
@@ -140,6 +141,17 @@ def build_dictionary(seqs: DataFrame, config: BuildConfig | None = None, order:
     return KmerDictionary(config, held, lookups.index_kmers(held, config.k))
 
 
+def build_from_chunks(chunks: DataFrame, config: BuildConfig | None = None, size: int = SIZE) -> KmerDictionary:
+    """The dictionary of records in chunks (``sources.read_fasta_chunks`` with the same k and ``size``), of any length each.
+
+    Its strings have names and no letters: lookups, scans of unique k-mers, membership and positions work; what
+    reads stored letters (``access``, ``kmer_at``, ``super_kmers``, ``check``, ``runs``) does not.
+    """
+    config = config or BuildConfig()
+    held = strings.chunked_set(chunks)
+    return KmerDictionary(config, held, lookups.index_chunks(chunks, held, config.k, size))
+
+
 def load_dictionary(spark: SparkSession, path: str) -> KmerDictionary:
     found = spark.read.text(f"{path}/meta", wholetext=True).head()
     try:

@@ -15,7 +15,7 @@ from strandloom.config import BuildConfig
 from strandloom.operators import buckets as B
 from strandloom.operators import lookups, reports, scan, strings, windows
 from strandloom.oracle import ORACLE_SQL
-from strandloom.plans import KmerDictionary, build_dictionary, load_dictionary
+from strandloom.plans import KmerDictionary, build_dictionary, build_from_chunks, load_dictionary
 from strandloom.streaming import chunk_scan, read_stream, run_once, stream_scan
 
 K, M = 31, 13
@@ -350,6 +350,17 @@ def lookup_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_dictionary(spark, sf_dir).stream_query(X.seq_docs(spark, sf_dir)).select("id", "pos", "kmer_offset")
 
 
+@query
+def lookup_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of FASTA records in chunks of 100 letters, asked every window of the reads: as of whole records."""
+    path = X.scratch(spark, "fasta")
+    rows = X.seq_part(spark, sf_dir).withColumn("file", F.floor(F.col("id") / 500))
+    text = F.concat(F.lit(">"), F.col("id").cast("string"), F.lit("\n"), F.regexp_replace("seq", "(.{1,60})", "$1\n"))
+    rows.repartition("file").sortWithinPartitions("file", "id").select(F.format_string("%08d", "file").alias("file"), text.alias("value")).write.partitionBy("file").text(path)
+    d = build_from_chunks(sources.read_fasta_chunks(spark, path, K, size=100), BuildConfig(k=K, m=M), size=100)
+    return d.stream_query(X.reads(spark, sf_dir)).select("query_id", "pos", "kmer_id", "kmer_offset", "orientation", "string_id")
+
+
 @query
 def lookup_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary(spark, sf_dir).query(read_windows(spark, sf_dir)).select("query_id", "pos", "kmer_offset", "orientation")

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom import functions, sources
+from strandloom.config import BuildConfig
 from strandloom.operators import lookups, strings, windows
+from strandloom.plans import build_dictionary, build_from_chunks
 
 
 @pytest.fixture
@@ -114,3 +116,36 @@ def test_table_functions(spark):
     for sql, error in (("kmers('ACGT', 0)", "k must be positive"), ("super_kmers('ACGT', 3, 3, 1)", "m must be"), ("super_kmers('ACNTACGTAA', 5, 3, 1)", "letters other")):
         with pytest.raises(Exception, match=error):
             spark.sql(f"SELECT * FROM {sql}").collect()
+
+
+@pytest.mark.parametrize("size", [7, 64, 1 << 16])
+def test_records_in_chunks_give_the_same_dictionary(spark, tmp_path, size):
+    """Lines of any length, records over many splits and chunks, blank lines, a record without letters, several files."""
+    rng = random.Random(size)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    files = {"a.fa": [("one x", base(900)), ("two", ""), ("three", base(10)), ("four", base(11).lower())], "b.fa": [("five", base(300)), ("six", base(5000))]}
+    for name, records in files.items():
+        text = ""
+        for head, seq in records:
+            width = rng.randint(5, 90)
+            text += f">{head}\r\n" + "".join(seq[i : i + width] + "\n" for i in range(0, len(seq), width)) + rng.choice(["", "\n"])
+        (tmp_path / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = sources.read_fasta_chunks(spark, str(tmp_path), 11, size=size).collect()
+        d = build_from_chunks(spark.createDataFrame(rows), BuildConfig(k=11, m=3), size=size)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = [(head, seq.upper()) for records in files.values() for head, seq in records]
+    want = sorted((head, c, len(seq), seq[c * size : c * size + size + 10]) for head, seq in whole for c in range(max(0, -(-(len(seq) - 10) // size))))
+    assert sorted((r.name, r.chunk, r.length, r.seq) for r in rows) == want
+    plain = build_dictionary(spark.createDataFrame(list(enumerate(s for _, s in whole)), "id long, seq string"), BuildConfig(k=11, m=3))
+    asked = windows.kmer_windows(plain.strings, 11, []).select("kmer").distinct()
+    assert sorted(map(str, d.query(asked).collect())) == sorted(map(str, plain.query(asked).collect()))
+    assert d.is_unique == plain.is_unique
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "c.fa").write_text("ACGT\n>x\nACGTACGTACGT\n")
+    with pytest.raises(Exception, match="before the first header"):
+        sources.read_fasta_chunks(spark, str(tmp_path / "bad"), 3).collect()
