@@ -229,9 +229,12 @@ def _close_to(stack: list[Node], tag: str, limits: tuple[str, ...], close) -> No
 
 
 def main_text(page: str, dropped: frozenset[int] | set[int], held: frozenset[int] | set[int]) -> str:
-    """Text of the blocks whose nodes the trees hold, in page order.  A node that the trees do not know
-    is judged by the page's own signs, and so is a page of which the trees leave nothing."""
-    found = parse(page)
+    """Text of the blocks whose nodes the trees hold, in page order."""
+    return text_of(parse(page), dropped, held)
+
+
+def text_of(found: Page, dropped: frozenset[int] | set[int], held: frozenset[int] | set[int]) -> str:
+    """A node that the trees do not know is judged by the page's own signs, and so is a page of which the trees leave nothing."""
 
     def own(key: int) -> bool:
         return key not in found.nodes or not found.nodes[key][2]
@@ -240,6 +243,14 @@ def main_text(page: str, dropped: frozenset[int] | set[int], held: frozenset[int
     return "\n\n".join(kept or [t for k, t in found.blocks if own(k)])
 
 
+def skeleton_of(found: Page) -> tuple[list[int], int]:
+    """The nodes with text of a page, in order, and their hash."""
+    import xxhash
+
+    own = sorted({k for k, _ in found.blocks if k})
+    return own, xxhash.xxh64_intdigest(",".join(map(str, own)), 5) - (1 << 63)
+
+
 def likeness(text: str, host: str) -> str:
     """What a text has in common with those of other pages: without the name of its host, with all numbers alike."""
     return re.sub(r"\d+", "0", text.replace(host, "") if host else text)
@@ -266,8 +277,7 @@ def style_features(pages: DataFrame) -> DataFrame:
                 rows += [(host, k, 1, x, 0, 0, 0) for k, x in texts]
                 rows += [(host, k, 2, xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 2) - (1 << 63), 0, 0, 0) for k, many in found.styles.items() if k for s in many]
                 rows += [(host, k, 0, 0, parent, depth, int(low)) for k, (parent, depth, low) in found.nodes.items()]
-                own = sorted({k for k, _ in found.blocks if k})
-                skeleton = xxhash.xxh64_intdigest(",".join(map(str, own)), 5) - (1 << 63)
+                own, skeleton = skeleton_of(found)
                 rows += [(host, k, 3, skeleton, 0, 0, 0) for k in own]
                 rows.append((host, digest, 4, skeleton, 0, 0, 0))
             cols = list(zip(*rows)) or [()] * 7
@@ -359,24 +369,39 @@ def judge_nodes(trees: DataFrame, least: float) -> DataFrame:
     return hosts.unionByName(alone).withColumn("keep", F.col("score") >= least)
 
 
-def page_judgements(features: DataFrame, judged: DataFrame) -> DataFrame:
-    """``_key, n, _dropped, _held``: of every page (its hash) how often it is there, and which of its own nodes the trees drop and hold.
+def name_in_host(column: str) -> Column:
+    return F.concat("_host", F.lit("\x00"), F.col(column).cast("string"))
+
+
+def skeleton_judgements(features: DataFrame, judged: DataFrame) -> DataFrame:
+    """``_skeleton, n, _dropped, _held``: of every skeleton of a host in how many different pages it is, and which of its nodes the trees drop and hold.
 
     The nodes of each skeleton meet the judged nodes of its host by node, so no list is longer than a page's
-    nodes, whatever a host holds; pages then meet their skeleton.  Keys of very many rows are dealt out.
+    nodes, whatever a host holds.  Nodes of very many skeletons are dealt out.
     """
-    name = lambda x: F.concat("_host", F.lit("\x00"), F.col(x).cast("string"))
-    bones = features.filter("kind = 3").select("_host", name("node").alias("_node"), "node", "feature")
+    bones = features.filter("kind = 3").select("_host", name_in_host("node").alias("_node"), "node", "feature")
     many = bones.groupBy(F.col("_node").alias("_many")).agg(F.count(F.lit(1)).alias("n"))
-    verdicts = judged.select(name("node").alias("_judged"), "keep").join(many, F.col("_judged") == F.col("_many")).select("_judged", "keep", "n")
+    verdicts = judged.select(name_in_host("node").alias("_judged"), "keep").join(many, F.col("_judged") == F.col("_many")).select("_judged", "keep", "n")
     met = join_counted(bones, stage(verdicts, "style-judged"), "_node", "_judged", "n", ["feature"])
-    lists = met.groupBy(name("feature").alias("_listed")).agg(F.collect_list(F.when(~F.col("keep"), F.col("node"))).alias("_dropped"), F.collect_list(F.when(F.col("keep"), F.col("node"))).alias("_held"))
-    pages = features.filter("kind = 4").select(F.col("node").alias("_key"), name("feature").alias("_bones"), F.col("n").alias("_copies"))
-    skeletons = pages.groupBy(F.col("_bones").alias("_skeleton")).agg(F.count(F.lit(1)).alias("n")).join(lists, F.col("_skeleton") == F.col("_listed"), "left").drop("_listed")
-    return join_counted(pages, stage(skeletons, "style-skeletons"), "_bones", "_skeleton", "n", ["_key"]).select("_key", F.col("_copies").alias("n"), "_dropped", "_held")
+    lists = met.groupBy(name_in_host("feature").alias("_listed")).agg(F.collect_list(F.when(~F.col("keep"), F.col("node"))).alias("_dropped"), F.collect_list(F.when(F.col("keep"), F.col("node"))).alias("_held"))
+    skeletons = features.filter("kind = 4").groupBy(name_in_host("feature").alias("_skeleton")).agg(F.count(F.lit(1)).alias("n"))
+    return stage(skeletons.join(lists, F.col("_skeleton") == F.col("_listed"), "left").drop("_listed"), "style-skeletons")
+
+
+def page_judgements(features: DataFrame, skeletons: DataFrame) -> DataFrame:
+    """``_key, n, _dropped, _held``: of every page (its hash) how often it is there, and what its skeleton drops and holds."""
+    pages = features.filter("kind = 4").select(F.col("node").alias("_key"), name_in_host("feature").alias("_bones"), F.col("n").alias("_copies"))
+    return stage(join_counted(pages, skeletons, "_bones", "_skeleton", "n", ["_key"]).select("_key", F.col("_copies").alias("n"), "_dropped", "_held"), "style-pages")
 
 
-def extract_main_text(pages: DataFrame, least: float = 0.75, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def small_judgements(skeletons: DataFrame, most: int) -> dict[str, tuple[list[int], list[int]]] | None:
+    """The skeletons with judged nodes, if all of them, counted first, take at most ``most`` bytes."""
+    some = skeletons.filter((F.size("_dropped") > 0) | (F.size("_held") > 0))
+    size = some.agg(F.sum(F.octet_length("_skeleton") + 8 * (F.size("_dropped") + F.size("_held")))).first()[0] or 0
+    return {r["_skeleton"]: (r["_dropped"], r["_held"]) for r in some.collect()} if size <= most else None
+
+
+def extract_main_text(pages: DataFrame, least: float = 0.75, most: int = 4 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The article of every page, without menus, notices, adverts, forms, comments and markup.
 
     The pages of a host are merged into a style tree and those of all hosts into another; a
@@ -386,6 +411,9 @@ def extract_main_text(pages: DataFrame, least: float = 0.75, id_col: str = "page
     holds.  Controls, hidden elements and readers' comments always go.  Character references are
     decoded, white space inside a block becomes one space, and blocks are joined by two line feeds.
 
+    What the trees say of each skeleton, the set of a page's nodes with text, is sent to all tasks if it takes at
+    most ``most`` bytes; else pages are joined with it, and their html is shuffled once.  Both give the same rows.
+
     Returns ``id_col, url_col, text, n_chars``.  A null, empty or blank page has an empty
     text; a page without a host is judged by the tree of all sites.  Repeated rows give
     repeated rows, an empty table none; other columns are ignored.
@@ -393,14 +421,26 @@ def extract_main_text(pages: DataFrame, least: float = 0.75, id_col: str = "page
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host.alias("_host"))
     features = style_features(source)
-    judged = judge_nodes(style_trees(source, features=features), least)
-    own = stage(page_judgements(features, judged), "style-pages")
-    joined = join_counted(source.select("_id", "_url", "_html", page_hash()), own, "_page", "_key", "n", ["_id", "_url"]).select("_id", "_url", "_html", "_dropped", "_held")
+    skeletons = skeleton_judgements(features, judge_nodes(style_trees(source, features=features), least))
+    small = small_judgements(skeletons, most)
+    if small is None:
+        own = page_judgements(features, skeletons)
+        rows = join_counted(source.select("_id", "_url", "_html", page_hash()), own, "_page", "_key", "n", ["_id", "_url"]).select("_id", "_url", "_html", "_dropped", "_held")
+    else:
+        rows = source.select("_id", "_url", "_html", "_host")
+        small = pages.sparkSession.sparkContext.broadcast(small)
+
+    def texts(batch: pa.RecordBatch) -> list[str]:
+        columns = [batch.column(k).to_pylist() for k in range(2, batch.num_columns)]
+        if small is None:
+            return [main_text(p or "", frozenset(d or ()), frozenset(h or ())) for p, d, h in zip(*columns)]
+        parsed = ((parse(p or ""), host) for p, host in zip(*columns))
+        return [text_of(found, *map(frozenset, small.value.get(f"{host}\0{skeleton_of(found)[1]}", ((), ())))) for found, host in parsed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p or "", frozenset(d or ()), frozenset(h or ())) for p, d, h in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["_id", "_url", "text", "n_chars"])
+            out = texts(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["_id", "_url", "text", "n_chars"])
 
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
-    return scan(joined, run, f"_id {id_type}, _url {url_type}, text string, n_chars long").withColumnsRenamed({"_id": id_col, "_url": url_col})
+    return scan(rows, run, f"_id {id_type}, _url {url_type}, text string, n_chars long").withColumnsRenamed({"_id": id_col, "_url": url_col})

@@ -85,8 +85,10 @@ def test_final_texts_against_brute_force(spark):
         pages.append((host, random_page(rng, i, host)))
     pages += [pages[0]] * 40 + [("big.example", None), ("", ""), (f"lone.example", "<p>alone</p>")]
     rows = [(i, f"http://{h}/{i}" if h else None, page, "clash") for i, (h, page) in enumerate(pages)]
-    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
-    assert got == dict(enumerate(brute_texts(pages)))
+    frame, want = spark.createDataFrame(rows, "page_id long, url string, html string, text string"), dict(enumerate(brute_texts(pages)))
+    for most in (4 << 20, 0):  # sent to all tasks, and joined
+        got = {r.page_id: r.text for r in html_text.extract_main_text(frame, most=most).collect()}
+        assert got == want
     plain = [html_text.main_text(page or "", frozenset(), frozenset()) for _, page in pages]
     assert sum(a != b for a, b in zip(plain, got.values())) > 50  # the trees decide
 
@@ -98,7 +100,7 @@ def test_hot_hosts_and_skeletons_are_dealt_out_with_the_same_result(spark, monke
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     plain = html_text.join_counted
     monkeypatch.setattr(html_text, "join_counted", lambda *a: plain(*a, hot_rows=3))
-    assert {r.page_id: r.text for r in html_text.extract_main_text(frame).collect()} == dict(enumerate(brute_texts(pages)))
+    assert {r.page_id: r.text for r in html_text.extract_main_text(frame, most=0).collect()} == dict(enumerate(brute_texts(pages)))
 
 
 def test_adverts_and_sharing_inside_an_article_go_on_a_lone_page(spark):
