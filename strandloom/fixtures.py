@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import reverse_complement
+from strandloom.staging import not_broadcast
 from strandloom.staging import scratch as scratch
 
 HEX, BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
@@ -31,7 +32,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query_id, seq``: reads of the parts' sequences, forward, reversed, absent, damaged, short and across ends."""
     part = seq_part(spark, sf_dir)
     after = part.select((F.col("id") - 1).alias("_id"), F.substring("seq", 1, 30).alias("_next"))
-    rows = part.join(after, F.col("id") == F.col("_id"), "left")
+    rows = part.join(not_broadcast(after), F.col("id") == F.col("_id"), "left")
     cut = F.substring(F.col("seq"), (F.col("id") % 60 + 1).cast("int"), F.lit(60))
     absent = hashed("zy", "id")
     seq = (

@@ -11,7 +11,7 @@ from strandloom.config import LIGHT_LIMIT
 from strandloom.functions import is_query_kmer, key_of_order, kmer_of_key, order_key, reverse_complement, reverse_order_key
 from strandloom.functions.kmers import LONG_BASES
 from strandloom.operators.windows import keyed_windows, query_windows, stretches, super_kmers
-from strandloom.staging import staged
+from strandloom.staging import not_broadcast, staged
 
 
 def index_kmers(strings: DataFrame, k: int) -> DataFrame:
@@ -92,7 +92,7 @@ def lookup_windows(seqs: DataFrame, index: DataFrame, k: int, canonical_mode: bo
 
 def _answers(q: DataFrame, names: list[str], index: DataFrame, k: int, canonical_mode: bool) -> DataFrame:
     """The columns ``names`` of ``q`` (with ``_key`` and ``_own``) and where each k-mer is."""
-    joined = q.join(index, same_key(F.col("_key"), k), "left")
+    joined = q.join(not_broadcast(index), same_key(F.col("_key"), k), "left")
     same = F.when(F.col("_own"), F.col("fwd")).otherwise(F.col("rev"))
     other = F.when(F.col("_own"), F.col("rev")).otherwise(F.col("fwd"))
     if canonical_mode:

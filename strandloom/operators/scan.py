@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.lookups import lookup, lookup_windows
+from strandloom.staging import not_broadcast
 
 
 def scan_lookup(reads: DataFrame, index: DataFrame, k: int, canonical_mode: bool = False) -> DataFrame:
@@ -54,6 +55,6 @@ def scan_check(scan: DataFrame, index: DataFrame, k: int, canonical_mode: bool =
     fields = ["kmer_id", "kmer_id_in_string", "orientation", "string_id", "string_begin", "string_end"]
     direct = lookup(scan.select("kmer").distinct(), index, k, canonical_mode)
     direct = direct.select(F.col("kmer").alias("_kmer"), F.struct(*fields).alias("_direct"))
-    joined = scan.join(direct, F.col("kmer") == F.col("_kmer"))
+    joined = scan.join(not_broadcast(direct), F.col("kmer") == F.col("_kmer"))
     differ = ~F.struct(*fields).eqNullSafe(F.col("_direct"))
     return joined.agg(F.count(F.lit(1)).alias("windows"), F.count_if(differ).alias("mismatches"))

@@ -18,6 +18,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def not_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` for a join that must not send it whole to the driver and every executor.
+
+    What is exploded, hashed into letters or grouped by k-mer is estimated from the few bytes of the table it
+    comes from, so the planner would take an index of any size for a small table; both sides are sorted and merged instead.
+    """
+    return df.hint("merge")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: cuts the lineage, survives lost executors and tells the planner its size."""
     path = scratch(df.sparkSession, name)
