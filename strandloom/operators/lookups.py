@@ -161,7 +161,7 @@ def minimizer_join(reads: DataFrame, strings: DataFrame, k: int, m: int, seed: i
     own = stretches(reads.select("query_id", "seq"), k)
     own = own.select(F.struct("query_id", "offset").alias("string_id"), F.lit(0).cast("bigint").alias("string_begin"), "seq")
     mine = super_kmers(own, k, m, seed=seed, piece=True).withColumnRenamed("piece", "_piece")
-    joined = mine.join(known, F.col("minimizer") == F.col("_m"))
+    joined = mine.join(not_broadcast(known), F.col("minimizer") == F.col("_m"))
     # Window i of mine meets window i + shift of theirs, where the minimizers lie on each other.
     shift = F.col("_in") - F.col("pos_in_kmer")
     first, last = F.greatest(F.lit(0), -shift), F.least(F.col("num_kmers"), F.col("_n") - shift)
