@@ -117,7 +117,7 @@ def query_key(kmer: Column, k: int) -> Column:
 def members(queries: DataFrame, index: DataFrame, k: int, absent: bool = False) -> DataFrame:
     """The rows of ``queries`` whose k-mer is in the dictionary on either strand, or, if ``absent``, is not."""
     q = queries.withColumn("_key", query_key(F.col("kmer"), k))
-    return q.join(index.select(*key_columns(k)), same_key(F.col("_key"), k), "left_anti" if absent else "left_semi").drop("_key")
+    return q.join(not_broadcast(index.select(*key_columns(k))), same_key(F.col("_key"), k), "left_anti" if absent else "left_semi").drop("_key")
 
 
 def canonical_keys(strings: DataFrame, k: int) -> DataFrame:

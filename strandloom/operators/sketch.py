@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.lookups import key_columns, query_key, same_key
+from strandloom.staging import not_broadcast
 
 #: Bits of one block (32 KB); all bits of a key lie in one.
 BLOCK_BITS = 1 << 18
@@ -99,7 +100,7 @@ def members_sketched(queries: DataFrame, index: DataFrame, k: int, sketch: Sketc
     """
     q = queries.withColumn("_key", query_key(F.col("kmer"), k))
     kind = "left_anti" if absent else "left_semi"
-    held = index.select(*key_columns(k))
+    held = not_broadcast(index.select(*key_columns(k)))
     if sketch is None:
         return q.join(held, same_key(F.col("_key"), k), kind).drop("_key")
     parts = [F.col("_key")] if key_columns(k) == ["key"] else [F.col(f"_key.{c}") for c in key_columns(k)]
