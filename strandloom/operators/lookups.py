@@ -28,7 +28,7 @@ def index_kmers(strings: DataFrame, k: int) -> DataFrame:
 def index_chunks(chunks: DataFrame, strings: DataFrame, k: int, size: int) -> DataFrame:
     """The index of records in chunks of ``size`` letters and k - 1 more, with the strings that ``chunked_set`` made of them."""
     own = strings.select(F.col("file").alias("_f"), F.col("record").alias("_r"), "string_id", "string_begin", "string_end")
-    rows = chunks.join(own, (F.col("file") == F.col("_f")) & (F.col("record") == F.col("_r")))
+    rows = chunks.join(not_broadcast(own), (F.col("file") == F.col("_f")) & (F.col("record") == F.col("_r")))
     found = keyed_windows(rows, k, ["string_id", "string_begin", "string_end", "chunk"])
     return _first_places(found.withColumn("kmer_offset", (F.col("string_begin") + F.col("chunk") * size + F.col("pos")).cast("bigint")), k)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import is_dna
 from strandloom.operators.windows import CHUNK, chunks
+from strandloom.staging import not_broadcast
 
 #: Rows of one slice of the running offsets.
 SLICE = 1 << 16
@@ -37,7 +38,7 @@ def chunked_set(chunks: DataFrame) -> DataFrame:
     """
     records = chunks.groupBy("file", "record").agg(F.min("name").alias("name"), F.min("length").alias("_len"))
     files = records.groupBy("file").agg(F.max("record").alias("_most")).withColumn("_first", F.coalesce(F.sum("_most").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = records.join(files.select(F.col("file").alias("_f"), "_first"), F.col("file") == F.col("_f")).withColumn("_ord", F.col("_first") + F.col("record")).withColumn("_part", F.lit(0))
+    rows = not_broadcast(records).join(files.select(F.col("file").alias("_f"), "_first"), F.col("file") == F.col("_f")).withColumn("_ord", F.col("_first") + F.col("record")).withColumn("_part", F.lit(0))
     return _placed(rows, ["file", "record", "name"])
 
 

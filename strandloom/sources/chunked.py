@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import is_dna
+from strandloom.staging import not_broadcast
 
 #: Letters of a chunk that are its own.
 SIZE = 1 << 16
@@ -30,7 +31,7 @@ def read_fasta_chunks(spark: SparkSession, path: str, k: int, size: int = SIZE)
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_h0", F.coalesce(F.sum("_h").over(before), F.lit(0))).withColumn("_n0", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     splits = splits.withColumn("_l0", F.max(F.col("_n0") + F.col("_l")).over(before)).select(F.col("file").alias("_f"), F.col("_block").alias("_b"), "_h0", "_n0", "_l0")
-    placed = lines.join(splits, (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    placed = not_broadcast(lines).join(splits, (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
     start = F.col("_n0") + F.col("_at") - F.when(F.col("_heads") > 0, F.col("_n0") + F.col("_last")).otherwise(F.coalesce("_l0", F.lit(0)))
     placed = placed.select("file", (F.col("_h0") + F.col("_heads")).alias("record"), start.alias("_start"), "_len", "_text", "_head")
     heads = placed.filter("_head = 1").select(F.col("file").alias("_hf"), F.col("record").alias("_hr"), F.trim(F.expr("substring(_text, 2)")).alias("name"))
@@ -45,6 +46,6 @@ def read_fasta_chunks(spark: SparkSession, path: str, k: int, size: int = SIZE)
     text = F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["text"]), "")
     found = pieces.groupBy("file", "record", "chunk").agg(text.alias("seq"), F.max("_end").alias("_end"))
     sizes = letters.groupBy(F.col("file").alias("_sf"), F.col("record").alias("_sr")).agg(F.max(F.col("_start") + F.col("_len")).alias("length"))
-    found = found.filter(F.length("seq") >= k).join(heads, (F.col("file") == F.col("_hf")) & (F.col("record") == F.col("_hr")))
-    found = found.join(sizes, (F.col("file") == F.col("_sf")) & (F.col("record") == F.col("_sr")))
+    found = found.filter(F.length("seq") >= k).join(not_broadcast(heads), (F.col("file") == F.col("_hf")) & (F.col("record") == F.col("_hr")))
+    found = found.join(not_broadcast(sizes), (F.col("file") == F.col("_sf")) & (F.col("record") == F.col("_sr")))
     return found.select("file", "record", "name", "chunk", "length", "seq")
