@@ -10,7 +10,7 @@ from strandloom.operators.windows import CHUNK, chunks
 from strandloom.staging import not_broadcast
 
 #: Rows of one slice of the running offsets.
-SLICE = 1 << 16
+SLICE = 1 << 12
 
 
 def string_set(seqs: DataFrame, k: int, on_invalid: str = "error", order: str = "id") -> DataFrame:
@@ -48,7 +48,7 @@ def _placed(rows: DataFrame, keep: list[str]) -> DataFrame:
     totals = _before(rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"), F.sum("_len").alias("_bases")))
     inside = Window.partitionBy("_slice").orderBy("_ord", "_part")
     numbered = rows.withColumn("_i", F.row_number().over(inside) - 1).withColumn("_run", F.sum("_len").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = numbered.join(totals, F.col("_slice") == F.col("_s"))
+    joined = not_broadcast(numbered).join(totals, F.col("_slice") == F.col("_s"))
     end = F.col("_b0") + F.col("_run")
     return joined.select((F.col("_n0") + F.col("_i")).cast("bigint").alias("string_id"), (end - F.col("_len")).cast("bigint").alias("string_begin"), end.cast("bigint").alias("string_end"), *keep)
 
@@ -65,10 +65,10 @@ def _before(totals: DataFrame) -> DataFrame:
     sums = sums.select(F.col("_group").alias("_g"), F.coalesce(F.sum("_gn").over(ahead), F.lit(0)).alias("_n1"), F.coalesce(F.sum("_gb").over(ahead), F.lit(0)).alias("_b1"))
     inside = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.select("_group", F.col("_slice").alias("_s"), F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_ni"), F.coalesce(F.sum("_bases").over(inside), F.lit(0)).alias("_bi"))
-    return rows.join(sums, F.col("_group") == F.col("_g")).select("_s", (F.col("_n1") + F.col("_ni")).alias("_n0"), (F.col("_b1") + F.col("_bi")).alias("_b0"))
+    return not_broadcast(rows).join(sums, F.col("_group") == F.col("_g")).select("_s", (F.col("_n1") + F.col("_ni")).alias("_n0"), (F.col("_b1") + F.col("_bi")).alias("_b0"))
 
 
-def locate(positions: DataFrame, strings: DataFrame, position: str = "pos", width: int = 4096) -> DataFrame:
+def locate(positions: DataFrame, strings: DataFrame, position: str = "pos", width: int = 512) -> DataFrame:
     """``positions`` with ``string_id, string_begin, string_end`` of the string that covers each; null if none.
 
     A range join on bins: a string is listed under every bin of ``width`` positions that it
@@ -80,13 +80,22 @@ def locate(positions: DataFrame, strings: DataFrame, position: str = "pos", widt
     )
     p = F.col(position)
     cond = (F.floor(p / width) == F.col("_bin")) & (p >= F.col("string_begin")) & (p < F.col("string_end"))
-    return positions.join(bins, cond, "left").drop("_bin")
+    return positions.join(not_broadcast(bins), cond, "left").drop("_bin")
 
 
-def kmer_at(positions: DataFrame, strings: DataFrame, k: int, position: str = "pos", width: int = 4096) -> DataFrame:
-    """``positions`` with ``string_id`` and the k-mer that starts there; null where it would leave its string."""
-    found = locate(positions, strings, position, width)
-    return _with_kmer(found, F.col(position) - F.col("string_begin"), strings, k).drop("string_begin", "string_end")
+def kmer_at(positions: DataFrame, strings: DataFrame, k: int, position: str = "pos") -> DataFrame:
+    """``positions`` with ``string_id`` and the k-mer that starts there; null where it would leave its string.
+
+    One range join finds the string and its letters: the chunks of the strings lie at most in two bins of a
+    chunk's length each, and the places of one long string are dealt over its chunks.
+    """
+    texts = chunks(strings.select("string_id", "string_begin", "seq"), k, ["string_id", "string_begin"], short=True)
+    texts = texts.select("string_id", (F.col("string_begin") + F.col("_c") * CHUNK).alias("_from"), F.least(F.lit(CHUNK), F.length("_text")).alias("_n"), "_text")
+    texts = texts.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_from") / CHUNK), F.floor((F.col("_from") + F.col("_n") - 1) / CHUNK))))
+    p = F.col(position)
+    cond = (F.floor(p / CHUNK) == F.col("_bin")) & (p >= F.col("_from")) & (p < F.col("_from") + F.col("_n"))
+    kmer = F.substring("_text", (p - F.col("_from") + 1).cast("int"), F.lit(k))
+    return positions.join(not_broadcast(texts), cond, "left").select(*positions.columns, "string_id", F.when(F.length(kmer) == k, kmer).alias("kmer"))
 
 
 def kmer_in_string(wanted: DataFrame, strings: DataFrame, k: int) -> DataFrame:
@@ -101,6 +110,6 @@ def _with_kmer(rows: DataFrame, place: Column, strings: DataFrame, k: int) -> Da
     long string are dealt over its chunks.
     """
     texts = chunks(strings.select("string_id", "seq"), k, ["string_id"]).select(F.col("string_id").alias("_sid"), F.col("_c").cast("bigint").alias("_c"), "_text")
-    joined = rows.join(texts, (F.col("string_id") == F.col("_sid")) & (F.floor(place / CHUNK) == F.col("_c")), "left")
+    joined = rows.join(not_broadcast(texts), (F.col("string_id") == F.col("_sid")) & (F.floor(place / CHUNK) == F.col("_c")), "left")
     kmer = F.substring("_text", (F.pmod(place, F.lit(CHUNK)) + 1).cast("int"), F.lit(k))
     return joined.select(*rows.columns, F.when(F.length(kmer) == k, kmer).alias("kmer"))

@@ -26,9 +26,10 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def chunks(seqs: DataFrame, k: int, keep: list[str], left: int = 0, right: int = 0) -> DataFrame:
+def chunks(seqs: DataFrame, k: int, keep: list[str], left: int = 0, right: int = 0, short: bool = False) -> DataFrame:
     """The kept columns, ``_c`` and ``_text``: consecutive chunks of ``CHUNK`` windows of k letters each,
-    with ``left`` letters more before (but for the first) and ``right`` more after.
+    with ``left`` letters more before (but for the first) and ``right`` more after.  With ``short`` also the rest of a
+    sequence that holds no window.
 
     Taking a piece of a string costs its distance from the start, and arrays over a whole
     chromosome are slow to carry, so windows are cut from short chunks: the work is linear in the
@@ -42,7 +43,8 @@ def chunks(seqs: DataFrame, k: int, keep: list[str], left: int = 0, right: int =
         before = [F.coalesce(F.right(F.get("_parts", i - 1), F.lit(left)), F.lit(""))] if left else []
         return F.concat(*before, x, after)
 
-    cut = rows.select(*keep, F.posexplode(F.transform("_parts", joined)).alias("_c", "_text")).filter(F.length("_text") >= k)
+    cut = rows.select(*keep, F.posexplode(F.transform("_parts", joined)).alias("_c", "_text"))
+    cut = cut if short else cut.filter(F.length("_text") >= k)
     return cut.repartition(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_c", *(keep or ["_text"]))
 
 
