@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions import is_dna, is_query_kmer, key_of_order, mix31, order_key, pack, reverse_complement, reverse_order_key
+from strandloom.functions import is_dna, is_query_kmer, key_of_order, mix31, order_key, reverse_order_key
 
 
 #: Windows of one chunk of a sequence.
@@ -105,18 +105,22 @@ def query_windows(seqs: DataFrame, k: int) -> DataFrame:
     return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), kmer.alias("kmer"), valid.alias("valid"), F.when(valid, key_of_order(F.least(fwd, rev), k)).alias("_key"), (fwd < rev).alias("_own"))
 
 
-def _hashes(seq: Column, m: int, seed: int, strand: int) -> Column:
-    """For every m-mer of the sequence the struct (hash, order, place, value) of one strand.
+#: Above the place of an m-mer in a chunk, so that hash and place are one long.
+PLACES = 1 << 12
 
-    On the reverse strand the leftmost of ties is the one that stands last here.
-    """
 
-    def one(i: Column) -> Column:
-        mer = F.substring(seq, i + 1, F.lit(m))
-        value = pack(mer if strand > 0 else reverse_complement(mer))
-        return F.struct(mix31(value, seed).alias("h"), (i * strand).alias("o"), i.alias("i"), value.alias("v"))
+def _values(order: str, m: int, strand: int) -> Column:
+    """The packed m-mers of one strand, place by place on the forward one, from the strand's order key."""
+    n = F.length(order)
+    return F.transform(F.sequence(F.lit(0), n - m), lambda i: F.conv(F.substring(F.col(order), (n - i - m + 1) if strand > 0 else i + 1, F.lit(m)), 4, 10).cast("bigint"))
 
-    return F.transform(F.sequence(F.lit(0), F.length(seq) - m), one)
+
+def _ranks(values: str, seed: int, strand: int) -> Column:
+    """Longs of which the least belongs to the m-mer of the least hash, the leftmost of ties.
+
+    On the reverse strand the leftmost of ties is the one that stands last here.
+    """
+    return F.transform(F.col(values), lambda v, i: mix31(v, seed) * PLACES + (i if strand > 0 else PLACES - 1 - i))
 
 
 def _with_minimizers(rows: DataFrame, k: int, m: int, canonical: bool, seed: int, ties: bool = False) -> DataFrame:
@@ -126,23 +130,31 @@ def _with_minimizers(rows: DataFrame, k: int, m: int, canonical: bool, seed: int
 
     The m-mer of the least hash wins, the leftmost of ties.  In canonical mode the strand of
     the lesser *value* wins, the forward one of ties; the place is always that on this strand.
-    The m-mers of a chunk are hashed once and windows take slices, so nothing is shuffled.
+    The m-mers of a chunk are packed and hashed once and windows take slices, so nothing is shuffled.
     """
-    rows = _held(rows, "_f", _hashes(F.col("_text"), m, seed, 1))
+    rows = _held(rows, "_fo", order_key(F.col("_text")))
+    rows = _held(rows, "_fv", _values("_fo", m, 1))
+    rows = _held(rows, "_f", _ranks("_fv", seed, 1)).drop("_fo")
     if canonical:
-        rows = _held(rows, "_r", _hashes(F.col("_text"), m, seed, -1))
+        rows = _held(rows, "_ro", reverse_order_key(F.col("_text")))
+        rows = _held(rows, "_rv", _values("_ro", m, -1))
+        rows = _held(rows, "_r", _ranks("_rv", seed, -1)).drop("_ro")
     span = k - m + 1
+    rows = _held(rows, "_fi", F.transform(F.sequence(F.lit(0), F.length("_text") - k), lambda p: F.array_min(F.slice("_f", p + 1, F.lit(span))).bitwiseAND(F.lit(PLACES - 1)).cast("int")))
+    if canonical:
+        least = lambda p: F.lit(PLACES - 1) - F.array_min(F.slice("_r", p + 1, F.lit(span))).bitwiseAND(F.lit(PLACES - 1)).cast("int")
+        rows = _held(rows, "_ri", F.transform(F.sequence(F.lit(0), F.length("_text") - k), least))
 
-    def least(p: Column) -> Column:
-        f = F.array_min(F.slice("_f", p + 1, F.lit(span)))
+    def one(i: Column, p: Column) -> Column:
+        f = F.get("_fv", i)
         if not canonical:
-            return F.struct(f["v"].alias("v"), f["i"].alias("i"))
-        r = F.array_min(F.slice("_r", p + 1, F.lit(span)))
-        first = r["v"] < f["v"]
-        tie = [(r["v"] == f["v"]).alias("t")] if ties else []
-        return F.struct(F.when(first, r["v"]).otherwise(f["v"]).alias("v"), F.when(first, r["i"]).otherwise(f["i"]).alias("i"), *tie)
+            return F.struct(f.alias("v"), i.alias("i"))
+        j = F.get("_ri", p)
+        r = F.get("_rv", j)
+        tie = [(r == f).alias("t")] if ties else []
+        return F.struct(F.least(f, r).alias("v"), F.when(r < f, j).otherwise(i).alias("i"), *tie)
 
-    return _held(rows, "mins", F.transform(F.sequence(F.lit(0), F.length("_text") - k), least)).drop("_f", "_r")
+    return _held(rows, "mins", F.transform("_fi", one)).drop("_f", "_fv", "_fi", *(["_r", "_rv", "_ri"] if canonical else []))
 
 
 def minimizers(seqs: DataFrame, k: int, m: int, canonical: bool = False, seed: int = 1) -> DataFrame:
