@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import LIGHT_LIMIT
 from strandloom.functions import ceil_log2
+from strandloom.staging import not_broadcast
 
 
 def bucket_class(size: Column) -> Column:
@@ -37,7 +38,7 @@ def bucket_ranges(found: DataFrame, slices: int = 1024) -> DataFrame:
     totals = totals.select("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_z").over(before), F.lit(0)).alias("_z0"))
     w = Window.partitionBy("_slice").orderBy("minimizer")
     rows = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_run", F.sum("bucket_size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(totals, F.col("_slice") == F.col("_s"))
+    rows = not_broadcast(rows).join(totals, F.col("_slice") == F.col("_s"))
     end = F.col("_z0") + F.col("_run")
     return rows.select((F.col("_n0") + F.col("_i")).cast("bigint").alias("bucket_id"), "minimizer", (end - F.col("bucket_size")).cast("bigint").alias("begin"), end.cast("bigint").alias("end"))
 

@@ -132,18 +132,18 @@ def kmer_union(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 
 def kmer_intersect(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """``kmer`` of both string sets, on either strand."""
-    return canonical_keys(a, k).join(canonical_keys(b, k), "key", "left_semi").select(kmer_of_key(F.col("key"), k).alias("kmer"))
+    return canonical_keys(a, k).join(not_broadcast(canonical_keys(b, k)), "key", "left_semi").select(kmer_of_key(F.col("key"), k).alias("kmer"))
 
 
 def kmer_except(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """``kmer`` of the first string set that the second does not hold on either strand."""
-    return canonical_keys(a, k).join(canonical_keys(b, k), "key", "left_anti").select(kmer_of_key(F.col("key"), k).alias("kmer"))
+    return canonical_keys(a, k).join(not_broadcast(canonical_keys(b, k)), "key", "left_anti").select(kmer_of_key(F.col("key"), k).alias("kmer"))
 
 
 def minimizer_found(windows: DataFrame, tuples: DataFrame) -> DataFrame:
     """``windows`` (with ``minimizer``) and whether the dictionary holds that minimizer: exact membership."""
     known = tuples.select(F.col("minimizer").alias("_known")).distinct()
-    joined = windows.join(known, F.col("minimizer") == F.col("_known"), "left")
+    joined = windows.join(not_broadcast(known), F.col("minimizer") == F.col("_known"), "left")
     return joined.withColumn("minimizer_found", F.col("_known").isNotNull()).drop("_known")
 
 
@@ -199,7 +199,7 @@ def minimizer_lookup(reads: DataFrame, strings: DataFrame, k: int, m: int, seed:
     firsts = places.groupBy(F.col("key").alias("_k")).agg(*[F.min(F.when(F.col("own") == own, F.col("_off"))).alias(c) for c, own in (("_f", True), ("_r", False))])
     place = (F.col("string_id.offset") + F.col("first_pos")).alias("_from")
     asked = keyed_windows(mine_keyed.select(F.col("string_id.query_id").alias("query_id"), place, F.col("piece").alias("seq")), k, ["query_id", "_from"])
-    by_key = asked.join(firsts, F.col("key") == F.col("_k")).select("query_id", (F.col("_from") + F.col("pos")).alias("pos"), F.when(F.col("own"), F.col("_f")).otherwise(F.col("_r")).alias("_same"), F.when(F.col("own"), F.col("_r")).otherwise(F.col("_f")).alias("_turned"))
+    by_key = asked.join(not_broadcast(firsts), F.col("key") == F.col("_k")).select("query_id", (F.col("_from") + F.col("pos")).alias("pos"), F.when(F.col("own"), F.col("_f")).otherwise(F.col("_r")).alias("_same"), F.when(F.col("own"), F.col("_r")).otherwise(F.col("_f")).alias("_turned"))
 
     # Joined as runs: window i of mine meets window i + shift of theirs, where the minimizers lie on each other.
     theirs = known_light.select(F.col("minimizer").alias("_m"), at.alias("_at"), F.col("pos_in_kmer").alias("_in"), F.col("num_kmers").alias("_n"), F.col("piece").alias("_text"))
@@ -207,7 +207,7 @@ def minimizer_lookup(reads: DataFrame, strings: DataFrame, k: int, m: int, seed:
         F.struct(F.lit(1).alias("turn"), F.col("_in").alias("in"), F.col("_text").alias("text")),
         F.struct(F.lit(-1).alias("turn"), (k - m - F.col("_in") + F.col("_n") - 1).alias("in"), reverse_complement(F.col("_text")).alias("text")),
     )
-    joined = mine_light.join(theirs, F.col("minimizer") == F.col("_m")).withColumn("_way", F.explode(ways))
+    joined = mine_light.join(not_broadcast(theirs), F.col("minimizer") == F.col("_m")).withColumn("_way", F.explode(ways))
     shift = F.col("_way.in") - F.col("pos_in_kmer")
     first, last = F.greatest(F.lit(0), -shift), F.least(F.col("num_kmers"), F.col("_n") - shift)
     rows = joined.withColumn("_shift", shift).withColumn("_first", first).withColumn("_last", last).filter("_first < _last")
