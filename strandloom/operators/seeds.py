@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import reverse_complement
-from strandloom.operators.windows import CHUNK, chunks
+from strandloom.operators.windows import CHUNK, _held, chunks
 from strandloom.staging import staged
 
 #: Windows of one block of a read.
@@ -45,10 +45,13 @@ def segments(found: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _same_letters(x: Column, y: Column, n: Column) -> Column:
-    """How many letters two strings share at their begin, of ``n``."""
-    equal = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(x, i, F.lit(1)) == F.substring(y, i, F.lit(1)))
-    at = F.array_position(equal, False)
-    return F.when(x == y, n).otherwise(F.when(at > 0, at - 1).otherwise(n)).cast("long")
+    """How many letters two strings share at their begin, of ``n`` (below 2 * PIECE); none if there is no string.
+
+    The longest common prefix is found by halves: nine comparisons, not one a letter.
+    """
+    halves = F.array(*[F.lit(PIECE >> e) for e in range(PIECE.bit_length())])
+    longer = lambda have, step: F.when((have + step <= n) & (F.substring(x, F.lit(1), have + step) == F.substring(y, F.lit(1), have + step)), have + step).otherwise(have)
+    return F.when(x == y, n).otherwise(F.aggregate(halves, F.lit(0), longer)).cast("long")
 
 
 def follow(rows: DataFrame, reads: DataFrame, strings: DataFrame, k: int) -> DataFrame:
@@ -73,7 +76,7 @@ def follow(rows: DataFrame, reads: DataFrame, strings: DataFrame, k: int) -> Dat
         first = (F.when(F.col("_sc") > 0, width).otherwise(0) + F.pmod(F.col("_on"), F.lit(CHUNK))).cast("int")
         x = F.substring("_read", (F.pmod(F.col("_at"), F.lit(CHUNK)) + k).cast("int"), F.col("_n"))
         y = F.when(F.col("orientation") > 0, F.substring("_held", first + k, F.col("_n"))).otherwise(reverse_complement(F.substring("_held", first - F.col("_n") + 2, F.col("_n"))))
-        met = met.withColumn("_x", x).withColumn("_y", y).withColumn("_same", F.coalesce(_same_letters(F.col("_x"), F.col("_y"), F.col("_n")), F.lit(0)))
+        met = _held(_held(met, "_x", x), "_y", y).withColumn("_same", F.coalesce(_same_letters(F.col("_x"), F.col("_y"), F.col("_n")), F.lit(0)))
         ends = met.groupBy("query_id", "a").agg(
             *[F.min(c).alias(c) for c in ("_p", "_place", "orientation", "string_id", "_left", "_more")],
             F.min(F.when(F.col("_same") < F.col("_n"), F.col("_j") * width + F.col("_same"))).alias("_stop"), F.max(F.col("_j") * width + F.col("_n")).alias("_seen"),

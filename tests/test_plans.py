@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandloom import fixtures as X
 from strandloom import queries as Q
-from strandloom.operators import strings
+from strandloom.operators import seeds, strings
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +58,12 @@ def test_strings_and_places_are_dealt_over_tasks(spark):
     assert held.select(F.floor(F.col("string_id") / strings.SLICE)).distinct().count() > 4
     asked = spark.range(0, 200).select(F.col("id").alias("pos"))
     assert plan(strings.kmer_at(asked, held, Q.K)).count("Join") == plan(strings.locate(asked, held)).count("Join")
+
+
+def test_shared_letters(spark):
+    """A piece that has no text, as behind the last chunk of a read, shares no letter."""
+    cases = [(None, "ACG", 3, 0), ("ACG", None, 3, 0), ("", "ACG", 3, 0), ("ACG", "ACG", 3, 3), ("ACGT", "ACT", 4, 2), ("AC", "ACGT", 4, 2)]
+    cases += [("A" * i + "C" * (256 - i), "A" * 256, 256, i) for i in (0, 1, 127, 128, 200, 255, 256)]
+    rows = spark.createDataFrame([(*c, k) for k, c in enumerate(cases)], "x string, y string, n int, right long, at int")
+    found = rows.select("right", seeds._same_letters(F.col("x"), F.col("y"), F.col("n")).alias("found")).orderBy("at").collect()
+    assert [r["found"] for r in found] == [c[3] for c in cases]
