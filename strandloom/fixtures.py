@@ -25,7 +25,7 @@ def seq_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seq_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, seq``: the letters ACGT of every document, of any length, with repeats."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("id"), F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]+", "").alias("seq"))
+    return docs.select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace("text", "[^ACGTacgt]+", "")).alias("seq"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

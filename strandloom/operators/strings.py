@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import is_dna
-from strandloom.operators.windows import CHUNK, chunks
+from strandloom.operators.windows import CHUNK, _held, chunks
 from strandloom.staging import not_broadcast
 
 #: Rows of one slice of the running offsets.
@@ -21,6 +21,8 @@ def string_set(seqs: DataFrame, k: int, on_invalid: str = "error", order: str =
     a group, and over the groups, of which there are at most 2**24 whatever the values are.
     ``on_invalid='split'`` cuts sequences at letters other than ACGT instead of failing.
     """
+    # Held, or the filter on lengths is pushed below what makes the sequences, which then run once for each mention of them.
+    seqs = _held(seqs.withColumnRenamed("seq", "_seq"), "seq", F.col("_seq")).drop("_seq")
     seq = F.upper(F.col("seq"))
     wrong = F.raise_error(F.concat(F.lit("a sequence holds letters other than ACGT: "), F.substring("seq", 1, 60))).cast("string")
     extra = [c for c in seqs.columns if c not in ("seq", order, "string_id", "string_begin", "string_end")]
@@ -28,6 +30,7 @@ def string_set(seqs: DataFrame, k: int, on_invalid: str = "error", order: str =
         rows = seqs.select(F.col(order).cast("bigint").alias("_ord"), F.lit(0).alias("_part"), F.when(is_dna(F.col("seq")), seq).otherwise(F.when(F.col("seq").isNotNull(), wrong)).alias("seq"), *extra)
     else:
         rows = seqs.select(F.col(order).cast("bigint").alias("_ord"), F.posexplode(F.split(seq, "[^ACGT]+")).alias("_part", "seq"), *extra)
+    rows = _held(rows.withColumnRenamed("seq", "_seq"), "seq", F.col("_seq")).drop("_seq")
     return _placed(rows.filter(F.length("seq") >= k).withColumn("_len", F.length("seq").cast("bigint")), ["seq", *extra])
 
 
@@ -103,6 +106,21 @@ def kmer_in_string(wanted: DataFrame, strings: DataFrame, k: int) -> DataFrame:
     return _with_kmer(wanted, F.col("pos"), strings, k)
 
 
+def kmers_in_ranges(ranges: DataFrame, strings: DataFrame, k: int) -> DataFrame:
+    """``string_id, pos`` of every place of ranges (``string_id, first, last``, both included) and the k-mer there; null where there is none.
+
+    A range is cut where the chunks of the strings are, so that a row of the join stands for the places of
+    a chunk; places are made behind the join.
+    """
+    texts = chunks(strings.select("string_id", "seq"), k, ["string_id"]).select(F.col("string_id").alias("_sid"), F.col("_c").cast("bigint").alias("_t"), "_text")
+    cut = F.sequence(F.floor(F.col("first") / CHUNK), F.floor(F.col("last") / CHUNK))
+    parts = ranges.filter("first <= last").select("string_id", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), F.explode(cut).alias("_c"))
+    joined = parts.join(not_broadcast(texts), (F.col("string_id") == F.col("_sid")) & (F.col("_c") == F.col("_t")), "left")
+    places = F.sequence(F.greatest(F.col("first"), F.col("_c") * CHUNK), F.least(F.col("last"), F.col("_c") * CHUNK + CHUNK - 1))
+    kmer = F.substring("_text", (F.pmod(F.col("pos"), F.lit(CHUNK)) + 1).cast("int"), F.lit(k))
+    return joined.select("string_id", "_text", F.explode(places).alias("pos")).select("string_id", "pos", F.when(F.length(kmer) == k, kmer).alias("kmer"))
+
+
 def _with_kmer(rows: DataFrame, place: Column, strings: DataFrame, k: int) -> DataFrame:
     """``rows`` (with ``string_id``) and the k-mer at that place of that string; null where there is none.
 

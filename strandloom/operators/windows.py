@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from strandloom.functions import is_dna, is_query_kmer, key_of_order, mix31, order_key, reverse_order_key
+from strandloom.functions import is_dna, mix31, order_key, reverse_order_key
+from strandloom.functions.bases import BASES
+from strandloom.functions.kmers import LONG_BASES
 
 
 #: Windows of one chunk of a sequence.
@@ -26,16 +33,18 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def chunks(seqs: DataFrame, k: int, keep: list[str], left: int = 0, right: int = 0, short: bool = False) -> DataFrame:
+def chunks(seqs: DataFrame, k: int, keep: list[str], left: int = 0, right: int = 0, short: bool = False, tasks: int | None = None) -> DataFrame:
     """The kept columns, ``_c`` and ``_text``: consecutive chunks of ``CHUNK`` windows of k letters each,
     with ``left`` letters more before (but for the first) and ``right`` more after.  With ``short`` also the rest of a
     sequence that holds no window.
 
     Taking a piece of a string costs its distance from the start, and arrays over a whole
     chromosome are slow to carry, so windows are cut from short chunks: the work is linear in the
-    sequence.  Chunks are dealt over all shuffle partitions before anything is made of them, so
+    sequence.  Chunks are dealt over all shuffle partitions (or ``tasks``) before anything is made of them, so
     one long sequence keeps all tasks busy; only the cutting is one task a sequence.
     """
+    # Held before the filter, which would otherwise be pushed below what makes the sequence and make it twice.
+    seqs = _held(seqs.select(*keep, F.col("seq").alias("_seq")), "seq", F.col("_seq"))
     rows = _held(seqs.filter(F.length("seq") >= k).select(*keep, "seq"), "_parts", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).drop("seq")
 
     def joined(x: Column, i: Column) -> Column:
@@ -45,7 +54,7 @@ def chunks(seqs: DataFrame, k: int, keep: list[str], left: int = 0, right: int =
 
     cut = rows.select(*keep, F.posexplode(F.transform("_parts", joined)).alias("_c", "_text"))
     cut = cut if short else cut.filter(F.length("_text") >= k)
-    return cut.repartition(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_c", *(keep or ["_text"]))
+    return cut.repartition(tasks or int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_c", *(keep or ["_text"]))
 
 
 def stretches(reads: DataFrame, k: int) -> DataFrame:
@@ -65,44 +74,141 @@ def stretches(reads: DataFrame, k: int) -> DataFrame:
     return cut.select(*keep, F.col("_p.seq").alias("seq"), (F.col("_c") * CHUNK + F.col("_p.offset")).cast("int").alias("offset"))
 
 
-def _places(k: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK), F.length("_text") - k + 1) - 1)).alias("_p")
+#: Chunks of one Arrow batch of windows, so that a batch is a few MB.
+BATCH = 128
+#: Two-bit codes of letters in either case; 4: another letter.
+CODES = np.full(256, 4, np.uint8)
+CODES[np.frombuffer(f"{BASES}{BASES.lower()}".encode(), np.uint8)] = [0, 1, 2, 3] * 2
+
+
+def _packed(codes: np.ndarray, n: int, turned: bool) -> np.ndarray:
+    """Of every place the integer of the n codes from there, the first or, if ``turned``, the last in the lowest bits."""
+    found, done, power, width = None, 0, codes, 1
+    while True:
+        if n & width:
+            rest = power[done:]
+            if found is None:
+                found = power
+            else:
+                found = found[: len(rest)] << 2 * width | rest[: len(found)] if turned else found[: len(rest)] | rest[: len(found)] << 2 * done
+            done += width
+        if done == n:
+            return found
+        power = power[:-width] << 2 * width | power[width:] if turned else power[:-width] | power[width:] << 2 * width
+        width *= 2
+
+
+def _limbs(codes: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of every window its canonical form in limbs of at most 31 bases, lowest first, and whether it is itself that form."""
+    count, fwd, rev = len(codes) - k + 1, [], []
+    for a in range(0, k, LONG_BASES):
+        n = min(LONG_BASES, k - a)
+        fwd.append(_packed(codes, n, False)[a : a + count])
+        rev.append(_packed(codes ^ 2, n, True)[k - a - n : k - a - n + count])  # the complement's code
+    own, same = np.zeros(count, bool), np.ones(count, bool)
+    for f, r in zip(reversed(fwd), reversed(rev)):
+        own |= same & (f < r)
+        same &= f == r
+    return [np.where(own, f, r) for f, r in zip(fwd, rev)], own
+
+
+def _texts(letters: np.ndarray) -> pa.Array:
+    """Strings of one length from rows of bytes."""
+    n, k = letters.shape
+    return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
+
+
+def _cut(rows: DataFrame, keep: list[str], k: int, give: dict[str, str], once: bool = False) -> DataFrame:
+    """The kept columns and ``pos`` of every window of chunks (``_c``, ``_text``), and by the names ``give`` tells: ``kmer`` as it stands,
+    ``canonical`` (its canonical form's letters), ``valid`` (k letters ACGT in either case), the join ``key`` of its canonical form, null if not
+    valid, and ``own``, whether it is itself that form.
+
+    Letters are packed by doubling the packed length, some array operations a chunk instead of some string functions
+    a window; batches hold ``BATCH`` chunks.  With ``once`` a batch gives one window of each key.
+    """
+    limbs = range(-(-k // LONG_BASES))
+    key = LongType() if k <= LONG_BASES else StructType([StructField(f"l{i}", LongType()) for i in limbs])
+    types = {"kmer": StringType(), "canonical": StringType(), "valid": BooleanType(), "key": key, "own": BooleanType()}
+    schema = StructType([*(rows.schema[c] for c in keep), StructField("pos", IntegerType()), *(StructField(name, types[what]) for what, name in give.items())])
+
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = batch.column("_text").cast(pa.string())
+        at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        data, others = np.frombuffer(text.buffers()[2], np.uint8)[at[0] : at[-1]], None
+        if len(data) and data.max() > 127:  # letters of several bytes: one stands for each
+            others = text.to_pylist()
+            data = np.frombuffer("".join(others).encode("ascii", "replace"), np.uint8)
+            at = np.cumsum([0, *map(len, others)])
+        at = at - at[0]
+        counts = np.clip(np.diff(at) - k + 1, 0, CHUNK)
+        row = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        start, codes = at[row] + place, CODES[data]
+        made = {}
+        if "valid" in give or "key" in give:
+            wrong = np.r_[0, np.cumsum(codes > 3)]
+            valid = wrong[start + k] == wrong[start]
+            made["valid"] = pa.array(valid)
+        if "key" in give or "canonical" in give:
+            packed, own = _limbs((codes & 3).astype(np.int64), k) if len(codes) >= k else ([np.zeros(0, np.int64) for _ in limbs], np.zeros(0, bool))
+            made["own"] = pa.array(own[start])
+        if "key" in give:
+            none = None if valid.all() else ~valid
+            parts = [pa.array(x[start], mask=none if k <= LONG_BASES else None) for x in packed]
+            made["key"] = parts[0] if k <= LONG_BASES else pa.StructArray.from_arrays(parts, [f"l{i}" for i in limbs], mask=None if none is None else pa.array(none))
+        if "kmer" in give:
+            made["kmer"] = pa.array([others[r][p : p + k] for r, p in zip(row.tolist(), place.tolist())], pa.string()) if others else _texts(_letters(data, start))
+        if "canonical" in give:
+            last, turned = len(data) - k - start, np.frombuffer(data.tobytes()[::-1].translate(bytes.maketrans(b"ACGT", b"TGCA")), np.uint8)
+            made["canonical"] = _texts(np.where(own[start][:, None], _letters(data, start), _letters(turned, last)))
+        pos = np.asarray(batch.column("_c"))[row] * CHUNK + place
+        kept = [batch.column(c).take(pa.array(row)) for c in keep]
+        found = pa.RecordBatch.from_arrays([*kept, pa.array(pos, pa.int32()), *(made[what] for what in give)], [*keep, "pos", *give.values()])
+        if not once or not len(row):
+            return found
+        order = np.lexsort([x[start] for x in packed])
+        new = np.any([np.diff(x[start][order], prepend=-1) != 0 for x in packed], axis=0)  # packed letters are never negative
+        return found.take(pa.array(np.sort(order[new])))
+
+    def _letters(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(data, k)[start] if len(start) else np.zeros((0, k), np.uint8)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                yield windows(batch.slice(i, BATCH))
+
+    return rows.select(*keep, "_c", "_text").mapInArrow(cut, schema)
 
 
 def kmer_windows(seqs: DataFrame, k: int, keep: list[str] | None = None) -> DataFrame:
     """Every window of k letters: the kept columns, ``pos`` from 0, and ``kmer`` as it stands."""
     keep = [c for c in seqs.columns if c != "seq"] if keep is None else keep
-    rows = chunks(seqs, k, keep).select(*keep, "_c", "_text", _places(k))
-    return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), F.substring("_text", F.col("_p") + 1, F.lit(k)).alias("kmer"))
+    return _cut(chunks(seqs, k, keep), keep, k, {"kmer": "kmer"})
+
+
+def canonical_windows(seqs: DataFrame, k: int) -> DataFrame:
+    """Every window of sequences of ACGT: their columns, ``pos``, and ``canonical``, the letters of its canonical form."""
+    keep = [c for c in seqs.columns if c != "seq"]
+    return _cut(chunks(seqs, k, keep), keep, k, {"canonical": "canonical"})
 
 
 def keyed_windows(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
     """Every window of sequences of ACGT: the kept columns, ``pos``, the join ``key`` of its canonical
-    form, and ``own``: whether it is itself that form.
+    form, and ``own``: whether it is itself that form."""
+    return _cut(chunks(seqs, k, keep), keep, k, {"key": "key", "own": "own"})
 
-    Both strands' order keys are pieces of two strings that are made once per chunk.
-    """
-    rows = chunks(seqs, k, keep)
-    rows = rows.select(*keep, "_c", "_text", F.explode(F.array(F.struct(order_key(F.col("_text")).alias("f"), reverse_order_key(F.col("_text")).alias("r")))).alias("_o"))
-    rows = rows.select(*keep, "_c", F.length("_text").alias("_n"), F.col("_o.f").alias("_f"), F.col("_o.r").alias("_r"), _places(k))
-    fwd, rev = F.substring("_f", F.col("_n") - F.col("_p") - k + 1, F.lit(k)), F.substring("_r", F.col("_p") + 1, F.lit(k))
-    return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), key_of_order(F.least(fwd, rev), k).alias("key"), (fwd < rev).alias("own"))
+
+def window_keys(seqs: DataFrame, k: int, tasks: int) -> DataFrame:
+    """``key`` of the windows of sequences of ACGT, made by so many tasks, each once a batch: a frequent one is no hot key, and no task holds a map of keys."""
+    return _cut(chunks(seqs, k, [], tasks=tasks), [], k, {"key": "key"}, once=True).select("key")
 
 
 def query_windows(seqs: DataFrame, k: int) -> DataFrame:
     """Every window of sequences of any letters: their columns, ``pos``, ``kmer`` as it stands, ``valid`` (k
-    letters ACGT in either case), and as in ``keyed_windows`` ``_key``, null if not valid, and ``_own``.
-
-    Letters are tested once a chunk, and window by window only where a chunk holds others.
-    """
+    letters ACGT in either case), and as in ``keyed_windows`` ``_key``, null if not valid, and ``_own``."""
     keep = [c for c in seqs.columns if c != "seq"]
-    text = F.upper("_text")
-    made = F.struct(order_key(text).alias("f"), reverse_order_key(text).alias("r"), is_dna(F.col("_text")).alias("clean"))
-    rows = _held(chunks(seqs, k, keep), "_o", made).select(*keep, "_c", "_text", F.length("_text").alias("_n"), F.col("_o.f").alias("_f"), F.col("_o.r").alias("_r"), F.col("_o.clean").alias("_clean"), _places(k))
-    fwd, rev = F.substring("_f", F.col("_n") - F.col("_p") - k + 1, F.lit(k)), F.substring("_r", F.col("_p") + 1, F.lit(k))
-    kmer = F.substring("_text", F.col("_p") + 1, F.lit(k))
-    valid = F.col("_clean") | is_query_kmer(kmer, k)
-    return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), kmer.alias("kmer"), valid.alias("valid"), F.when(valid, key_of_order(F.least(fwd, rev), k)).alias("_key"), (fwd < rev).alias("_own"))
+    return _cut(chunks(seqs, k, keep), keep, k, {"kmer": "kmer", "valid": "valid", "key": "_key", "own": "_own"})
 
 
 #: Above the place of an m-mer in a chunk, so that hash and place are one long.
