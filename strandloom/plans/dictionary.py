@@ -93,13 +93,17 @@ class KmerDictionary:
     def access(self, wanted: DataFrame) -> DataFrame:
         return strings.kmer_in_string(wanted, self.strings, self.config.k)
 
+    def access_ranges(self, ranges: DataFrame) -> DataFrame:
+        """As ``access`` for every place of ranges (``string_id, first, last``) of strings."""
+        return strings.kmers_in_ranges(ranges, self.strings, self.config.k)
+
     def totals(self) -> DataFrame:
         c = self.config
         return reports.dictionary_totals(self.strings, self.super_kmers, c.k, c.m, c.canonical)
 
     def check(self) -> DataFrame:
-        own = windows.kmer_windows(self.strings.select("seq"), self.config.k, [])
-        return reports.self_check(self.query(own.select("kmer")))
+        """The first missing k-mers of its own strings, in order: none if all is well."""
+        return reports.first_missing(lookups.missing_windows(self.strings, self.index, self.config.k))
 
     def check_totals(self) -> DataFrame:
         """``windows, missing``: one row; how many k-mers of its own strings were asked, and how many of them are not found."""
