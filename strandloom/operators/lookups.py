@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.config import LIGHT_LIMIT
 from strandloom.functions import is_query_kmer, key_of_order, kmer_of_key, order_key, reverse_complement, reverse_order_key
 from strandloom.functions.kmers import LONG_BASES
-from strandloom.operators.windows import keyed_windows, query_windows, stretches, super_kmers
+from strandloom.operators.windows import keyed_windows, query_windows, stretches, super_kmers, window_keys
 from strandloom.staging import not_broadcast, staged
 
 
@@ -120,24 +120,49 @@ def members(queries: DataFrame, index: DataFrame, k: int, absent: bool = False)
     return q.join(not_broadcast(index.select(*key_columns(k))), same_key(F.col("_key"), k), "left_anti" if absent else "left_semi").drop("_key")
 
 
-def canonical_keys(strings: DataFrame, k: int) -> DataFrame:
-    """``key``: the distinct canonical k-mers of a string set as join keys, for set operations between dictionaries."""
-    return keyed_windows(strings.select("string_id", "seq"), k, []).select("key").distinct()
+#: k-mers that one task of a set operation holds at most, if none is frequent.
+KEYS_A_TASK = 1 << 22
+
+
+def canonical_keys(k: int, *sets: DataFrame) -> tuple[list[DataFrame], int]:
+    """``key``: the canonical k-mers of each string set as join keys, for set operations between dictionaries; and the number of
+    tasks to deal them over, in proportion to the letters, which are counted first: so the memory of a task doesn't grow with the sets."""
+    bases = [s.agg(F.sum(F.col("string_end") - F.col("string_begin"))).first()[0] or 0 for s in sets]
+    least = int(sets[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return [window_keys(s.select("seq"), k, max(least, -(-n // KEYS_A_TASK))) for s, n in zip(sets, bases)], max(least, -(-sum(bases) // KEYS_A_TASK))
 
 
 def kmer_union(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """``kmer`` of either string set, on either strand.  Longs are shuffled; letters are made at the end."""
-    return canonical_keys(a, k).union(canonical_keys(b, k)).distinct().select(kmer_of_key(F.col("key"), k).alias("kmer"))
+    """``kmer`` of either string set, on either strand.  Longs are shuffled, once; letters are made at the end."""
+    (first, second), tasks = canonical_keys(k, a, b)
+    return first.union(second).repartition(tasks, "key").distinct().select(kmer_of_key(F.col("key"), k).alias("kmer"))
+
+
+def _both_keys(a: DataFrame, b: DataFrame, k: int, how: str) -> DataFrame:
+    found, tasks = canonical_keys(k, a, b)
+    first, second = (keys.repartition(tasks, "key").distinct() for keys in found)
+    return first.join(not_broadcast(second), "key", how).select(kmer_of_key(F.col("key"), k).alias("kmer"))
 
 
 def kmer_intersect(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """``kmer`` of both string sets, on either strand."""
-    return canonical_keys(a, k).join(not_broadcast(canonical_keys(b, k)), "key", "left_semi").select(kmer_of_key(F.col("key"), k).alias("kmer"))
+    return _both_keys(a, b, k, "left_semi")
 
 
 def kmer_except(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """``kmer`` of the first string set that the second does not hold on either strand."""
-    return canonical_keys(a, k).join(not_broadcast(canonical_keys(b, k)), "key", "left_anti").select(kmer_of_key(F.col("key"), k).alias("kmer"))
+    return _both_keys(a, b, k, "left_anti")
+
+
+def missing_windows(strings: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """``kmer`` of every window of strings of ACGT that the index does not hold on either strand, as it stands.
+
+    Only keys meet; the letters of what is missing are made of its key at the end.
+    """
+    asked = keyed_windows(strings.select("seq"), k, []).select(F.col("key").alias("_key"), "own")
+    gone = asked.join(not_broadcast(index.select(*key_columns(k))), same_key(F.col("_key"), k), "left_anti")
+    kmer = kmer_of_key(F.col("_key"), k)
+    return gone.select(F.when(F.col("own"), kmer).otherwise(reverse_complement(kmer)).alias("kmer"))
 
 
 def minimizer_found(windows: DataFrame, tuples: DataFrame) -> DataFrame:
