@@ -59,7 +59,11 @@ def build_estimate(totals: DataFrame, ram_gib: int = 8, bytes_per_kmer: int = 48
 
 def self_check(found: DataFrame, first: int = 10) -> DataFrame:
     """The first missing k-mers, in order, of a lookup of the dictionary's own input: none if all is well."""
-    return found.filter(~F.col("found")).select("kmer").orderBy("kmer").limit(first)
+    return first_missing(found.filter(~F.col("found")), first)
+
+
+def first_missing(missing: DataFrame, first: int = 10) -> DataFrame:
+    return missing.select("kmer").orderBy("kmer").limit(first)
 
 
 def check_totals(found: DataFrame) -> DataFrame:
