@@ -51,8 +51,12 @@ class Pieces(StatefulProcessor):
         held = [p for p in pieces if len(p[2]) >= self.k]
         return pd.DataFrame({"_bucket": [0] * len(held), "query_id": pd.Series([p[0] for p in held], dtype=object), "start": [p[1] for p in held], "seq": pd.Series([p[2] for p in held], dtype=object)})
 
-    def _waiting(self, read: object) -> dict[int, str]:
-        return {start: seq for (other, start), (seq,) in self.waiting.iterator() if other == read}
+    def _waiting(self) -> dict[object, dict[int, str]]:
+        """The waiting chunks of all reads of the bucket: one pass a call, since a pass for each read would cost the square of the reads."""
+        found: dict[object, dict[int, str]] = {}
+        for (read, start), (seq,) in self.waiting.iterator():
+            found.setdefault(read, {})[start] = seq
+        return found
 
     def _follow(self, read: object, at: int, tail: str, chunks: dict[int, str], flush: bool) -> tuple[int, str, list[tuple[object, int, str]]]:
         """Takes what follows ``at`` out of ``chunks``, with ``flush`` beyond gaps too."""
@@ -73,10 +77,10 @@ class Pieces(StatefulProcessor):
         for frame in rows:
             for read, *chunk in zip(frame["query_id"], frame["start"], frame["seq"], frame["ts"]):
                 came.setdefault(read, []).append(chunk)
-        first, out = None, []
+        first, out, waiting = None, [], self._waiting()
         for read, new in came.items():
             at, tail, count, due = self.come.getValue((read,)) or (0, "", 0, 0)
-            old = self._waiting(read) if count else {}
+            old = waiting.get(read, {}) if count else {}
             chunks = dict(old)
             for start, seq, ts in new:
                 due = max(due, int(ts.timestamp() * 1000) + self.hold_ms)
@@ -108,11 +112,12 @@ class Pieces(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, later, out = timerValues.getCurrentWatermarkInMs(), None, []
         self.timer.clear()
+        waiting = self._waiting()
         for (read,), (at, tail, count, due) in list(self.come.iterator()):
             if due > now:
                 later = due if later is None else min(later, due)
                 continue
-            chunks = self._waiting(read) if count else {}
+            chunks = waiting.get(read, {}) if count else {}
             for start in chunks:
                 self.waiting.removeKey((read, start))
             self.come.removeKey((read,))
