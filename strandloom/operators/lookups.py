@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.config import LIGHT_LIMIT
 from strandloom.functions import is_query_kmer, key_of_order, kmer_of_key, order_key, reverse_complement, reverse_order_key
 from strandloom.functions.kmers import LONG_BASES
-from strandloom.operators.windows import keyed_windows, query_windows, stretches, super_kmers, window_keys
+from strandloom.operators.windows import keyed_pieces, keyed_windows, piece_windows, query_windows, stretches, super_kmers, window_keys
 from strandloom.staging import not_broadcast, staged
 
 
@@ -197,50 +199,81 @@ def minimizer_join(reads: DataFrame, strings: DataFrame, k: int, m: int, seed: i
     return hits.agg(F.min(F.col("_at") + F.col("i") + F.col("_shift")).cast("bigint").alias("kmer_offset"))
 
 
-def minimizer_lookup(reads: DataFrame, strings: DataFrame, k: int, m: int, seed: int = 1, canonical_mode: bool = True, light: int = LIGHT_LIMIT) -> DataFrame:
+#: Places of a minimizer, and runs of reads on it, up to which it is light: work is linear in both, so the bounds only keep tasks even.
+PLACES_LIMIT, ASKED_LIMIT = 1 << 12, 1 << 14
+
+
+def _meet(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Answers the windows of asked runs by those of the known runs with the same minimizer.
+
+    Rows (``minimizer, asked, query_id, at, piece``) come by minimizer, its known runs first, so known runs of a batch's
+    last minimizer are all that the next batch needs.  Windows meet by sorting their keys: the work is
+    linear in the runs but for the sort, however many runs share a minimizer.
+    """
+    none = np.iinfo(np.int64).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
+            asked, minimizer = np.asarray(batch.column("asked").to_numpy(zero_copy_only=False)), batch.column("minimizer").to_numpy()
+            held = batch.take(pa.array(np.flatnonzero(~asked & (minimizer == minimizer[-1]))))
+            row, place, limbs, own = piece_windows(batch.column("piece"), k)
+            if not asked.any() or not len(row):
+                continue
+            order = np.argsort(limbs[0]) if len(limbs) == 1 else np.lexsort(limbs)
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([x[order][1:] != x[order][:-1] for x in limbs], axis=0)
+            row, own, at = row[order], own[order], (batch.column("at").to_numpy()[row] + place)[order]
+            group, starts, known = np.cumsum(new) - 1, np.flatnonzero(new), ~asked[row]
+            first, turned_first = (np.minimum.reduceat(np.where(known & (own == side), at, none), starts)[group] for side in (True, False))
+            same, turned = np.where(own, first, turned_first), np.where(own, turned_first, first)
+            hit = np.flatnonzero(~known & ((same < none) | (turned < none)))
+            same, turned = same[hit], turned[hit]
+            columns = [batch.column("query_id").take(pa.array(row[hit])), pa.array(at[hit]), pa.array(same, mask=same == none), pa.array(turned, mask=turned == none)]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "pos", "_same", "_turned"])
+
+    return run
+
+
+def minimizer_lookup(reads: DataFrame, strings: DataFrame, k: int, m: int, seed: int = 1, canonical_mode: bool = True, light: int = PLACES_LIMIT) -> DataFrame:
     """``query_id, pos, kmer_offset, orientation`` of every window of the reads that is stored on either strand: as ``lookup`` gives it,
     by canonical super-k-mers.
 
-    Minimizers of at most ``light`` places ship runs of k-mers: both sides' super-k-mers are joined on the
-    minimizer and laid on each other at its place, as they are and reversed.  Minimizers of more places are
-    re-keyed by k-mer in the same plan, so none of them is a hot group, and so are windows whose two strands'
-    minimizers have one value, since their place depends on the strand.  A k-mer's places all take the same way.
+    Minimizers of at most ``light`` places ship runs of k-mers: both sides' super-k-mers are dealt by the
+    minimizer, and the k-mers of its runs meet in that task, by their canonical form.  Minimizers of more places (or of more
+    than ``ASKED_LIMIT`` runs of reads) are re-keyed by k-mer in the same plan, so none of them is a hot group, and so are windows whose
+    two strands' minimizers have one value, since their place depends on the strand.  A k-mer's places all take the same way.
     """
     known = staged(super_kmers(strings, k, m, True, seed, piece=True, ties=True), "known-runs")
-    counts = known.groupBy("minimizer").agg(F.count(F.lit(1)).alias("_places")).filter(F.col("_places") > light).select(F.col("minimizer").alias("_heavy"))
     pieces = stretches(reads.select("query_id", "seq"), k)
     pieces = pieces.select(F.struct("query_id", "offset").alias("string_id"), F.lit(0).cast("bigint").alias("string_begin"), "seq")
     mine = staged(super_kmers(pieces, k, m, True, seed, piece=True, ties=True), "asked-runs")
+    runs = known.select("minimizer", F.lit(0).alias("_a")).unionByName(mine.select("minimizer", F.lit(1).alias("_a")))
+    places, asked = F.count_if(F.col("_a") == 0), F.count_if(F.col("_a") == 1)
+    counts = staged(runs.groupBy("minimizer").agg(places.alias("_places"), asked.alias("_asked")).filter((places > light) | (asked > ASKED_LIMIT)).select(F.col("minimizer").alias("_heavy")), "heavy")
 
     def parted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         tagged = df.join(counts, F.col("minimizer") == F.col("_heavy"), "left").withColumn("_keyed", F.col("tie") | F.col("_heavy").isNotNull())
         return tagged.filter(~F.col("_keyed")), tagged.filter("_keyed")
 
-    (known_light, known_keyed), (mine_light, mine_keyed) = parted(known), parted(mine)
-    at = F.col("pos_in_seq") - F.col("pos_in_kmer")
+    known_runs = known.select("minimizer", "tie", F.lit(False).alias("asked"), (F.col("pos_in_seq") - F.col("pos_in_kmer")).alias("at"), "piece")
+    place = (F.col("string_id.offset") + F.col("first_pos")).cast("bigint").alias("at")
+    asked_runs = mine.select("minimizer", "tie", F.lit(True).alias("asked"), F.col("string_id.query_id").alias("query_id"), place, "piece")
+    (known_light, known_keyed), (asked_light, asked_keyed) = parted(known_runs), parted(asked_runs)
 
     # Keyed by k-mer: the first place of either strand, by minima that combine before the shuffle.
-    places = keyed_windows(known_keyed.select(at.alias("_at"), F.col("piece").alias("seq")), k, ["_at"]).withColumn("_off", F.col("_at") + F.col("pos"))
+    places = keyed_pieces(known_keyed.select("at", F.col("piece").alias("seq")), k, ["at"]).withColumn("_off", F.col("at") + F.col("pos"))
     firsts = places.groupBy(F.col("key").alias("_k")).agg(*[F.min(F.when(F.col("own") == own, F.col("_off"))).alias(c) for c, own in (("_f", True), ("_r", False))])
-    place = (F.col("string_id.offset") + F.col("first_pos")).alias("_from")
-    asked = keyed_windows(mine_keyed.select(F.col("string_id.query_id").alias("query_id"), place, F.col("piece").alias("seq")), k, ["query_id", "_from"])
-    by_key = asked.join(not_broadcast(firsts), F.col("key") == F.col("_k")).select("query_id", (F.col("_from") + F.col("pos")).alias("pos"), F.when(F.col("own"), F.col("_f")).otherwise(F.col("_r")).alias("_same"), F.when(F.col("own"), F.col("_r")).otherwise(F.col("_f")).alias("_turned"))
-
-    # Joined as runs: window i of mine meets window i + shift of theirs, where the minimizers lie on each other.
-    theirs = known_light.select(F.col("minimizer").alias("_m"), at.alias("_at"), F.col("pos_in_kmer").alias("_in"), F.col("num_kmers").alias("_n"), F.col("piece").alias("_text"))
-    ways = F.array(
-        F.struct(F.lit(1).alias("turn"), F.col("_in").alias("in"), F.col("_text").alias("text")),
-        F.struct(F.lit(-1).alias("turn"), (k - m - F.col("_in") + F.col("_n") - 1).alias("in"), reverse_complement(F.col("_text")).alias("text")),
-    )
-    joined = mine_light.join(not_broadcast(theirs), F.col("minimizer") == F.col("_m")).withColumn("_way", F.explode(ways))
-    shift = F.col("_way.in") - F.col("pos_in_kmer")
-    first, last = F.greatest(F.lit(0), -shift), F.least(F.col("num_kmers"), F.col("_n") - shift)
-    rows = joined.withColumn("_shift", shift).withColumn("_first", first).withColumn("_last", last).filter("_first < _last")
-    rows = rows.withColumn("i", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)))
-    same = F.substring("piece", F.col("i") + 1, F.lit(k)) == F.substring("_way.text", F.col("i") + F.col("_shift") + 1, F.lit(k))
-    theirs_at = F.col("i") + F.col("_shift")
-    offset = F.col("_at") + F.when(F.col("_way.turn") > 0, theirs_at).otherwise(F.col("_n") - 1 - theirs_at)
-    hits = rows.filter(same).select(F.col("string_id.query_id").alias("query_id"), (F.col("string_id.offset") + F.col("first_pos") + F.col("i")).alias("pos"), *[F.when(F.col("_way.turn") == t, offset).alias(c) for c, t in (("_same", 1), ("_turned", -1))])
-    best = hits.groupBy("query_id", "pos").agg(F.min("_same").alias("_same"), F.min("_turned").alias("_turned")).unionByName(by_key)
+    wanted = keyed_pieces(asked_keyed.select("query_id", "at", F.col("piece").alias("seq")), k, ["query_id", "at"])
+    by_key = wanted.join(not_broadcast(firsts), F.col("key") == F.col("_k")).select("query_id", (F.col("at") + F.col("pos")).alias("pos"), F.when(F.col("own"), F.col("_f")).otherwise(F.col("_r")).alias("_same"), F.when(F.col("own"), F.col("_r")).otherwise(F.col("_f")).alias("_turned"))
+
+    # Dealt as runs: those of one minimizer meet in one task.
+    names = ["minimizer", "asked", "query_id", "at", "piece"]
+    both = known_light.unionByName(asked_light, allowMissingColumns=True).select(*names).repartition("minimizer").sortWithinPartitions("minimizer", "asked")
+    kind = reads.schema["query_id"].dataType.simpleString()
+    best = both.mapInArrow(_meet(k), f"query_id {kind}, pos long, _same long, _turned long").unionByName(by_key)
     forward = F.col("_same").isNotNull() & ((F.col("_turned").isNull() | (F.col("_same") <= F.col("_turned"))) if canonical_mode else F.lit(True))
     return best.select("query_id", F.col("pos").cast("int").alias("pos"), F.when(forward, F.col("_same")).otherwise(F.col("_turned")).cast("bigint").alias("kmer_offset"), F.when(forward, 1).otherwise(-1).alias("orientation"))

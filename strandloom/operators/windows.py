@@ -118,13 +118,13 @@ def _texts(letters: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
 
 
-def _cut(rows: DataFrame, keep: list[str], k: int, give: dict[str, str], once: bool = False) -> DataFrame:
+def _cut(rows: DataFrame, keep: list[str], k: int, give: dict[str, str], once: bool = False, size: int = BATCH) -> DataFrame:
     """The kept columns and ``pos`` of every window of chunks (``_c``, ``_text``), and by the names ``give`` tells: ``kmer`` as it stands,
     ``canonical`` (its canonical form's letters), ``valid`` (k letters ACGT in either case), the join ``key`` of its canonical form, null if not
     valid, and ``own``, whether it is itself that form.
 
     Letters are packed by doubling the packed length, some array operations a chunk instead of some string functions
-    a window; batches hold ``BATCH`` chunks.  With ``once`` a batch gives one window of each key.
+    a window; batches hold ``size`` chunks.  With ``once`` a batch gives one window of each key.
     """
     limbs = range(-(-k // LONG_BASES))
     key = LongType() if k <= LONG_BASES else StructType([StructField(f"l{i}", LongType()) for i in limbs])
@@ -175,8 +175,8 @@ def _cut(rows: DataFrame, keep: list[str], k: int, give: dict[str, str], once: b
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, BATCH):
-                yield windows(batch.slice(i, BATCH))
+            for i in range(0, batch.num_rows, size):
+                yield windows(batch.slice(i, size))
 
     return rows.select(*keep, "_c", "_text").mapInArrow(cut, schema)
 
@@ -199,6 +199,11 @@ def keyed_windows(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
     return _cut(chunks(seqs, k, keep), keep, k, {"key": "key", "own": "own"})
 
 
+def keyed_pieces(pieces: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """As ``keyed_windows`` for very many short sequences, of one chunk at most each: they stay in the tasks where they are."""
+    return _cut(pieces.select(*keep, F.lit(0).alias("_c"), F.col("seq").alias("_text")), keep, k, {"key": "key", "own": "own"}, size=16 * BATCH)
+
+
 def window_keys(seqs: DataFrame, k: int, tasks: int) -> DataFrame:
     """``key`` of the windows of sequences of ACGT, made by so many tasks, each once a batch: a frequent one is no hot key, and no task holds a map of keys."""
     return _cut(chunks(seqs, k, [], tasks=tasks), [], k, {"key": "key"}, once=True).select("key")
@@ -229,11 +234,9 @@ def _ranks(values: str, seed: int, strand: int) -> Column:
     return F.transform(F.col(values), lambda v, i: mix31(v, seed) * PLACES + (i if strand > 0 else PLACES - 1 - i))
 
 
-def _with_minimizers(rows: DataFrame, k: int, m: int, canonical: bool, seed: int, ties: bool = False) -> DataFrame:
+def _with_minimizers(rows: DataFrame, k: int, m: int, canonical: bool, seed: int) -> DataFrame:
     """Adds ``mins``: of every window of ``_text`` the struct (v, i), its minimizer and the minimizer's place.
 
-    With ``ties`` also t, whether both strands have one value: then the place depends on the strand read.
-
     The m-mer of the least hash wins, the leftmost of ties.  In canonical mode the strand of
     the lesser *value* wins, the forward one of ties; the place is always that on this strand.
     The m-mers of a chunk are packed and hashed once and windows take slices, so nothing is shuffled.
@@ -257,8 +260,7 @@ def _with_minimizers(rows: DataFrame, k: int, m: int, canonical: bool, seed: int
             return F.struct(f.alias("v"), i.alias("i"))
         j = F.get("_ri", p)
         r = F.get("_rv", j)
-        tie = [(r == f).alias("t")] if ties else []
-        return F.struct(F.least(f, r).alias("v"), F.when(r < f, j).otherwise(i).alias("i"), *tie)
+        return F.struct(F.least(f, r).alias("v"), F.when(r < f, j).otherwise(i).alias("i"))
 
     return _held(rows, "mins", F.transform("_fi", one)).drop("_f", "_fv", "_fi", *(["_r", "_rv", "_ri"] if canonical else []))
 
@@ -270,26 +272,108 @@ def minimizers(seqs: DataFrame, k: int, m: int, canonical: bool = False, seed: i
     return rows.select(*keep, (F.col("_c") * CHUNK + F.col("_p")).alias("pos"), F.col("_m.v").alias("minimizer"), (F.col("_m.i") - F.col("_p")).cast("int").alias("pos_in_kmer"))
 
 
+def _least(ranks: np.ndarray, span: int) -> np.ndarray:
+    """The least of ``span`` neighbours from every place on, by doubling."""
+    found, width = ranks, 1
+    while 2 * width <= span:
+        found, width = np.minimum(found[:-width], found[width:]), 2 * width
+    count = len(ranks) - span + 1
+    return np.minimum(found[:count], found[span - width : span - width + count])
+
+
+def _mixed(values: np.ndarray, seed: int) -> np.ndarray:
+    """``mix31`` of packed m-mers."""
+    return (values ^ np.int64(1431655765 * seed % (1 << 62))) % 2147483647 * 48271 % 2147483647
+
+
+def _bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, and where each begins (and the last ends)."""
+    text = text.cast(pa.string())
+    at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    return np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the place in its row of every item, if row i holds ``counts[i]`` of them."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def piece_windows(pieces: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of every window of short strings of ACGT: its string, its place there, its canonical form in limbs, and whether it is itself that form."""
+    data, at = _bytes_of(pieces)
+    row, place = _within(np.clip(np.diff(at) - k + 1, 0, None))
+    if not len(row):
+        return row, place, [np.zeros(0, np.int64) for _ in range(0, k, LONG_BASES)], np.zeros(0, bool)
+    packed, own = _limbs((CODES[data] & 3).astype(np.int64), k)
+    start = at[row] + place
+    return row, place, [x[start] for x in packed], own[start]
+
+
 def super_kmers(strings: DataFrame, k: int, m: int, canonical: bool = False, seed: int = 1, piece: bool = False, ties: bool = False) -> DataFrame:
     """Runs of neighbouring windows that share a minimizer at one place.
 
     ``string_id, first_pos, minimizer, pos_in_seq`` (in the whole set), ``pos_in_kmer`` (of the
     first window) and ``num_kmers``; with ``piece`` also the run's letters; in canonical mode with ``ties`` runs are cut
-    where ``tie`` changes: whether the minimizers of both strands have one value.  A run has at most
+    where ``tie`` changes: whether the minimizers of both strands have one value (then the place depends on the strand read).  A run has at most
     k - m + 1 windows, so a chunk that sees one window before and that many after its own
     knows each of its runs whole.
+
+    Minimizers are as in ``_with_minimizers``, found by some array operations for ``BATCH`` chunks at once.
     """
-    rows = _with_minimizers(chunks(strings, k, ["string_id", "string_begin"], left=1, right=k - m + 1), k, m, canonical, seed, ties)
-    count = F.size("mins")
-    starts = F.filter(F.sequence(F.lit(0), count - 1), lambda p: (p == 0) | (F.get("mins", p) != F.get("mins", p - 1)))
-    rows = _held(rows, "_starts", starts).withColumn("_count", count).withColumn("_l", F.when(F.col("_c") > 0, 1).otherwise(0))
-    rows = rows.select("string_id", "string_begin", "_c", "_l", "_text", "mins", "_starts", "_count", F.posexplode("_starts").alias("_k", "_p"))
-    rows = rows.filter((F.col("_p") >= F.col("_l")) & (F.col("_p") < F.col("_l") + CHUNK))
-    stop = F.coalesce(F.get("_starts", F.col("_k") + 1), F.col("_count"))
-    at, base = F.get("mins", F.col("_p")), F.col("_c") * CHUNK - F.col("_l")
-    letters = [F.substring("_text", F.col("_p") + 1, stop - F.col("_p") + k - 1).alias("piece")] if piece else []
-    letters += [at["t"].alias("tie")] if ties else []
-    return rows.select(
-        "string_id", (base + F.col("_p")).cast("int").alias("first_pos"), at["v"].alias("minimizer"), (F.col("string_begin") + base + at["i"]).cast("bigint").alias("pos_in_seq"),
-        (at["i"] - F.col("_p")).cast("int").alias("pos_in_kmer"), (stop - F.col("_p")).cast("int").alias("num_kmers"), *letters,
-    )
+    rows = chunks(strings, k, ["string_id", "string_begin"], left=1, right=k - m + 1)
+    fields = [StructField("first_pos", IntegerType()), StructField("minimizer", LongType()), StructField("pos_in_seq", LongType()), StructField("pos_in_kmer", IntegerType()), StructField("num_kmers", IntegerType())]
+    fields += [StructField("piece", StringType())] if piece else []
+    fields += [StructField("tie", BooleanType())] if ties else []
+    low = np.int64((1 << 32) - 1)
+
+    def runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, at = _bytes_of(batch.column("_text"))
+        counts = np.clip(np.diff(at) - k + 1, 0, None)
+        row, p = _within(counts)
+        none = np.zeros(0, np.int64)
+        value, place, tie, new = none, none, np.zeros(0, bool), np.zeros(0, bool)
+        if len(row):
+            codes = (CODES[data] & 3).astype(np.int64)
+            start, index = at[row] + p, np.arange(len(data) - m + 1)
+            forward = _packed(codes, m, False)
+            # Hash and place are one long: the leftmost of ties is the least one.
+            at_forward = (_least(_mixed(forward, seed) << 32 | index, k - m + 1) & low)[start]
+            value, place, tie = forward[at_forward], at_forward, np.zeros(len(row), bool)
+            if canonical:
+                turned = _packed(codes ^ 2, m, True)
+                at_turned = low - (_least(_mixed(turned, seed) << 32 | low - index, k - m + 1) & low)[start]
+                other = turned[at_turned]
+                place, tie = np.where(other < value, at_turned, place), (other == value) & ties
+                value = np.minimum(value, other)
+            new = np.ones(len(row), bool)
+            new[1:] = (p[1:] == 0) | (value[1:] != value[:-1]) | (place[1:] != place[:-1]) | (tie[1:] != tie[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(row)))
+        number = np.asarray(batch.column("_c")).astype(np.int64)
+        left = (number > 0).astype(np.int64)[row[first]]
+        kept = (p[first] >= left) & (p[first] < left + CHUNK)
+        first, size, left = first[kept], size[kept], left[kept]
+        own, p0, i = row[first], p[first], place[first] - at[row[first]]
+        base = number[own] * CHUNK - left
+        begin = np.asarray(batch.column("string_begin")).astype(np.int64)[own]
+        columns = [
+            batch.column("string_id").take(pa.array(own)), pa.array(base + p0, pa.int32()), pa.array(value[first]), pa.array(begin + base + i),
+            pa.array(i - p0, pa.int32()), pa.array(size, pa.int32()),
+        ]
+        if piece:
+            length = size + k - 1
+            r, j = _within(length)
+            letters = data[(at[own] + p0)[r] + j]
+            edges = np.append(0, np.cumsum(length)).astype(np.int32)
+            columns.append(pa.StringArray.from_buffers(len(own), pa.py_buffer(edges), pa.py_buffer(letters)))
+        if ties:
+            columns.append(pa.array(tie[first]))
+        return pa.RecordBatch.from_arrays(columns, ["string_id", *(f.name for f in fields)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH):
+                yield runs(batch.slice(a, BATCH))
+
+    return rows.select("string_id", "string_begin", "_c", "_text").mapInArrow(cut, StructType([rows.schema["string_id"], *fields]))

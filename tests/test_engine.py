@@ -274,6 +274,24 @@ def test_minimizer_lookup_of_both_strands(spark, k, m, canonical):
         assert {(r.query_id, r.pos): (r.kmer_offset, r.orientation) for r in got} == want and len(got) == len(want)
 
 
+def test_minimizer_lookup_never_pairs_runs(spark):
+    """Runs of one minimizer, more than a batch holds, are not joined pair by pair; the answers are those of the plain lookup."""
+    rng = random.Random(8)
+    held = [dna(rng, 14) + "ACGTTGCAAC" + dna(rng, 14) for _ in range(60)]
+    reads = [s if i % 2 else rc(s) for i, s in enumerate(held)] + [dna(rng, 5) + s[5:] for s in held]
+    d = build_dictionary(seqs_of(spark, held), BuildConfig(k=15, m=5, canonical=True))
+    frame = spark.createDataFrame(list(enumerate(reads)), "query_id long, seq string")
+    want = sorted((r.query_id, r.pos, r.kmer_offset, r.orientation) for r in d.stream_query(frame).filter("found").collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = lookups.minimizer_lookup(frame, d.strings, 15, 5)
+        assert sorted(tuple(r) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode(sequence" not in plan and "minimizer" in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_stretches_are_linear_and_hold_each_window_once(spark):
     rng = random.Random(3)
     rows = ["ACGTN" * 20_000, "N" * 5000, "acgtacgtacgt" + "N" + dna(rng, 3000), "NACGTACGTAN", "ACG", "", None]
