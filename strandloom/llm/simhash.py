@@ -1,4 +1,4 @@
-"""Near-duplicates: SimHash fingerprints in segment-popcount cells, or MinHash bands; exact verification, components."""
+"""Near-duplicates: SimHash fingerprints in segment-popcount cells, MinHash bands for texts beyond their radius; exact verification, components."""
 
 from __future__ import annotations
 
@@ -47,7 +47,11 @@ def fingerprint(text: str, words: int, lanes: int) -> np.ndarray:
 
     Further lanes mix those hashes anew.
     """
-    h = shingles(text, words)
+    return majority(shingles(text, words), lanes)
+
+
+def majority(h: np.ndarray, lanes: int) -> np.ndarray:
+    """The fingerprint of hashes."""
     if not len(h):
         return np.zeros(lanes, U)
     out = np.empty(lanes, U)
@@ -239,18 +243,20 @@ def band_cells(h: np.ndarray, bands: int) -> np.ndarray:
 
 
 def add_bands(docs: DataFrame, words: int, bands: int, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _h`` (hash of the text), ``_bytes`` (its length) and ``cells``, those of its bands, for every row."""
+    """``_id, _h`` (hash of the text), ``_bytes`` (its length), ``f0`` (its fingerprint) and ``cells``, those of its bands, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [band_cells(shingles(t or "", words), bands) for t in batch.column(2).to_pylist()]
+            hashes = [shingles(t or "", words) for t in batch.column(2).to_pylist()]
+            prints = pa.array(np.array([majority(h, 1)[0] for h in hashes], U).view(np.int64))
+            cells = [band_cells(h, bands) for h in hashes]
             flat = pa.array(np.concatenate([np.zeros(0, U), *cells]).view(np.int64))
             edges = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * bands)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.ListArray.from_arrays(edges, flat)], names=["_id", "_h", "_bytes", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), prints, pa.ListArray.from_arrays(edges, flat)], names=["_id", "_h", "_bytes", "f0", "cells"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("_bytes"))
-    return scan(source, run, f"_id {id_type}, _h long, _bytes long, cells array<long>")
+    return scan(source, run, f"_id {id_type}, _h long, _bytes long, f0 long, cells array<long>")
 
 
 def star_links(cells: DataFrame) -> DataFrame:
@@ -479,11 +485,13 @@ def class_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def keep_one_of_each(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, miss: float = 1e-9, large_group: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, miss: float = 1e-9, large_group: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` without near-duplicates: of every group one row, that of the least id, stays unchanged.
 
-    Candidates are texts whose sets of ``words``-word shingles share a MinHash band; a pair of
+    Candidates are first texts whose SimHash fingerprints differ in at most ``radius`` bits, all of them, by
+    ``group_fingerprints``.  A pair of this ``similarity`` differs in more bits as a rule, so the groups of
+    fingerprints (or single ones) meet further, by the MinHash bands of their texts' sets of ``words``-word shingles: a pair of
     this ``similarity`` shares none with probability ``miss`` at most, however many rows there
     are, and a more similar pair more rarely.  Of these only texts link whose shingle sets have
     a Jaccard similarity of ``similarity`` at least, counted exactly.  Candidate groups of up to
@@ -496,13 +504,19 @@ def keep_one_of_each(
     # Equal texts are one node.
     rows = stage(add_bands(docs, words, bands_for(similarity, miss), id_col, text_col), "bands")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))
-    firsts = rows.groupBy(F.col("_h").alias("_node")).agg(F.min(order).alias("_first"), F.max("_bytes").alias("_bytes"))
+    firsts = rows.groupBy(F.col("_h").alias("_node")).agg(F.min(order).alias("_first"), F.max("_bytes").alias("_bytes"), F.min("f0").alias("f0"))
     repeated = rows.groupBy("_id", "_h").count().filter("count > 1").select("_id", F.col("_h").alias("_rep_h"))
     firsts = firsts.join(repeated, (F.col("_node") == F.col("_rep_h")) & F.col("_first.id").eqNullSafe(F.col("_id")), "left")
-    firsts = stage(firsts.select("_node", F.col("_first.id").alias("_held"), "_bytes", F.col("_rep_h").isNotNull().alias("_rep")), "texts")
-    cells = rows.select(F.col("_h").alias("node"), "cells").dropDuplicates(["node"]).select("node", F.explode("cells").alias("cell"))
-    near = connected_components(star_links(cells))
-    held = stage(firsts.join(near, F.col("_node") == F.col("node"), "left").select("_node", "_held", "_bytes", "_rep", F.col("root").alias("_group")), "candidates")
+    firsts = firsts.select("_node", F.col("_first.id").alias("_held"), "_bytes", F.col("_rep_h").isNotNull().alias("_rep"), "f0")
+    # A class is a group of fingerprints that links make, or one of its own; equal fingerprints are few texts each, as texts are distinct here.
+    links = stage(group_fingerprints(rows.select(F.col("f0").alias("_node"), "f0"), 1, radius), "fingerprint-groups")
+    firsts = stage(firsts.join(links, F.col("f0") == F.col("node"), "left").select("_node", "_held", "_bytes", "_rep", F.coalesce("root", "f0").alias("_class")), "texts")
+    alike = rows.select(F.col("_h").alias("_text"), "f0", "cells").dropDuplicates(["_text"])
+    cells = alike.select(F.col("_text").alias("node"), F.explode("cells").alias("cell"))
+    near = connected_components(star_links(alike.join(links, F.col("f0") == F.col("node"), "left").select(F.coalesce("root", "f0").alias("node"), F.explode("cells").alias("cell"))))
+    many = firsts.groupBy("_class").agg(F.count(F.lit(1)).alias("_many"))
+    classes = many.join(near, F.col("_class") == F.col("node"), "left").select(F.col("_class").alias("_c"), "_many", F.coalesce("root", F.when(F.col("_many") > 1, F.col("_class"))).alias("_group"))
+    held = stage(join_counted(firsts, stage(classes, "classes"), "_class", "_c", "_many", ["_node"]).select("_node", "_held", "_bytes", "_rep", "_group"), "candidates")
     sizes = held.filter("_group is not null").groupBy(F.col("_group").alias("_g")).agg(F.sum(F.col("_bytes") + 64).alias("_b"), F.count(F.lit(1)).alias("_n"))
     large = stage(sizes.filter(F.col("_b") > large_group).select("_g", "_n"), "large")
     source = docs.select(F.struct(*columns_of(docs)).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"))

@@ -823,6 +823,19 @@ def test_near_copies_at_the_similarity_go(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
 
 
+def test_near_copies_within_the_radius_need_no_band(spark):
+    """Copies whose fingerprints differ in few bits are found by their fingerprints, though hardly a band is left."""
+    rng = random.Random(31)
+    base = [" ".join(f"{rng.choice(VOCAB)}{rng.randrange(9999)}" for _ in range(200)) for _ in range(150)]
+    copies = [changed_copy(t, {rng.randrange(10, 190)}) for t in base]
+    bits = [int(simhash.fingerprint(a, 5, 1)[0] ^ simhash.fingerprint(b, 5, 1)[0]).bit_count() for a, b in zip(base, copies)]
+    near = [i for i in range(150) if bits[i] <= 4]
+    assert len(near) > 60
+    rows = [(i, base[i]) for i in near] + [(1000 + i, copies[i]) for i in near]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), miss=0.999)
+    assert sorted(r.doc_id for r in kept.collect()) == near
+
+
 def test_large_candidate_groups_give_the_same_rows(spark):
     """A chain of texts that drift apart, a dense group of near copies, and exact copies: in one task and by rounds."""
     rng = random.Random(27)
