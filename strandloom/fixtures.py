@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strandloom.functions import reverse_complement
 from strandloom.staging import not_broadcast
@@ -28,6 +32,21 @@ def seq_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace("text", "[^ACGTacgt]+", "")).alias("seq"))
 
 
+def letters_of_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``seq_docs``, made in Arrow batches and without a pattern: bytes of a letter of several bytes are none of ACGT."""
+    drop = bytes(set(range(256)) - set(b"ACGTacgt"))
+    upper = bytes.maketrans(b"acgt", b"ACGT")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            seq = pa.array([None if x is None else x.translate(upper, drop) for x in texts], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), seq], ["id", "seq"])
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.mapInArrow(made, StructType([StructField("id", docs.schema["doc_id"].dataType), StructField("seq", StringType())]))
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query_id, seq``: reads of the parts' sequences, forward, reversed, absent, damaged, short and across ends."""
     part = seq_part(spark, sf_dir)

@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from strandloom.functions import is_query_kmer, key_of_order, kmer_of_key, order_key, reverse_complement, reverse_order_key
 from strandloom.functions.kmers import LONG_BASES
-from strandloom.operators.windows import keyed_pieces, keyed_windows, piece_windows, query_windows, stretches, super_kmers, window_keys
+from strandloom.operators.windows import keyed_pieces, keyed_windows, piece_kmers, piece_windows, query_pieces, query_windows, spread, stretches, super_kmers, window_keys, window_runs
 from strandloom.staging import not_broadcast, staged
 
 
@@ -110,6 +111,108 @@ def _answers(q: DataFrame, names: list[str], index: DataFrame, k: int, canonical
     )
 
 
+#: Windows of strings, and asked ones, up to which a minimizer is light: one task meets them, a batch at a time.
+KNOWN_WINDOWS, ASKED_WINDOWS = 1 << 16, 1 << 18
+
+
+def known_runs(strings: DataFrame, k: int) -> DataFrame:
+    """The runs of windows of a string set, for ``lookup_runs``: written once, for all its queries."""
+    own = strings.select(F.col("string_id").alias("_sid"), F.col("string_begin").alias("_begin"), F.col("string_end").alias("_end"), "seq")
+    return staged(window_runs(own, k, ["_sid", "_begin", "_end"]), "known-runs")
+
+
+def _meet_windows(k: int, keep: list[str], canonical_mode: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Answers every window of asked runs by the windows of the known runs with the same minimizer, which come before them.
+
+    As in ``_meet``, windows meet by sorting their keys, and known runs of a batch's last minimizer are all that the next batch needs.
+    """
+    none = np.iinfo(np.int64).max
+
+    def answers(batch: pa.RecordBatch, asked: np.ndarray, minimizer: np.ndarray) -> pa.RecordBatch:
+        begin, at, piece = batch.column("_begin").fill_null(0).to_numpy(), batch.column("_at").to_numpy(), batch.column("_piece")
+        row, place, limbs, own = piece_windows(piece, k)
+        order = np.argsort(limbs[0]) if len(limbs) == 1 else np.lexsort(limbs)
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in limbs], axis=0)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        offset, known, starts = (begin + at)[row] + place, ~asked[row], np.flatnonzero(new)
+        wanted = np.flatnonzero(~known)
+        group, own_wanted = group[wanted], own[wanted]
+        first, turned_first = (np.minimum.reduceat(np.where(known & (own == side), offset, none)[order], starts)[group] for side in (True, False))
+        same, turned = np.where(own_wanted, first, turned_first), np.where(own_wanted, turned_first, first)
+        forward = (same < none) & ((same <= turned) | (not canonical_mode))
+        row, place = row[wanted], place[wanted]
+        found, valid = np.where(forward, same, turned), minimizer[row] >= 0
+        miss = ~valid | (found == none)
+        gone = miss if miss.any() else None
+        # Strings do not overlap: the last one that begins up to a place holds it.
+        held = np.flatnonzero(~asked)
+        held = held[np.argsort(begin[held])]
+        string = held[np.searchsorted(begin[held], np.where(miss, begin[held[0]], found), "right") - 1] if len(held) else np.zeros(len(row), np.int64)
+        sid, end = (batch.column(c).fill_null(0).to_numpy()[string] for c in ("_sid", "_end"))
+        turn = pa.array(np.where(miss, 0, np.where(forward, 1, -1)), pa.int32(), mask=None if valid.all() else ~valid)
+        longs = [pa.array(x, mask=gone) for x in (found, sid, begin[string], end)]
+        columns = [*(batch.column(c).take(pa.array(row)) for c in keep), pa.array(at[row] + place, pa.int32()), piece_kmers(piece, row, place, k), turn, *longs]
+        return pa.RecordBatch.from_arrays(columns, [*keep, *MET])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
+            asked, minimizer = np.asarray(batch.column("_asked").to_numpy(zero_copy_only=False)), batch.column("_minimizer").to_numpy()
+            held = batch.take(pa.array(np.flatnonzero(~asked & (minimizer == minimizer[-1]))))
+            if asked.any():
+                yield answers(batch, asked, minimizer)
+
+    return run
+
+
+#: What ``_meet_windows`` tells of each window, ``_turn`` being the orientation, 0 if it is nowhere and null if it is not valid: no more
+#: than the rest can be made of, since a column costs more on its way from Python than a sum behind it.
+MET = {"pos": IntegerType(), "kmer": StringType(), "_turn": IntegerType(), "kmer_offset": LongType(), "string_id": LongType(), "string_begin": LongType(), "string_end": LongType()}
+
+
+def lookup_runs(seqs: DataFrame, known: DataFrame, k: int, canonical_mode: bool = False, limits: tuple[int, int] = (KNOWN_WINDOWS, ASKED_WINDOWS)) -> DataFrame:
+    """``lookup_windows`` in a string set (its ``known_runs``) of which no index is stored.
+
+    Neighbouring windows are shuffled as one row: runs of both sides are dealt by a minimizer that equal k-mers share, and
+    their k-mers meet in that task.  Minimizers of more windows than ``limits``, known or asked, are counted first and
+    re-keyed by k-mer, so none of them is a hot group.
+    """
+    keep = [c for c in seqs.columns if c != "seq"]
+    mine = staged(window_runs(seqs, k, keep), "asked-runs")
+    sizes = known.select("_minimizer", F.col("_size").alias("_k"), F.lit(0).alias("_a")).unionAll(mine.filter("_minimizer >= 0").select("_minimizer", F.lit(0), "_size"))
+    heavy = staged(sizes.groupBy("_minimizer").agg(F.sum("_k").alias("_k"), F.sum("_a").alias("_a")).filter((F.col("_k") > limits[0]) | (F.col("_a") > limits[1])).select("_minimizer"), "heavy")
+    split = not heavy.isEmpty()
+
+    def parted(light: bool) -> tuple[DataFrame, DataFrame]:
+        return tuple(df.join(heavy, "_minimizer", "left_anti" if light else "left_semi") if split else df for df in (known, mine))
+
+    own, asked = parted(True)
+    place = ["_sid", "_begin", "_end"]
+    both = own.select("_minimizer", F.lit(False).alias("_asked"), *place, "_at", "_piece").unionByName(asked.select("_minimizer", F.lit(True).alias("_asked"), "_at", "_piece", *keep), allowMissingColumns=True)
+    schema = StructType([*(seqs.schema[c] for c in keep), *(StructField(c, kind) for c, kind in MET.items())])
+    order = F.col("_minimizer") * 2 + F.col("_asked").cast("bigint")  # one long, known runs first
+    met = spread(both, "_minimizer").sortWithinPartitions(order).mapInArrow(_meet_windows(k, keep, canonical_mode), schema)
+    offset, sid, hit = F.col("kmer_offset"), F.col("string_id"), F.col("_turn") != 0
+    found = met.select(
+        *keep, "pos", "kmer", F.col("_turn").isNotNull().alias("valid"),
+        offset.isNotNull().alias("found"), (offset - sid * (k - 1)).alias("kmer_id"), (offset - F.col("string_begin")).alias("kmer_id_in_string"), "kmer_offset",
+        F.when(hit, F.col("_turn")).alias("orientation"), "string_id", "string_begin", "string_end",
+    )
+    if not split:
+        return found
+    own, asked = parted(False)
+    offset = (F.col("_begin") + F.col("_at") + F.col("pos")).cast("bigint").alias("kmer_offset")
+    rows = keyed_pieces(own.withColumnRenamed("_piece", "seq"), k, [*place, "_at"])
+    index = _first_places(rows.select("key", "own", offset, *(F.col(c).alias(name) for c, name in zip(place, ("string_id", "string_begin", "string_end")))), k)
+    q = query_pieces(asked.withColumnRenamed("_piece", "seq"), k, [*keep, "_at"]).withColumn("pos", F.col("_at") + F.col("pos"))
+    return found.unionByName(_answers(q, [*keep, "pos", "kmer", "valid"], index, k, canonical_mode))
+
+
 def query_key(kmer: Column, k: int) -> Column:
     """The join key of a k-mer's canonical form; null if it has another length or other letters."""
     text = F.upper(kmer)

@@ -112,12 +112,53 @@ def _limbs(codes: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.where(own, f, r) for f, r in zip(fwd, rev)], own
 
 
+def _packed_at(codes: np.ndarray, n: int, start: np.ndarray, turned: bool) -> np.ndarray:
+    """As ``_packed`` for at most 31 codes, from the places ``start`` on only: shorter packs are made everywhere, in as few bytes as hold them."""
+    power, width = {1: codes.astype(np.uint8)}, 1
+    while 2 * width <= n:
+        x = power[width].astype((np.uint8, np.uint8, np.uint16, np.uint32)[width.bit_length() - 1])
+        power[2 * width] = x[:-width] << 2 * width | x[width:] if turned else x[:-width] | x[width:] << 2 * width
+        width *= 2
+    found, done = np.zeros(len(start), np.int64), 0
+    while done < n:
+        if n - done >= width:
+            part = power[width][start + done].astype(np.int64)
+            found = found << 2 * width | part if turned else found | part << 2 * done
+            done += width
+        width //= 2
+    return found
+
+
+def _limbs_at(codes: np.ndarray, k: int, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """As ``_limbs``, of the windows from the places ``start`` on only."""
+    parts = [(a, min(LONG_BASES, k - a)) for a in range(0, k, LONG_BASES)]
+    fwd = [_packed_at(codes, n, start + a, False) for a, n in parts]
+    rev = [_packed_at(codes ^ 2, n, start + (k - a - n), True) for a, n in parts]  # the complement's code
+    own, same = np.zeros(len(start), bool), np.ones(len(start), bool)
+    for f, r in zip(reversed(fwd), reversed(rev)):
+        own |= same & (f < r)
+        same &= f == r
+    return [np.where(own, f, r) for f, r in zip(fwd, rev)], own
+
+
 def _texts(letters: np.ndarray) -> pa.Array:
     """Strings of one length from rows of bytes."""
     n, k = letters.shape
     return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
 
 
+def _letters(data: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """The k bytes from each place on."""
+    return np.lib.stride_tricks.sliding_window_view(data, k)[start] if len(start) else np.zeros((0, k), np.uint8)
+
+
+def _standing(data: np.ndarray, at: np.ndarray, others: list[str] | None, row: np.ndarray, place: np.ndarray, k: int) -> pa.Array:
+    """The k letters from each place of strings (as ``_letters_of`` gives them) on."""
+    if others:
+        return pa.array([others[r][p : p + k] for r, p in zip(row.tolist(), place.tolist())], pa.string())
+    return _texts(_letters(data, at[row] + place, k))
+
+
 def _cut(rows: DataFrame, keep: list[str], k: int, give: dict[str, str], once: bool = False, size: int = BATCH) -> DataFrame:
     """The kept columns and ``pos`` of every window of chunks (``_c``, ``_text``), and by the names ``give`` tells: ``kmer`` as it stands,
     ``canonical`` (its canonical form's letters), ``valid`` (k letters ACGT in either case), the join ``key`` of its canonical form, null if not
@@ -132,17 +173,8 @@ def _cut(rows: DataFrame, keep: list[str], k: int, give: dict[str, str], once: b
     schema = StructType([*(rows.schema[c] for c in keep), StructField("pos", IntegerType()), *(StructField(name, types[what]) for what, name in give.items())])
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = batch.column("_text").cast(pa.string())
-        at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-        data, others = np.frombuffer(text.buffers()[2], np.uint8)[at[0] : at[-1]], None
-        if len(data) and data.max() > 127:  # letters of several bytes: one stands for each
-            others = text.to_pylist()
-            data = np.frombuffer("".join(others).encode("ascii", "replace"), np.uint8)
-            at = np.cumsum([0, *map(len, others)])
-        at = at - at[0]
-        counts = np.clip(np.diff(at) - k + 1, 0, CHUNK)
-        row = np.repeat(np.arange(len(counts)), counts)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        data, at, others = _letters_of(batch.column("_text"))
+        row, place = _within(np.clip(np.diff(at) - k + 1, 0, CHUNK))
         start, codes = at[row] + place, CODES[data]
         made = {}
         if "valid" in give or "key" in give:
@@ -157,10 +189,10 @@ def _cut(rows: DataFrame, keep: list[str], k: int, give: dict[str, str], once: b
             parts = [pa.array(x[start], mask=none if k <= LONG_BASES else None) for x in packed]
             made["key"] = parts[0] if k <= LONG_BASES else pa.StructArray.from_arrays(parts, [f"l{i}" for i in limbs], mask=None if none is None else pa.array(none))
         if "kmer" in give:
-            made["kmer"] = pa.array([others[r][p : p + k] for r, p in zip(row.tolist(), place.tolist())], pa.string()) if others else _texts(_letters(data, start))
+            made["kmer"] = _standing(data, at, others, row, place, k)
         if "canonical" in give:
             last, turned = len(data) - k - start, np.frombuffer(data.tobytes()[::-1].translate(bytes.maketrans(b"ACGT", b"TGCA")), np.uint8)
-            made["canonical"] = _texts(np.where(own[start][:, None], _letters(data, start), _letters(turned, last)))
+            made["canonical"] = _texts(np.where(own[start][:, None], _letters(data, start, k), _letters(turned, last, k)))
         pos = np.asarray(batch.column("_c"))[row] * CHUNK + place
         kept = [batch.column(c).take(pa.array(row)) for c in keep]
         found = pa.RecordBatch.from_arrays([*kept, pa.array(pos, pa.int32()), *(made[what] for what in give)], [*keep, "pos", *give.values()])
@@ -170,9 +202,6 @@ def _cut(rows: DataFrame, keep: list[str], k: int, give: dict[str, str], once: b
         new = np.any([np.diff(x[start][order], prepend=-1) != 0 for x in packed], axis=0)  # packed letters are never negative
         return found.take(pa.array(np.sort(order[new])))
 
-    def _letters(data: np.ndarray, start: np.ndarray) -> np.ndarray:
-        return np.lib.stride_tricks.sliding_window_view(data, k)[start] if len(start) else np.zeros((0, k), np.uint8)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, size):
@@ -293,6 +322,15 @@ def _bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def _letters_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str] | None]:
+    """As ``_bytes_of``, a byte for each letter; and the strings, if some letter has several bytes."""
+    data, at = _bytes_of(text)
+    if not len(data) or data.max() < 128:
+        return data, at, None
+    others = text.to_pylist()
+    return np.frombuffer("".join(others).encode("ascii", "replace"), np.uint8), np.cumsum([0, *map(len, others)]), others
+
+
 def _within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The row and the place in its row of every item, if row i holds ``counts[i]`` of them."""
     row = np.repeat(np.arange(len(counts)), counts)
@@ -300,14 +338,80 @@ def _within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def piece_windows(pieces: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of every window of short strings of ACGT: its string, its place there, its canonical form in limbs, and whether it is itself that form."""
-    data, at = _bytes_of(pieces)
+    """Of every window of short strings of ACGT: its string, its place there, its canonical form in limbs, and whether it is itself that form.
+
+    Windows of other letters are counted too, and have any form.
+    """
+    data, at, _ = _letters_of(pieces)
     row, place = _within(np.clip(np.diff(at) - k + 1, 0, None))
-    if not len(row):
-        return row, place, [np.zeros(0, np.int64) for _ in range(0, k, LONG_BASES)], np.zeros(0, bool)
-    packed, own = _limbs((CODES[data] & 3).astype(np.int64), k)
-    start = at[row] + place
-    return row, place, [x[start] for x in packed], own[start]
+    limbs, own = _limbs_at(CODES[data] & 3, k, at[row] + place)
+    return row, place, limbs, own
+
+
+def piece_kmers(pieces: pa.Array, row: np.ndarray, place: np.ndarray, k: int) -> pa.Array:
+    """The k letters from each place of short strings on, as they stand."""
+    data, at, others = _letters_of(pieces)
+    return _standing(data, at, others, row, place, k)
+
+
+#: Most windows of one run, so that a batch of runs is a few MB whatever its letters are.
+RUN = 64
+
+
+def _stirred(values: np.ndarray) -> np.ndarray:
+    """A 62-bit hash of packed letters."""
+    x = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(2)).astype(np.int64)
+
+
+def window_runs(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """The windows of sequences of any letters as runs of neighbours that are dealt together: the kept columns, ``_at``, the place of the
+    run's first window, ``_minimizer``, ``_size``, its windows, and ``_piece``, its letters as they stand.
+
+    ``_minimizer`` is the least hash of the canonical forms of a window's m-mers, so it depends on the window's canonical k-mer
+    alone, and whoever deals by it brings equal k-mers of both strands together.  It is negative for a window with
+    letters other than ACGT (in either case), which equals no k-mer.
+    """
+    m = min(k // 2 + 1, 16)
+    rows = chunks(seqs, k, keep)
+    fields = [StructField("_at", IntegerType()), StructField("_minimizer", LongType()), StructField("_size", IntegerType()), StructField("_piece", StringType())]
+
+    def runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, at, others = _letters_of(batch.column("_text"))
+        row, place = _within(np.clip(np.diff(at) - k + 1, 0, CHUNK))
+        least, new = np.zeros(0, np.int64), np.ones(len(row), bool)
+        if len(row):
+            codes, start = CODES[data], at[row] + place
+            wrong = np.r_[0, np.cumsum(codes > 3)]
+            codes, mers = codes & 3, np.arange(len(codes) - m + 1)
+            least = _least(_stirred(np.minimum(_packed_at(codes, m, mers, False), _packed_at(codes ^ 2, m, mers, True))), k - m + 1)[start]
+            least = np.where(wrong[start + k] == wrong[start], least, ~(least ^ row))  # by rows too, since nothing is to meet there
+            new[1:] = (place[1:] % RUN == 0) | (least[1:] != least[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(row)))
+        own, p, length = row[first], place[first], size + k - 1
+        if others:
+            piece = pa.array([others[r][i : i + n] for r, i, n in zip(own.tolist(), p.tolist(), length.tolist())], pa.string())
+        else:
+            r, j = _within(length)
+            edges = np.append(0, np.cumsum(length)).astype(np.int32)
+            piece = pa.StringArray.from_buffers(len(own), pa.py_buffer(edges), pa.py_buffer(data[(at[own] + p)[r] + j]))
+        places = np.asarray(batch.column("_c")).astype(np.int64)[own] * CHUNK + p
+        made = [pa.array(places, pa.int32()), pa.array(least[first]), pa.array(size, pa.int32()), piece]
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own)) for c in keep), *made], [*keep, *(f.name for f in fields)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH):
+                yield runs(batch.slice(a, BATCH))
+
+    return rows.select(*keep, "_c", "_text").mapInArrow(cut, StructType([*(rows.schema[c] for c in keep), *fields]))
+
+
+def query_pieces(pieces: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """As ``query_windows`` for very many short sequences, of one chunk at most each: they stay in the tasks where they are."""
+    rows = pieces.select(*keep, F.lit(0).alias("_c"), F.col("seq").alias("_text"))
+    return _cut(rows, keep, k, {"kmer": "kmer", "valid": "valid", "key": "_key", "own": "_own"}, size=16 * BATCH)
 
 
 def super_kmers(strings: DataFrame, k: int, m: int, canonical: bool = False, seed: int = 1, piece: bool = False, ties: bool = False) -> DataFrame:

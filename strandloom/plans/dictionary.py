@@ -31,6 +31,8 @@ class KmerDictionary:
     config: BuildConfig
     strings: DataFrame
     index: DataFrame
+    #: Whether the index is still to be made of the strings' letters, so that scans may meet these at once.
+    unmade: bool = False
 
     @cached_property
     def super_kmers(self) -> DataFrame:
@@ -56,7 +58,14 @@ class KmerDictionary:
         """As ``contains``; what the sketch rules out is not shuffled."""
         return sketches.members_sketched(kmers, self.index, self.config.k, self.sketch, absent)
 
+    @cached_property
+    def known_runs(self) -> DataFrame:
+        return lookups.known_runs(self.strings, self.config.k)
+
     def stream_query(self, reads: DataFrame) -> DataFrame:
+        """The lookup of every window of ``reads``: in a stored index, or else in the strings' own runs of windows."""
+        if self.unmade and not reads.isStreaming:
+            return lookups.lookup_runs(reads, self.known_runs, self.config.k, self.config.canonical)
         return scan.scan_lookup(reads, self.index, self.config.k, self.config.canonical)
 
     @cached_property
@@ -142,7 +151,7 @@ def build_dictionary(seqs: DataFrame, config: BuildConfig | None = None, order:
     """The dictionary of sequences (``seq`` and the integer order column); nothing runs until it is queried."""
     config = config or BuildConfig()
     held = strings.string_set(seqs, config.k, config.on_invalid, order)
-    return KmerDictionary(config, held, lookups.index_kmers(held, config.k))
+    return KmerDictionary(config, held, lookups.index_kmers(held, config.k), unmade=True)
 
 
 def build_from_chunks(chunks: DataFrame, config: BuildConfig | None = None, size: int = SIZE) -> KmerDictionary:
