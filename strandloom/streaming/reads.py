@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues, ValueState
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from strandloom.operators.lookups import lookup_windows
@@ -143,22 +144,27 @@ class LastHit(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(rows)).sort_values(["query_id", "pos"], kind="stable").reset_index(drop=True)
-        read = got["query_id"].to_numpy()
+        read, names = got["query_id"].to_numpy(), got["query_id"].tolist()
         # Nulls are not equal to anything, so no window follows or is followed by one without a hit.
         own = {f: got[f].to_numpy(float) for f in self.FIELDS}
         before = {f: np.r_[np.nan, v[:-1]] for f, v in own.items()}
         starts = np.flatnonzero(np.r_[True, read[1:] != read[:-1]])
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(got)]):
-            over = int((own["pos"][lo:hi] < 0).sum())
-            state = self.last.getValue((read[lo],)) if lo + over < hi or over else None
-            if lo + over < hi:
-                for f, v in zip(self.FIELDS, state or [None] * 4):
+        ends = np.append(starts[1:], len(got))
+        overs = np.add.reduceat(own["pos"] < 0, starts)
+        final = zip(*([None if x != x else int(x) for x in own[f][ends - 1].tolist()] for f in self.FIELDS))
+        for lo, hi, over, end in zip(starts.tolist(), ends.tolist(), overs.tolist(), final):
+            state = self.last.getValue((names[lo],)) if lo + over < hi or over else None
+            if lo + over < hi and state is not None:
+                for f, v in zip(self.FIELDS, state):
                     before[f][lo + over] = np.nan if v is None else v
+            elif lo + over < hi:
+                for f in self.FIELDS:
+                    before[f][lo + over] = np.nan
             if over:
                 if state is not None:
-                    self.last.removeKey((read[lo],))
+                    self.last.removeKey((names[lo],))
             else:
-                self.last.updateValue((read[lo],), tuple(None if np.isnan(own[f][hi - 1]) else int(own[f][hi - 1]) for f in self.FIELDS))
+                self.last.updateValue((names[lo],), end)
         follows = (before["pos"] + 1 == own["pos"]) & (before["string_id"] == own["string_id"]) & (before["orientation"] == own["orientation"]) & (before["kmer_offset"] + own["orientation"] == own["kmer_offset"])
         yield got.assign(is_extension=follows)[own["pos"] >= 0]
 
@@ -166,7 +172,81 @@ class LastHit(StatefulProcessor):
         pass
 
 
-def chunk_scan(chunks: DataFrame, index: DataFrame, k: int, canonical_mode: bool = False, late: str = "10 minutes", hold_minutes: int = 10, buckets: int = 256) -> DataFrame:
+class _Entries:
+    """A map state whose entries are one value of the store: read once and written once a call, not once an entry."""
+
+    def __init__(self, value: ValueState) -> None:
+        self.value = value
+
+    def load(self) -> None:
+        held = self.value.get()
+        self.held, self.changed = pickle.loads(held[0]) if held is not None else {}, False
+
+    def store(self) -> None:
+        if self.changed and self.held:
+            self.value.update((pickle.dumps(self.held, pickle.HIGHEST_PROTOCOL),))
+        elif self.changed:
+            self.value.clear()
+
+    def getValue(self, key: tuple) -> tuple | None:
+        return self.held.get(key)
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self.held[key], self.changed = value, True
+
+    def removeKey(self, key: tuple) -> None:
+        del self.held[key]
+        self.changed = True
+
+    def iterator(self) -> Iterator[tuple[tuple, tuple]]:
+        return iter(self.held.items())
+
+
+class Whole(StatefulProcessor):
+    """A processor whose map states are kept whole, a value for each bucket of reads.
+
+    A call to the state store costs about a millisecond, whatever it brings, so a call for each read costs far more than
+    the scan.  A bucket's value is written anew by each call, so there have to be enough buckets to keep it small.
+    """
+
+    def __init__(self, inner: StatefulProcessor) -> None:
+        self.inner = inner
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.maps = handle, []
+        self.inner.init(self)
+
+    def getMapState(self, name: str, key: str, value: str) -> _Entries:
+        self.maps.append(_Entries(self.handle.getValueState(name, "entries binary")))
+        return self.maps[-1]
+
+    def getValueState(self, name: str, schema: str) -> ValueState:
+        return self.handle.getValueState(name, schema)
+
+    def registerTimer(self, due: int) -> None:
+        self.handle.registerTimer(due)
+
+    def deleteTimer(self, due: int) -> None:
+        self.handle.deleteTimer(due)
+
+    def _held(self, call: Callable[..., Iterator[pd.DataFrame]], *args: object) -> Iterator[pd.DataFrame]:
+        for m in self.maps:
+            m.load()
+        yield from call(*args)
+        for m in self.maps:
+            m.store()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        return self._held(self.inner.handleInputRows, key, rows, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._held(self.inner.handleExpiredTimer, key, timerValues, expiredTimerInfo)
+
+    def close(self) -> None:
+        self.inner.close()
+
+
+def chunk_scan(chunks: DataFrame, index: DataFrame, k: int, canonical_mode: bool = False, late: str = "10 minutes", hold_minutes: int = 10, buckets: int = 256, columns: list[str] | None = None) -> DataFrame:
     """The scan of reads that arrive in chunks: ``query_id, start`` (of the chunk's first base in its read, from 0), ``seq`` and ``ts``.
 
     Gives what ``scan.with_extension`` gives for whole reads, windows and extensions across chunks included.
@@ -174,16 +254,19 @@ def chunk_scan(chunks: DataFrame, index: DataFrame, k: int, canonical_mode: bool
     behind the greatest ``ts``, has passed its greatest ``ts`` by ``hold_minutes``; all its state goes then.  Chunks
     that come behind the watermark are dropped and counted in the query's progress; a chunk whose
     predecessor never came is looked up at the read's end, without windows across the gap, as is one that comes
-    after the end but before the watermark.  Reads are dealt over ``buckets`` by a hash.  The state is kept in RocksDB, the one store that serves timers.
+    after the end but before the watermark.  Reads are dealt over ``buckets`` by a hash, and a bucket's state is one value a map.  ``columns`` are the answer's
+    to be given besides ``query_id, pos`` and what an extension is told by (all by default): each costs its way through the state.  The state is kept in RocksDB, the one store that serves timers.
     """
     chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     bucket = F.pmod(F.xxhash64("query_id"), F.lit(buckets)).cast("int").alias("_bucket")
     rows = chunks.select(bucket, "query_id", F.col("start").cast("long").alias("start"), "seq", "ts").filter("start IS NOT NULL").withWatermark("ts", late)
     kind = chunks.schema["query_id"].dataType.simpleString()
-    pieces = rows.groupBy("_bucket").transformWithStateInPandas(Pieces(k, hold_minutes * 60_000, kind), f"_bucket int, query_id {kind}, start long, seq string", "append", "EventTime")
+    pieces = rows.groupBy("_bucket").transformWithStateInPandas(Whole(Pieces(k, hold_minutes * 60_000, kind)), f"_bucket int, query_id {kind}, start long, seq string", "append", "EventTime")
     found = lookup_windows(pieces.drop("_bucket"), index, k, canonical_mode).withColumn("pos", (F.col("pos") + F.when(F.col("start") < 0, F.lit(-1)).otherwise(F.col("start"))).cast("long")).drop("start")
+    if columns is not None:
+        found = found.select("query_id", *dict.fromkeys([*LastHit.FIELDS, *columns]))
     schema = StructType([*(StructField(f.name, f.dataType) for f in found.schema), StructField("is_extension", BooleanType())])
-    return found.withColumn("_bucket", bucket).groupBy("_bucket").transformWithStateInPandas(LastHit(kind), schema, "append", "None")
+    return found.withColumn("_bucket", bucket).groupBy("_bucket").transformWithStateInPandas(Whole(LastHit(kind)), schema, "append", "None")
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
