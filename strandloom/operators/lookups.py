@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from strandloom.functions import is_query_kmer, key_of_order, kmer_of_key, order_key, reverse_complement, reverse_order_key
 from strandloom.functions.kmers import LONG_BASES
-from strandloom.operators.windows import keyed_pieces, keyed_windows, piece_kmers, piece_windows, query_pieces, query_windows, spread, stretches, super_kmers, window_keys, window_runs
+from strandloom.operators.windows import keyed_pieces, keyed_windows, piece_kmers, piece_windows, query_pieces, query_windows, spread, stretches, super_kmers, unfold, window_keys, window_runs
 from strandloom.staging import not_broadcast, staged
 
 
@@ -118,7 +118,7 @@ KNOWN_WINDOWS, ASKED_WINDOWS = 1 << 16, 1 << 18
 def known_runs(strings: DataFrame, k: int) -> DataFrame:
     """The runs of windows of a string set, for ``lookup_runs``: written once, for all its queries."""
     own = strings.select(F.col("string_id").alias("_sid"), F.col("string_begin").alias("_begin"), F.col("string_end").alias("_end"), "seq")
-    return staged(window_runs(own, k, ["_sid", "_begin", "_end"]), "known-runs")
+    return staged(window_runs(own, k, ["_sid", "_begin", "_end"], folded=True), "known-runs")
 
 
 def _meet_windows(k: int, keep: list[str], canonical_mode: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -129,7 +129,7 @@ def _meet_windows(k: int, keep: list[str], canonical_mode: bool) -> Callable[[It
     none = np.iinfo(np.int64).max
 
     def answers(batch: pa.RecordBatch, asked: np.ndarray, minimizer: np.ndarray) -> pa.RecordBatch:
-        begin, at, piece = batch.column("_begin").fill_null(0).to_numpy(), batch.column("_at").to_numpy(), batch.column("_piece")
+        begin, at, piece = batch.column("_begin").fill_null(0).to_numpy(), batch.column("_at").to_numpy(), unfold(batch.column("_piece"))
         row, place, limbs, own = piece_windows(piece, k)
         order = np.argsort(limbs[0]) if len(limbs) == 1 else np.lexsort(limbs)
         new = np.ones(len(order), bool)
@@ -175,6 +175,16 @@ def _meet_windows(k: int, keep: list[str], canonical_mode: bool) -> Callable[[It
 MET = {"pos": IntegerType(), "kmer": StringType(), "_turn": IntegerType(), "kmer_offset": LongType(), "string_id": LongType(), "string_begin": LongType(), "string_end": LongType()}
 
 
+def met_columns(met: DataFrame, keep: list[str], k: int) -> DataFrame:
+    """The kept columns and the answer of every window, of what ``MET`` tells."""
+    offset, sid, hit = F.col("kmer_offset"), F.col("string_id"), F.col("_turn") != 0
+    return met.select(
+        *keep, "pos", "kmer", F.col("_turn").isNotNull().alias("valid"),
+        offset.isNotNull().alias("found"), (offset - sid * (k - 1)).alias("kmer_id"), (offset - F.col("string_begin")).alias("kmer_id_in_string"), "kmer_offset",
+        F.when(hit, F.col("_turn")).alias("orientation"), "string_id", "string_begin", "string_end",
+    )
+
+
 def lookup_runs(seqs: DataFrame, known: DataFrame, k: int, canonical_mode: bool = False, limits: tuple[int, int] = (KNOWN_WINDOWS, ASKED_WINDOWS)) -> DataFrame:
     """``lookup_windows`` in a string set (its ``known_runs``) of which no index is stored.
 
@@ -183,7 +193,11 @@ def lookup_runs(seqs: DataFrame, known: DataFrame, k: int, canonical_mode: bool
     re-keyed by k-mer, so none of them is a hot group.
     """
     keep = [c for c in seqs.columns if c != "seq"]
-    mine = staged(window_runs(seqs, k, keep), "asked-runs")
+    return meet_runs(staged(window_runs(seqs, k, keep, folded=True), "asked-runs"), known, k, keep, canonical_mode, limits)
+
+
+def meet_runs(mine: DataFrame, known: DataFrame, k: int, keep: list[str], canonical_mode: bool = False, limits: tuple[int, int] = (KNOWN_WINDOWS, ASKED_WINDOWS)) -> DataFrame:
+    """As ``lookup_runs``, of written runs of asked windows."""
     sizes = known.select("_minimizer", F.col("_size").alias("_k"), F.lit(0).alias("_a")).unionAll(mine.filter("_minimizer >= 0").select("_minimizer", F.lit(0), "_size"))
     heavy = staged(sizes.groupBy("_minimizer").agg(F.sum("_k").alias("_k"), F.sum("_a").alias("_a")).filter((F.col("_k") > limits[0]) | (F.col("_a") > limits[1])).select("_minimizer"), "heavy")
     split = not heavy.isEmpty()
@@ -194,15 +208,10 @@ def lookup_runs(seqs: DataFrame, known: DataFrame, k: int, canonical_mode: bool
     own, asked = parted(True)
     place = ["_sid", "_begin", "_end"]
     both = own.select("_minimizer", F.lit(False).alias("_asked"), *place, "_at", "_piece").unionByName(asked.select("_minimizer", F.lit(True).alias("_asked"), "_at", "_piece", *keep), allowMissingColumns=True)
-    schema = StructType([*(seqs.schema[c] for c in keep), *(StructField(c, kind) for c, kind in MET.items())])
+    schema = StructType([*(mine.schema[c] for c in keep), *(StructField(c, kind) for c, kind in MET.items())])
     order = F.col("_minimizer") * 2 + F.col("_asked").cast("bigint")  # one long, known runs first
     met = spread(both, "_minimizer").sortWithinPartitions(order).mapInArrow(_meet_windows(k, keep, canonical_mode), schema)
-    offset, sid, hit = F.col("kmer_offset"), F.col("string_id"), F.col("_turn") != 0
-    found = met.select(
-        *keep, "pos", "kmer", F.col("_turn").isNotNull().alias("valid"),
-        offset.isNotNull().alias("found"), (offset - sid * (k - 1)).alias("kmer_id"), (offset - F.col("string_begin")).alias("kmer_id_in_string"), "kmer_offset",
-        F.when(hit, F.col("_turn")).alias("orientation"), "string_id", "string_begin", "string_end",
-    )
+    found = met_columns(met, keep, k)
     if not split:
         return found
     own, asked = parted(False)

@@ -180,7 +180,12 @@ def seeded_runs(found: DataFrame, reads: DataFrame, strings: DataFrame, k: int,
     composed read by read, one number each, and walked in parallel.  A null id is an id; reads are told
     apart by their ids alone.
     """
-    hits = reaches(segments(found, block), reads, strings, k)
+    return followed_runs(segments(found, block), reads, strings, k)
+
+
+def followed_runs(segs: DataFrame, reads: DataFrame, strings: DataFrame, k: int) -> DataFrame:
+    """As ``seeded_runs``, of the ``segments`` of a scan: those of a read are walked from its first window on."""
+    hits = reaches(segs, reads, strings, k)
     fields = F.struct("a", "b", "reach", "off", "orientation", "string_id")
     blocks = staged(hits.groupBy("query_id", "_block").agg(F.array_sort(F.collect_list(fields)).alias("segs")), "scan-blocks")
     kind = blocks.schema["query_id"].dataType.simpleString()

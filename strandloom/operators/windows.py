@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from strandloom.functions import is_dna, mix31, order_key, reverse_order_key
 from strandloom.functions.bases import BASES
@@ -165,15 +165,17 @@ def _cut(rows: DataFrame, keep: list[str], k: int, give: dict[str, str], once: b
     valid, and ``own``, whether it is itself that form.
 
     Letters are packed by doubling the packed length, some array operations a chunk instead of some string functions
-    a window; batches hold ``size`` chunks.  With ``once`` a batch gives one window of each key.
+    a window; batches hold ``size`` chunks.  With ``once`` a batch gives one window of each key.  Binary ``_text`` is folded.
     """
+    folded = isinstance(rows.schema["_text"].dataType, BinaryType)
     limbs = range(-(-k // LONG_BASES))
     key = LongType() if k <= LONG_BASES else StructType([StructField(f"l{i}", LongType()) for i in limbs])
     types = {"kmer": StringType(), "canonical": StringType(), "valid": BooleanType(), "key": key, "own": BooleanType()}
     schema = StructType([*(rows.schema[c] for c in keep), StructField("pos", IntegerType()), *(StructField(name, types[what]) for what, name in give.items())])
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, at, others = _letters_of(batch.column("_text"))
+        text = batch.column("_text")
+        data, at, others = _letters_of(unfold(text) if folded else text)
         row, place = _within(np.clip(np.diff(at) - k + 1, 0, CHUNK))
         start, codes = at[row] + place, CODES[data]
         made = {}
@@ -337,6 +339,59 @@ def _within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+#: The code of an upper-case letter; 4: another byte.  And the four letters that a byte stands for.
+UPPER = np.full(256, 4, np.uint8)
+UPPER[np.frombuffer(BASES.encode(), np.uint8)] = range(4)
+FOUR = np.frombuffer(BASES.encode(), np.uint8)[np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3]
+#: The first byte of a folded string whose letters are kept as they stand.
+PLAIN = 4
+
+
+def fold(texts: pa.Array) -> pa.Array:
+    """Strings as binary: those of ACGT alone with four letters a byte, all others as they stand; the first byte tells which, and how
+    many letters the last byte holds."""
+    data, at = _bytes_of(texts)
+    n, codes = np.diff(at), UPPER[data]
+    plain = np.diff(np.r_[0, np.cumsum(codes > 3)][at]) > 0
+    width = -(-n // 4)
+    row, j = _within(n)
+    filled = np.zeros(4 * int(width.sum()), np.uint8)
+    filled[4 * (np.cumsum(width) - width)[row] + j] = codes & 3
+    packed = filled[0::4] | filled[1::4] << 2 | filled[2::4] << 4 | filled[3::4] << 6
+    size = np.where(plain, n, width)
+    edges = np.r_[0, np.cumsum(size + 1)]
+    out = np.empty(edges[-1], np.uint8)
+    out[edges[:-1]] = np.where(plain, PLAIN, n & 3)
+    row, j = _within(width)
+    mine = ~plain[row]
+    out[(edges[row] + 1 + j)[mine]] = packed[mine]
+    for i in np.flatnonzero(plain).tolist():
+        out[edges[i] + 1 : edges[i + 1]] = data[at[i] : at[i + 1]]
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(out)])
+
+
+def unfold(folded: pa.Array) -> pa.Array:
+    """The strings that ``fold`` made binary."""
+    folded = folded.cast(pa.binary())
+    at = np.frombuffer(folded.buffers()[1], np.int32)[folded.offset : folded.offset + len(folded) + 1].astype(np.int64)
+    data = np.frombuffer(folded.buffers()[2] or b"", np.uint8)
+    tag, size = data[at[:-1]], np.diff(at) - 1
+    plain = tag == PLAIN
+    width = np.where(plain, 0, size)
+    n = 4 * width - (-tag.astype(np.int64) & 3) * ~plain
+    row, j = _within(width)
+    letters = FOUR[data[at[row] + 1 + j]].ravel()
+    row, j = _within(n)
+    edges = np.r_[0, np.cumsum(n)].astype(np.int32)
+    found = pa.StringArray.from_buffers(len(n), pa.py_buffer(edges), pa.py_buffer(letters[4 * (np.cumsum(width) - width)[row] + j]))
+    if not plain.any():
+        return found
+    texts = found.to_pylist()
+    for i in np.flatnonzero(plain).tolist():
+        texts[i] = data[at[i] + 1 : at[i + 1]].tobytes().decode()
+    return pa.array(texts, pa.string())
+
+
 def piece_windows(pieces: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """Of every window of short strings of ACGT: its string, its place there, its canonical form in limbs, and whether it is itself that form.
 
@@ -364,17 +419,21 @@ def _stirred(values: np.ndarray) -> np.ndarray:
     return ((x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(2)).astype(np.int64)
 
 
-def window_runs(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
+def window_runs(seqs: DataFrame, k: int, keep: list[str], folded: bool = False) -> DataFrame:
     """The windows of sequences of any letters as runs of neighbours that are dealt together: the kept columns, ``_at``, the place of the
     run's first window, ``_minimizer``, ``_size``, its windows, and ``_piece``, its letters as they stand.
 
     ``_minimizer`` is the least hash of the canonical forms of a window's m-mers, so it depends on the window's canonical k-mer
     alone, and whoever deals by it brings equal k-mers of both strands together.  It is negative for a window with
-    letters other than ACGT (in either case), which equals no k-mer.
+    letters other than ACGT (in either case), which equals no k-mer.  ``folded`` letters are binary, as ``fold`` makes them.
     """
+    return chunk_runs(chunks(seqs, k, keep), k, keep, folded)
+
+
+def chunk_runs(rows: DataFrame, k: int, keep: list[str], folded: bool = False) -> DataFrame:
+    """As ``window_runs``, of the ``chunks`` of sequences."""
     m = min(k // 2 + 1, 16)
-    rows = chunks(seqs, k, keep)
-    fields = [StructField("_at", IntegerType()), StructField("_minimizer", LongType()), StructField("_size", IntegerType()), StructField("_piece", StringType())]
+    fields = [StructField("_at", IntegerType()), StructField("_minimizer", LongType()), StructField("_size", IntegerType()), StructField("_piece", BinaryType() if folded else StringType())]
 
     def runs(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, at, others = _letters_of(batch.column("_text"))
@@ -397,7 +456,7 @@ def window_runs(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
             edges = np.append(0, np.cumsum(length)).astype(np.int32)
             piece = pa.StringArray.from_buffers(len(own), pa.py_buffer(edges), pa.py_buffer(data[(at[own] + p)[r] + j]))
         places = np.asarray(batch.column("_c")).astype(np.int64)[own] * CHUNK + p
-        made = [pa.array(places, pa.int32()), pa.array(least[first]), pa.array(size, pa.int32()), piece]
+        made = [pa.array(places, pa.int32()), pa.array(least[first]), pa.array(size, pa.int32()), fold(piece) if folded else piece]
         return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own)) for c in keep), *made], [*keep, *(f.name for f in fields)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,10 +467,10 @@ def window_runs(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "_c", "_text").mapInArrow(cut, StructType([*(rows.schema[c] for c in keep), *fields]))
 
 
-def query_pieces(pieces: DataFrame, k: int, keep: list[str]) -> DataFrame:
-    """As ``query_windows`` for very many short sequences, of one chunk at most each: they stay in the tasks where they are."""
+def query_pieces(pieces: DataFrame, k: int, keep: list[str], give: dict[str, str] | None = None) -> DataFrame:
+    """As ``query_windows`` (or what ``give`` tells) for very many short sequences, of one chunk at most each: they stay in the tasks where they are."""
     rows = pieces.select(*keep, F.lit(0).alias("_c"), F.col("seq").alias("_text"))
-    return _cut(rows, keep, k, {"kmer": "kmer", "valid": "valid", "key": "_key", "own": "_own"}, size=16 * BATCH)
+    return _cut(rows, keep, k, give or {"kmer": "kmer", "valid": "valid", "key": "_key", "own": "_own"}, size=16 * BATCH)
 
 
 def super_kmers(strings: DataFrame, k: int, m: int, canonical: bool = False, seed: int = 1, piece: bool = False, ties: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import BuildConfig
 from strandloom.operators import buckets as B
-from strandloom.operators import lookups, reports, scan, seeds, strings, windows
+from strandloom.operators import lookups, own, reports, scan, seeds, strings, windows
 from strandloom.operators import sketch as sketches
 from strandloom.sources.chunked import SIZE
 from strandloom.staging import staged
@@ -93,6 +93,28 @@ class KmerDictionary:
             return scan.scan_stats(self.stream_query(reads))
         return seeds.seeded_stats(*self._followed(reads))
 
+    @cached_property
+    def own_strings(self) -> DataFrame:
+        return staged(self.strings, "own-strings")
+
+    def query_own(self) -> DataFrame:
+        """``stream_query`` of the dictionary's own strings, by their further columns: they are shuffled once, as known and asked at once."""
+        return own.lookup_own(self.strings, self.config.k, self.config.canonical)
+
+    def query_own_turned(self) -> DataFrame:
+        """``turned, pos, kmer_offset, orientation`` of every window of the own strings and (``turned``) of their reverse complements."""
+        return own.lookup_both_strands(self.strings, self.config.k, self.config.canonical)
+
+    def runs_own(self) -> DataFrame:
+        """``runs`` of the own strings and their reverse complements: ``query_id`` is the string's id, or -1 less it."""
+        if self.config.canonical:  # a first place may be on either strand, so the scan is followed as any other
+            return self.runs(own.both_strands(self.own_strings))
+        return own.own_searches(self.own_strings, self.config.k)
+
+    def stats_own(self) -> DataFrame:
+        """``stats`` of the own strings and their reverse complements."""
+        return own.own_stats(self.own_strings, self.runs_own(), self.config.k)
+
     def locate(self, positions: DataFrame, position: str = "pos") -> DataFrame:
         return strings.locate(positions, self.strings, position)
 
