@@ -12,8 +12,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.lookups import key_columns, query_key, same_key
-from strandloom.staging import not_broadcast
+from strandloom.operators.lookups import key_columns, meet_runs, query_key, same_key
+from strandloom.operators.windows import query_pieces, window_runs
+from strandloom.staging import DROP_SHUFFLES, held_conf, not_broadcast, staged
 
 #: Bits of one block (32 KB); all bits of a key lie in one.
 BLOCK_BITS = 1 << 18
@@ -79,17 +80,25 @@ def sketch_keys(index: DataFrame, k: int, most_bytes: int = MOST_BYTES) -> Sketc
 
     Keys are dealt by block, so each block is filled by one task, and only the filled blocks come together.
     """
-    count = index.count()
-    blocks = max(1, -(-count * BITS_PER_KEY // BLOCK_BITS))
+    blocks = _blocks(index.count())
     if blocks * BLOCK_BITS // 8 > most_bytes:
         return None
-    h = F.xxhash64(*key_columns(k))
-    rows = index.select(F.pmod(h, F.lit(blocks)).cast("long").alias("block"), h.alias("h"))
-    filled = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_filled, "block long, bits binary").collect()
+    return _sketched(index, F.xxhash64(*key_columns(k)), blocks)
+
+
+def _blocks(count: int) -> int:
+    return max(1, -(-count * BITS_PER_KEY // BLOCK_BITS))
+
+
+def _sketched(rows: DataFrame, h: Column, blocks: int) -> Sketch:
+    """The sketch of hashes."""
+    rows = rows.select(F.pmod(h, F.lit(blocks)).cast("long").alias("block"), h.alias("h"))
+    with held_conf(rows.sparkSession, **DROP_SHUFFLES):
+        filled = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_filled, "block long, bits binary").collect()
     bits = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
     for r in filled:
         bits[r.block] = np.frombuffer(r.bits, np.uint8)
-    return Sketch(blocks, index.sparkSession.sparkContext.broadcast(bits.ravel()))
+    return Sketch(blocks, rows.sparkSession.sparkContext.broadcast(bits.ravel()))
 
 
 def members_sketched(queries: DataFrame, index: DataFrame, k: int, sketch: Sketch | None, absent: bool = False) -> DataFrame:
@@ -107,3 +116,22 @@ def members_sketched(queries: DataFrame, index: DataFrame, k: int, sketch: Sketc
     q = q.withColumn("_maybe", F.col("_key").isNotNull() & sketch.maybe(F.xxhash64(*parts)))
     asked = q.filter("_maybe").join(held, same_key(F.col("_key"), k), kind)
     return (asked.unionByName(q.filter("NOT _maybe")) if absent else asked).drop("_key", "_maybe")
+
+
+def windows_sketched(seqs: DataFrame, known: DataFrame, k: int, absent: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The columns of sequences, ``pos`` and ``kmer`` of every window that is held, or, if ``absent``, is not, by the
+    ``known_runs`` of a string set.
+
+    The minimizers of its runs are sketched: a run whose minimizer is not held is told where it is and never shuffled, all others
+    meet the known runs, run by run.  A sketch of more minimizers than its bytes serve rules out less and errs never.
+    """
+    keep = [c for c in seqs.columns if c != "seq"]
+    h = F.xxhash64("_minimizer")
+    sketch = _sketched(known, h, min(_blocks(known.count()), max(1, most_bytes * 8 // BLOCK_BITS)))
+    asked = window_runs(seqs, k, keep, folded=True).withColumn("_maybe", (F.col("_minimizer") >= 0) & sketch.maybe(h))
+    met = meet_runs(staged(asked.filter("_maybe").drop("_maybe"), "asked-runs"), known, k, keep)
+    found = met.filter("NOT found" if absent else "found").select(*keep, "pos", "kmer")
+    if not absent:
+        return found
+    gone = query_pieces(asked.filter("NOT _maybe").withColumnRenamed("_piece", "seq"), k, [*keep, "_at"], {"kmer": "kmer"})
+    return found.unionByName(gone.select(*keep, (F.col("_at") + F.col("pos")).alias("pos"), "kmer"))

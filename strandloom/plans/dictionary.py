@@ -58,6 +58,10 @@ class KmerDictionary:
         """As ``contains``; what the sketch rules out is not shuffled."""
         return sketches.members_sketched(kmers, self.index, self.config.k, self.sketch, absent)
 
+    def windows_sketched(self, seqs: DataFrame, absent: bool = False) -> DataFrame:
+        """The windows of sequences (their columns, ``pos, kmer``) that are held, or are not; runs that the sketch rules out are not shuffled."""
+        return sketches.windows_sketched(seqs, self.known_runs, self.config.k, absent)
+
     @cached_property
     def known_runs(self) -> DataFrame:
         return lookups.known_runs(self.strings, self.config.k)
