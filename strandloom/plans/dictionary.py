@@ -15,9 +15,11 @@ from strandloom.operators import buckets as B
 from strandloom.operators import lookups, own, reports, scan, seeds, strings, windows
 from strandloom.operators import sketch as sketches
 from strandloom.sources.chunked import SIZE
-from strandloom.staging import staged
+from strandloom.staging import DROP_SHUFFLES, held_conf, staged
 
 FORMAT, VERSION = "strandloom-dictionary", 2
+#: Bases of strings whose k-mers are shuffled at once when an index is stored.
+BASES_A_PASS = 1 << 27
 
 
 class DictionaryFormatError(ValueError):
@@ -144,19 +146,31 @@ class KmerDictionary:
         """``windows, missing``: one row; how many k-mers of its own strings were asked, and how many of them are not found."""
         return reports.check_totals(self.stream_query(self.strings.select("seq")))
 
-    def save(self, path: str, partitions: int | None = None) -> None:
+    def save(self, path: str, partitions: int | None = None, most: int = BASES_A_PASS) -> None:
         """Two Parquet tables and a metadata file; an existing dictionary is never overwritten.
 
         The index is written in buckets of its key, sorted, so a loaded dictionary is never shuffled again: only the
         queries are, into its buckets.  ``partitions`` is their number, by default that of shuffle
         partitions; with fewer buckets than a session's shuffle partitions Spark would shuffle both sides.
+        Of more than ``most`` bases the buckets are made some at a time, and what a pass shuffles goes when it is over: so only
+        the index itself grows on disk.
         """
         spark = self.strings.sparkSession
         count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         meta = {"format": FORMAT, "version": VERSION, "buckets": count, **self.config.asdict()}
-        self.strings.write.mode("errorifexists").parquet(f"{path}/strings")
         name, keys = _table_name(), lookups.key_columns(self.config.k)
-        self.index.repartition(count, *keys).write.format("parquet").bucketBy(count, *keys).sortBy(*keys).option("path", f"{path}/index").saveAsTable(name)
+        with held_conf(spark, **DROP_SHUFFLES):
+            self.strings.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/strings")
+        held = spark.read.schema(self.strings.schema).parquet(f"{path}/strings")
+        bases = held.agg(F.sum(F.col("string_end") - F.col("string_begin"))).first()[0] or 0
+        index = lookups.index_kmers(held, self.config.k) if self.unmade else self.index
+        passes = min(count, max(1, -(-bases // most)))
+        # The minima leave keys dealt as the buckets are, if tasks are as many; keys of several limbs are dealt once more.
+        with held_conf(spark, spark__sql__shuffle__partitions=str(count), spark__sql__adaptive__coalescePartitions__enabled="false", **DROP_SHUFFLES):
+            for i in range(passes):
+                part = index.filter(F.pmod(F.hash(*keys), F.lit(count)) % passes == i) if passes > 1 else index
+                part = part if len(keys) == 1 else part.repartition(count, *keys)
+                part.write.mode("append").format("parquet").option("compression", "zstd").bucketBy(count, *keys).sortBy(*keys).option("path", f"{path}/index").saveAsTable(name)
         spark.sql(f"DROP TABLE {name}")  # the files stay
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/meta")
 
